@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, packing, tokenstore
+from . import decontaminate, licenses, neardup, packing, tokenstore
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +23,11 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_token_store, op4_decontamination, op9_licenses)}
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op3_token_store, op4_decontamination, op9_licenses, op10_near_duplicates)}
 
 #: Words of the contract, from a text column.
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
