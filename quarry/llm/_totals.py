@@ -23,7 +23,7 @@ def buckets_for(keys: int) -> int:
     return max(LEAST_BUCKETS, 1 << max(0, (int(keys) // BUCKET_KEYS).bit_length()))
 
 
-def totals(chunks: DataFrame, buckets: int, finish: Callable[[np.ndarray], np.ndarray], stats: Callable[[np.ndarray, np.ndarray], bytes] | None = None) -> DataFrame:
+def totals(chunks: DataFrame, buckets: int, finish: Callable[[np.ndarray], np.ndarray], stats: Callable[[np.ndarray, np.ndarray, np.ndarray], bytes] | None = None) -> DataFrame:
     """(chunk, bucket, values, stats): for each chunk's keys in a bucket, in order, ``finish(totals)`` as bytes.
 
     chunks: (chunk long, keys binary of sorted unsigned 64-bit, counts binary of unsigned 32-bit, more binary or null:
@@ -60,7 +60,7 @@ def totals(chunks: DataFrame, buckets: int, finish: Callable[[np.ndarray], np.nd
         said: list[bytes | None] = [None] * len(keys)
         if stats:
             more = np.frombuffer(b"".join(x.as_py() for x in t["more"]), np.uint8)
-            said[0] = stats(total, more[first])
+            said[0] = stats(distinct, total, more[first])
         values = np.split(finish(total)[back], sizes[:-1])
         return pa.table({"chunk": t["chunk"], "bucket": t["bucket"], "values": pa.array([v.tobytes() for v in values], pa.binary()), "stats": pa.array(said, pa.binary())})
 
