@@ -3,35 +3,58 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, lm, neardup, packing, tokenstore
+from . import ann, chat, decontaminate, licenses, lm, neardup, packing, quality, tokenstore, urlrules
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return packing.pack_texts(_table(spark, sf_dir, "documents"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenstore.read(tokenstore.write(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return tokenstore.read(tokenstore.write(_table(spark, sf_dir, "documents")))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.when((F.col("toxic") == 1) | (F.col("quality") == 0), "block").when(F.col("toxic").isNotNull() & F.col("quality").isNotNull(), "allow").alias("label"))
+    return urlrules.judge(_table(spark, sf_dir, "pages"), labels)
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse(_table(spark, sf_dir, "conversations"))
 
 
 def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return lm.score(_table(spark, sf_dir, "documents"))
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans")
+    return licenses.scan(_table(spark, sf_dir, "documents")).drop("spans")
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_token_store, op4_decontamination, op8_language_model, op9_licenses, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_token_store, op4_decontamination, op5_neighbours, op6_url_rules, op7_chat, op8_language_model, op9_licenses, op10_near_duplicates)}
 
 #: Words of the contract, from a text column.
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -50,6 +73,13 @@ items as (select r, count(*) as n_items, string_agg(item, ',' order by item) as
 select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
   sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
 from d left join hit using (r) left join items using (r)""",
+    "op7_chat": """
+with t as (select *, row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as place from conversations),
+p as (select conv_id, place, to_json(list({'r': role, 't': text}) over (partition by conv_id order by place rows unbounded preceding)) as prefix,
+  place = max(place) over (partition by conv_id) as whole from t),
+kept as (select min(conv_id) as conv_id from p where whole and prefix not in (select prefix from p where not whole) group by prefix)
+select t.conv_id, count(*) as n_turns, string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' order by place) as text
+from t join kept on t.conv_id is not distinct from kept.conv_id group by t.conv_id""",
 }
 
 
