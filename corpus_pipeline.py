@@ -1,17 +1,43 @@
-"""The corpus pipeline: stages over ``documents``."""
+"""The corpus pipeline: stages over ``documents``, each on all that the one before has kept.
+
+Null and empty texts have no words: the classifier judges them, they have no near-duplicates and no contamination, and
+packing gives them their end token. Decisions are about a doc_id: of rows that share one, all go if one is contaminated.
+Equal rows count as copies of each other. Columns beyond those of ``documents`` are kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, packing
+from quarry.llm import decontaminate, neardup, packing, quality
 from quarry.llm._io import save
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go. It learns from the labels that op2 learns from."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(f"not {quality.HELD_OUT}")
+    model = quality.train(docs, labels.select("doc_id", F.col("quality").alias("label")))
+    return quality.keep(docs, model)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each class stays."""
+    classes = save(neardup.near_duplicates(docs), "classes")
+    copies = classes.groupBy("doc_id").agg(F.count("*").alias("rows"), F.bool_or(F.expr("doc_id <=> class_id")).alias("first"))
+    gone = save(copies.filter("not first").select("doc_id"), "gone")
+    again = save(copies.filter("first and rows > 1").select("doc_id"), "again")
+    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    if not again.limit(1).count():
+        return kept
+    twice = kept.join(again, kept["doc_id"].eqNullSafe(again["doc_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, kept["doc_id"].eqNullSafe(again["doc_id"]), "left_anti").unionByName(twice)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
     found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = found.filter("contaminated").select("doc_id").distinct()
+    bad = save(found.filter("contaminated").select("doc_id").distinct(), "contaminated")
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
 
 
@@ -20,8 +46,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_texts(docs)
 
 
-STAGES = [("decontamination", decontamination), ("packing", pack)]
-#: Learned scores and tokenizers have no SQL form.
+STAGES = [("quality classifier", quality_classifier), ("near-dedup", near_dedup), ("decontamination", decontamination), ("packing", pack)]
+#: Learned scores, samples and tokenizers have no SQL form.
 ORACLE_SQL = None
 
 

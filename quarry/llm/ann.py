@@ -233,9 +233,29 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
                     best = pa.StructArray.from_arrays([pa.array(-score[rows]), pa.array(ids[xi[rows]])], ["far", "vec_id"])
                     yield pa.RecordBatch.from_arrays([pa.array(asked_ids[some]), pa.array(np.full(len(some), part.column("sub")[0].as_py() // 64)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), best)], ["query_id", "part", "best"])
 
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The k best of the sample, so that a query always has k results."""
+        ix = sent.value
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                ids, v = b.column(0).slice(i, 256), _matrix(b.column(1).slice(i, 256))
+                score = v @ ix.sample.T
+                score[ids.to_numpy()[:, None] == ix.ids[None, :]] = -np.inf
+                n = min(k, score.shape[1])
+                best = np.argpartition(-score, n - 1, 1)[:, :n]
+                out = []
+                for row, near in enumerate(best):
+                    near = near[np.isfinite(score[row, near])]
+                    exact = np.einsum("ij,ij->i", np.repeat(v[row : row + 1], len(near), 0), ix.sample[near])
+                    out.append([{"far": -float(s), "vec_id": int(x)} for s, x in zip(exact, ix.ids[near], strict=True)])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(out), -1)), pa.array(out, pa.list_(pa.struct([("far", pa.float64()), ("vec_id", pa.int64())])))], ["query_id", "part", "best"])
+
     count = asked.count()
     routed = asked.repartition(max(1, -(-count // BLOCK_ROWS))).mapInArrow(route, "list long, sub long, asked array<long>, q binary, limit binary")
-    found = routed.join(blocks, ["list", "sub"]).mapInArrow(look, "query_id long, part long, best array<struct<far:double,vec_id:long>>")
-    top = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k).alias("best")
-    found = found.groupBy("query_id", "part").agg(top).groupBy("query_id").agg(top)  # a long list's blocks are reduced in parts first
+    kind = "query_id long, part long, best array<struct<far:double,vec_id:long>>"
+    found = routed.join(blocks, ["list", "sub"]).mapInArrow(look, kind).unionByName(asked.mapInArrow(known, kind))
+    ordered = F.array_sort(F.flatten(F.collect_list("best")))
+    top = F.expr(f"slice(filter(every, (x, i) -> i = 0 or every[i - 1].vec_id != x.vec_id), 1, {k})").alias("best")
+    for by in (["query_id", "part"], ["query_id"]):  # a long list's blocks are reduced in parts first
+        found = found.groupBy(*by).agg(ordered.alias("every")).select(*by, top)
     return found.select("query_id", F.posexplode("best").alias("pos", "b")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.far")).alias("score"))

@@ -205,3 +205,15 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: str = HELD_OUT) -> Da
     """(doc_id, held_out, score, predicted): learned from ``labels`` (doc_id, quality) that are not held out."""
     model = train(docs, labels.filter(f"not {held_out}").select("doc_id", F.col("quality").alias("label")))
     return score(docs, model).select("doc_id", F.expr(held_out).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores at least ``least``."""
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, x, edge in passages(b.column(place)):
+                yield b.slice(i, j - i).filter(pa.array(model.score(x, edge) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
