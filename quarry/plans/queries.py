@@ -300,8 +300,8 @@ def markdown_escape(spark, d):
 
 @query(
     f"""with {FILES}, {LINES}, s as (select relative_path, content, ls[2] as part from arrays where len(ls) > 1 and ls[2] <> ''),
-p as (select *, strpos(content, part) as at from s)
-select relative_path, cast(case when strpos(substring(content, at + 1), part) = 0 then 1 + len(substring(content, 1, at - 1)) - len(replace(substring(content, 1, at - 1), chr(10), '')) end as bigint) as first_line from p"""
+p as (select *, strpos(content, part) as pos from s)
+select relative_path, cast(case when strpos(substring(content, pos + 1), part) = 0 then 1 + len(substring(content, 1, pos - 1)) - len(replace(substring(content, 1, pos - 1), chr(10), '')) end as bigint) as first_line from p"""
 )
 def exact_once(spark, d):
     rows = _files(spark, d).select("relative_path", "content", F.try_element_at(text.lines("content"), F.lit(2)).alias("part")).filter("part <> ''")
