@@ -83,6 +83,36 @@ from t join kept on t.conv_id is not distinct from kept.conv_id group by t.conv_
 }
 
 
+def _template_sql(template: str) -> str:
+    """A template as a regular expression over the text's words, each with a space after it."""
+    parts = []
+    for part in template.replace("[", " [ ").replace("]", " ] ").split():
+        if part.startswith("<<"):
+            parts.append("(?:[^ ]+ ){" + part[2:-2].replace("..", ",") + "}")
+        else:
+            parts.append({"[": "(?:", "]": ")?"}.get(part, f"{part} "))
+    return "(^| )" + "".join(parts)
+
+
+def _license_sql() -> str:
+    phrases = [(p, len(p.split()), label) for p, label in licenses.PHRASES.items()]
+    found = ", ".join(f"list_filter(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' ') = '{p}') as p{k}" for k, (p, n, _) in enumerate(phrases))
+    every = " || ".join(f"p{k}" for k in range(len(phrases)))
+    base = ", ".join(f"case when len(p{k}) > 0 then '{label}' end" for k, (_, _, label) in enumerate(phrases))
+    more = ", ".join(f"case when regexp_matches(t, '{_template_sql(t)}') then '{label}' end" for label, t in licenses.TEMPLATES)
+    named = lambda x: f"coalesce(array_to_string(list_sort(list_distinct(list_filter({x}, lambda x: x is not null))), ','), '')"
+    return f"""
+with d as (select doc_id, {WORDS} as w from documents),
+e as (select *, case when len(w) > 0 then array_to_string(w, ' ') || ' ' else '' end as t, {found} from d),
+f as (select *, {every} as p, [{base}] as b, [{more}] as m from e)
+select doc_id, cast(len(w) as bigint) as n_words, cast(len(p) as bigint) as n_base, cast(list_min(p) - 1 as bigint) as first_word, cast(list_max(p) - 1 as bigint) as last_word,
+  {named('b')} as base_labels, {named('b || m')} as labels, case when len(list_filter(m, lambda x: x is not null)) > 0 then 1.0 when len(p) > 0 then 0.5 else 0.0 end::double as score
+from f"""
+
+
+ORACLE_SQL["op9_licenses"] = _license_sql()
+
+
 def queries():
     return dict(QUERIES)
 
