@@ -108,3 +108,11 @@ def admit_submissions(rows: DataFrame, size: str, most: int, most_bytes: int) ->
 
     fits = sums.coalesce(1).sortWithinPartitions("submission").mapInPandas(fold, "submission long")
     return rows.join(fits, "submission", "left_semi")
+
+
+def diagnostics(rows: DataFrame, order: list[str], most: int, most_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(kept, one row with ``omitted``) of messages (text): those that fit in this order, shown sorted; the rest is counted."""
+    sized = rows.withColumn("bytes", F.octet_length("text"))
+    kept = admit_each(sized, order, "bytes", most, most_bytes).drop("bytes")
+    counts = rows.select(F.lit(1).alias("n")).union(kept.select(F.lit(-1))).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("omitted"))
+    return kept.orderBy("text"), counts

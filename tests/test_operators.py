@@ -328,3 +328,20 @@ def test_analysis_and_reports(spark, tmp_path):
     assert (report.exit_code(False, True), report.exit_code(True, True), report.exit_code(True, False)) == (5, 1, 0)
     with pytest.raises(ValueError):
         analyze.Config(categories=["x"])
+
+
+def test_diagnostics(spark):
+    rows = spark.createDataFrame([(1, "bb"), (2, "x" * 50), (3, "a")], "k int, text string")
+    kept, omitted = shards.diagnostics(rows, ["k"], 10, 10)
+    assert [r.text for r in kept.collect()] == ["a", "bb"] and omitted.first().omitted == 1
+
+
+def test_watch(spark, tmp_path):
+    from quarry.streaming.watch import watch
+
+    f = spark.createDataFrame([("a.py", '# TODO later\ntoken = "abcd1234efgh5678"'), ("b.c", "/*\n FIXME\n*/")], "relative_path string, content string")
+    f.write.parquet(str(tmp_path / "in"))
+    live = watch(spark.readStream.schema(f.schema).parquet(str(tmp_path / "in")))
+    q = live.writeStream.format("memory").queryName("watch_out").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted((r.file, r.line_start, r.severity) for r in spark.table("watch_out").collect()) == [("a.py", 1, "low"), ("a.py", 2, "critical"), ("b.c", 2, "low")]
