@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +32,32 @@ def save(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at.getParent())
     return spark.read.schema(df.schema).parquet(path)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, a function for mapInArrow or mapInPandas, that gives freed memory back to the system after each task.
+
+    Python workers stay for later tasks and stages, and their allocators would keep what the largest task needed.
+    """
+
+    @wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            import pyarrow
+
+            pyarrow.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # other C libraries have no such call
+
+    return wrapped
+
+
+def slices(batches: Iterator, rows: int = 1000) -> Iterator:
+    """Parts of record batches, so that what is made of one at a time stays small."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)

@@ -9,10 +9,15 @@ weighted Jaccard similarity). Four samples make a band; documents that share a b
 Candidates are verified by exact weighted Jaccard similarity of at least 0.8:
 
 1. documents of the same row of words are one *text* from the start;
-2. in each bucket, every text is compared with the bucket's leader;
-3. after the linked texts are joined into classes, texts of a bucket that are not of its largest class are compared with
-   all its texts of other classes. So within a bucket no pair of different classes is left out, while a large group of
-   near copies costs a comparison a member instead of one a pair.
+2. in each bucket, every text is compared with the bucket's leader, the text that shares most buckets with others;
+3. after the linked texts are joined into classes, texts of a bucket that are not of its largest class meet all its
+   texts of other classes, unless a bound rules the pair out: two texts share at most the weight that is not their own,
+   that is, of shingles that no other text left at this stage has. So within a bucket no link between classes is lost,
+   while a large group of near copies costs a comparison a member instead of one a pair.
+
+Before texts are fetched, a pair must agree in a sketch of three bits of each sample: at most ``SKETCH_MISSES`` of the 48
+may differ (with a similarity of 0.8 about 8 differ; more than 21 do once in a million pairs). The condition is part of
+the joins, so that texts that only share a passage are not paired.
 
 Results: a class id for every document, the smallest doc_id of its class. Texts without words (null, empty) are classes
 of their own. Repeated rows are copies. A null doc_id is kept; it is a class's id only if all its ids are null. Other
@@ -31,12 +36,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _totals
-from ._io import save
+from ._io import lean, save
 from ._words import hashed_words, mix
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
+SKETCH_MISSES = 21
+#: Texts of a bucket that meet others in one task.
+BLOCK_TEXTS = 256
 #: UTF-8 bytes of a chunk of documents, apart from what its last document has beyond.
 CHUNK_BYTES = 8 << 20
 #: Slots of the filter that keeps candidates' texts; a fixed size, and a wrong "yes" does no harm.
@@ -178,9 +186,9 @@ def signed(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame,
             yield pa.RecordBatch.from_arrays([pa.array([c.number]), pa.ListArray.from_arrays(pa.array([0, len(c.names)], pa.int32()), c.names), pa.ListArray.from_arrays(pa.array([0, len(c.texts)], pa.int32()), c.texts)], ["chunk", "ids", "texts"])
 
     kind = docs.schema["doc_id"].dataType
-    found = _totals.by_chunk(_totals.totals(docs.mapInArrow(vocabulary, "chunk long, keys binary, counts binary, more binary"), buckets, lambda t: np.minimum(255, np.rint(8 * np.log2(t))).astype(np.uint8)))
-    text = docs.mapInArrow(whole, T.StructType([T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("texts", T.ArrayType(T.StringType()))]))
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("key", T.BinaryType()), T.StructField("weight", T.DoubleType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("classes", T.BinaryType()), T.StructField("text", T.StringType())])
+    found = _totals.by_chunk(_totals.totals(docs.mapInArrow(lean(vocabulary), "chunk long, keys binary, counts binary, more binary"), buckets, lambda t: np.minimum(255, np.rint(8 * np.log2(t))).astype(np.uint8)))
+    text = docs.mapInArrow(lean(whole), T.StructType([T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("texts", T.ArrayType(T.StringType()))]))
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("key", T.BinaryType()), T.StructField("weight", T.DoubleType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("classes", T.BinaryType()), T.StructField("text", T.StringType())])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -196,11 +204,14 @@ def signed(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame,
                     own = slice(c.at[i], c.at[j])
                     h, w, bounds = weighted(c.words[own], at, _idf(of[own], n))
                     some = np.flatnonzero(np.diff(bounds))
-                    bands = np.zeros((j - i, 0), np.uint64)
+                    bands, sketch = np.zeros((j - i, 0), np.uint64), np.zeros((j - i, 3), np.uint64)
                     if len(some):
                         s = samples(h, w, np.append(bounds[some], len(h)), BANDS * ROWS).astype(np.uint64).reshape(len(some), BANDS, ROWS)
                         bands = np.zeros((j - i, BANDS), np.uint64)
                         bands[some] = mix((s * _ODD[:ROWS]).sum(2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _ODD[5])
+                        place = np.arange(BANDS * ROWS, dtype=np.uint64)
+                        for bit in range(3):
+                            sketch[some, bit] = ((s.reshape(len(some), -1) >> np.uint64(bit) & np.uint64(1)) << place).sum(1, dtype=np.uint64)
                     total = np.add.reduceat(np.append(w, 0), bounds[:-1]) * (np.diff(bounds) > 0)
                     raw, has = c.keys[i:j].astype("<u8").tobytes(), np.diff(bounds) > 0
                     yield pa.RecordBatch.from_arrays(
@@ -209,20 +220,19 @@ def signed(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame,
                             pa.array([raw[16 * x : 16 * x + 16] if y else None for x, y in enumerate(has)], pa.binary()),
                             pa.array(total),
                             pa.array([row.tolist() if y else [] for row, y in zip(bands.astype(np.int64), has, strict=True)] if len(some) else [[]] * (j - i), pa.list_(pa.int64())),
+                            pa.array(sketch.astype(np.int64).tolist(), pa.list_(pa.int64())),
                             pa.array([of[c.at[x] : c.at[x + 1]].tobytes() for x in range(i, j)], pa.binary()),
                             c.texts.slice(i, j - i),
                         ],
                         schema.names,
                     )
 
-    return save(text.join(found, "chunk", "left").select("ids", "texts", "values").mapInArrow(sign, schema), "signed"), n
+    return save(text.join(found, "chunk", "left").select("ids", "texts", "values").mapInArrow(lean(sign), schema), "signed"), n
 
 
-def _verified(pairs: DataFrame, table: DataFrame, documents: int, similarity: float) -> DataFrame:
-    """(a, b, similarity) of pairs of keys (a, b) whose texts reach the similarity; written."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key"))
-    # A fixed number of slots: which texts are wanted at all. At most FILTER_BITS / 64 rows come back.
-    slot = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS))
+def _texts_of(wanted: DataFrame, table: DataFrame) -> DataFrame:
+    """(key, classes, text) of the texts with a wanted ``key`` (and a few more), one row a text."""
+    # A fixed number of slots tells which texts may be wanted; at most FILTER_BITS / 64 rows come back.
     marks = wanted.select(F.expr(f"cast(pmod(xxhash64(key), {FILTER_BITS}) as long)").alias("s")).groupBy(F.expr("s div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("m")).toPandas()
     bits = np.zeros(FILTER_BITS // 64, np.int64)
     bits[marks["w"].to_numpy(np.int64)] = marks["m"].to_numpy(np.int64)
@@ -231,11 +241,111 @@ def _verified(pairs: DataFrame, table: DataFrame, documents: int, similarity: fl
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = b.column(0).to_numpy(zero_copy_only=False)
-            yes = (sent.value[s // 64] >> (s % 64)) & 1 == 1
-            yield b.filter(pa.array(yes))
+            yield b.filter(pa.array((sent.value[s // 64] >> (s % 64)) & 1 == 1))
+
+    rows = table.filter("key is not null").select(F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS)).alias("slot"), "key", "classes", "text")
+    return rows.mapInArrow(lean(keep), rows.schema).groupBy("key").agg(F.first("classes").alias("classes"), F.first("text").alias("text"))
+
+
+def _vectors(texts: pa.Array, classes: pa.Array, documents: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    words, sizes = [], []
+    for _, _, w, at in hashed_words(texts):
+        words.append(w)
+        sizes.append(np.diff(at))
+    raw = np.frombuffer(b"".join(classes.to_pylist()), np.uint8)
+    return weighted(np.concatenate(words), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), _idf(raw, documents))
+
+
+def _own_weights(keys: DataFrame, table: DataFrame, documents: int) -> DataFrame:
+    """(h, own): of each text of ``keys``, by the hash of its key, the weight of shingles that no other of them has."""
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                h, w, at = _vectors(part.column(2), part.column(1), documents)
+                name = np.repeat(part.column(0).to_numpy(zero_copy_only=False), np.diff(at))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(name), pa.array(w)], ["shingle", "h", "w"])
+
+    texts = _texts_of(keys, table).join(keys, "key", "left_semi").select(F.xxhash64("key").alias("h"), "classes", "text")
+    rows = texts.mapInArrow(lean(shingles), "shingle long, h long, w double")
+    once = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("h").alias("h"), F.min("w").alias("w")).filter("n = 1")
+    return once.groupBy("h").agg(F.sum("w").alias("own"))
+
 
-    rows = table.filter("key is not null").select(slot.alias("slot"), "key", "classes", "text")
-    texts = rows.mapInArrow(keep, rows.schema).groupBy("key").agg(F.first("classes").alias("classes"), F.first("text").alias("text"))
+def _between(mixed: DataFrame, texts: DataFrame, table: DataFrame, documents: int, similarity: float) -> DataFrame:
+    """Links (a, b, similarity) between a bucket's strays, the texts not of its main class, and its texts of other classes.
+
+    Texts of a bucket meet in blocks of bounded size, so only links leave a task; a pair is looked at in the first of the
+    buckets that it shares, and not where other links of the block join its classes anyway.
+    """
+    own = save(_own_weights(mixed.select("key").distinct(), table, documents), "own")
+    keys = mixed.select("key").distinct()
+    whole = _texts_of(keys, table).join(texts.select("key", "weight", "bands", "sketch"), "key").withColumn("h", F.xxhash64("key")).join(own, "h", "left").select("key", "weight", "bands", "sketch", F.coalesce("own", F.lit(0.0)).alias("own"), "classes", "text")
+    rows = mixed.select("bucket", "key", "label", (~F.col("label").eqNullSafe(F.col("main"))).alias("stray"), F.ceil(F.col("strays") / BLOCK_TEXTS).alias("si"), F.ceil(F.col("n") / BLOCK_TEXTS).alias("sj"))
+    place = lambda size: F.pmod(F.xxhash64("key", "bucket"), F.col(size))
+    left = rows.filter("stray").select("bucket", "key", "label", "stray", F.lit(True).alias("left"), place("si").alias("i"), F.explode(F.sequence(F.lit(0), F.col("sj") - 1)).alias("j"))
+    right = rows.select("bucket", "key", "label", "stray", F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), F.col("si") - 1)).alias("i"), place("sj").alias("j"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        get = lambda c: t[c].combine_chunks()
+        side = get("left").to_numpy(zero_copy_only=False)
+        s, m = np.flatnonzero(side), np.flatnonzero(~side)
+        bucket, keys, labels = t["bucket"][0].as_py(), t["key"].to_pylist(), t["label"].to_pylist()
+        numbers = {x: n for n, x in enumerate(dict.fromkeys(labels))}
+        label = np.array([numbers[x] for x in labels])
+        weight, private, stray = (get(c).to_numpy(zero_copy_only=False) for c in ("weight", "own", "stray"))
+        bands, sketch = (np.array(t[c].to_pylist(), np.int64) for c in ("bands", "sketch"))
+        order = np.argsort(np.argsort(np.array(keys, dtype=object)))
+        ok = np.zeros((len(s), len(m)), bool)
+        if len(s) and len(m):
+            least, most = np.minimum.outer(weight[s], weight[m]), np.maximum.outer(weight[s], weight[m])
+            shared = np.minimum.outer((weight - private)[s], (weight - private)[m])
+            misses = np.bitwise_count(np.bitwise_or.reduce(sketch[s][:, None, :] ^ sketch[m][None, :, :], axis=2))
+            ok = (label[s][:, None] != label[m][None, :]) & (least >= similarity * most - 1e-9) & (shared * (1 + similarity) >= similarity * (least + most) - 1e-9) & (misses <= SKETCH_MISSES)
+            ok &= ~stray[m][None, :] | (order[s][:, None] < order[m][None, :])  # two strays meet once
+        x, y = np.nonzero(ok)
+        x, y = s[x], m[y]
+        first = bands[x, (bands[x] == bands[y]).argmax(1)] == bucket
+        x, y = x[first], y[first]
+        links: tuple[list, list, list] = ([], [], [])
+        if len(x):
+            need = np.unique(np.concatenate([x, y]))
+            at = np.zeros(len(keys), np.int64)
+            at[need] = np.arange(len(need))
+            h, w, edge = _vectors(get("text").take(pa.array(need)), get("classes").take(pa.array(need)), documents)
+            parent = list(range(len(numbers)))
+
+            def root(c: int) -> int:
+                while parent[c] != c:
+                    parent[c] = parent[parent[c]]
+                    c = parent[c]
+                return c
+
+            for p, q in zip(x.tolist(), y.tolist(), strict=True):
+                c, d = root(label[p]), root(label[q])
+                if c != d and (v := _jaccard(h, w, edge, at[p], at[q])) >= similarity - 1e-9:
+                    parent[c] = d
+                    for out, value in zip(links, (keys[p], keys[q], v), strict=True):
+                        out.append(value)
+        return pa.table({"a": pa.array(links[0], pa.binary()), "b": pa.array(links[1], pa.binary()), "similarity": pa.array(links[2], pa.float64())})
+
+    blocks = left.unionByName(right).join(whole, "key")
+    return save(blocks.groupBy("bucket", "i", "j").applyInArrow(compare, "a binary, b binary, similarity double"), "between")
+
+
+def _jaccard(h: np.ndarray, w: np.ndarray, edge: np.ndarray, a: int, b: int) -> float:
+    """Weighted Jaccard similarity of two of the texts whose distinct shingles stand in ``h``."""
+    x, y, v, u = h[edge[a] : edge[a + 1]], h[edge[b] : edge[b + 1]], w[edge[a] : edge[a + 1]], w[edge[b] : edge[b + 1]]
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    same = y[at] == x
+    least = np.minimum(v[same], u[at[same]]).sum()
+    return float(least / (v.sum() + u.sum() - least))
+
+
+def _verified(pairs: DataFrame, table: DataFrame, documents: int, similarity: float) -> DataFrame:
+    """(a, b, similarity) of pairs of keys (a, b) whose texts reach the similarity; written."""
+    texts = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("key")), table)
     both = pairs.join(texts.select(F.col("key").alias("a"), F.col("classes").alias("ca"), F.col("text").alias("ta")), "a")
     both = both.join(texts.select(F.col("key").alias("b"), F.col("classes").alias("cb"), F.col("text").alias("tb")), "b")
 
@@ -243,32 +353,20 @@ def _verified(pairs: DataFrame, table: DataFrame, documents: int, similarity: fl
         for b in batches:
             for i in range(0, b.num_rows, 64):
                 part = b.slice(i, 64)
-                sides = []
-                for text, classes in ((2, 3), (4, 5)):
-                    words, sizes = [], []
-                    for _, _, w, at in hashed_words(part.column(text)):
-                        words.append(w)
-                        sizes.append(np.diff(at))
-                    raw = np.frombuffer(b"".join(part.column(classes).to_pylist()), np.uint8)
-                    sides.append(weighted(np.concatenate(words), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), _idf(raw, documents)))
-                found = []
-                for x in range(part.num_rows):
-                    (h, w), (g, v) = ((s[0][s[2][x] : s[2][x + 1]], s[1][s[2][x] : s[2][x + 1]]) for s in sides)
-                    at = np.minimum(np.searchsorted(g, h), len(g) - 1)
-                    same = g[at] == h
-                    least = np.minimum(w[same], v[at[same]]).sum()
-                    found.append(least / (w.sum() + v.sum() - least))
+                both_texts = pa.concat_arrays([part.column(2), part.column(4)])
+                h, w, edge = _vectors(both_texts, pa.concat_arrays([part.column(3), part.column(5)]), documents)
+                found = [_jaccard(h, w, edge, x, part.num_rows + x) for x in range(part.num_rows)]
                 sim = np.array(found)
                 yes = pa.array(sim >= similarity - 1e-9)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(yes), part.column(1).filter(yes), pa.array(sim).filter(yes)], ["a", "b", "similarity"])
 
-    return save(both.select("a", "b", "ta", "ca", "tb", "cb").mapInArrow(judge, "a binary, b binary, similarity double"), "links")
+    return save(both.select("a", "b", "ta", "ca", "tb", "cb").mapInArrow(lean(judge), "a binary, b binary, similarity double"), "links")
 
 
-def _classes(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(key, rep, label): the smallest rep of each class, by passing labels along links and then from label to label."""
+def _classes(texts: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, label) of every text: the smallest rep of its class, by passing labels along links and from label to label."""
     both = links.select("a", "b").union(links.select("b", "a")).toDF("key", "other")
-    labels = save(nodes.withColumn("label", F.col("rep")), "labels")
+    labels = save(texts.select("key", "rep").join(both.select("key"), "key", "left_semi").withColumn("label", F.col("rep")), "labels")
     while True:
         near = both.join(labels.select("key", "label"), "key").groupBy(F.col("other").alias("key")).agg(F.min("label").alias("near"))
         new = labels.join(near, "key", "left").select("key", "rep", F.least("label", "near").alias("label"), F.col("label").alias("old"))
@@ -276,32 +374,37 @@ def _classes(nodes: DataFrame, links: DataFrame) -> DataFrame:
         step = new.filter("rep > label or rep is null").select("key", "label").join(new.select(F.col("rep").alias("label"), F.col("label").alias("further")), "label").groupBy("key").agg(F.min("further").alias("further"))
         labels = save(new.join(step, "key", "left").select("key", "rep", F.least("label", "further").alias("label"), "old"), "labels")
         if not labels.filter("not (label <=> old)").limit(1).count():
-            return labels.select("key", "rep", "label")
+            break
+    linked = labels.select("key", "label", F.lit(True).alias("linked"))
+    return texts.select("key", "rep").join(linked, "key", "left").select("key", F.when(F.col("linked"), F.col("label")).otherwise(F.col("rep")).alias("label"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(doc_id, class_id) for every row of ``docs`` (doc_id, text)."""
     table, documents = signed(docs, chunk_bytes)
-    texts = save(table.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("weight").alias("weight"), F.first("bands").alias("bands")), "texts")
-    band = texts.select("key", "weight", F.explode("bands").alias("bucket"))
-    leaders = band.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("key").alias("h"), "key", "weight")).alias("leader"), F.count("*").alias("n")).filter("n > 1").select("bucket", F.col("leader.key").alias("a"), F.col("leader.weight").alias("wa"))
-    crowd = save(band.join(leaders, "bucket"), "buckets")
-    close = f"least(weight, wa) >= {similarity} * greatest(weight, wa) - 1e-9"  # the similarity can't be larger than this ratio
-    pairs = crowd.filter(f"key != a and {close}").select("a", F.col("key").alias("b")).distinct()
+    texts = table.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("weight", "bands", "sketch")))
+    texts = save(texts, "texts")
+    band = texts.select("key", F.explode("bands").alias("bucket"))
+    full = band.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = save(band.join(full, "bucket"), "shared")
+    # The leader of a bucket is the text that shares most buckets with most others: the original among its copies.
+    degree = save(shared.groupBy("key").agg(F.sum("n").alias("degree")), "degree")
+    leaders = shared.join(degree, "key").groupBy("bucket").agg(F.max(F.struct("degree", F.xxhash64("key").alias("h"), "key"))["key"].alias("a"))
+    crowd = save(shared.select("bucket", "key").join(leaders, "bucket"), "buckets")
+    facts = lambda key, tag: texts.select(F.col("key").alias(key), F.col("weight").alias(f"w{tag}"), *(F.col("sketch")[i].alias(f"s{i}{tag}") for i in range(3)))
+    # A similarity is at most the ratio of weights.
+    close = f"least(wa, wb) >= {similarity} * greatest(wa, wb) - 1e-9 and bit_count((s0a ^ s0b) | (s1a ^ s1b) | (s2a ^ s2b)) <= {SKETCH_MISSES}"
+    pairs = crowd.filter("key != a").select("a", F.col("key").alias("b")).distinct().join(facts("a", "a"), "a").join(facts("b", "b"), "b").filter(close).select("a", "b")
     links = _verified(pairs, table, documents, similarity)
-    if links.limit(1).count() or crowd.limit(1).count():
-        nodes = texts.select("key", "rep")
-        labels = _classes(nodes, links)
-        known = crowd.join(labels.select("key", "label"), "key")
-        sizes = known.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-        largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("kinds")).filter("kinds > 1").select("bucket", F.col("m.label").alias("main"))
-        mixed = known.join(largest, "bucket")
-        stray = mixed.filter("not (label <=> main)").select("bucket", F.col("key").alias("s"), F.col("label").alias("ls"), F.col("weight").alias("ws"), F.col("a").alias("leader"))
-        rest = mixed.select("bucket", "key", "label", "weight").join(stray, "bucket").filter(f"not (label <=> ls) and s != leader and key != leader and least(weight, ws) >= {similarity} * greatest(weight, ws) - 1e-9")
-        more = _verified(rest.select(F.least("s", "key").alias("a"), F.greatest("s", "key").alias("b")).distinct(), table, documents, similarity)
+    labels = _classes(texts, links)
+    # Buckets with texts of several classes; in each, the class with most texts of the bucket. Leaders have met all.
+    known = crowd.filter("key != a").select("bucket", "key").join(labels, "key")
+    sizes = known.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("n"), F.count("*").alias("kinds")).filter("kinds > 1").select("bucket", F.col("m.label").alias("main"), "n", (F.col("n") - F.col("m.n")).alias("strays"))
+    mixed = save(known.join(largest, "bucket"), "mixed")
+    if mixed.limit(1).count():
+        more = _between(mixed, texts, table, documents, similarity)
         if more.limit(1).count():
-            labels = _classes(nodes, links.union(more))
-        found = table.select("doc_id", "key").join(labels.select("key", "label"), "key", "left")
-        return found.select("doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("label")).alias("class_id"))
-    found = table.select("doc_id", "key").join(texts.select("key", "rep"), "key", "left")
-    return found.select("doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("rep")).alias("class_id"))
+            labels = _classes(texts, links.union(more.select("a", "b", "similarity")))
+    found = table.select("doc_id", "key").join(labels, "key", "left")
+    return found.select("doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("label")).alias("class_id"))
