@@ -186,10 +186,10 @@ class Encoder:
                 elif b[m] > b[k]:
                     ids, at = self._cut(part[b[k] : b[m]], b[k : m + 1] - b[k])
                     counts[i + k : i + m] = np.diff(at)
-                    parts.append(ids.astype(np.uint32))
+                    parts.append(ids.astype(np.uint32, copy=False))
                 k = m
         ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-        return ids.astype(np.uint32), np.concatenate([[0], np.cumsum(counts)])
+        return ids.astype(np.uint32, copy=False), np.concatenate([[0], np.cumsum(counts)])
 
 
 @lru_cache(maxsize=2)

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._io import lean
+
 #: Keys of all chunks that a bucket holds on average, at most.
 BUCKET_KEYS = 1 << 20
 LEAST_BUCKETS = 256
@@ -64,7 +66,7 @@ def totals(chunks: DataFrame, buckets: int, finish: Callable[[np.ndarray], np.nd
         values = np.split(finish(total)[back], sizes[:-1])
         return pa.table({"chunk": t["chunk"], "bucket": t["bucket"], "values": pa.array([v.tobytes() for v in values], pa.binary()), "stats": pa.array(said, pa.binary())})
 
-    rows = chunks.select("chunk", "keys", "counts", "more").mapInArrow(split, "bucket int, chunk long, keys binary, counts binary, more binary")
+    rows = chunks.select("chunk", "keys", "counts", "more").mapInArrow(lean(split), "bucket int, chunk long, keys binary, counts binary, more binary")
     return rows.groupBy("bucket").applyInArrow(add, "chunk long, bucket int, values binary, stats binary")
 
 

@@ -79,6 +79,18 @@ class Hasher:
             self.up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
 
     def spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of ascending spans that don't overlap. Only about STEP bytes, or one span, are worked on at a time."""
+        if len(data) <= 2 * STEP:
+            return self._spans(data, starts, ends)
+        out, i = np.empty(len(starts), U64), 0
+        while i < len(starts):
+            j = max(i + 1, int(np.searchsorted(ends, starts[i] + STEP, "right")))
+            a, b = int(starts[i]), int(ends[j - 1])
+            out[i:j] = self._spans(data[a:b], starts[i:j] - a, ends[i:j] - a)
+            i = j
+        return out
+
+    def _spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         self._powers(len(data) + 1)
         run = np.zeros(len(data) + 1, U64)
         np.cumsum(self.values[data] * self.up[: len(data)], out=run[1:])

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._io import save
+from ._io import lean, save
 
 COLUMNS = 16
 SAMPLE_ROWS, SAMPLE_NUMBERS = 16384, 2 << 20
@@ -151,7 +151,7 @@ def build(vectors: DataFrame, k: int) -> tuple[DataFrame | None, Index | None]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sent.value.lists(_matrix(b.column(1))).astype(np.int64))], ["vec_id", "v", "list"])
 
-    assigned = save(vectors.mapInArrow(assign, "vec_id long, v array<double>, list long"), "assigned")
+    assigned = save(vectors.mapInArrow(lean(assign), "vec_id long, v array<double>, list long"), "assigned")
     for r in assigned.groupBy("list").count().collect():
         index.sizes[r["list"]] = r["count"]
     subs = {int(i): int(-(-n // BLOCK_ROWS)) for i, n in enumerate(index.sizes)}  # LISTS numbers at most
@@ -251,9 +251,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(out), -1)), pa.array(out, pa.list_(pa.struct([("far", pa.float64()), ("vec_id", pa.int64())])))], ["query_id", "part", "best"])
 
     count = asked.count()
-    routed = asked.repartition(max(1, -(-count // BLOCK_ROWS))).mapInArrow(route, "list long, sub long, asked array<long>, q binary, limit binary")
+    routed = asked.repartition(max(1, -(-count // BLOCK_ROWS))).mapInArrow(lean(route), "list long, sub long, asked array<long>, q binary, limit binary")
     kind = "query_id long, part long, best array<struct<far:double,vec_id:long>>"
-    found = routed.join(blocks, ["list", "sub"]).mapInArrow(look, kind).unionByName(asked.mapInArrow(known, kind))
+    found = routed.join(blocks, ["list", "sub"]).mapInArrow(lean(look), kind).unionByName(asked.mapInArrow(lean(known), kind))
     ordered = F.array_sort(F.flatten(F.collect_list("best")))
     top = F.expr(f"slice(filter(every, (x, i) -> i = 0 or every[i - 1].vec_id != x.vec_id), 1, {k})").alias("best")
     for by in (["query_id", "part"], ["query_id"]):  # a long list's blocks are reduced in parts first

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._io import save
+from ._io import lean, save
 from ._words import hashed_words
 
 WINDOW = 13
@@ -63,7 +63,7 @@ def build_index(docs: DataFrame, segment_tokens: int = SEGMENT_TOKENS) -> DataFr
         if held[0]:
             yield segment(*held)
 
-    return save(docs.select("doc_id", "text").mapInArrow(run, schema), "index")
+    return save(docs.select("doc_id", "text").mapInArrow(lean(run), schema), "index")
 
 
 class Queries:
@@ -205,7 +205,7 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: i
                     schema.names,
                 )
 
-    return index.mapInArrow(run, schema)
+    return index.mapInArrow(lean(run), schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:

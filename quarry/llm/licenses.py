@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._io import lean
 from ._words import WORD_HASH, hashed_words
 
 #: Phrases whose every place counts, and their labels.
@@ -180,4 +181,4 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: list
                     schema.names,
                 )
 
-    return docs.select("doc_id", F.col("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.col("text")).mapInArrow(lean(run), schema)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bpe import default_path, encoder
-from ._io import save
+from ._io import lean, save, slices
 from ._words import text_bytes
 
 WINDOW = 1024
@@ -205,7 +205,7 @@ def text_ids(path: str, end_id: int):
 
     def ids_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         ids, at = encoder(path).encode(batch.column(1))
-        return np.insert(ids, at[1:], end_id).astype("<u4"), at + np.arange(len(at))
+        return np.insert(ids, at[1:], end_id).astype("<u4", copy=False), at + np.arange(len(at))
 
     return ids_of
 
@@ -225,9 +225,9 @@ def ranked(rows: DataFrame, ids_of, window: int) -> DataFrame:
         from pyspark import TaskContext
 
         task, seen, fulls = TaskContext.get().partitionId(), np.zeros(window, np.int64), 0
-        for b in batches:
+        for b in slices(batches):
             ids, at = ids_of(b)
-            data, at = memoryview(ids.tobytes()), at.tolist()
+            data, at = memoryview(np.ascontiguousarray(ids)).cast("B"), at.tolist()
             ranks, full, sums = [], [], []
             for start, end in zip(at[:-1], at[1:], strict=True):
                 k, rest = divmod(end - start, window)
@@ -248,7 +248,7 @@ def ranked(rows: DataFrame, ids_of, window: int) -> DataFrame:
             columns = [b.column(0), pa.array(n), pa.array(np.full(len(n), task, np.int64)), pa.array(ranks, pa.int64()), pa.array(full, pa.int64()), pa.array(sums, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "n", "task", "rank", "fulls", "sums"])
 
-    return rows.mapInArrow(run, T.StructType([rows.schema[0], *(T.StructField(c, T.LongType()) for c in ("n", "task", "rank", "fulls")), T.StructField("sums", T.BinaryType())]))
+    return rows.mapInArrow(lean(run), T.StructType([rows.schema[0], *(T.StructField(c, T.LongType()) for c in ("n", "task", "rank", "fulls")), T.StructField("sums", T.BinaryType())]))
 
 
 def pack(rows: DataFrame, ids_of=stored_ids, window: int = WINDOW) -> DataFrame:
@@ -297,7 +297,7 @@ def pack(rows: DataFrame, ids_of=stored_ids, window: int = WINDOW) -> DataFrame:
             })
 
     schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), *(T.StructField(c, T.LongType()) for c in ("start", "length", "total", "sequence_id", "offset", "crc32"))])
-    return placed.select("id", "n", "rest", (F.col("rank") + F.col("before")).alias("rank"), (F.col("first") + F.col("fulls")).alias("first"), "sums").mapInPandas(run, schema)
+    return placed.select("id", "n", "rest", (F.col("rank") + F.col("before")).alias("rank"), (F.col("first") + F.col("fulls")).alias("first"), "sums").mapInPandas(lean(run), schema)
 
 
 def fill(pieces: DataFrame, tokens: DataFrame) -> DataFrame:

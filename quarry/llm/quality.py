@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._io import lean
 from ._words import WORD_HASH, steps, text_bytes, word_spans
 
 PASSAGE = 64
@@ -160,7 +161,7 @@ def encoded(docs: DataFrame) -> DataFrame:
                 raw = memoryview(x.astype("<f4").tobytes())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(edge)), pa.array([raw[4 * WIDTH * s : 4 * WIDTH * e].tobytes() for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)], pa.binary())], ["doc_id", "passages", "data"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("passages", T.LongType()), T.StructField("data", T.BinaryType())]))
+    return docs.select("doc_id", "text").mapInArrow(lean(run), T.StructType([docs.schema["doc_id"], T.StructField("passages", T.LongType()), T.StructField("data", T.BinaryType())]))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS, max_passages: int = TRAIN_PASSAGES) -> Model:
@@ -195,7 +196,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for i, j, x, edge in passages(b.column(1)):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(model.score(x, edge))], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("score", T.DoubleType())]))
+    return docs.select("doc_id", "text").mapInArrow(lean(run), T.StructType([docs.schema["doc_id"], T.StructField("score", T.DoubleType())]))
 
 
 HELD_OUT = "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 3 = 1, false)"
@@ -216,4 +217,4 @@ def keep(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
             for i, j, x, edge in passages(b.column(place)):
                 yield b.slice(i, j - i).filter(pa.array(model.score(x, edge) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

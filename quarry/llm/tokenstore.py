@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bpe import default_path, encoder
-from ._io import save
+from ._io import lean, save, slices
 
 MAGIC = b"QDAC1\0\0\0"
 BLOCK = 512
@@ -125,9 +125,9 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = 2, partitions:
             names.clear(), held.clear(), sizes.clear()
             return pa.RecordBatch.from_arrays(row, ["shard", "n_docs", "n_tokens", "doc_ids", "data"])
 
-        for b in batches:
+        for b in slices(batches):
             ids, at = enc.encode(b.column(1))
-            ids, at = np.insert(ids, at[1:], end_id).astype(np.uint32), at + np.arange(len(at))
+            ids, at = np.insert(ids, at[1:], end_id).astype(np.uint32, copy=False), at + np.arange(len(at))
             i = 0
             while i < len(at) - 1:
                 room = shard_tokens - sum(len(x) for x in held)
@@ -144,7 +144,7 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = 2, partitions:
 
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("shard", "n_docs", "n_tokens")] + [T.StructField("doc_ids", T.ArrayType(kind)), T.StructField("data", T.BinaryType())])
     ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    return save(ordered.mapInArrow(run, schema), "shards")
+    return save(ordered.mapInArrow(lean(run), schema), "shards")
 
 
 def read(store: DataFrame, digest: bool = True) -> DataFrame:
@@ -169,7 +169,7 @@ def read(store: DataFrame, digest: bool = True) -> DataFrame:
 
     more = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())] if digest else [T.StructField("ids", T.ArrayType(T.IntegerType()))]
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("start", T.LongType()), *more])
-    return store.join(before, "shard").select("doc_ids", "data", "before").mapInArrow(run, schema)
+    return store.join(before, "shard").select("doc_ids", "data", "before").mapInArrow(lean(run), schema)
 
 
 def tokens_at(store: DataFrame, places: DataFrame) -> DataFrame:
@@ -188,4 +188,4 @@ def tokens_at(store: DataFrame, places: DataFrame) -> DataFrame:
 
     # At most SHARD_TOKENS positions and one document's fall in a shard.
     asked = found.groupBy("shard", "first").agg(F.collect_list("position").alias("asked"))
-    return store.select("shard", "data").join(asked, "shard").select("data", "first", "asked").mapInArrow(run, "position long, token long")
+    return store.select("shard", "data").join(asked, "shard").select("data", "first", "asked").mapInArrow(lean(run), "position long, token long")

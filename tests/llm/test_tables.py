@@ -124,3 +124,16 @@ def test_pipeline_stages(spark):
 def test_queries_are_registered():
     names = list(queries())
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11)) and set(oracle_sql()) <= set(names)
+
+
+def test_pipeline_on_odd_rows(spark, edges, nothing):
+    kept = corpus_pipeline.near_dedup(spark, edges, SF)
+    assert kept.columns == edges.columns
+    rows = kept.collect()
+    ids = [r.doc_id for r in rows]
+    assert sorted(x for x in ids if x is not None) == [1, 2, 3, 4, 5, 6, 7, 8, 9] and ids.count(None) == 2
+    clean = corpus_pipeline.decontamination(spark, edges, SF)
+    assert clean.count() == edges.count() and clean.columns == edges.columns
+    assert corpus_pipeline.pack(spark, edges, SF).agg({"length": "sum"}).first()[0] > 0
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, SF).count() == 0, name

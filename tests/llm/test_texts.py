@@ -188,3 +188,14 @@ def test_samples_estimate_weighted_jaccard():
     least = np.minimum(w[60:220], v[60:220]).sum()
     true = least / (w[a].sum() + v[b].sum() - least)
     assert abs((s[0] == s[1]).mean() - true) < 0.22
+
+
+def test_hashes_of_long_texts_equal_those_of_their_words():
+    import pyarrow as pa
+
+    from quarry.llm._words import STEP, WORD_HASH, hashed_words
+
+    text = prose(900_000, 77) + " " + "y" * (STEP + 5) + " end"
+    (_, _, got, at), = hashed_words(pa.array([text]))
+    assert len(text) > 3 * STEP and at.tolist() == [0, 900_002]
+    assert (got == WORD_HASH.words(text.split())).all()
