@@ -12,6 +12,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
+from ._io import keep_for
 from ._words import Hasher, steps, text_bytes
 
 # Byte classes: letter, digit, other, white space.
@@ -198,6 +199,9 @@ def encoder(path: str, special_as_text: bool = True) -> Encoder:
     return Encoder(path, special_as_text)
 
 
+keep_for("tokens", encoder.cache_clear)
+
+
 def default_path() -> str:
     import public_tokenizers
 

@@ -34,24 +34,47 @@ def save(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """``run``, a function for mapInArrow or mapInPandas, that gives freed memory back to the system after each task.
+#: Of each kind of task that leaves tables in its worker for the next of that kind: what drops them.
+_KEPT: dict[str, Callable[[], None]] = {}
 
-    Python workers stay for later tasks and stages, and their allocators would keep what the largest task needed.
+
+def keep_for(kind: str, forget: Callable[[], None]) -> None:
+    """Tasks of this kind share tables in their worker; ``forget`` drops them."""
+    _KEPT[kind] = forget
+
+
+def let_go(kind: str | None) -> None:
+    """Drop the tables that other kinds of tasks have left in this worker."""
+    for other, forget in _KEPT.items():
+        if other != kind:
+            forget()
+
+
+def tidy() -> None:
+    """Give freed memory back to the system."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # other C libraries have no such call
+
+
+def lean(run: Callable[[Iterator], Iterator], kind: str | None = None) -> Callable[[Iterator], Iterator]:
+    """``run``, a function for mapInArrow or mapInPandas, that leaves little memory in its worker.
+
+    Python workers stay for later tasks and stages: their allocators would keep what the largest task needed, and
+    tables made for one operator would stay while others run. kind: the tables that this task shares with its like.
     """
 
     @wraps(run)
     def wrapped(batches: Iterator) -> Iterator:
+        let_go(kind)
         try:
             yield from run(batches)
         finally:
-            import pyarrow
-
-            pyarrow.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (OSError, AttributeError):
-                pass  # other C libraries have no such call
+            tidy()
 
     return wrapped
 

@@ -248,7 +248,7 @@ def ranked(rows: DataFrame, ids_of, window: int) -> DataFrame:
             columns = [b.column(0), pa.array(n), pa.array(np.full(len(n), task, np.int64)), pa.array(ranks, pa.int64()), pa.array(full, pa.int64()), pa.array(sums, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "n", "task", "rank", "fulls", "sums"])
 
-    return rows.mapInArrow(lean(run), T.StructType([rows.schema[0], *(T.StructField(c, T.LongType()) for c in ("n", "task", "rank", "fulls")), T.StructField("sums", T.BinaryType())]))
+    return rows.mapInArrow(lean(run, "tokens"), T.StructType([rows.schema[0], *(T.StructField(c, T.LongType()) for c in ("n", "task", "rank", "fulls")), T.StructField("sums", T.BinaryType())]))
 
 
 def pack(rows: DataFrame, ids_of=stored_ids, window: int = WINDOW) -> DataFrame:

@@ -144,7 +144,7 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = 2, partitions:
 
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("shard", "n_docs", "n_tokens")] + [T.StructField("doc_ids", T.ArrayType(kind)), T.StructField("data", T.BinaryType())])
     ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    return save(ordered.mapInArrow(lean(run), schema), "shards")
+    return save(ordered.mapInArrow(lean(run, "tokens"), schema), "shards")
 
 
 def read(store: DataFrame, digest: bool = True) -> DataFrame:
