@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _totals
-from ._io import lean, save
+from ._io import lean, save, tidy
 from ._words import hashed_words, mix
 
 WORDS = 5
@@ -328,6 +328,8 @@ def _between(mixed: DataFrame, texts: DataFrame, table: DataFrame, documents: in
                     parent[c] = d
                     for out, value in zip(links, (keys[p], keys[q], v), strict=True):
                         out.append(value)
+        if t.nbytes > 1 << 20:
+            tidy()
         return pa.table({"a": pa.array(links[0], pa.binary()), "b": pa.array(links[1], pa.binary()), "similarity": pa.array(links[2], pa.float64())})
 
     blocks = left.unionByName(right).join(whole, "key")
@@ -345,7 +347,8 @@ def _jaccard(h: np.ndarray, w: np.ndarray, edge: np.ndarray, a: int, b: int) ->
 
 def _verified(pairs: DataFrame, table: DataFrame, documents: int, similarity: float) -> DataFrame:
     """(a, b, similarity) of pairs of keys (a, b) whose texts reach the similarity; written."""
-    texts = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("key")), table)
+    # A written table on one side and plain rows on the other: Spark's skew join can divide the pairs of one leader.
+    texts = save(_texts_of(pairs.select(F.explode(F.array("a", "b")).alias("key")), table), "candidates")
     both = pairs.join(texts.select(F.col("key").alias("a"), F.col("classes").alias("ca"), F.col("text").alias("ta")), "a")
     both = both.join(texts.select(F.col("key").alias("b"), F.col("classes").alias("cb"), F.col("text").alias("tb")), "b")
 
