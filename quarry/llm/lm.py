@@ -7,9 +7,11 @@ for a head class, a word by a softmax of that class; for a tail class, a word by
 count (add 0.1, one share for all unseen words). So every word of a text has a probability.
 
 Counts cover all training documents; each chunk of documents gets the totals of its own words (``_totals``). The network
-is fitted on the driver from at most ``TRAIN_DOCS`` documents of at most ``TRAIN_BYTES`` bytes together, taken in the
-order of a hash, by truncated backpropagation in numpy. Scoring carries the state from window to window to a
-document's end, many documents side by side.
+is fitted on all training documents too, in rounds: the tasks of a round start from the same parameters, go through their
+chunks by truncated backpropagation in numpy, and the mean of what they end with, weighted by tokens, is where the next
+round starts. A pass takes each chunk in one of its rounds; a corpus of less than ``PASS_TOKENS`` is passed up to six
+times. Only parameters reach the driver. Scoring carries the state from window to window to a document's end, many
+documents side by side.
 
 Null and empty texts are the end token alone. Rows are scored one by one, repeated rows too; a null doc_id is training.
 With no training document at all, N = V = 0 and the network is a constant. Other columns are not read. An empty table
@@ -32,7 +34,8 @@ from ._words import KINDS, WORD_HASH, steps, text_bytes, word_spans
 
 HEAD, GROUP, TAIL = 1024, 64, 64
 HIDDEN = 32
-TRAIN_DOCS, TRAIN_BYTES = 2000, 8 << 20
+#: Rounds of training at least; tokens that are read at least, by passes over a small corpus; sums sent to the driver.
+ROUNDS, PASS_TOKENS, SUMS = 4, 2_000_000, 16
 #: Tokens of a chunk of documents, apart from what its last document has beyond.
 CHUNK_TOKENS = 2 << 20
 SPAN = 32
@@ -134,11 +137,12 @@ class Network:
         return out
 
 
-def fit(net: Network, texts: list[np.ndarray], counts: np.ndarray, passes: int | None = None, lanes: int = 32, span: int = 16, rate: float = 6e-3) -> Network:
-    """texts: model ids of documents. counts: of head words and tail classes in the whole training part (for the biases).
+def passes_for(size: int) -> int:
+    return min(6, max(1, PASS_TOKENS // max(1, size)))
 
-    All texts in one shuffled row are cut into lanes of the same length, side by side. passes: by default as many as make
-    two million tokens, six at most."""
+
+def biases(net: Network, counts: np.ndarray) -> None:
+    """Start from the counts of head words and tail classes in the whole training part."""
     p = net.p
     smooth = counts.astype(np.float64) + 0.5
     by_class = np.concatenate([smooth[: net.groups * GROUP].reshape(net.groups, GROUP).sum(1), smooth[net.groups * GROUP :]])
@@ -146,21 +150,33 @@ def fit(net: Network, texts: list[np.ndarray], counts: np.ndarray, passes: int |
     word = smooth[: net.groups * GROUP].reshape(net.groups, GROUP)
     p["wb"][:] = np.log(word / word.sum(1, keepdims=True))
     p["wb"].reshape(-1)[net.head :] = -20.0
+
+
+def fit(net: Network, texts: list[np.ndarray], counts: np.ndarray | None, passes: int | None = None, lanes: int = 32, span: int = 16, rate: float = 6e-3, decay: bool = True, moments: dict | None = None) -> Network:
+    """texts: model ids of documents. counts: see ``biases``; None: the parameters are gone on with.
+
+    All texts in one shuffled row are cut into lanes of the same length, side by side. decay: the rate falls to a tenth.
+    moments: of the gradients, from call to call."""
+    p = net.p
+    if counts is not None:
+        biases(net, counts)
     if not texts:
         return net
-    moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
-    rng, turn, n = np.random.default_rng(5), 0, HIDDEN
+    moments = {} if moments is None else moments
+    if not moments:
+        moments.update({k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}, turn=0)
+    rng, done, n = np.random.default_rng(5), 0, HIDDEN
     size = sum(map(len, texts))
-    passes = passes or min(6, max(1, 2_000_000 // size))
+    passes = passes or passes_for(size)
     width = -(-size // lanes)
     planned = passes * -(-width // span)
     for _ in range(passes):
         order = rng.permutation(len(texts))
-        row = np.full(lanes * width, -1, np.int64)
+        row = np.full(lanes * width, -1, np.int16)
         row[:size] = np.concatenate([texts[i] for i in order])
         begins = np.zeros(lanes * width, bool)
         begins[np.cumsum([0, *(len(texts[i]) for i in order[:-1])])] = True
-        previous = np.concatenate([[net.start], row[:-1]])
+        previous = np.concatenate([np.array([net.start], np.int16), row[:-1]])
         previous[begins | (previous < 0)] = net.start
         y, x, fresh = (v.reshape(lanes, width) for v in (row, previous, begins))
         h = np.zeros((lanes, n), np.float32)
@@ -174,7 +190,7 @@ def fit(net: Network, texts: list[np.ndarray], counts: np.ndarray, passes: int |
                 kept.append((h, z, r, c, un))
                 states.append(new)
                 h = new
-            target = y[:, t0 : t0 + span].T.reshape(-1)
+            target = y[:, t0 : t0 + span].T.reshape(-1).astype(np.int64)
             real = np.flatnonzero(target >= 0)
             flat = np.concatenate(states)
             net.log_probability(flat[real], target[real], grads)
@@ -195,8 +211,12 @@ def fit(net: Network, texts: list[np.ndarray], counts: np.ndarray, passes: int |
                 gates.append(da)
                 dh = dh * z + db @ p["u"].T
                 dh[fresh[:, t0 + k]] = 0
-            np.add.at(grads["x"], np.concatenate(inputs), np.concatenate(gates))
-            turn += 1
+            read = np.concatenate(inputs)
+            order_in = np.argsort(read, kind="stable")
+            rows_in, edges = np.unique(read[order_in], return_index=True)
+            grads["x"][rows_in] = np.add.reduceat(np.concatenate(gates)[order_in], edges)
+            moments["turn"] += 1
+            turn, done = moments["turn"], done + 1
             scale = np.float32(1 / max(1, len(real)) * 64)
             for name, g in grads.items():
                 g *= scale
@@ -206,7 +226,7 @@ def fit(net: Network, texts: list[np.ndarray], counts: np.ndarray, passes: int |
                 m += np.float32(0.1) * g
                 v *= np.float32(0.99)
                 v += np.float32(0.01) * g * g
-                now = rate * max(0.1, 1 - turn / planned)
+                now = rate * max(0.1, 1 - done / planned) if decay else rate
                 p[name] -= np.float32(now * np.sqrt(1 - 0.99**turn) / (1 - 0.9**turn)) * m / (np.sqrt(v) + np.float32(1e-6))
     return net
 
@@ -286,20 +306,56 @@ def chunked(docs: DataFrame, chunk_tokens: int) -> DataFrame:
     return save(docs.mapInArrow(lean(run), schema), "chunks")
 
 
-def _sample(docs: DataFrame, max_docs: int, max_bytes: int) -> list[str]:
-    """Whole training texts, in the order of a hash of their ids, while they fit."""
-    sizes = docs.filter("not held and doc_id is not null").groupBy("doc_id").agg(F.max(F.octet_length(F.coalesce("text", F.lit("")))).alias("n"))
-    picked, total = [], 0
-    for r in sizes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).collect():
-        if total + r["n"] <= max_bytes:
-            picked.append(r["doc_id"])
-            total += r["n"]
-    if not picked:
-        return []
-    return [r[1] or "" for r in docs.filter(F.col("doc_id").isin(picked)).groupBy("doc_id").agg(F.min("text").alias("text")).orderBy("doc_id").collect()]
-
+def _train(net: Network, table: DataFrame, model_ids, size: int) -> None:
+    """Fit ``net`` on the training documents of all chunks of ``table``. size: their tokens."""
+    passes = passes_for(size)
+    parts = -(-ROUNDS // passes)
+    lanes = int(np.clip(size >> 17, 32, 256))  # a small corpus needs more steps
+    names, shapes = list(net.p), [v.shape for v in net.p.values()]
+    edges = np.cumsum([0, *(v.size for v in net.p.values())])
+    schema = "task long, tokens long, parameters binary"
 
-def score(docs: DataFrame, held: str = "crc32(cast(cast(doc_id as string) as binary)) % 10 = 0", train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of tokens and of parameters."""
+        tokens_, total = 0, np.zeros(int(edges[-1]))
+        for b in batches:
+            tokens_ += sum(b.column(1).to_pylist())
+            for x in b.column(2):
+                total += np.frombuffer(x.as_buffer(), "<f8")
+        if tokens_:
+            yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([tokens_]), pa.array([total.astype("<f8").tobytes()], pa.binary())], ["task", "tokens", "parameters"])
+
+    def round_of(rate: float):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            own, moments, n = Network(net.head), {}, 0
+            own.p = {k: v.copy() for k, v in net.p.items()}
+            for b in batches:
+                for r in range(b.num_rows):
+                    held, at, index, keys, shape = (np.frombuffer(b.column(k)[r].as_buffer(), t) for k, t in enumerate((np.uint8, "<i8", "<u4", "<u8", np.uint8)))
+                    ids = model_ids(keys, shape).astype(np.int16)
+                    texts = [ids[index[at[i] : at[i + 1]]] for i in np.flatnonzero(held == 0).tolist()]
+                    count = sum(map(len, texts))
+                    fit(own, texts, None, 1, int(np.clip(count // 1024, 8, lanes)), rate=rate, decay=False, moments=moments)
+                    n += count
+            if n:
+                flat = np.concatenate([v.reshape(-1) for v in own.p.values()]).astype("<f8") * n
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([n]), pa.array([flat.tobytes()], pa.binary())], ["task", "tokens", "parameters"])
+
+        return run
+
+    for k in range(passes * parts):
+        some = table.filter(F.expr(f"pmod(xxhash64(chunk), {parts}) = {k % parts}")) if parts > 1 else table
+        rate = 6e-3 * max(0.1, 1 - k / (passes * parts))
+        sums = some.select("held", "at", "index", "keys", "more").mapInArrow(lean(round_of(rate)), schema).repartition(SUMS, "task").mapInArrow(lean(add_up), schema).collect()
+        n = sum(r["tokens"] for r in sums)
+        if n:
+            mean = (sum(np.frombuffer(r["parameters"], "<f8") for r in sums) / n).astype(np.float32)
+            net.p = {x: mean[i:j].reshape(shape) for x, i, j, shape in zip(names, edges[:-1], edges[1:], shapes, strict=True)}
+
+
+def score(docs: DataFrame, held: str = "crc32(cast(cast(doc_id as string) as binary)) % 10 = 0", chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs`` (doc_id, text).
 
     held: SQL condition; documents that meet it are not learned from.
@@ -348,14 +404,10 @@ def score(docs: DataFrame, held: str = "crc32(cast(cast(doc_id as string) as bin
             out = np.where(head_keys[by_key][at] == keys, by_key[at], out)
         return out
 
-    texts = []
-    sample = _sample(docs, train_docs, train_bytes)
-    for i in range(0, len(sample), 256):
-        w, at, s = tokens(pa.array(sample[i : i + 256], pa.string()))
-        texts += np.split(model_ids(w, s), at[1:-1])
     counts = np.zeros(tail_at + TAIL, np.int64)
     counts[: len(head_keys)], counts[tail_at:] = head_count, mass
-    fit(net, texts, counts)
+    biases(net, counts)
+    _train(net, table, model_ids, n_train)
     kind = docs.schema["doc_id"].dataType
     schema = T.StructType(
         [T.StructField("doc_id", kind), T.StructField("held_out", T.BooleanType())]

@@ -9,6 +9,7 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate, licenses, lm, neardup, quality
 
@@ -132,6 +133,17 @@ def test_language_model(spark, edges, nothing):
     assert lm.score(nothing).count() == 0
 
 
+def test_language_model_learns_from_all_documents(spark):
+    """Only the documents that a sample of 2,000 in the order of a hash would leave out show which word follows which."""
+    ids = [r[0] for r in spark.range(2700).orderBy(F.xxhash64("id"), "id").collect()]
+    r = random.Random(3)
+    chain = lambda i: " ".join(f"s{(i + k) % 20}q" for k in range(40))
+    docs = [(i, " ".join(f"s{r.randrange(20)}q" for _ in range(10)) if k < 2300 else chain(i)) for k, i in enumerate(ids)]
+    last = set(ids[2300:])
+    rows = [x for x in lm.score(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect() if x.doc_id in last and x.held_out]
+    assert len(rows) > 20 and sum(x.score for x in rows) > 0.75 * sum(x.base_score for x in rows)
+
+
 def test_network_gradients_and_windows():
     net = lm.Network(100)
     lm.fit(net, [np.random.default_rng(0).integers(0, 100, 300) for _ in range(5)], np.ones(net.groups * lm.GROUP + lm.TAIL), passes=1)
