@@ -107,6 +107,21 @@ def _match(q: Queries, terms: np.ndarray, starts: np.ndarray, places: np.ndarray
             lists[t] = places[starts[at[t]] : starts[at[t] + 1]].astype(np.int64)
         return lists[t]
 
+    def close(near: np.ndarray, terms_of: list[int], reach: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of ``near`` with all terms within ``reach`` in the same document, and their documents."""
+        doc = np.searchsorted(bounds, near, "right") - 1
+        for t in terms_of:
+            if not len(near):
+                break
+            p = postings(t)
+            right = np.searchsorted(p, near)
+            ok = np.zeros(len(near), bool)
+            for side in (right - 1, right):
+                s = np.clip(side, 0, len(p) - 1)
+                ok |= (abs(p[s] - near) <= reach) & (p[s] >= bounds[doc]) & (p[s] < bounds[doc + 1])
+            near, doc = near[ok], doc[ok]
+        return near, doc
+
     for n, first, item in q.windows:
         offsets = np.arange(n)
         rarest = np.concatenate([df[first[k : k + 65536, None] + offsets].min(1) for k in range(0, len(first), 65536)])
@@ -120,21 +135,19 @@ def _match(q: Queries, terms: np.ndarray, starts: np.ndarray, places: np.ndarray
                     break
             if len(start):
                 yield item[w], start, n
-            elif slop:
-                near = postings(own[order[0]])
-                doc = np.searchsorted(bounds, near, "right") - 1
-                for k in order[1:]:
-                    p = postings(own[k])
-                    right = np.searchsorted(p, near)
-                    ok = np.zeros(len(near), bool)
-                    for side in (right - 1, right):
-                        s = np.clip(side, 0, len(p) - 1)
-                        ok |= (abs(p[s] - near) <= slop) & (p[s] >= bounds[doc]) & (p[s] < bounds[doc + 1])
-                    near, doc = near[ok], doc[ok]
-                    if not len(near):
-                        break
-                if len(near):
-                    yield item[w], np.unique(doc), 0
+            if slop:  # other documents of the segment may have the window so
+                # Of the rarest term's documents those that may match; then around each term, so that it does not
+                # matter which term is the rarest in this segment.
+                terms_of = own.tolist()
+                docs = np.unique(close(postings(own[order[0]]), terms_of, 2 * slop)[1])
+                if len(docs):
+                    near = []
+                    for t in dict.fromkeys(terms_of):
+                        p = postings(t)
+                        near.append(close(p[np.isin(np.searchsorted(bounds, p, "right") - 1, docs)], terms_of, slop)[1])
+                    near = np.unique(np.concatenate(near))
+                    if len(near):
+                        yield item[w], near, 0
 
 
 def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -142,7 +155,7 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: i
 
     benchmark: (item_id, text). items: distinct ids of items with an exact window, sorted as strings; near_items: ids
     of items with a proximity match and no exact window in the document (all terms of a window within ``slop`` places
-    of its rarest one; 0: not looked for). spans: first and last word of each run of hit words, from 0.
+    of one of them; 0: not looked for). spans: first and last word of each run of hit words, from 0.
 
     The benchmark is read in blocks of about ``block_bytes``; each is sent to the tasks as a file of that size.
     """
@@ -208,9 +221,12 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: i
     return index.mapInArrow(lean(run), schema)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated): contaminated if at least 1/share of the words are hit."""
-    found = search(build_index(docs), benchmark, window)
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, slop: int = 0) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated): contaminated if at least 1/share of the words are hit.
+
+    slop: over 0, proximity matches are looked for too, and ``near_items`` (see ``search``) is a further column.
+    """
+    found = search(build_index(docs), benchmark, window, slop)
     return found.select(
         "doc_id",
         "n_words",
@@ -218,6 +234,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        *(["near_items"] if slop else []),
     )
 
 

@@ -72,6 +72,25 @@ def test_proximity(spark):
     assert one[1] == ([], ["1"])
 
 
+def test_proximity_beside_exact_matches(spark):
+    """An exact match in one document leaves the proximity matches of the others in its segment."""
+    texts = [(1, "alpha x beta y gamma"), (2, "alpha " + "z " * 40 + "beta gamma"), (3, "alpha beta gamma"), (4, "gamma q beta alpha"), (5, "alpha beta gamma " + "z " * 40 + "gamma beta alpha"), (6, "alpha beta"), (7, "alpha z z z z gamma z z z z beta"), (8, "gamma " * 9 + "alpha z z z z beta z z z z gamma")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
+
+    def near(text):
+        w = words(text)
+        return any(w[k : k + 3] == ["alpha", "beta", "gamma"] for k in range(len(w))), any(all(x in w[max(0, k - 6) : k + 7] for x in ("alpha", "beta", "gamma")) for k in range(len(w)) if w[k] in ("alpha", "beta", "gamma"))
+
+    want = {i: ["1"] if near(t) == (False, True) else [] for i, t in texts}
+    assert want[1] == want[4] == ["1"]
+    rows = decontaminate.contamination(docs, bench, slop=6).collect()
+    assert {r.doc_id: list(r.near_items) for r in rows} == want and {r.doc_id: r.n_items for r in rows} == {i: int(i in (3, 5)) for i, _ in texts}
+    alone = decontaminate.search(decontaminate.build_index(docs, segment_tokens=1), bench, slop=6).collect()
+    assert {r.doc_id: list(r.near_items) for r in alone} == want
+    assert "near_items" not in decontaminate.contamination(docs, bench).columns
+
+
 def test_licenses(spark, edges):
     texts = [(30, "Licensed under CC BY-NC 4.0. All rights reserved"), (31, "GENERAL public license; general Public License"), (32, "released under the terms of the MIT license"), (33, "released under terms of the MIT license"), (34, "Copyright (c) 2020 Jane Roe. All rights reserved."), (35, "all rights")]
     rows = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
