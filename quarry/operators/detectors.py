@@ -101,12 +101,18 @@ def secret_matches(files: DataFrame, kind: str) -> DataFrame:
     return rows.select("relative_path", F.lit(kind).alias("kind"), "value", start.cast("long").alias("line_start"), (start + F.get("w", F.col("at"))).cast("long").alias("line_end"))
 
 
-def secrets(files: DataFrame, kinds: list[str] | None = None) -> DataFrame:
-    """Hard-coded credentials as findings, without placeholders. No snippet, so that reports don't spread them."""
+def every_secret(files: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+    """``secret_matches`` of all patterns, or of those of ``kinds``."""
     found = None
     for kind in SECRETS if kinds is None else kinds:
         one = secret_matches(files, kind)
         found = one if found is None else found.unionByName(one)
+    return found
+
+
+def secrets(files: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+    """Hard-coded credentials as findings, without placeholders. No snippet, so that reports don't spread them."""
+    found = every_secret(files, kinds)
     found = found.filter(F.col("value").isNull() | ~is_placeholder(F.col("value")))
     return shaped(found, category="vulnerability", severity="critical", confidence="medium", source="static", rule="vulnerability.hardcoded-secret", file=F.col("relative_path"), line_start=F.col("line_start"), line_end=F.col("line_end"), title=F.concat(F.lit("Hard-coded "), "kind"), description=F.concat(F.lit("A value that looks like a credential ("), "kind", F.lit(") stands in the source.")))
 
