@@ -1,8 +1,9 @@
 """Byte-level BPE ids of whole texts by the ``tokenizers`` library, with each distinct piece encoded once a worker.
 
 The library cuts a text into pieces by a fixed pattern and encodes every piece on its own. So a piece's ids may be
-remembered. Pieces are cut here with numpy where a text holds only ASCII and Latin letters; other texts go to the
-library whole. Pieces not met before are encoded by the library, many in one call.
+remembered. Pieces are cut here with numpy where a text holds only ASCII and Latin letters; other texts, and those that
+hold the string of a special token, go to the library whole. Pieces not met before are encoded by the library, many in
+one call. A remembered piece is found by a hash and used only if all its bytes are the same.
 """
 
 from __future__ import annotations
@@ -66,11 +67,11 @@ def piece_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 class Encoder:
     """``encode(column)`` gives the ids of a string column and the bounds of each text's ids.
 
-    special_as_text: strings of special tokens within a text are ordinary text.
-    slots: size of the table of remembered pieces; what doesn't fit is encoded anew.
+    special_as_text: strings of special tokens within a text are ordinary text; the library's own way is to take them
+    as those tokens. slots: size of the table of remembered pieces; what doesn't fit is encoded anew.
     """
 
-    def __init__(self, path: str, special_as_text: bool = True, slots: int = 1 << 20):
+    def __init__(self, path: str, special_as_text: bool = False, slots: int = 1 << 20):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -83,7 +84,7 @@ class Encoder:
         self.lengths = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
             self.lengths[i] = len(token)  # one character stands for one byte
-        self.hash = Hasher(seed=7, fold=False)
+        self.hash = Hasher(fold=False)
         self.slots = slots
         self._forget()
 
@@ -91,12 +92,30 @@ class Encoder:
         self.keys = np.zeros((2, self.slots), np.uint64)
         self.entry = np.zeros((2, self.slots), np.int32)
         self.turn = 0
+        # Of each entry: where its ids and its blocks of bytes begin, and how many ids and bytes it has.
         self.at, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.block_at, self.size = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         self.count = 0
         self.ids, self.used = np.zeros(1 << 18, np.uint16 if len(self.lengths) <= 1 << 16 else np.int32), 0
-
-    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Entries of new pieces."""
+        self.blocks, self.blocks_used = np.zeros(1 << 17, np.uint64), 0
+
+    @staticmethod
+    def _same(size: np.ndarray, other: np.ndarray, blocks: np.ndarray, first: np.ndarray, others: np.ndarray, other_first: np.ndarray) -> np.ndarray:
+        """Pairs of pieces with the same bytes: sizes, and blocks from ``first`` on, of either side."""
+        ok = (size == other) & (blocks[first] == others[other_first])
+        long = np.flatnonzero(ok & (size > 8))
+        if len(long):
+            m = (size[long].astype(np.int64) + 7) >> 3
+            edge = np.cumsum(m) - m
+            step = np.arange(int(m.sum())) - np.repeat(edge, m)
+            equal = blocks[np.repeat(first[long], m) + step] == others[np.repeat(other_first[long], m) + step]
+            ok[long] = np.logical_and.reduceat(equal, edge)
+        return ok
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, blocks: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Entries of new pieces, those of ``which``."""
+        first, m = bounds[which], bounds[which + 1] - bounds[which]
+        starts, ends = starts[which], ends[which]
         raw = data.tobytes()
         pieces = [raw[s:e].decode("utf-8") for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
         sizes = ends - starts
@@ -119,7 +138,11 @@ class Encoder:
         flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
         need = self.count + len(pieces)
         if need > len(self.at):
-            self.at, self.n = np.resize(self.at, 2 * need), np.resize(self.n, 2 * need)
+            self.at, self.n, self.block_at, self.size = (np.resize(x, 2 * need) for x in (self.at, self.n, self.block_at, self.size))
+        if self.blocks_used + int(m.sum()) > len(self.blocks):
+            self.blocks = np.resize(self.blocks, 2 * (self.blocks_used + int(m.sum())))
+        put = np.cumsum(m) - m
+        self.blocks[self.blocks_used : self.blocks_used + int(m.sum())] = blocks[np.repeat(first - put, m) + np.arange(int(m.sum()))]
         if self.used + len(flat) > len(self.ids):
             self.ids = np.resize(self.ids, 2 * (self.used + len(flat)))
         self.ids[self.used : self.used + len(flat)] = flat
@@ -127,7 +150,8 @@ class Encoder:
         entries[order] = np.arange(self.count, need)
         self.n[self.count : need] = found[order]
         self.at[self.count : need] = self.used + np.cumsum(found[order]) - found[order]
-        self.count, self.used = need, self.used + len(flat)
+        self.block_at[entries], self.size[entries] = self.blocks_used + put, sizes
+        self.count, self.used, self.blocks_used = need, self.used + len(flat), self.blocks_used + int(m.sum())
         return entries
 
     def _cut(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,19 +159,27 @@ class Encoder:
             self._forget()
         starts = piece_starts(data, bounds)
         ends = np.append(starts[1:], len(data))
-        h = self.hash.spans(data, starts, ends) | np.uint64(1)
+        size = ends - starts
+        blocks, block = self.hash.blocks(data, starts, ends)
+        h = self.hash.of_blocks(blocks, block, size) | np.uint64(1)
         slots = [(h >> np.uint64(s)).astype(np.int64) & (self.slots - 1) for s in (40, 18)]
-        entry = np.empty(len(h), np.int64)
+        entry = np.full(len(h), -1, np.int64)
         left = np.arange(len(h))
         for k in (0, 1):
-            hit = self.keys[k][slots[k][left]] == h[left]
-            entry[left[hit]] = self.entry[k][slots[k][left[hit]]]
-            left = left[~hit]
+            hit = left[self.keys[k][slots[k][left]] == h[left]]
+            known = self.entry[k][slots[k][hit]]
+            same = self._same(size[hit], self.size[known], blocks, block[hit], self.blocks, self.block_at[known].astype(np.int64))
+            entry[hit[same]] = known[same]
+            left = left[entry[left] < 0]
         if len(left):
             fresh, first, back = np.unique(h[left], return_index=True, return_inverse=True)
             at = left[first]
-            made = self._learn(data, starts[at], ends[at])
-            entry[left] = made[back]
+            like = at[back]
+            same = self._same(size[left], size[like], blocks, block[left], blocks, block[like])
+            made = self._learn(data, starts, ends, blocks, block, at)
+            entry[left[same]] = made[back[same]]
+            if not same.all():  # other bytes with the same hash: not remembered
+                entry[left[~same]] = self._learn(data, starts, ends, blocks, block, left[~same])
             k, self.turn = self.turn, 1 - self.turn  # new pieces go to each of the two tables in turn
             self.keys[k][slots[k][at]] = fresh
             # Where two pieces share a slot, only the one whose key stands there may be found.
@@ -172,8 +204,11 @@ class Encoder:
             own = np.zeros(j - i, bool)
             own[np.searchsorted(b, np.flatnonzero(hard), "right") - 1] = True
             raw = part.tobytes()
-            if any(s in raw for s in self.specials):
-                own[:] = True
+            for s in self.specials:
+                at = raw.find(s)
+                while at >= 0:
+                    own[np.searchsorted(b, at, "right") - 1] = True
+                    at = raw.find(s, at + 1)
             k = 0
             while k < j - i:  # runs of texts of one kind
                 m = k + 1
@@ -194,7 +229,7 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, special_as_text: bool = True) -> Encoder:
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
     """One encoder a worker and vocabulary."""
     return Encoder(path, special_as_text)
 

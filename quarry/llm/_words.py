@@ -59,24 +59,45 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(33))
 
 
-class Hasher:
-    """Polynomial hashes of byte spans, taken from running sums, so that a span costs the same whatever its length."""
+#: What is left of eight bytes, read as one little-endian number, for a block of 0 to 8 bytes.
+_LOW = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
+_STEP, _SIZE, _ODD = U64(0x9E3779B97F4A7C15), U64(0xD1B54A32D192ED03), U64(0xC2B2AE3D27D4EB4F)
 
-    BASE = 0x9E3779B97F4A7C15
-    BACK = pow(BASE, -1, 1 << 64)
 
-    def __init__(self, seed: int = 1, fold: bool = True):
-        self.values = np.random.default_rng(seed).integers(0, 1 << 64, 256, dtype=U64)
-        if fold:
-            self.values[0x41:0x5B] = self.values[0x61:0x7B]
-        self.up = self.down = np.ones(1, U64)
+class Hasher:
+    """64-bit hashes of byte spans. A span is cut into blocks of eight bytes; every block is mixed together with its
+    place in the span, and the sum is mixed with the span's length. Spans of up to eight bytes of one length never
+    collide; longer ones as often as random numbers do (sums of words or of powers would let texts be made that do)."""
 
-    def _powers(self, n: int) -> None:
-        if len(self.up) < n:
-            n = 1 << (n - 1).bit_length()
-            up, down = np.full(n, self.BASE, U64), np.full(n, self.BACK, U64)
-            up[0] = down[0] = 1
-            self.up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    def __init__(self, fold: bool = True):
+        self.fold = np.arange(256, dtype=np.uint8)
+        if fold:
+            self.fold[0x41:0x5B] += 32
+
+    def blocks(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The blocks of all spans as numbers, the last one of a span filled up with zeros, and the bounds of each span's."""
+        size = ends - starts
+        count = np.maximum(1, (size + 7) >> 3)
+        bounds = np.concatenate([[0], np.cumsum(count)])
+        padded = np.zeros(len(data) + 8, np.uint8)
+        np.take(self.fold, data, out=padded[: len(data)])
+        eight = np.lib.stride_tricks.as_strided(padded, (len(data) + 1, 8), (1, 1))
+        if bounds[-1] == len(starts):
+            return eight[starts].view("<u8").reshape(-1) & _LOW[size], bounds
+        place = 8 * (np.arange(bounds[-1]) - np.repeat(bounds[:-1], count))
+        first = np.repeat(starts, count) + place
+        return eight[first].view("<u8").reshape(-1) & _LOW[np.minimum(8, np.repeat(size, count) - place)], bounds
+
+    @staticmethod
+    def of_blocks(blocks: np.ndarray, bounds: np.ndarray, size: np.ndarray) -> np.ndarray:
+        if not len(size):
+            return np.zeros(0, U64)
+        if len(blocks) == len(size):
+            total = mix(blocks * _ODD + _STEP)
+        else:
+            place = (np.arange(len(blocks)) - np.repeat(bounds[:-1], np.diff(bounds)) + 1).astype(U64)
+            total = np.add.reduceat(mix(blocks * _ODD + place * _STEP), bounds[:-1])
+        return mix(total + size.astype(U64) * _SIZE)
 
     def spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hashes of ascending spans that don't overlap. Only about STEP bytes, or one span, are worked on at a time."""
@@ -91,10 +112,7 @@ class Hasher:
         return out
 
     def _spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        self._powers(len(data) + 1)
-        run = np.zeros(len(data) + 1, U64)
-        np.cumsum(self.values[data] * self.up[: len(data)], out=run[1:])
-        return mix((run[ends] - run[starts]) * self.down[starts])
+        return self.of_blocks(*self.blocks(data, starts, ends), ends - starts)
 
     def words(self, texts: list[str]) -> np.ndarray:
         """The hash of each string as one span."""
@@ -103,7 +121,7 @@ class Hasher:
         return self.spans(np.frombuffer(b"".join(raw), np.uint8), bounds[:-1], bounds[1:])
 
 
-#: Word hashes with A-Z folded; module level, so that powers are made once a worker.
+#: Word hashes with A-Z folded.
 WORD_HASH = Hasher()
 
 
