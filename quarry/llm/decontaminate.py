@@ -7,8 +7,9 @@ places never crosses documents.
 
 ``search`` takes benchmark items in blocks of bounded size to all segments. A window of consecutive item words starts
 from the list of its rarest term in the segment, shifted to the window's start, and is intersected with the other lists,
-each shifted by its own offset, from the rarest to the most frequent. What is left are exact phrase matches. Where all
-terms of a window stand near each other in one document, but not as the phrase, it is a proximity match.
+each shifted by its own offset, from the rarest to the most frequent; all windows of a block go side by side. What is
+left are exact phrase matches. Where all terms of a window stand near each other in one document, but not as the phrase,
+it is a proximity match.
 
 Nulls and empty texts have no words. Items of fewer words than a window, but not none, are one window. Benchmark rows
 that share an item_id are one item; rows whose item_id is null count for hits but have no name to list. Repeated
@@ -35,33 +36,39 @@ SEGMENT_TOKENS = 1 << 19
 BLOCK_BYTES = 16 << 20
 
 
+def _index_of(token: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """bounds, terms, starts, places of a segment: ``token``, the words of documents of ``n`` words each."""
+    first = np.cumsum(n + 1) - (n + 1)  # one free place after each document
+    place = np.arange(len(token)) + np.repeat(np.arange(len(n)), n)
+    order = np.argsort(token, kind="stable")
+    terms, starts = np.unique(token[order], return_index=True)
+    return np.append(first, first[-1] + n[-1] + 1).astype("<i8"), terms.astype("<u8"), np.append(starts, len(token)).astype("<u4"), place[order].astype("<u4")
+
+
+def _segments(batches: Iterator[pa.RecordBatch], text: int, size: int) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndarray]]:
+    """Rows, their words and numbers of words, for segments of about ``size`` tokens. text: the column of texts."""
+    rows, words, counts, held = [], [], [], 0
+    for b in batches:
+        for i, j, w, at in hashed_words(b.column(text)):
+            rows.append(b.slice(i, j - i))
+            words.append(w)
+            counts.append(np.diff(at))
+            held += len(w) + j - i
+            if held >= size:
+                yield rows, np.concatenate(words), np.concatenate(counts)
+                rows, words, counts, held = [], [], [], 0
+    if rows:
+        yield rows, np.concatenate(words), np.concatenate(counts)
+
+
 def build_index(docs: DataFrame, segment_tokens: int = SEGMENT_TOKENS) -> DataFrame:
     """The index of ``docs`` (doc_id, text): (doc_ids, bounds, terms, starts, places), a row a segment."""
     schema = T.StructType([T.StructField("doc_ids", T.ArrayType(docs.schema["doc_id"].dataType))] + [T.StructField(c, T.BinaryType()) for c in ("bounds", "terms", "starts", "places")])
 
-    def segment(names: list[pa.Array], words: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
-        ids, token, n = pa.concat_arrays(names), np.concatenate(words), np.concatenate(counts)
-        first = np.cumsum(n + 1) - (n + 1)  # one free place after each document
-        place = np.arange(len(token)) + np.repeat(np.arange(len(n)), n)
-        order = np.argsort(token, kind="stable")
-        terms, starts = np.unique(token[order], return_index=True)
-        blobs = (np.append(first, first[-1] + n[-1] + 1).astype("<i8"), terms.astype("<u8"), np.append(starts, len(token)).astype("<u4"), place[order].astype("<u4"))
-        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *(pa.array([x.tobytes()], pa.binary()) for x in blobs)], schema.names)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list, list, list] = ([], [], [])
-        size = 0
-        for b in batches:
-            for i, j, words, at in hashed_words(b.column(1)):
-                held[0].append(b.column(0).slice(i, j - i))
-                held[1].append(words)
-                held[2].append(np.diff(at))
-                size += len(words) + j - i
-                if size >= segment_tokens:
-                    yield segment(*held)
-                    held, size = ([], [], []), 0
-        if held[0]:
-            yield segment(*held)
+        for rows, words, counts in _segments(batches, 1, segment_tokens):
+            ids = pa.concat_arrays([r.column(0) for r in rows])
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *(pa.array([x.tobytes()], pa.binary()) for x in _index_of(words, counts))], schema.names)
 
     return save(docs.select("doc_id", "text").mapInArrow(lean(run), schema), "index")
 
@@ -87,79 +94,124 @@ class Queries:
                 self.windows.append((n, np.repeat(ends[own] - sizes[own], count) + np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count), item))
 
 
-def _has(sorted_list: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    at = np.searchsorted(sorted_list, wanted)
-    return sorted_list[np.minimum(at, len(sorted_list) - 1)] == wanted
-
-
-def _match(q: Queries, terms: np.ndarray, starts: np.ndarray, places: np.ndarray, bounds: np.ndarray, slop: int):
-    """Exact matches (item, place, length) and proximity matches (item, document) of a block in a segment."""
-    if not len(terms) or not len(q.terms):
-        return
-    at = np.minimum(np.searchsorted(terms, q.terms), len(terms) - 1)
-    there = terms[at] == q.terms
-    count = np.where(there, starts[at + 1].astype(np.int64) - starts[at], 0)
-    df = count[q.word]
-    lists: dict[int, np.ndarray] = {}
-
-    def postings(t: int) -> np.ndarray:
-        if t not in lists:
-            lists[t] = places[starts[at[t]] : starts[at[t] + 1]].astype(np.int64)
-        return lists[t]
-
-    def close(near: np.ndarray, terms_of: list[int], reach: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places of ``near`` with all terms within ``reach`` in the same document, and their documents."""
-        doc = np.searchsorted(bounds, near, "right") - 1
-        for t in terms_of:
-            if not len(near):
-                break
-            p = postings(t)
-            right = np.searchsorted(p, near)
-            ok = np.zeros(len(near), bool)
-            for side in (right - 1, right):
-                s = np.clip(side, 0, len(p) - 1)
-                ok |= (abs(p[s] - near) <= reach) & (p[s] >= bounds[doc]) & (p[s] < bounds[doc + 1])
-            near, doc = near[ok], doc[ok]
-        return near, doc
-
-    for n, first, item in q.windows:
-        offsets = np.arange(n)
-        rarest = np.concatenate([df[first[k : k + 65536, None] + offsets].min(1) for k in range(0, len(first), 65536)])
-        for w in np.flatnonzero(rarest > 0).tolist():
-            own = q.word[first[w] : first[w] + n]
-            order = np.argsort(df[first[w] : first[w] + n], kind="stable").tolist()
-            start = postings(own[order[0]]) - order[0]
-            for k in order[1:]:
-                start = start[_has(postings(own[k]), start + k)]
-                if not len(start):
+class Segment:
+    """A segment of the index, opened for a block of items: the items' terms in it and their lists."""
+
+    def __init__(self, q: Queries, bounds: np.ndarray, terms: np.ndarray, starts: np.ndarray, places: np.ndarray):
+        self.q, self.bounds, self.starts, self.places = q, bounds, starts, places
+        self.at = np.minimum(np.searchsorted(terms, q.terms), max(0, len(terms) - 1))
+        there = terms[self.at] == q.terms if len(terms) else np.zeros(len(q.terms), bool)
+        self.count = np.where(there, starts[self.at + 1].astype(np.int64) - starts[self.at], 0) if len(terms) else np.zeros(len(q.terms), np.int64)
+        self.margin = max([n for n, _, _ in q.windows], default=0)
+        # The lists of all terms once more, by place: is place p in the list of term t? (-1: in none of them)
+        self.term_of = np.full(int(bounds[-1]) + 1 + 2 * self.margin, -1, np.int32)
+        some = np.flatnonzero(self.count)
+        self.term_of[self._lists(some) + self.margin] = np.repeat(some, self.count[some])
+
+    def _lists(self, terms: np.ndarray) -> np.ndarray:
+        """The lists of ``terms``, one after the other."""
+        n = self.count[terms]
+        return self.places[np.repeat(self.starts[self.at[terms]].astype(np.int64) - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))].astype(np.int64)
+
+    def exact(self, pairs: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """Exact matches as (items, places, length). About ``pairs`` places, or one list, are followed at a time."""
+        q = self.q
+        for n, first, item in q.windows:
+            offsets = np.arange(n)
+            for a in range(0, len(first), 65536):
+                word = q.word[first[a : a + 65536, None] + offsets]
+                df = self.count[word]
+                left = np.flatnonzero(df.min(1) > 0)  # a window with a term that the segment lacks is out
+                order = np.argsort(df[left], 1, kind="stable")
+                word, of, rarest = word[left], item[a + left], np.take_along_axis(df[left], order[:, :1], 1)[:, 0]
+                ends = np.cumsum(rarest)
+                i = 0
+                while i < len(left):
+                    j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + pairs, "right")))
+                    w = np.repeat(np.arange(i, j), rarest[i:j])
+                    start = self._lists(word[np.arange(i, j), order[i:j, 0]]) - order[w, 0]
+                    for k in range(1, n):  # from the rarest list to the most frequent
+                        o = order[w, k]
+                        ok = self.term_of[start + o + self.margin] == word[w, o]
+                        w, start = w[ok], start[ok]
+                    if len(w):
+                        yield of[w], start, n
+                    i = j
+
+    def near(self, slop: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Proximity matches as (item, documents)."""
+        q, lists = self.q, {}
+
+        def postings(t: int) -> np.ndarray:
+            if t not in lists:
+                lists[t] = self._lists(np.array([t]))
+            return lists[t]
+
+        def close(near: np.ndarray, terms_of: list[int], reach: int) -> tuple[np.ndarray, np.ndarray]:
+            """Places of ``near`` with all terms within ``reach`` in the same document, and their documents."""
+            doc = np.searchsorted(self.bounds, near, "right") - 1
+            for t in terms_of:
+                if not len(near):
                     break
-            if len(start):
-                yield item[w], start, n
-            if slop:  # other documents of the segment may have the window so
+                p = postings(t)
+                right = np.searchsorted(p, near)
+                ok = np.zeros(len(near), bool)
+                for side in (right - 1, right):
+                    s = np.clip(side, 0, len(p) - 1)
+                    ok |= (abs(p[s] - near) <= reach) & (p[s] >= self.bounds[doc]) & (p[s] < self.bounds[doc + 1])
+                near, doc = near[ok], doc[ok]
+            return near, doc
+
+        for n, first, item in q.windows:
+            offsets = np.arange(n)
+            rarest = np.concatenate([self.count[q.word[first[k : k + 65536, None] + offsets]].min(1) for k in range(0, len(first), 65536)])
+            for w in np.flatnonzero(rarest > 0).tolist():
                 # Of the rarest term's documents those that may match; then around each term, so that it does not
                 # matter which term is the rarest in this segment.
+                own = q.word[first[w] : first[w] + n]
                 terms_of = own.tolist()
-                docs = np.unique(close(postings(own[order[0]]), terms_of, 2 * slop)[1])
+                docs = np.unique(close(postings(int(own[self.count[own].argmin()])), terms_of, 2 * slop)[1])
                 if len(docs):
-                    near = []
+                    around = []
                     for t in dict.fromkeys(terms_of):
                         p = postings(t)
-                        near.append(close(p[np.isin(np.searchsorted(bounds, p, "right") - 1, docs)], terms_of, slop)[1])
-                    near = np.unique(np.concatenate(near))
-                    if len(near):
-                        yield item[w], near, 0
-
-
-def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document of the index: (doc_id, n_words, n_hit, items, near_items, spans).
-
-    benchmark: (item_id, text). items: distinct ids of items with an exact window, sorted as strings; near_items: ids
-    of items with a proximity match and no exact window in the document (all terms of a window within ``slop`` places
-    of one of them; 0: not looked for). spans: first and last word of each run of hit words, from 0.
-
-    The benchmark is read in blocks of about ``block_bytes``; each is sent to the tasks as a file of that size.
-    """
-    sc = index.sparkSession.sparkContext
+                        around.append(close(p[np.isin(np.searchsorted(self.bounds, p, "right") - 1, docs)], terms_of, slop)[1])
+                    around = np.unique(np.concatenate(around))
+                    if len(around):
+                        yield item[w], around
+
+
+class Found:
+    """What all blocks found in a segment."""
+
+    def __init__(self, bounds: np.ndarray):
+        n = len(bounds) - 1
+        self.bounds, self.edge = bounds, np.zeros(int(bounds[-1]) + 2, np.int32)
+        self.exact: list[set] = [set() for _ in range(n)]
+        self.near: list[set] = [set() for _ in range(n)]
+
+    def add(self, segment: Segment, slop: int) -> None:
+        ids = segment.q.ids
+        for item, at, n in segment.exact():
+            np.add.at(self.edge, at, 1)
+            np.add.at(self.edge, at + n, -1)
+            for d, i in np.unique(np.stack([np.searchsorted(self.bounds, at, "right") - 1, item]), axis=1).T.tolist():
+                if ids[i] is not None:
+                    self.exact[d].add(ids[i])
+        for i, docs in segment.near(slop) if slop else ():
+            for d in docs.tolist() if ids[i] is not None else ():
+                self.near[d].add(ids[i])
+
+    def hits(self) -> tuple[np.ndarray, np.ndarray]:
+        """Is a place hit? And the number of hits of each document."""
+        hit = np.cumsum(self.edge)[: int(self.bounds[-1]) + 1] > 0
+        run = np.concatenate([[0], np.cumsum(hit)])
+        return hit, run[self.bounds[1:]] - run[self.bounds[:-1]]
+
+
+def _blocks(benchmark: DataFrame, block_bytes: int) -> list:
+    """Broadcast blocks of (ids as strings, texts)."""
+    sc = benchmark.sparkSession.sparkContext
     blocks, ids, texts, size = [], [], [], 0
     for r in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator():
         ids.append(r[0])
@@ -170,37 +222,52 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: i
             ids, texts, size = [], [], 0
     if ids:
         blocks.append(sc.broadcast((ids, texts)))
+    return blocks
+
+
+def _opener(blocks: list, window: int):
+    """A function that goes through the blocks as queries. One block is made once a task; of more, one is held at a time."""
+    kept: list[Queries] = []
+
+    def run() -> Iterator[Queries]:
+        for block in blocks:
+            if kept:
+                yield kept[0]
+                continue
+            q = Queries(*block.value, window)
+            if len(blocks) == 1:
+                kept.append(q)
+            yield q
+
+    return run
+
+
+def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per document of the index: (doc_id, n_words, n_hit, items, near_items, spans).
+
+    benchmark: (item_id, text). items: distinct ids of items with an exact window, sorted as strings; near_items: ids
+    of items with a proximity match and no exact window in the document (all terms of a window within ``slop`` places
+    of one of them; 0: not looked for). spans: first and last word of each run of hit words, from 0.
+
+    The benchmark is read in blocks of about ``block_bytes``; each is sent to the tasks as a file of that size, and
+    the tasks take one after the other to each segment.
+    """
+    blocks = _blocks(benchmark, block_bytes)
     kind = index.schema["doc_ids"].dataType.elementType
     span = T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())])
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("near_items", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(span))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[Queries] = []
+        open_ = _opener(blocks, window)
         for b in batches:
             for r in range(b.num_rows):
                 names = b.column(0).slice(r, 1).flatten()
-                bounds, terms, starts, places = (np.frombuffer(b.column(k)[r].as_buffer(), t) for k, t in ((1, "<i8"), (2, "<u8"), (3, "<u4"), (4, "<u4")))
-                edge = np.zeros(int(bounds[-1]) + 2, np.int32)
-                exact: list[set] = [set() for _ in range(len(names))]
-                near: list[set] = [set() for _ in range(len(names))]
-                for k, block in enumerate(blocks):
-                    if k < len(kept):
-                        q = kept[k]
-                    else:
-                        q = Queries(*block.value, window)
-                        if len(blocks) == 1:
-                            kept.append(q)  # more blocks are made anew for each segment, so that one is held at a time
-                    for item, at, n in _match(q, terms, starts, places, bounds, slop):
-                        if n:
-                            np.add.at(edge, at, 1)
-                            np.add.at(edge, at + n, -1)
-                            at = np.unique(np.searchsorted(bounds, at, "right") - 1)
-                        if q.ids[item] is not None:
-                            for d in at.tolist():
-                                (exact if n else near)[d].add(q.ids[item])
-                hit = np.cumsum(edge)[: int(bounds[-1]) + 1] > 0
-                run_hits = np.concatenate([[0], np.cumsum(hit)])
-                n_hit = run_hits[bounds[1:]] - run_hits[bounds[:-1]]
+                bounds, *lists = (np.frombuffer(b.column(k)[r].as_buffer(), t) for k, t in ((1, "<i8"), (2, "<u8"), (3, "<u4"), (4, "<u4")))
+                found = Found(bounds)
+                for q in open_():
+                    found.add(Segment(q, bounds, *lists), slop)
+                hit, n_hit = found.hits()
+                exact, near = found.exact, found.near
                 flips = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))).reshape(-1, 2)
                 spans: list[list] = [[] for _ in range(len(names))]
                 of = np.searchsorted(bounds, flips[:, 0], "right") - 1
@@ -238,3 +305,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     )
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, segment_tokens: int = SEGMENT_TOKENS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are not contaminated (see ``contamination``).
+
+    Each row is judged by its own text, whatever its id: segments are built as for ``build_index``, searched and
+    dropped, since the rows stand beside them.
+    """
+    blocks = _blocks(benchmark, block_bytes)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = _opener(blocks, window)
+        for rows, words, counts in _segments(batches, place, segment_tokens):
+            bounds, *lists = _index_of(words, counts)
+            found = Found(bounds)
+            for q in open_():
+                found.add(Segment(q, bounds, *lists), 0)
+            n_hit = found.hits()[1]
+            clean, at = (n_hit == 0) | (share * n_hit < counts), 0
+            for r in rows:
+                yield r.filter(pa.array(clean[at : at + r.num_rows]))
+                at += r.num_rows
+
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -28,7 +28,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-def op4_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+def proximity_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), slop=decontaminate.WINDOW)
 
 
@@ -58,7 +58,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_token_store, op4_decontamination, op4_proximity, op5_neighbours, op6_url_rules, op7_chat, op8_language_model, op9_licenses, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_token_store, op4_decontamination, proximity_matches, op5_neighbours, op6_url_rules, op7_chat, op8_language_model, op9_licenses, op10_near_duplicates)}
 
 #: Words of the contract, from a text column.
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
