@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,9 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; one of our own only where that is unset (tests, local mode)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder named in ``spark.checkpoint.dir``, or set as the context's checkpoint folder.
+
+    Where neither is set, one of our own in local mode (tests); on a cluster that is an error, since a folder of the
+    driver's machine is not its executors'.
+    """
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir: no folder that the cluster shares is set")
         found = tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -23,15 +31,33 @@ def shared_dir(spark: SparkSession) -> str:
 def save(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back, which cuts its lineage.
 
-    The files go when the session's file system is closed.
+    The files go with ``discard``, or when the session's file system is closed.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quarry-{uuid.uuid4().hex}/{name}"
     df.write.option("compression", codec).parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at.getParent())
-    return spark.read.schema(df.schema).parquet(path)
+    at, store = _store(spark, path)
+    store.deleteOnExit(at.getParent())
+    back = spark.read.schema(df.schema).parquet(path)
+    back._quarry_path = path
+    return back
+
+
+def _store(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of tables that ``save`` gave and that nothing reads any more."""
+    for df in tables:
+        at, store = _store(df.sparkSession, df._quarry_path)
+        store.delete(at.getParent(), True)
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """``df`` itself if it gives the same rows in the same partitions whenever it is read; a shuffle doesn't: then a written table."""
+    return save(df, "input") if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
 
 
 #: Of each kind of task that leaves tables in its worker for the next of that kind: what drops them.

@@ -19,9 +19,11 @@ Before texts are fetched, a pair must agree in a sketch of three bits of each sa
 may differ (with a similarity of 0.8 about 8 differ; more than 21 do once in a million pairs). The condition is part of
 the joins, so that texts that only share a passage are not paired.
 
-Results: a class id for every document, the smallest doc_id of its class. Texts without words (null, empty) are classes
-of their own. Repeated rows are copies. A null doc_id is kept; it is a class's id only if all its ids are null. Other
-columns are not read. An empty table gives an empty result.
+Results: ``near_duplicates`` gives a class id for every row, the smallest doc_id of its class; ``first_of_each`` the first
+row of each class. Classes are made of rows and their texts, so an id that several rows share, or a null, joins nothing.
+Texts without words (null, empty) are classes of their own. Repeated rows are copies. A null doc_id is kept; it is a
+class's id only if all its ids are null. ``near_duplicates`` does not read other columns. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _totals
-from ._io import lean, save, tidy
+from ._io import discard, lean, save, stable, tidy
 from ._words import hashed_words, mix
 
 WORDS = 5
@@ -45,8 +47,8 @@ BANDS, ROWS = 12, 4
 SKETCH_MISSES = 21
 #: Texts of a bucket that meet others in one task.
 BLOCK_TEXTS = 256
-#: UTF-8 bytes of a chunk of documents, apart from what its last document has beyond.
-CHUNK_BYTES = 8 << 20
+#: UTF-8 bytes of a chunk of documents, apart from what its last document has beyond; of chunks that meet in a task.
+CHUNK_BYTES, TASK_BYTES = 4 << 20, 32 << 20
 #: Slots of the filter that keeps candidates' texts; a fixed size, and a wrong "yes" does no harm.
 FILTER_BITS = 1 << 24
 
@@ -166,13 +168,15 @@ def _idf(classes: np.ndarray, documents: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
-    """(doc_id, key, weight, bands, classes, text) as a written table, and the number of documents.
+    """(row, doc_id, key, weight, bands, sketch, classes, text) as a written table, and the number of documents.
 
-    classes: a byte for each word, its document frequency as the rounded eighth of an octave.
+    row: a number of its own for every row. classes: a byte for each word, its document frequency as the rounded eighth
+    of an octave. doc_id may be of any type.
     """
-    docs = docs.select("doc_id", "text")
+    docs = stable(docs.select("doc_id", "text"))
     n, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     buckets = _totals.buckets_for((size or 0) // 8)
+    parts = max(1, -(-(size or 0) // TASK_BYTES))
 
     def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in _chunks(batches, chunk_bytes):
@@ -188,9 +192,12 @@ def signed(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame,
     kind = docs.schema["doc_id"].dataType
     found = _totals.by_chunk(_totals.totals(docs.mapInArrow(lean(vocabulary), "chunk long, keys binary, counts binary, more binary"), buckets, lambda t: np.minimum(255, np.rint(8 * np.log2(t))).astype(np.uint8)))
     text = docs.mapInArrow(lean(whole), T.StructType([T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("texts", T.ArrayType(T.StringType()))]))
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("key", T.BinaryType()), T.StructField("weight", T.DoubleType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("classes", T.BinaryType()), T.StructField("text", T.StringType())])
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", kind), T.StructField("key", T.BinaryType()), T.StructField("weight", T.DoubleType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("classes", T.BinaryType()), T.StructField("text", T.StringType())])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 40
         for b in batches:
             for r in range(b.num_rows):
                 c = _Chunk(0, 0, [b.column(0).slice(r, 1).flatten()], [b.column(1).slice(r, 1).flatten()])
@@ -216,6 +223,7 @@ def signed(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame,
                     raw, has = c.keys[i:j].astype("<u8").tobytes(), np.diff(bounds) > 0
                     yield pa.RecordBatch.from_arrays(
                         [
+                            pa.array(np.arange(row, row + j - i)),
                             c.names.slice(i, j - i),
                             pa.array([raw[16 * x : 16 * x + 16] if y else None for x, y in enumerate(has)], pa.binary()),
                             pa.array(total),
@@ -226,8 +234,10 @@ def signed(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame,
                         ],
                         schema.names,
                     )
+                    row += j - i
 
-    return save(text.join(found, "chunk", "left").select("ids", "texts", "values").mapInArrow(lean(sign), schema), "signed"), n
+    both = text.repartition(parts, "chunk").join(found.repartition(parts, "chunk"), "chunk", "left")
+    return save(both.select("ids", "texts", "values").mapInArrow(lean(sign), schema), "signed"), n
 
 
 def _texts_of(wanted: DataFrame, table: DataFrame) -> DataFrame:
@@ -367,33 +377,35 @@ def _verified(pairs: DataFrame, table: DataFrame, documents: int, similarity: fl
 
 
 def _classes(texts: DataFrame, links: DataFrame) -> DataFrame:
-    """(key, label) of every text: the smallest rep of its class, by passing labels along links and from label to label."""
-    both = links.select("a", "b").union(links.select("b", "a")).toDF("key", "other")
-    labels = save(texts.select("key", "rep").join(both.select("key"), "key", "left_semi").withColumn("label", F.col("rep")), "labels")
+    """(key, label) of the texts with links, written: the smallest row of its class, by passing labels along links and
+    from label to label. Joins are between written tables, so that Spark can divide the links of one text."""
+    both = save(links.select("a", "b").union(links.select("b", "a")).toDF("key", "other"), "both")
+    labels = save(texts.select("key", "row").join(both.select("key"), "key", "left_semi").withColumn("label", F.col("row")), "labels")
     while True:
         near = both.join(labels.select("key", "label"), "key").groupBy(F.col("other").alias("key")).agg(F.min("label").alias("near"))
-        new = labels.join(near, "key", "left").select("key", "rep", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        # A label is itself the rep of a text: take that text's label.
-        step = new.filter("rep > label or rep is null").select("key", "label").join(new.select(F.col("rep").alias("label"), F.col("label").alias("further")), "label").groupBy("key").agg(F.min("further").alias("further"))
-        labels = save(new.join(step, "key", "left").select("key", "rep", F.least("label", "further").alias("label"), "old"), "labels")
-        if not labels.filter("not (label <=> old)").limit(1).count():
-            break
-    linked = labels.select("key", "label", F.lit(True).alias("linked"))
-    return texts.select("key", "rep").join(linked, "key", "left").select("key", F.when(F.col("linked"), F.col("label")).otherwise(F.col("rep")).alias("label"))
-
-
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(doc_id, class_id) for every row of ``docs`` (doc_id, text)."""
-    table, documents = signed(docs, chunk_bytes)
-    texts = table.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("weight", "bands", "sketch")))
-    texts = save(texts, "texts")
+        new = save(labels.join(near, "key", "left").select("key", "row", F.least("label", "near").alias("label"), F.col("label").alias("old")), "near")
+        # A label is itself the row of a text: take that text's label.
+        step = new.filter("row > label").select("key", "label").join(new.select(F.col("row").alias("label"), F.col("label").alias("further")), "label").select("key", "further")
+        last, labels = labels, save(new.join(step, "key", "left").select("key", "row", F.least("label", "further").alias("label"), "old"), "labels")
+        discard(last, new)
+        if not labels.filter("label != old").limit(1).count():
+            discard(both)
+            return labels.select("key", "label")
+
+
+def _labels(table: DataFrame, documents: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(key, row, name) of every text, row and name: the smallest row and doc_id with it; (key, label) of those with
+    links, label: the smallest row of the class. Both are written."""
+    name = F.min("doc_id") if not isinstance(table.schema["doc_id"].dataType, T.StructType) else F.lit(None)
+    texts = save(table.filter("key is not null").groupBy("key").agg(F.min("row").alias("row"), name.alias("name"), *(F.first(c).alias(c) for c in ("weight", "bands", "sketch"))), "texts")
     band = texts.select("key", F.explode("bands").alias("bucket"))
-    full = band.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    full = save(band.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "full")
     shared = save(band.join(full, "bucket"), "shared")
     # The leader of a bucket is the text that shares most buckets with most others: the original among its copies.
     degree = save(shared.groupBy("key").agg(F.sum("n").alias("degree")), "degree")
-    leaders = shared.join(degree, "key").groupBy("bucket").agg(F.max(F.struct("degree", F.xxhash64("key").alias("h"), "key"))["key"].alias("a"))
+    leaders = save(shared.join(degree, "key").groupBy("bucket").agg(F.max(F.struct("degree", F.xxhash64("key").alias("h"), "key"))["key"].alias("a")), "leaders")
     crowd = save(shared.select("bucket", "key").join(leaders, "bucket"), "buckets")
+    discard(full, shared, degree, leaders)
     facts = lambda key, tag: texts.select(F.col("key").alias(key), F.col("weight").alias(f"w{tag}"), *(F.col("sketch")[i].alias(f"s{i}{tag}") for i in range(3)))
     # A similarity is at most the ratio of weights.
     close = f"least(wa, wb) >= {similarity} * greatest(wa, wb) - 1e-9 and bit_count((s0a ^ s0b) | (s1a ^ s1b) | (s2a ^ s2b)) <= {SKETCH_MISSES}"
@@ -401,13 +413,39 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, chunk_bytes
     links = _verified(pairs, table, documents, similarity)
     labels = _classes(texts, links)
     # Buckets with texts of several classes; in each, the class with most texts of the bucket. Leaders have met all.
-    known = crowd.filter("key != a").select("bucket", "key").join(labels, "key")
+    linked = texts.select("key", "row").join(labels, "key", "left").select("key", F.coalesce("label", "row").alias("label"))
+    known = save(crowd.filter("key != a").select("bucket", "key").join(linked, "key"), "known")
     sizes = known.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("n"), F.count("*").alias("kinds")).filter("kinds > 1").select("bucket", F.col("m.label").alias("main"), "n", (F.col("n") - F.col("m.n")).alias("strays"))
-    mixed = save(known.join(largest, "bucket"), "mixed")
+    mixed = save(known.join(save(largest, "largest"), "bucket"), "mixed")
     if mixed.limit(1).count():
         more = _between(mixed, texts, table, documents, similarity)
         if more.limit(1).count():
             labels = _classes(texts, links.union(more.select("a", "b", "similarity")))
-    found = table.select("doc_id", "key").join(labels, "key", "left")
-    return found.select("doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("label")).alias("class_id"))
+    discard(crowd, known)
+    return texts, labels
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """(doc_id, class_id) for every row of ``docs`` (doc_id, text)."""
+    table, documents = signed(docs, chunk_bytes)
+    texts, labels = _labels(table, documents, similarity)
+    # The smallest id of each class of several texts; all others have that of their own text.
+    named = texts.select("key", "name").join(labels, "key")
+    least = save(named.groupBy("label").agg(F.min("name").alias("class_id")), "least")
+    ids = save(labels.join(least, "label").select("key", "class_id"), "ids")
+    every = save(texts.select("key", "name").join(ids, "key", "left").select("key", F.when(F.col("class_id").isNull(), F.col("name")).otherwise(F.col("class_id")).alias("class_id")), "class_ids")
+    found = table.select("doc_id", "key").join(every, "key", "left")
+    return found.select("doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+
+
+def first_of_each(docs: DataFrame, similarity: float = SIMILARITY, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are the first of their class; texts without words stay."""
+    rest = [c for c in docs.columns if c != "text"]
+    table, documents = signed(docs.select(F.struct(*(F.col(c) for c in rest), F.lit(0).alias("_")).alias("doc_id"), "text"), chunk_bytes)
+    texts, labels = _labels(table, documents, similarity)
+    # Rows that go: all but the first of each text, and the texts that are not the first of their class.
+    later = labels.join(texts.select("key", F.col("row").alias("own")), "key").filter("own != label").select("key")
+    first = save(texts.select("key", F.col("row").alias("first")).join(later, "key", "left_anti"), "firsts")
+    gone = save(table.select("key", "row").filter("key is not null").join(first, "key", "left").filter("first is null or row != first").select("row"), "gone")
+    return table.join(gone, "row", "left_anti").select(*(F.col("text") if c == "text" else F.col("doc_id").getField(c).alias(c) for c in docs.columns))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate, licenses, lm, neardup, quality
 
-from .conftest import EDGES, prose
+from .conftest import EDGES, THUE, prose
 
 WORD, SPACED = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -39,13 +39,13 @@ def brute_contamination(docs, bench):
     return sorted(out, key=str)
 
 
-BENCH = [(1, prose(40, 50)), (2, "two three four"), (3, None), (4, ""), (None, "no id here"), (10, "one"), (10, prose(20, 51)), (5, prose(13, 52))]
+BENCH = [(1, prose(40, 50)), (2, "two three four"), (3, None), (4, ""), (None, "no id here"), (10, "one"), (10, prose(20, 51)), (5, prose(13, 52)), (11, THUE[0]), (12, THUE[1] + " and " + THUE[0])]
 
 
 def test_contamination_equals_brute_force(spark, edges):
-    planted = [(20, prose(30, 1) + " " + BENCH[0][1] + ". " + prose(30, 2)), (21, " ".join(BENCH[0][1].split()[5:18])), (22, " ".join(BENCH[0][1].split()[5:17])), (23, prose(500, 3) + " " + BENCH[7][1]), (24, "one one one")]
-    docs = [x for x in EDGES if x[0] != 6] + planted
-    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    planted = [(20, prose(30, 1) + " " + BENCH[0][1] + ". " + prose(30, 2)), (21, " ".join(BENCH[0][1].split()[5:18])), (22, " ".join(BENCH[0][1].split()[5:17])), (23, prose(500, 3) + " " + BENCH[7][1]), (24, "one one one"), (25, THUE[1]), (26, THUE[1] + " and " + THUE[1])]
+    docs = EDGES + planted
+    frame = edges.select("doc_id", "text", F.lit(1).alias("terms"), F.lit("x").alias("items")).union(spark.createDataFrame([(*x, 1, "x") for x in planted], "doc_id long, text string, terms int, items string"))
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
     got = sorted((tuple(r) for r in decontaminate.contamination(frame, bench).collect()), key=str)
     assert got == brute_contamination(docs, BENCH)
@@ -53,6 +53,10 @@ def test_contamination_equals_brute_force(spark, edges):
     index = decontaminate.build_index(frame, segment_tokens=50)
     blocks = decontaminate.search(index, bench, block_bytes=100)
     assert sorted((str(r.doc_id), r.n_words, r.n_hit) for r in blocks.collect()) == sorted((str(x[0]), x[1], x[2]) for x in got)
+    assert decontaminate.keep_clean(frame, bench).columns == frame.columns
+    for size in (50, 1 << 19):
+        kept = decontaminate.keep_clean(frame, bench, segment_tokens=size, block_bytes=100).collect()
+        assert sorted(map(str, ((r.doc_id, len(words(r.text))) for r in kept))) == sorted(str((x[0], x[1])) for x in got if not x[5])
     spans = {r.doc_id: r.spans for r in blocks.collect()}
     assert [tuple(s) for s in spans[20]] == [(30, 69)]
 
@@ -99,6 +103,8 @@ def test_licenses(spark, edges):
     assert rows[32].labels == "mit" and rows[32].score == 1.0 and [tuple(s) for s in rows[32].spans] == [("mit", 0, 7)]
     assert rows[33].labels == "" and rows[34].labels == "copyright-notice,reserved"
     assert rows[35].n_base == 0 and rows[35].first_word is None
+    apart = licenses.scan(edges, {THUE[0]: "x"}, [("y", THUE[1] + " z")]).collect()
+    assert {r.doc_id: (r.n_base, r.labels) for r in apart if r.n_base} == {11: (1, "x")}
     some = licenses.scan(edges).collect()
     assert sorted((str(r.doc_id), r.n_words) for r in some) == sorted((str(i), len(words(t))) for i, t in EDGES)
 
@@ -138,8 +144,9 @@ def test_quality_learns_on_bags(spark, edges, nothing):
 
 
 def test_language_model(spark, edges, nothing):
-    docs = [(i, t) for i, t in EDGES if i != 6] + [(100 + i, prose(60, i % 7)) for i in range(60)]
-    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    more = [(100 + i, prose(60, i % 7)) for i in range(60)]
+    docs = EDGES + more
+    frame = edges.select("doc_id", "text", "held").union(spark.createDataFrame([(*x, True) for x in more], "doc_id long, text string, held boolean"))
     rows = lm.score(frame, chunk_tokens=500).collect()
     held = lambda i: i is not None and crc32(str(i).encode()) % 10 == 0
     c = Counter(w for i, t in docs if not held(i) for w in words(t, SPACED) + [None])
@@ -163,7 +170,42 @@ def test_language_model_learns_from_all_documents(spark):
     assert len(rows) > 20 and sum(x.score for x in rows) > 0.75 * sum(x.base_score for x in rows)
 
 
-def test_network_gradients_and_windows():
+def test_network_gradients(monkeypatch):
+    """The gradients of truncated backpropagation against differences of the loss itself, in every kind of parameter."""
+    rng = np.random.default_rng(4)
+    net = lm.Network(100)
+    for v in net.p.values():
+        v[...] = rng.standard_normal(v.shape) * 0.2
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    ids, at = rng.integers(0, net.start, 14), np.array([0, 14])
+    caught = {}
+
+    class Moments(dict):
+        def __getitem__(self, name):
+            if name != "turn":
+                caught.setdefault(name, 0)
+            return super().__getitem__(name)
+
+    # One lane, one span, no step: the first moment then holds a tenth of the clipped, scaled gradient.
+    moments = Moments({k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}, turn=0)
+    before = {k: v.copy() for k, v in net.p.items()}
+    lm.fit(net, [ids], None, passes=1, lanes=1, span=14, rate=0.0, decay=False, moments=moments)
+    assert all((net.p[k] == before[k]).all() for k in before) and set(caught) == set(net.p)
+    scale = 64 / len(ids)
+    for name, v in net.p.items():
+        flat, grad = v.reshape(-1), moments[name][0].reshape(-1) * 10
+        for i in {*np.argsort(-abs(grad))[:8].tolist(), *rng.integers(0, flat.size, 4).tolist()}:
+            if abs(grad[i]) > 0.99:
+                continue  # clipped
+            keep, sides = flat[i], []
+            for step in (1e-5, -1e-5):
+                flat[i] = keep + step
+                sides.append(-lm.log_likelihoods(net, ids, at)[0])
+            flat[i] = keep
+            assert abs((sides[0] - sides[1]) / 2e-5 * scale - grad[i]) < 1e-2 + 0.02 * abs(grad[i]), (name, i)
+
+
+def test_network_windows():
     net = lm.Network(100)
     lm.fit(net, [np.random.default_rng(0).integers(0, 100, 300) for _ in range(5)], np.ones(net.groups * lm.GROUP + lm.TAIL), passes=1)
     ids = np.random.default_rng(1).integers(0, 100, 150)
@@ -193,13 +235,13 @@ def test_near_duplicates(spark, edges, nothing):
             c[r.randrange(len(c))] = f"edit{g}x{k}"
             docs.append((1000 * g + 1000 + k, " ".join(c) if k % 3 else " ".join(w).upper()))
     docs += [(90_000 + k, prose(150, 5000 + k) + " " + " ".join(base[0][:25])) for k in range(60)]  # a shared passage only
-    docs += [(80_000 + k, None) for k in range(2)] + [(80_010, ""), (80_011, " . "), (80_020, "a b"), (80_021, "A  b!"), (80_022, "a c")]
+    docs += [(80_000 + k, None) for k in range(2)] + [(80_010, ""), (80_011, " . "), (80_020, "a b"), (80_021, "A  b!"), (80_022, "a c"), (80_030, THUE[0]), (80_031, THUE[1])]
     rows = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), chunk_bytes=20_000).collect()
     cls = {x.doc_id: x.class_id for x in rows}
     assert len(rows) == len(docs)
     for g in range(8):
         assert {cls[1000 * g + 1000 + k] for k in range(12)} == {1000 * g + 1000}
-    assert all(cls[i] == i for i in cls if i >= 90_000 or 80_000 <= i <= 80_020 or i == 80_022) and cls[80_021] == 80_020
+    assert all(cls[i] == i for i in cls if i >= 90_000 or 80_000 <= i <= 80_020 or 80_022 <= i <= 80_031) and cls[80_021] == 80_020
     some = neardup.near_duplicates(edges).collect()
     assert len(some) == len(EDGES)
     got = {x.doc_id: x.class_id for x in some}
