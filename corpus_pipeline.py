@@ -1,8 +1,8 @@
 """The corpus pipeline: stages over ``documents``, each on all that the one before has kept.
 
 Null and empty texts have no words: the classifier judges them, they have no near-duplicates and no contamination, and
-packing gives them their end token. Decisions are about a doc_id: of rows that share one, all go if one is contaminated.
-Equal rows count as copies of each other. Columns beyond those of ``documents`` are kept.
+packing gives them their end token. Decisions are about rows, so ids may be repeated or null; equal rows count as copies
+of each other. Columns beyond those of ``documents`` are kept.
 """
 
 from __future__ import annotations
@@ -22,23 +22,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each class stays."""
-    classes = save(neardup.near_duplicates(docs), "classes")
-    copies = classes.groupBy("doc_id").agg(F.count("*").alias("rows"), F.bool_or(F.expr("doc_id <=> class_id")).alias("first"))
-    gone = save(copies.filter("not first").select("doc_id"), "gone")
-    again = save(copies.filter("first and rows > 1").select("doc_id"), "again")
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
-    if not again.limit(1).count():
-        return kept
-    twice = kept.join(again, kept["doc_id"].eqNullSafe(again["doc_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(again, kept["doc_id"].eqNullSafe(again["doc_id"]), "left_anti").unionByName(twice)
+    """The first row of each class stays."""
+    return neardup.first_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = save(found.filter("contaminated").select("doc_id").distinct(), "contaminated")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
