@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,13 +91,13 @@ from t join kept on t.conv_id is not distinct from kept.conv_id group by t.conv_
 
 def _template_sql(template: str) -> str:
     """A template as a regular expression over the text's words, each with a space after it."""
-    parts = []
-    for part in template.replace("[", " [ ").replace("]", " ] ").split():
+    out = []
+    for part in licenses.parts(template):
         if part.startswith("<<"):
-            parts.append("(?:[^ ]+ ){" + part[2:-2].replace("..", ",") + "}")
+            out.append("(?:[^ ]+ ){" + part[2:-2].replace("..", ",") + "}")
         else:
-            parts.append({"[": "(?:", "]": ")?"}.get(part, f"{part} "))
-    return "(^| )" + "".join(parts)
+            out.append({"[": "(?:", "]": ")?"}.get(part, f"{part} "))
+    return "(^| )" + "".join(out)
 
 
 def _license_sql() -> str:
@@ -103,7 +105,8 @@ def _license_sql() -> str:
     found = ", ".join(f"list_filter(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' ') = '{p}') as p{k}" for k, (p, n, _) in enumerate(phrases))
     every = " || ".join(f"p{k}" for k in range(len(phrases)))
     base = ", ".join(f"case when len(p{k}) > 0 then '{label}' end" for k, (_, _, label) in enumerate(phrases))
-    more = ", ".join(f"case when regexp_matches(t, '{_template_sql(t)}') then '{label}' end" for label, t in licenses.TEMPLATES)
+    lead = lambda t: " ".join(itertools.takewhile(lambda part: part[0] not in "[<", licenses.parts(t)))
+    more = ", ".join(f"case when contains(t, '{lead(t)} ') then case when regexp_matches(t, '{_template_sql(t)}') then '{label}' end end" for label, t in licenses.TEMPLATES)
     named = lambda x: f"coalesce(array_to_string(list_sort(list_distinct(list_filter({x}, lambda x: x is not null))), ','), '')"
     return f"""
 with d as (select doc_id, {WORDS} as w from documents),

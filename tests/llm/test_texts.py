@@ -109,6 +109,31 @@ def test_licenses(spark, edges):
     assert sorted((str(r.doc_id), r.n_words) for r in some) == sorted((str(i), len(words(t))) for i, t in EDGES)
 
 
+def test_license_texts(spark):
+    """Every template accepts its own wording in full with its regions filled or left out, and no text with a word changed."""
+    def filled(template, optional):
+        out, depth = [], 0
+        for part in licenses.parts(template):
+            if part in "[]":
+                depth += 1 if part == "[" else -1
+            elif optional or not depth:
+                out += ["holder"] * int(part[2:].split("..")[0]) if part[0] == "<" else [part]
+        return out
+
+    rows, want = [], {}
+    for k, (label, template) in enumerate(licenses.TEMPLATES):
+        for optional in (0, 1):
+            w = filled(template, optional)
+            rows += [(10 * k + optional, f"Intro, {'; '.join(w).upper()}\n(end)"), (10 * k + 2 + optional, " ".join(w[: len(w) // 2] + ["changed"] + w[len(w) // 2 + 1 :]))]
+            want[10 * k + optional] = label
+    got = {r.doc_id: {tuple(s) for s in r.spans} for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sizes = {i: len(words(t)) for i, t in rows}
+    for i, label in want.items():
+        assert (label, 1, sizes[i] - 2) in got[i], (i, label)
+    full = [k for k, (_, t) in enumerate(licenses.TEMPLATES) if len(licenses.parts(t)) > 40]
+    assert len(full) > 10 and all(licenses.TEMPLATES[k][0] not in {x[0] for x in got[10 * k + 2 + o] if x[2] - x[1] > 30} for k in full for o in (0, 1))
+
+
 def test_license_automaton():
     a = licenses.Automaton("a [b c] d <<1..2>> e")
     code = lambda s: [int(x) for x in licenses.WORD_HASH.words(s.split())]
@@ -143,6 +168,39 @@ def test_quality_learns_on_bags(spark, edges, nothing):
     assert all(abs(x.score - 0.5) < 1e-6 for x in unlabelled)
 
 
+def test_quality_attention_and_gradients():
+    """The forward pass against plain loops; the first step goes against the sign of the loss's differences."""
+    rng = np.random.default_rng(6)
+    x, edge, y = rng.standard_normal((11, 7)).astype(np.float32), np.array([0, 1, 5, 8, 11]), np.array([1, 0, 1, 0], np.float32)
+
+    def plain(model):
+        p, out = {k: v.astype(float) for k, v in model.p.items()}, []
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            h = [np.tanh(((r - model.mean) / model.scale).clip(-6, 6) @ p["e"] + p["eb"]) for r in x[a:b].astype(float)]
+            s = [float((np.tanh(v @ p["v"]) / (1 + np.exp(-(v @ p["u"])))) @ p["a"][:, 0]) for v in h]
+            e = [math.exp(v) for v in s]
+            bag = sum(v * w / sum(e) for v, w in zip(h, e, strict=True))
+            out.append(1 / (1 + math.exp(-(float(bag @ p["o"][:, 0]) + float(p["ob"][0])))))
+        return np.array(out)
+
+    model = quality.Model(7)
+    assert np.allclose(model.score(x, edge), plain(model), atol=1e-5)
+    stepped = quality.Model(7).fit(x, edge, y, rounds=1, batch=4)
+    model.mean, model.scale = stepped.mean, stepped.scale
+    loss = lambda: -float(np.where(y == 1, np.log(plain(model)), np.log(1 - plain(model))).mean()) + sum(5e-5 * float((v.astype(float) ** 2).sum()) for v in model.p.values())
+    for name, v in model.p.items():
+        model.p[name] = v = v.astype(float)
+        flat, moved = v.reshape(-1), (stepped.p[name] - v).reshape(-1)
+        for i in rng.permutation(flat.size)[:12].tolist():
+            keep, sides = flat[i], []
+            for step in (1e-4, -1e-4):
+                flat[i] = keep + step
+                sides.append(loss())
+            flat[i] = keep
+            slope = (sides[0] - sides[1]) / 2e-4
+            assert abs(slope) < 1e-4 or slope * moved[i] < 0, (name, i)
+
+
 def test_language_model(spark, edges, nothing):
     more = [(100 + i, prose(60, i % 7)) for i in range(60)]
     docs = EDGES + more
