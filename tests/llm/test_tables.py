@@ -1,5 +1,6 @@
 """Neighbours, URL rules, chat collapse and the pipeline."""
 
+import itertools
 import re
 
 import numpy as np
@@ -136,19 +137,46 @@ def test_url_rules(spark):
 
 
 def test_mined_rules_equal_brute_force(spark):
+    """The whole rule set, and which rule decides."""
     hosts = ["bad.shop", "good.shop", "bad.news"]
-    pages = [(i, f"http://{hosts[i % 3]}.net/{'p' if i % 2 else 'q'}/{i}.html") for i in range(120)] + [(900, None)]
-    label = lambda i: "block" if i % 3 == 0 or i % 3 == 2 and i % 2 else "allow"
-    frame = spark.createDataFrame(pages, "page_id long, url string")
-    marks = spark.createDataFrame([(i, label(i)) for i in range(0, 120, 2)] + [(i, label(i)) for i in range(1, 120, 2)] + [(None, "block"), (3, None)], "page_id long, label string")
-    rows = urlrules.judge(frame, marks, [], 0.05, 0.9).collect()
-    assert all(r.verdict == label(r.page_id) for r in rows if r.page_id < 900)
-    known = urlrules.parsed(frame).withColumn("tokens", urlrules.tokens())
-    rules = urlrules.mine(known.join(marks, "page_id").select("tokens", "label"), 0.05, 0.9).collect()
-    sets = {r.page_id: set(r.tokens) for r in known.collect()}
-    for r in rules:
-        fit = [i for i in range(120) if set(r.antecedent) <= sets[i]]
-        assert r.key in r.antecedent and abs(np.mean([label(i) == r.verdict for i in fit]) - r.confidence) < 1e-9
+    pages = [(i, f"http://{hosts[i % 3]}.net/{'p' if i % 2 else 'q'}/{i}.html") for i in range(120)]
+    pages += [(200 + i, f"http://tie.org/{'ab'[i % 2]}/x?u=1&v=2") for i in range(24)] + [(900, None), (901, "http://bad.shop.net/p/never/seen.html"), (902, "http://tie.org/a/x?u=1")]
+    pages += [(903, "http://long.org/" + "/".join(f"f{'abcdefgh'[k % 8] * (1 + k // 8)}" for k in range(3000)))] + pages[:5]  # a very long one, repeated rows
+    label = lambda i: ("block" if i % 3 == 0 or i % 3 == 2 and i % 2 else "allow") if i < 200 else "block" if i % 4 < 2 else "allow"
+    frame = spark.createDataFrame([(*x, "h", "t", "k") for x in pages], "page_id long, url string, tokens string, mined string, key string").repartition(3)
+    marked = {i: label(i) for i, _ in pages if i < 300} | {903: "allow"}
+    marks = spark.createDataFrame([*marked.items(), (None, "block"), (3, None)], "page_id long, label string")
+    support, confidence = 0.05, 0.6
+    rows = urlrules.judge(frame, marks, [], support, confidence).collect()
+    known = {r.page_id: frozenset(r.tokens) for r in urlrules.parsed(frame).withColumn("tokens", urlrules.tokens()).collect()}
+    learned = [(known[i], marked[i]) for i, _ in pages if i in marked]  # repeated rows count
+    n = len(learned)
+    base = {v: sum(x == v for _, x in learned) / n for v in ("allow", "block")}
+    of_token = {t: frozenset(k for k, (s, _) in enumerate(learned) if t in s) for t in set().union(*(s for s, _ in learned))}
+    groups = {}
+    for t, where in of_token.items():
+        if len(where) >= support * n:
+            groups.setdefault(where, set()).add(t)
+    items = [frozenset(g) for g in groups.values()]
+    want = {}
+    for size in range(1, len(items) + 1):
+        for some in itertools.combinations(items, size):
+            tokens = frozenset().union(*some)
+            fit = [v for s, v in learned if tokens <= s]
+            for v in ("allow", "block"):
+                k = sum(x == v for x in fit)
+                if k >= support * n and k / len(fit) >= confidence and k / len(fit) / base[v] >= urlrules.MIN_LIFT:
+                    want[tokens, v] = (k / len(fit), k / n)
+    labelled = urlrules.save(urlrules.parsed(frame).withColumn("tokens", urlrules.tokens()).join(marks.filter("page_id is not null and label is not null"), "page_id").selectExpr("monotonically_increasing_id() as id", "tokens", "label"), "labelled")
+    mined = urlrules.mine(labelled, support, confidence).collect()
+    assert len(want) > 5 and {(frozenset(r.antecedent), r.verdict) for r in mined} == set(want)
+    for r in mined:
+        assert np.allclose((r.confidence, r.support), want[frozenset(r.antecedent), r.verdict])
+        assert len(of_token[r.key]) == min(len(of_token[t]) for t in r.antecedent)
+    for r in rows:
+        fit = [(*facts, v) for (tokens, v), facts in want.items() if tokens <= known[r.page_id]]
+        assert r.mined == (max(fit)[2] if fit else None) and r.verdict == (r.mined or "allow"), r.page_id
+    assert len(rows) == len(pages)
 
 
 def test_chat(spark):
@@ -156,9 +184,12 @@ def test_chat(spark):
     convs = {1: a[:1], 2: a[:2], 3: a, 4: a, 5: [("user", "hi"), ("assistant", "no")], 6: [(None, "x")], None: [("user", "")]}
     rows = [(c, t, r, x, 9) for c, turns in convs.items() for t, (r, x) in enumerate(turns)]
     rows += [(7, 0, "user", "hi", 9), (7, 0, "user", "hi", 9)]  # a repeated row is a turn of its own
+    rows += [(8, 0, "user", "\u0000", 9), (9, 0, "user", None, 9), (9, 1, "user", "on", 9)]  # a null is no NUL
+    rows += [(10, t, "user", prose(20, t), 9) for t in range(3000)] + [(11, t, "user", prose(20, t), 9) for t in range(2999)]  # long ones
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, place long").repartition(4)
     got = {r.conv_id: (r.n_turns, r.text) for r in chat.collapse(frame).collect()}
-    assert set(got) == {3, 5, 6, 7, None}
+    assert set(got) == {3, 5, 6, 7, 8, 9, 10, None}
+    assert got[10] == (3000, "".join(f"<|im_start|>user\n{prose(20, t)}<|im_end|>\n" for t in range(3000)))
     assert got[3] == (3, "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nyes<|im_end|>\n<|im_start|>user\n<|im_end|>\n")
     assert chat.collapse(frame.limit(0)).count() == 0
 
