@@ -8,7 +8,7 @@ smallest id stays. What remains is rendered as one text.
 Turns stand in the order of turn, role and text (nulls first), and repeated rows are turns of their own. A null role or
 text is rendered as an empty string but is not equal to one in the comparison. All rows with a null conv_id are one
 conversation. Other columns are not read. An empty table gives an empty result. A conversation is one row of output, so
-its turns meet in one task; nothing else does.
+its turns meet in one task, where Spark sorts them, on disk if need be; a rendered text has to fit in a row (2 GB).
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ def rolling(turns: DataFrame) -> DataFrame:
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     placed = turns.select("conv_id", "turn", "role", "text").withColumn("place", F.row_number().over(order))
     kept = Window.partitionBy("conv_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    own = lambda seed: F.xxhash64(F.lit(seed), "place", F.coalesce("role", F.lit("\u0000")), F.lit(seed), F.coalesce("text", F.lit("\u0000")))
+    own = lambda seed: F.xxhash64(F.lit(seed), "place", F.isnull("role"), "role", F.isnull("text"), "text")
     return placed.select("conv_id", "place", "role", "text", *(F.bit_xor(own(s)).over(kept).alias(f"h{s}") for s in (1, 2)))
 
 
