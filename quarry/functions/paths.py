@@ -42,3 +42,13 @@ def normalized(raw: Column) -> tuple[Column, Column]:
         .when(kept == "", F.lit("empty"))
     )
     return F.when(error.isNull(), kept), error
+
+
+def key(raw: Column) -> Column:
+    """A path's bytes as text; one that is not UTF-8 as ``<bytes>:`` and its bytes, all but plain ones as ``%XX``."""
+    pairs = F.regexp_extract_all(F.hex(raw), F.lit("(..)"), F.lit(1))
+    letter = lambda x: F.chr(F.conv(x, 16, 10).cast("int"))
+    plain = lambda x: F.conv(x, 16, 10).cast("int").between(0x21, 0x7E) & letter(x).rlike("[A-Za-z0-9/._-]")
+    shown = F.array_join(F.transform(pairs, lambda x: F.when(plain(x), letter(x)).otherwise(F.concat(F.lit("%"), x))), "")
+    text = raw.cast("string")
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.concat(F.lit("<bytes>:"), shown))

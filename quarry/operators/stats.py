@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import languages
-from ..functions.text import lines, trim
+from ..functions.text import WHITE, newlines
 
 
 def _opens_block(text: Column, style: Column) -> Column:
@@ -20,12 +22,12 @@ def _opens_block(text: Column, style: Column) -> Column:
     return out
 
 
-def _marked(line: Column, style: Column) -> Column:
-    """Does a trimmed line begin with a line-comment marker of the style?"""
-    out = F.lit(False)
+def _line_comments(text: Column, style: Column) -> Column:
+    """Lines that begin with a line-comment marker of the style, counted in the text without splitting it."""
+    out = F.lit(0)
     for name, (markers, _) in languages.STYLES.items():
-        for m in markers:
-            out = out | ((style == name) & F.startswith(line, F.lit(m)))
+        if markers:
+            out = F.when(style == name, F.regexp_count(text, F.lit(rf"(?m)^(?<![^\n]){WHITE}*(?:{'|'.join(map(re.escape, markers))})"))).otherwise(out)
     return out
 
 
@@ -56,21 +58,28 @@ def comment_lines(text: str, style: str) -> int:
 
 @F.pandas_udf(T.LongType())
 def _comments(text: pd.Series, style: pd.Series) -> pd.Series:
-    return pd.Series([comment_lines(t, s) for t, s in zip(text, style, strict=True)], dtype="int64")
+    return pd.Series([None if t is None else comment_lines(t, s) for t, s in zip(text, style, strict=True)], dtype="Int64")
 
 
 def line_counts(files: DataFrame) -> DataFrame:
-    """(relative_path, language, code, comments, blanks) of files with a known language.
+    """(relative_path, language, code, comments, blanks) of files with a known language, in one pass.
 
-    Only texts that open a block comment need state from line to line and go to Python; all others stay in the JVM.
+    Lines are counted by patterns over the whole text. Only texts that open a block comment need state from line to line;
+    of all others nothing but nulls goes to Python.
     """
-    rows = files.filter("language is not null").select("relative_path", "language", "content", languages.style(F.col("language")).alias("style"))
-    trimmed = F.transform(lines("content"), trim)
-    rows = rows.select("*", F.size(trimmed).cast("long").alias("n"), F.size(F.filter(trimmed, lambda x: x == "")).cast("long").alias("blanks"), _opens_block(F.col("content"), F.col("style")).alias("blocks"))
-    plain = rows.filter("not blocks").withColumn("comments", F.size(F.filter(trimmed, lambda x: _marked(x, F.col("style")))).cast("long"))
-    stateful = rows.filter("blocks").withColumn("comments", _comments("content", "style"))
-    both = plain.unionByName(stateful)
-    return both.select("relative_path", "language", (F.col("n") - F.col("blanks") - F.col("comments")).alias("code"), "comments", "blanks")
+    body = F.when(F.endswith("content", F.lit("\n")), F.expr("left(content, length(content) - 1)")).otherwise(F.col("content"))
+    rows = files.filter("language is not null").select("relative_path", "language", languages.style(F.col("language")).alias("style"), body.alias("body"), (F.col("content") == "").alias("empty"))
+    rows = rows.select(
+        "relative_path",
+        "language",
+        "style",
+        F.when(F.col("empty"), 0).otherwise(newlines(F.col("body")) + 1).cast("long").alias("n"),
+        F.when(F.col("empty"), 0).otherwise(F.regexp_count("body", F.lit(rf"(?:\A|\n){WHITE}*(?=\n|\z)"))).cast("long").alias("blanks"),
+        _line_comments(F.col("body"), F.col("style")).cast("long").alias("plain"),
+        F.when(_opens_block(F.col("body"), F.col("style")), F.col("body")).alias("blocks"),
+    )
+    rows = rows.select("*", F.coalesce(_comments("blocks", "style"), "plain").alias("comments"))
+    return rows.select("relative_path", "language", (F.col("n") - F.col("blanks") - F.col("comments")).alias("code"), "comments", "blanks")
 
 
 def by_language(counts: DataFrame) -> DataFrame:

@@ -2,7 +2,10 @@
 
 No grammar library is at hand, so this is an approximation: strings and comments are blanked out first, then
 declarations are found by patterns and their ends by matching braces. Python is parsed; a file that does not parse has
-no signatures and ``parsed`` is false.
+no signatures and ``parsed`` is false; so is one with more signatures, or more bytes of names, than the limits allow.
+
+Not found, as no pattern asks for them: classes and methods of C++ (its functions and structs are), arrow functions,
+targets of ``impl`` with type parameters, enums outside Rust, interfaces outside Java and TypeScript.
 """
 
 from __future__ import annotations
@@ -11,10 +14,12 @@ import ast
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import line_slice, lines, trim, truncate_marked
+
 # What begins a declaration in each language, and its kind. Group 1 is the name.
 PATTERNS = {
     "rust": [("function", r"\bfn\s+(\w+)"), ("struct", r"\bstruct\s+(\w+)"), ("enum", r"\benum\s+(\w+)"), ("trait", r"\btrait\s+(\w+)"), ("impl", r"\bimpl\s+(\w+)\s*\{")],
@@ -22,13 +27,16 @@ PATTERNS = {
     "javascript": [("function", r"\bfunction\s*\*?\s*(\w+)"), ("class", r"\bclass\s+(\w+)"), ("method", r"(?m)^\s+(?:static\s+|async\s+|get\s+|set\s+)*(?!if\b|for\b|while\b|switch\b|catch\b|function\b|return\b)(\w+)\s*\([^;{}]*\)\s*\{")],
     "java": [("class", r"\bclass\s+(\w+)"), ("interface", r"\binterface\s+(\w+)"), ("method", r"(?m)^\s*(?:(?:public|private|protected|static|final|abstract|synchronized)\s+)*[\w<>\[\], .?]+\s+(?!if\b|for\b|while\b|switch\b|catch\b|return\b|new\b)(\w+)\s*\([^;{}]*\)\s*(?:throws [\w, .]+)?\{")],
     "c": [("function", r"(?m)^[A-Za-z_][\w\s*]*?\b(?!if\b|for\b|while\b|switch\b|return\b)(\w+)\s*\([^;{}]*\)\s*\{"), ("struct", r"\bstruct\s+(\w+)\s*\{")],
-    "ruby": [("method", r"(?m)^\s*def\s+(?:self\.)?(\w+[?!=]?)"), ("class", r"(?m)^\s*class\s+(\w+)"), ("module", r"(?m)^\s*module\s+(\w+)")],
     "bash": [("function", r"(?m)^\s*(?:function\s+)?(\w+)\s*\(\)\s*\{")],
     "hcl": [("struct", r"(?m)^\s*(\w+)(?:\s+\"[^\"]*\")*\s*\{")],
 }
 PATTERNS |= {"typescript": PATTERNS["javascript"] + [("interface", r"\binterface\s+(\w+)")], "cpp": PATTERNS["c"]}
 PATTERNS["tsx"] = PATTERNS["typescript"]
-LANGUAGES = [*PATTERNS, "python"]
+#: Languages with signatures; languages that are known but have none.
+LANGUAGES, BARE = [*PATTERNS, "python"], ["yaml", "json"]
+#: Signatures of a file, bytes of their names, bytes of a shown line; matches of a query, bytes of one, of all.
+MAX_SIGNATURES, MAX_NAME_BYTES, MAX_LINE_BYTES = 10_000, 8 << 20, 4 << 10
+MAX_MATCHES, MAX_MATCH_BYTES, MAX_MATCHES_BYTES = 1_000, 64 << 10, 2 << 20
 
 _NOISE = re.compile(r"""//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])'|'(?:\\.|[^'\\\n]){2,}'|`(?:\\.|[^`\\])*`""", re.S)
 _HASH = re.compile(r"""\#[^\n]*|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'""")
@@ -40,25 +48,20 @@ def _python(text: str) -> list[tuple]:
 
 
 def _scan(text: str, language: str) -> list[tuple]:
-    noise = _HASH if language in ("bash", "ruby") else _NOISE
+    noise = _HASH if language == "bash" else _NOISE
     keep = language == "hcl"
     bare = text if keep else noise.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
     out = []
     for kind, pattern in PATTERNS[language]:
         for m in re.finditer(pattern, bare):
             start = bare.count("\n", 0, m.start(1)) + 1
-            if language == "ruby":
-                indent = re.match(r"[ \t]*", bare[bare.rfind("\n", 0, m.start(1)) + 1 :])[0]
-                e = re.compile(rf"(?m)^{indent}end\b").search(bare, m.end())
-                end = e.start() + len(indent) if e else m.end()
-            else:
-                open_, stop, level, end = bare.find("{", m.end() - 1), bare.find(";", m.end()), 0, m.end()
-                if open_ >= 0 and (stop < 0 or open_ < stop or m[0].endswith("{")):
-                    for b in re.finditer(r"[{}]", bare[open_:]):
-                        level += 1 if b[0] == "{" else -1
-                        if not level:
-                            end = open_ + b.start()
-                            break
+            open_, stop, level, end = bare.find("{", m.end() - 1), bare.find(";", m.end()), 0, m.end()
+            if open_ >= 0 and (stop < 0 or open_ < stop or m[0].endswith("{")):
+                for b in re.finditer(r"[{}]", bare[open_:]):
+                    level += 1 if b[0] == "{" else -1
+                    if not level:
+                        end = open_ + b.start()
+                        break
             out.append((start, bare.count("\n", 0, end) + 1, kind, m[1]))
     return sorted(set(out))
 
@@ -66,17 +69,24 @@ def _scan(text: str, language: str) -> list[tuple]:
 def scan(text: str, language: str) -> dict:
     try:
         found = _python(text) if language == "python" else _scan(text, language)
+        if len(found) > MAX_SIGNATURES or sum(len(x[3].encode()) for x in found) > MAX_NAME_BYTES:
+            raise ValueError("too many signatures")
         return {"parsed": True, "found": [dict(zip(("line_start", "line_end", "kind", "name"), x, strict=True)) for x in found]}
     except (SyntaxError, ValueError, RecursionError):
         return {"parsed": False, "found": []}
 
 
-_FOUND = T.StructType([T.StructField("line_start", T.LongType()), T.StructField("line_end", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("name", T.StringType())])
+FOUND = T.ArrayType(T.StructType([T.StructField("line_start", T.LongType()), T.StructField("line_end", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("name", T.StringType())]))
 
 
-@F.pandas_udf(T.StructType([T.StructField("parsed", T.BooleanType()), T.StructField("found", T.ArrayType(_FOUND))]))
+@F.pandas_udf(T.StructType([T.StructField("parsed", T.BooleanType()), T.StructField("found", FOUND)]))
 def _signatures(text: pd.Series, language: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([scan(t, x) for t, x in zip(text, language, strict=True)], columns=["parsed", "found"])
+    return pd.DataFrame([{"parsed": None, "found": None} if t is None else scan(t, x) for t, x in zip(text, language, strict=True)], columns=["parsed", "found"])
+
+
+def with_scan(files: DataFrame) -> DataFrame:
+    """Adds ``scanned`` (parsed, found), nulls for languages without signatures, whose texts stay in the JVM."""
+    return files.withColumn("scanned", _signatures(F.when(F.col("language").isin(LANGUAGES), F.col("content")), "language"))
 
 
 def scanned(files: DataFrame) -> DataFrame:
@@ -85,16 +95,31 @@ def scanned(files: DataFrame) -> DataFrame:
     return rows.select("relative_path", "language", "s.parsed", "s.found")
 
 
+def signature_lines(files: DataFrame) -> DataFrame:
+    """(relative_path, line_start, kind, name, text): signatures with the trimmed line that each begins on, cut at 4 KiB."""
+    rows = with_scan(files.filter(F.col("language").isin(LANGUAGES))).select("relative_path", lines("content").alias("all"), F.explode("scanned.found").alias("f"))
+    return rows.select("relative_path", "f.line_start", "f.kind", "f.name", truncate_marked(trim(F.element_at("all", F.col("f.line_start").cast("int"))), MAX_LINE_BYTES).alias("text"))
+
+
 def signatures(files: DataFrame) -> DataFrame:
     """(relative_path, language, line_start, line_end, kind, name)."""
     return scanned(files).select("relative_path", "language", F.explode("found").alias("f")).select("relative_path", "language", "f.*")
 
 
-def search_nodes(files: DataFrame, path: str, kind: str | None = None, name: str | None = None, max_results: int = 1000) -> DataFrame:
-    """Declarations of one file in document order: the documented part of a free syntax query."""
-    found = signatures(files.filter(F.col("relative_path") == path))
+def search_nodes(files: DataFrame, path: str, kind: str | None = None, name: str | None = None, max_results: int = MAX_MATCHES) -> DataFrame:
+    """(relative_path, language, line_start, line_end, kind, name, code): declarations of one file in document order, with
+    their source: the documented part of a free syntax query. A match or all matches beyond their size is an error."""
+    if not 1 <= max_results <= MAX_MATCHES:
+        raise ValueError(f"max_results: 1 to {MAX_MATCHES}")
+    one = files.filter((F.col("relative_path") == path) & F.col("language").isin(LANGUAGES))
+    found = with_scan(one).select("relative_path", "language", "content", F.explode("scanned.found").alias("f")).select("relative_path", "language", "content", "f.*")
     if kind is not None:
         found = found.filter(F.col("kind") == kind)
     if name is not None:
         found = found.filter(F.col("name").rlike(name))
-    return found.orderBy("line_start", "line_end", "name").limit(max_results)
+    found = found.orderBy("line_start", "line_end", "name").limit(max_results)
+    code = found.withColumn("code", line_slice("content", F.col("line_start").cast("int"), F.col("line_end").cast("int"))).drop("content")
+    size = F.octet_length("code")
+    total = F.sum(size).over(Window.partitionBy("relative_path"))  # of one file, and at most max_results rows
+    checked = F.when(size > MAX_MATCH_BYTES, F.raise_error(F.lit("a match is too large"))).when(total > MAX_MATCHES_BYTES, F.raise_error(F.lit("the matches are too large"))).otherwise(F.col("code"))
+    return code.withColumn("code", checked).orderBy("line_start", "line_end", "name")

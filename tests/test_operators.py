@@ -103,7 +103,6 @@ def test_long_files_and_functions(spark):
     [
         ("go", "func (s *S) Get() {\n}\nfunc Run() {\n\tx := \"}\"\n}\ntype T struct {\n}\n", [("method", "Get", 1, 2), ("function", "Run", 3, 5), ("struct", "T", 6, 7)]),
         ("javascript", "class A {\n  go(x) {\n    return 1;\n  }\n}\nfunction f() {\n}\n", [("class", "A", 1, 5), ("method", "go", 2, 4), ("function", "f", 6, 7)]),
-        ("ruby", "class A\n  def x\n    1\n  end\nend\n", [("class", "A", 1, 5), ("method", "x", 2, 4)]),
         ("bash", "run() {\n  echo '}'\n}\n", [("function", "run", 1, 3)]),
         ("c", "int main(void) {\n  /* } */\n  return 0;\n}\n", [("function", "main", 1, 4)]),
         ("hcl", 'resource "a" "b" {\n  x = 1\n}\n', [("struct", "resource", 1, 3)]),
