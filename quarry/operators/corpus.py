@@ -11,16 +11,27 @@ from ..functions import languages, paths
 from ..functions.text import line_count, lines
 
 # Directories, extensions and names that are left out by default; directories that always are.
-EXCLUDED_DIRS = """.git .svn .hg .aws .ssh .gnupg node_modules .next .nuxt .output bower_components target __pycache__ .venv venv env .tox
-.mypy_cache .pytest_cache .ruff_cache site-packages .eggs vendor .gradle .m2 obj packages dist build out .cache coverage .nyc_output .idea .vscode
-.vs .eclipse .docker .terraform""".split()
-EXCLUDED_EXTENSIONS = """lock map wasm pyc pyo class o so dylib dll exe a lib jar war ear zip tar gz png jpg jpeg gif ico svg woff woff2 ttf eot
-mp3 mp4 pdf db sqlite sqlite3""".split()
+EXCLUDED_DIRS = [
+    ".git", ".svn", ".hg", ".aws", ".ssh", ".gnupg", "node_modules", ".next", ".nuxt", ".output", "bower_components", "target",
+    "__pycache__", ".venv", "venv", "env", ".tox", ".mypy_cache", ".pytest_cache", ".ruff_cache", "site-packages", ".eggs",
+    "vendor", ".gradle", ".m2", "obj", "packages", "dist", "build", "out", ".cache", "coverage", ".nyc_output", ".idea",
+    ".vscode", ".vs", ".eclipse", ".docker", ".terraform",
+]
+EXCLUDED_EXTENSIONS = [
+    "lock", "map", "wasm", "pyc", "pyo", "class", "o", "so", "dylib", "dll", "exe", "a", "lib", "jar", "war", "ear", "zip",
+    "tar", "gz", "png", "jpg", "jpeg", "gif", "ico", "svg", "woff", "woff2", "ttf", "eot", "mp3", "mp4", "pdf", "db", "sqlite",
+    "sqlite3",
+]
 EXCLUDED_SUFFIXES = [".min.js", ".min.css", ".bundle.js"]
-SENSITIVE_NAMES = ".env .envrc .git-credentials .netrc .npmrc .pypirc id_dsa id_ecdsa id_ed25519 id_rsa".split()
-PROTECTED_DIRS = ".git .aws .ssh .gnupg".split()
-#: Limits of one walk.
+SENSITIVE_NAMES = [
+    ".env", ".envrc", ".git-credentials", ".netrc", ".npmrc", ".pypirc", "id_dsa", "id_ecdsa", "id_ed25519", "id_rsa",
+]
+PROTECTED_DIRS = [
+    ".git", ".aws", ".ssh", ".gnupg",
+]
+#: Limits of one walk: files, their bytes, bytes of one; visited entries, messages and their bytes, bytes of paths.
 MAX_FILES, MAX_SOURCE_BYTES, MAX_FILE_BYTES = 100_000, 4 << 30, 1 << 20
+MAX_VISITED, MAX_MESSAGES, MAX_MESSAGE_BYTES, MAX_PATH_BYTES = 1_000_000, 10_000, 16 << 20, 32 << 20
 
 
 @dataclass(frozen=True)
@@ -99,15 +110,50 @@ def within_limits(files: DataFrame, max_files: int = MAX_FILES, max_bytes: int =
     return files
 
 
+def accounting(entries: DataFrame, root: str = "") -> DataFrame:
+    """One row: visited, files, source_bytes, messages, message_bytes, path_bytes of a walk. entries: (relative_path, status,
+    size_bytes, reason), all that was visited; a path counts twice, with and without the root."""
+    file, said = F.col("status") == "file", F.col("status") == "unreadable"
+    size = lambda c: F.octet_length(F.coalesce(c, F.lit("")))
+    sums = {
+        "visited": F.count("*"),
+        "files": F.count(F.when(file, 1)),
+        "source_bytes": F.sum(F.when(file, F.col("size_bytes"))),
+        "messages": F.count(F.when(said, 1)),
+        "message_bytes": F.sum(F.when(said, size(F.col("relative_path")) + size(F.col("reason")) + 3)),
+        "path_bytes": F.sum(F.when(file, 2 * size(F.col("relative_path")) + len(root.encode()) + 1)),
+    }
+    return entries.agg(*(F.coalesce(v, F.lit(0)).cast("long").alias(k) for k, v in sums.items()))
+
+
+def check_walk(entries: DataFrame, root: str = "") -> DataFrame:
+    """``entries``, after one count; raises if the walk exceeds a limit."""
+    got = accounting(entries, root).first().asDict()
+    most = {"visited": MAX_VISITED, "files": MAX_FILES, "source_bytes": MAX_SOURCE_BYTES, "messages": MAX_MESSAGES, "message_bytes": MAX_MESSAGE_BYTES, "path_bytes": MAX_PATH_BYTES}
+    over = [f"{k}: {got[k]}, at most {n}" for k, n in most.items() if got[k] > n]
+    if over:
+        raise ValueError("the walk is too large; " + "; ".join(over))
+    return entries
+
+
 def select_files(files: DataFrame, allowed: DataFrame | None) -> DataFrame:
     """Files whose path stands in ``allowed`` (relative_path); all if that is None."""
     return files if allowed is None else files.join(allowed.select("relative_path"), "relative_path", "left_semi")
 
 
-def read_file(files: DataFrame, path: str, start: int | None = None, end: int | None = None) -> DataFrame:
-    """(relative_path, content, total_lines, language) of one file, whole or lines start..end."""
+def read_file(files: DataFrame, path: str, start: int | None = None, end: int | None = None, rules: Exclusions = Exclusions(), max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """(relative_path, content, total_lines, language) of one file, whole or lines start..end.
+
+    The path is brought to its normal form and held to the rules first; a file whose size is not that of its content, or
+    beyond ``max_bytes``, is not given.
+    """
     if (start is None) != (end is None) or start is not None and not 1 <= start <= end:
         raise ValueError("start and end: both, from 1, in order")
     text = F.col("content") if start is None else F.array_join(F.slice(lines("content"), start, end - start + 1), "\n")
     language = languages.detect(F.col("relative_path"), F.try_element_at(lines("content"), F.lit(1)))
-    return files.filter(F.col("relative_path") == path).select("relative_path", text.alias("content"), line_count("content").alias("total_lines"), language.alias("language"))
+    normal, _ = paths.normalized(F.lit(path))
+    out = F.lit(False)
+    for f in exclusion_flags(F.col("relative_path"), rules).values():
+        out = out | f
+    same = (F.col("size_bytes") == F.octet_length("content")) & (F.col("size_bytes") <= max_bytes)
+    return files.filter((F.col("relative_path") == normal) & ~out & same).select("relative_path", text.alias("content"), line_count("content").alias("total_lines"), language.alias("language"))

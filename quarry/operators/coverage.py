@@ -60,6 +60,21 @@ def scan_status(files: DataFrame, skipped: DataFrame, omitted: int = 0) -> DataF
     return counts.select((inspected + F.col("skipped") + omitted).alias("presented"), inspected.alias("inspected"), "skipped", ((F.col("skipped") == 0) & F.lit(omitted == 0)).alias("complete"))
 
 
+def completeness(failed: DataFrame, skipped: DataFrame, uninspected_: DataFrame, omitted: int = 0) -> DataFrame:
+    """One row: failed, skipped, uninspected, omitted, complete (if all are 0)."""
+    parts = [df.agg(F.count("*").alias(n)) for df, n in ((failed, "failed"), (skipped, "skipped"), (uninspected_, "uninspected"))]
+    rows = parts[0].select(F.col("failed"), F.lit(0).cast("long").alias("skipped"), F.lit(0).cast("long").alias("uninspected"))
+    rows = rows.union(parts[1].select(F.lit(0).cast("long"), "skipped", F.lit(0).cast("long"))).union(parts[2].select(F.lit(0).cast("long"), F.lit(0).cast("long"), "uninspected"))
+    sums = rows.agg(*(F.sum(c).alias(c) for c in ("failed", "skipped", "uninspected"))).withColumn("omitted", F.lit(omitted).cast("long"))
+    return sums.withColumn("complete", F.col("failed") + F.col("skipped") + F.col("uninspected") + F.col("omitted") == 0)
+
+
+def duplicate_scope(changed: DataFrame) -> DataFrame:
+    """(path, n): paths that a review's scope lists more than once, which it rejects. changed: a row a path and range list."""
+    normal, _ = paths.normalized(F.col("path"))
+    return changed.select(normal.alias("path")).groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
+
+
 def evidence(findings: DataFrame, files: DataFrame) -> DataFrame:
     """Findings with lines checked against their file, and ``problem``: why one is rejected, else null.
 

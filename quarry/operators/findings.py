@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.tables import save
+from .ordering import placed
+
 # Ranks of severities and confidences, order and id prefixes of categories.
 SEVERITIES = ["info", "low", "medium", "high", "critical"]
 CONFIDENCES = ["low", "medium", "high"]
@@ -48,10 +51,18 @@ def total_order() -> list[Column]:
 
 
 def numbered(findings: DataFrame) -> DataFrame:
-    """Adds id, ``PREFIX-001`` by the rank among all findings, as its first column. One task: a report is of limited size."""
-    place = F.row_number().over(Window.orderBy(*total_order()))
+    """Adds id, ``PREFIX-001`` by the place among all findings, as its first column; in this order."""
     prefix = F.create_map(*(F.lit(x) for kv in CATEGORIES.items() for x in kv))[F.col("category")]
-    return findings.select(F.format_string("%s-%03d", prefix, place).alias("id"), *COLUMNS)
+    return placed(findings.select(*COLUMNS), total_order()).orderBy("place").select(F.format_string("%s-%03d", prefix, F.col("place")).alias("id"), *COLUMNS)
+
+
+def _islands(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds island: rows of a key whose lines overlap, one after the other, have the same number. So a busy file is many
+    small groups, and rows of different islands never meet."""
+    low, high = F.least("line_start", "line_end"), F.greatest("line_start", "line_end")
+    order = Window.partitionBy(*keys).orderBy(low, high)
+    new = F.when(low <= F.max(high).over(order.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1)
+    return rows.withColumn("_new", new).withColumn("island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
 def kept(findings: DataFrame, min_confidence: str = "low", categories: list[str] | None = None) -> DataFrame:
@@ -75,7 +86,8 @@ def merge_sources(findings: DataFrame) -> DataFrame:
     order = F.struct(*([-rank("severity", SEVERITIES), -rank("confidence", CONFIDENCES)] + [c for c in (F.split("file", "/"), F.col("line_start"), F.col("line_end"), rank("source", SOURCES), F.coalesce("rule", F.lit("")), F.col("title"), F.col("description"))] + [F.col("code_snippet").isNotNull(), F.coalesce("code_snippet", F.lit("")), F.col("suggestion").isNotNull(), F.coalesce("suggestion", F.lit(""))]))
     keyed = findings.filter(can).withColumn("norm", normal_rule(F.col("rule")))
     # The order's rank within a group stands in for the whole order.
-    keyed = keyed.withColumn("place", F.row_number().over(Window.partitionBy("category", "file", "norm").orderBy(order)))
+    keyed = _islands(keyed, ["category", "file", "norm"])
+    keyed = keyed.withColumn("place", F.row_number().over(Window.partitionBy("category", "file", "norm", "island").orderBy(order)))
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         out: list[dict] = []
@@ -94,7 +106,7 @@ def merge_sources(findings: DataFrame) -> DataFrame:
                 out.append(row)
         return pd.DataFrame(out, columns=group.columns)[COLUMNS]
 
-    merged = keyed.groupBy("category", "file", "norm").applyInPandas(merge, SCHEMA)
+    merged = keyed.groupBy("category", "file", "norm", "island").applyInPandas(merge, SCHEMA)
     return merged.unionByName(findings.filter(~F.coalesce(can, F.lit(False))).select(*COLUMNS))
 
 
@@ -123,13 +135,13 @@ def dedupe_run(findings: DataFrame) -> DataFrame:
                 by_rule.setdefault(rule, []).append((a, b))
         return group.loc[keep]
 
-    spans = findings.filter(has)
-    return spans.groupBy("file").applyInPandas(dedupe, spans.schema).unionByName(findings.filter(~has))
+    spans, names = findings.filter(has), findings.columns
+    return _islands(spans, ["file"]).groupBy("file", "island").applyInPandas(lambda g: dedupe(g)[names], spans.schema).unionByName(findings.filter(~has))
 
 
 def finalize(findings: DataFrame, min_confidence: str = "low", categories: list[str] | None = None) -> DataFrame:
-    """Filter, merge sources, order, number."""
-    return numbered(merge_sources(kept(findings, min_confidence, categories)))
+    """Filter, merge sources, order, number. What is left by the filter is written once, so the corpus is read once."""
+    return numbered(merge_sources(save(kept(findings, min_confidence, categories), "found")))
 
 
 def summary(findings: DataFrame) -> DataFrame:
@@ -144,17 +156,38 @@ def above(findings: DataFrame, severity: str) -> DataFrame:
     return findings.agg(F.coalesce(F.bool_or(rank("severity", SEVERITIES) >= SEVERITIES.index(severity)), F.lit(False)).alias("fails"))
 
 
-def retained_bytes() -> Column:
-    """UTF-8 bytes of a finding's texts."""
+def retained_bytes(numbered: bool = False) -> Column:
+    """UTF-8 bytes of a finding's texts; numbered: with its id."""
     out = F.lit(0)
-    for c in "title description file code_snippet suggestion rule".split():
+    for c in ["id"] * numbered + ["title", "description", "file", "code_snippet", "suggestion", "rule"]:
         out = out + F.coalesce(F.octet_length(c), F.lit(0))
     return out.cast("long")
 
 
 def admit(findings: DataFrame, most: int = 10_000, most_bytes: int = 8 << 20) -> DataFrame:
     """The findings, after one count; raises if they are too many or too large together."""
-    n, size = findings.agg(F.count("*"), F.coalesce(F.sum(retained_bytes()), F.lit(0))).first()
+    n, size = findings.agg(F.count("*"), F.coalesce(F.sum(retained_bytes("id" in findings.columns)), F.lit(0))).first()
     if n > most or size > most_bytes:
         raise ValueError(f"{n} findings of {size} bytes exceed {most} findings and {most_bytes} bytes")
     return findings
+
+
+#: Findings of a submission; bytes of a finding's title, description, snippet, suggestion and rule.
+MAX_SUBMISSION = 1000
+MAX_FIELDS = {"title": 512, "description": 16 << 10, "code_snippet": 64 << 10, "suggestion": 16 << 10, "rule": 256}
+
+
+def submitted(findings: DataFrame) -> DataFrame:
+    """(submission, n, problem) of ``findings`` with ``submission``: why a submission is rejected as a whole, else null.
+
+    One bad finding rejects all of its submission: an unknown severity, confidence or category, an empty title or
+    description, a text that is too long, or lines that are not paired, not from 1, or in the wrong order.
+    """
+    bad = F.when(~F.coalesce(F.col("severity").isin(SEVERITIES), F.lit(False)), "severity").when(~F.coalesce(F.col("confidence").isin(CONFIDENCES), F.lit(False)), "confidence").when(~F.coalesce(F.col("category").isin(list(CATEGORIES)), F.lit(False)), "category")
+    for c in ("title", "description"):
+        bad = bad.when(F.coalesce(F.trim(c), F.lit("")) == "", f"{c} is empty")
+    for c, most in MAX_FIELDS.items():
+        bad = bad.when(F.octet_length(c) > most, f"{c} is too long")
+    bad = bad.when(F.col("line_start").isNull() != F.col("line_end").isNull(), "one line only").when((F.col("line_start") < 1) | (F.col("line_end") < F.col("line_start")), "lines")
+    per = findings.groupBy("submission").agg(F.count("*").alias("n"), F.min(bad).alias("bad"))
+    return per.select("submission", "n", F.when(F.col("n") > MAX_SUBMISSION, "too many findings").otherwise(F.col("bad")).alias("problem"))

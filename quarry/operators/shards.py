@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import parent_dir
+from ..sources.tables import save
+from .ordering import running, runs
 
 #: Shards that are worked on; bytes a token; bytes a line.
 MAX_SHARDS, TOKEN_BYTES, LINE_BYTES = 50, 4, 30
@@ -21,26 +23,23 @@ def file_tokens() -> Column:
 
 
 def directory_runs(files: DataFrame) -> DataFrame:
-    """(relative_path, directory, run): files in byte order, numbered by runs of one directory.
+    """(relative_path, size_bytes, directory, run, place): files in byte order, numbered by runs of one directory.
 
-    The byte order can part a directory's files, so one directory may have several runs. An inventory is of limited
-    size (100,000 files), and its order is one sequence: this is one task by nature.
+    The byte order can part a directory's files, so one directory may have several runs.
     """
-    order = Window.orderBy("relative_path")
     d = files.select("relative_path", "size_bytes", parent_dir(F.col("relative_path")).alias("directory"))
-    new = F.when(F.col("directory") == F.lag("directory").over(order), 0).otherwise(1)
-    return d.withColumn("new", new).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
+    return runs(d, ["relative_path"], "directory", "run")
 
 
 def pack_shards(files: DataFrame, budget: int) -> DataFrame:
     """(relative_path, tokens, shard_id): runs of a directory together while they fit; a larger run goes file by file.
 
     Each unit goes to the present shard, or, if that would overflow, to a new one. A file beyond the budget is alone.
+    What is put where depends on all units before, so one task goes through the units: two numbers each, in a stream.
     """
-    runs = directory_runs(files).withColumn("tokens", file_tokens()).withColumn("total", F.sum("tokens").over(Window.partitionBy("run")))
-    order = Window.orderBy("relative_path")
-    first = F.when(F.col("total") > budget, 1).when(F.col("run") == F.lag("run").over(order), 0).otherwise(1)
-    units = runs.withColumn("first", first).withColumn("unit", F.sum("first").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    sized = save(directory_runs(files).withColumn("tokens", file_tokens()), "sized")
+    whole = sized.groupBy("run").agg(F.sum("tokens").alias("total"), F.min("place").alias("first"))
+    units = sized.join(whole, "run").withColumn("unit", F.when(F.col("total") > budget, F.col("place")).otherwise(F.col("first")))
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, used = 0, 0
@@ -53,7 +52,7 @@ def pack_shards(files: DataFrame, budget: int) -> DataFrame:
                 ids.append(shard)
             yield pd.DataFrame({"unit": f["unit"], "shard_id": ids})
 
-    sizes = units.groupBy("unit").agg(F.sum("tokens").alias("tokens")).coalesce(1).sortWithinPartitions("unit")
+    sizes = units.groupBy("unit").agg(F.sum("tokens").alias("tokens")).repartition(1).sortWithinPartitions("unit")
     return units.join(sizes.mapInPandas(pack, "unit long, shard_id long"), "unit").select("relative_path", "tokens", "shard_id")
 
 
@@ -66,9 +65,7 @@ def processed(shards: DataFrame, most: int = MAX_SHARDS) -> tuple[DataFrame, Dat
 def stop_at_budget(rows: DataFrame, order: list[str], size: str, budget: int, least: int = 8) -> DataFrame:
     """Rows up to the first that overflows the budget; that one is kept, with ``room`` for a part of it, if at least
     ``least`` bytes are free. ``room`` is null for rows that fit."""
-    w = Window.orderBy(*order)
-    used = F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    r = rows.withColumn("used", used).withColumn("before", F.col("used") - F.col(size))
+    r = running(rows, order, size, "used").withColumn("before", F.col("used") - F.col(size))
     r = r.filter((F.col("used") <= budget) | ((F.col("before") <= budget) & (budget - F.col("before") >= least)))
     return r.withColumn("room", F.when(F.col("used") > budget, budget - F.col("before"))).drop("used", "before")
 
@@ -76,7 +73,8 @@ def stop_at_budget(rows: DataFrame, order: list[str], size: str, budget: int, le
 def admit_each(rows: DataFrame, order: list[str], size: str, most: int, most_bytes: int) -> DataFrame:
     """Rows in order while they fit: one that would overflow is left out, later smaller ones may still come in.
 
-    The rule is sequential; it is for relations of limited size (a run's findings).
+    Whether a row fits depends on all that came in before, so one task goes through the rows in a stream; only ``rows``
+    themselves are sent there, so give it few columns, or a run's findings.
     """
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -89,7 +87,7 @@ def admit_each(rows: DataFrame, order: list[str], size: str, most: int, most_byt
                 keep.append(ok)
             yield f[keep]
 
-    return rows.coalesce(1).sortWithinPartitions(*order).mapInPandas(fold, rows.schema)
+    return rows.repartition(1).sortWithinPartitions(*order).mapInPandas(fold, rows.schema)
 
 
 def admit_submissions(rows: DataFrame, size: str, most: int, most_bytes: int) -> DataFrame:
@@ -106,7 +104,7 @@ def admit_submissions(rows: DataFrame, size: str, most: int, most_bytes: int) ->
                 keep.append(ok)
             yield f[keep][["submission"]]
 
-    fits = sums.coalesce(1).sortWithinPartitions("submission").mapInPandas(fold, "submission long")
+    fits = sums.repartition(1).sortWithinPartitions("submission").mapInPandas(fold, "submission long")
     return rows.join(fits, "submission", "left_semi")
 
 
@@ -116,3 +114,20 @@ def diagnostics(rows: DataFrame, order: list[str], most: int, most_bytes: int) -
     kept = admit_each(sized, order, "bytes", most, most_bytes).drop("bytes")
     counts = rows.select(F.lit(1).alias("n")).union(kept.select(F.lit(-1))).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("omitted"))
     return kept.orderBy("text"), counts
+
+
+def listing(files: DataFrame, signatures: DataFrame, budget: int, most_bytes: int) -> DataFrame:
+    """(relative_path, line, signatures): the lines of a repository listing in path order that fit into ``most_bytes``, each
+    with its signatures as long as those fit into ``budget`` tokens.
+
+    A line that does not fit is left out, later ones may still come in; signatures stop for good at the first file that
+    overflows. files: (relative_path, size_bytes); signatures: (relative_path, line_start, text).
+    """
+    line = F.concat(F.lit("- "), "relative_path", F.lit(" (~"), F.floor(F.col("size_bytes") / LINE_BYTES).cast("string"), F.lit(" lines)\n"))
+    lines = files.select("relative_path", line.alias("line"), F.octet_length(line).alias("bytes"))
+    kept = save(admit_each(lines, ["relative_path"], "bytes", 1 << 62, most_bytes).select("relative_path", "line"), "listing")
+    shown = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_start", "text"))), lambda x: F.concat(F.lit("    "), x["text"], F.lit("\n"))), "")
+    texts = signatures.join(kept.select("relative_path"), "relative_path", "left_semi").groupBy("relative_path").agg(shown.alias("signatures"))
+    texts = texts.withColumn("tokens", F.ceil(F.octet_length("signatures") / TOKEN_BYTES).cast("long"))
+    fit = running(texts, ["relative_path"], "tokens", "used").filter(F.col("used") <= budget).select("relative_path", "signatures")
+    return kept.join(fit, "relative_path", "left").select("relative_path", "line", "signatures")

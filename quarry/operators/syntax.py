@@ -72,7 +72,7 @@ def scan(text: str, language: str) -> dict:
         if len(found) > MAX_SIGNATURES or sum(len(x[3].encode()) for x in found) > MAX_NAME_BYTES:
             raise ValueError("too many signatures")
         return {"parsed": True, "found": [dict(zip(("line_start", "line_end", "kind", "name"), x, strict=True)) for x in found]}
-    except (SyntaxError, ValueError, RecursionError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):  # the parser's stack is a MemoryError
         return {"parsed": False, "found": []}
 
 

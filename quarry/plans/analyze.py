@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import corpus, coverage, detectors, findings, syntax
+from ..sources.tables import save
 
 
 @dataclass(frozen=True)
@@ -38,11 +39,11 @@ class Result:
 
 
 def analyze(files: DataFrame, config: Config = Config(), model_findings: DataFrame | None = None) -> Result:
-    """Static detectors over ``files``, with a model's findings if given, finalized."""
-    found = detectors.static_findings(files, config.categories, config.max_file_lines, config.max_function_lines)
+    """Static detectors over ``files``, with a model's findings if given, finalized. Too many static findings fail the scan."""
+    found = findings.admit(save(detectors.static_findings(files, config.categories, config.max_file_lines, config.max_function_lines), "static"))
     if model_findings is not None:
         found = found.unionByName(model_findings.select(*findings.COLUMNS))
-    final = findings.finalize(found, config.min_confidence, config.categories)
+    final = save(findings.finalize(found, config.min_confidence, config.categories), "final")
     unparsed = syntax.scanned(files).filter("not parsed").select("relative_path", F.lit("parse failure").alias("reason"))
     return Result(final, findings.summary(final), findings.above(final, config.fail_severity), coverage.scan_status(files, unparsed))
 

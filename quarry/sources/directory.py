@@ -1,5 +1,6 @@
 """A directory tree as a corpus: hidden files too, under repository ignore rules. Spark's own file sources skip names
-that begin with a dot or an underscore, so this is a Python data source. Each top-level entry is a partition."""
+that begin with a dot or an underscore, so this is a Python data source. Folders are opened up until there are ``PARTS``
+partitions or no more folders; every entry that is visited gives a row with its status."""
 
 from __future__ import annotations
 
@@ -13,6 +14,20 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.corpus import MAX_FILE_BYTES
 
+PARTS = 256
+# Bytes of an ignore file and of a line in it, patterns and their bytes in all.
+MAX_IGNORE_BYTES, MAX_IGNORE_LINE, MAX_PATTERNS, MAX_PATTERN_BYTES = 1 << 20, 16 << 10, 100_000, 16 << 20
+SCHEMA = pa.schema([("relative_path", pa.string()), ("content", pa.string()), ("size_bytes", pa.int64()), ("reason", pa.string()), ("status", pa.string())])
+
+
+def shown_path(path: str) -> str:
+    """A path that is not UTF-8 as ``<bytes>:`` and its bytes, all but plain ones as ``%XX``."""
+    try:
+        path.encode()
+        return path
+    except UnicodeEncodeError:
+        return "<bytes>:" + "".join(chr(c) if chr(c) in "/._-" or chr(c).isalnum() and c < 128 else f"%{c:02X}" for c in os.fsencode(path))
+
 
 def glob_rule(pattern: str) -> tuple[re.Pattern, bool, bool] | None:
     """(rule on the path below the ignore file, reinstates, directories only) of one line of an ignore file."""
@@ -46,35 +61,66 @@ def glob_rule(pattern: str) -> tuple[re.Pattern, bool, bool] | None:
     return re.compile(("" if rooted else "(?:.*/)?") + out + r"\Z", re.S), back, folder
 
 
-def _rules(folder: str, name: str) -> list:
+def _rules(path: str) -> list:
+    """The rules of an ignore file; one beyond the limits is an error."""
     try:
-        with open(os.path.join(folder, name), encoding="utf-8", errors="replace") as f:
-            return [r for line in f if (r := glob_rule(line))]
+        with open(path, "rb") as f:
+            raw = f.read(MAX_IGNORE_BYTES + 1)
     except OSError:
         return []
+    lines = raw.decode("utf-8", "replace").removeprefix("\ufeff").split("\n")
+    if len(raw) > MAX_IGNORE_BYTES or any(len(line) > MAX_IGNORE_LINE for line in lines):
+        raise ValueError(f"{path}: an ignore file of at most {MAX_IGNORE_BYTES} bytes, {MAX_IGNORE_LINE} a line, was expected")
+    return [r for line in lines if (r := glob_rule(line))]
 
 
 class IgnoreRules:
-    """Of each directory the rules of ``.ignore``, then ``.gitignore``; the nearest directory that says anything decides."""
-
-    def __init__(self, root: str, enabled: bool = True):
-        self.root, self.enabled = root, enabled
-        self.checkout = os.path.exists(os.path.join(root, ".git"))
-        self.cache: dict[tuple[str, str], list] = {}
+    """Of each directory the rules of ``.ignore``, then ``.gitignore``, at the checkout's top also ``info/exclude``; the
+    nearest directory that says anything decides, last of all the user's own excludes.
+
+    Two models. A walk looks above the root too, and applies git's rules only inside a checkout, up to its top. A query
+    about a path (``walk`` is false) takes the root for the top of a checkout and never looks above it.
+    """
+
+    def __init__(self, root: str, enabled: bool = True, walk: bool = True, excludes: str | None = None):
+        self.root, self.enabled, self.excludes = os.path.abspath(root), enabled, excludes
+        folders, at = [self.root], self.root
+        while walk and os.path.dirname(at) != at:
+            at = os.path.dirname(at)
+            folders.append(at)
+        marked = [any(os.path.exists(os.path.join(f, m)) for m in (".git", ".jj")) for f in folders]
+        self.top = folders[marked.index(True)] if True in marked else None if walk else self.root
+        self.above = folders[1:]
+        self.cache: dict[str, list] = {}
+        self.patterns = self.bytes = 0
+
+    def _of(self, path: str) -> list:
+        if path not in self.cache:
+            self.cache[path] = _rules(path)
+            self.patterns += len(self.cache[path])
+            self.bytes += sum(len(r[0].pattern) for r in self.cache[path])
+            if self.patterns > MAX_PATTERNS or self.bytes > MAX_PATTERN_BYTES:
+                raise ValueError("too many ignore patterns")
+        return self.cache[path]
+
+    def _sources(self, folder: str) -> list[str]:
+        git = self.top is not None and os.path.commonpath([folder, self.top]) == self.top
+        names = [".ignore"] + [".gitignore"] * git + [".git/info/exclude"] * (folder == self.top)
+        return [os.path.join(folder, n) for n in names]
 
     def ignored(self, path: str, folder: bool) -> bool:
         if not self.enabled:
             return False
         parts = path.split("/")
-        for k in range(len(parts) - 1, -1, -1):
-            base, rest = "/".join(parts[:k]), "/".join(parts[k:])
-            names = [".ignore"] + ([".gitignore"] if self.checkout else []) + ([".git/info/exclude"] if self.checkout and not base else [])
-            for name in names:
-                if (base, name) not in self.cache:
-                    self.cache[base, name] = _rules(os.path.join(self.root, base), name)
-                for rule, back, only in reversed(self.cache[base, name]):
-                    if (folder or not only) and rule.match(rest):
-                        return not back
+        places = [(os.path.join(self.root, *parts[:k]), "/".join(parts[k:])) for k in range(len(parts) - 1, -1, -1)]
+        places += [(a, os.path.relpath(os.path.join(self.root, path), a)) for a in self.above]
+        sources = [(s, rest) for base, rest in places for s in self._sources(base)]
+        if self.excludes and self.top:
+            sources.append((self.excludes, path))
+        for source, rest in sources:
+            for rule, back, only in reversed(self._of(source)):
+                if (folder or not only) and rule.match(rest):
+                    return not back
         return False
 
 
@@ -88,66 +134,104 @@ class CorpusReader(DataSourceReader):
         self.root = os.path.realpath(options["path"])
         self.most = int(options.get("maxfilebytes", MAX_FILE_BYTES))
         self.rules = str(options.get("ignorefiles", "true")).lower() == "true"
+        self.excludes = options.get("excludes")
 
     def partitions(self) -> list[_Part]:
-        return [_Part(e) for e in sorted(os.listdir(self.root))]
+        rules = self._rules()
+        done, todo = [], sorted(os.listdir(self.root))
+        while todo and len(done) + len(todo) < PARTS:
+            opened = []
+            for e in todo:
+                full = os.path.join(self.root, e)
+                if os.path.isdir(full) and not os.path.islink(full) and os.path.basename(e) != ".git" and not rules.ignored(e, True):
+                    try:
+                        opened += [f"{e}/{x}" for x in sorted(os.listdir(full))]
+                        continue
+                    except OSError:
+                        pass
+                done.append(e)
+            todo = opened
+        return [_Part(e) for e in sorted(done + todo)]
+
+    def _rules(self) -> IgnoreRules:
+        return IgnoreRules(self.root, self.rules, excludes=self.excludes)
+
+    def _entry(self, path: str, rules: IgnoreRules) -> tuple[dict, list[str]]:
+        """A row about an entry, and the entries below a folder."""
+        full = os.path.join(self.root, path)
+        row = dict.fromkeys(SCHEMA.names) | {"relative_path": shown_path(path)}
+        try:
+            info = os.lstat(full)
+            row["size_bytes"] = info.st_size
+            if stat.S_ISLNK(info.st_mode):
+                real = os.path.realpath(full)
+                if os.path.commonpath([real, self.root]) != self.root:
+                    return row | {"status": "outside"}, []
+                info = os.stat(full)
+                if stat.S_ISDIR(info.st_mode):
+                    return row | {"status": "special"}, []
+            folder = stat.S_ISDIR(info.st_mode)
+            if rules.ignored(path, folder) or folder and os.path.basename(path) == ".git":
+                return row | {"status": "ignored"}, []
+            if folder:
+                return row | {"status": "folder"}, [f"{path}/{e}" for e in sorted(os.listdir(full), reverse=True)]
+            if not stat.S_ISREG(info.st_mode):
+                return row | {"status": "special"}, []
+            if info.st_size > self.most:
+                return row | {"status": "too large", "size_bytes": info.st_size}, []
+            fd = os.open(full, os.O_RDONLY | os.O_NONBLOCK)
+            with os.fdopen(fd, "rb") as f:
+                now = os.fstat(f.fileno())
+                if (now.st_dev, now.st_ino) != (info.st_dev, info.st_ino):
+                    return row | {"status": "unreadable", "reason": "changed while it was read"}, []
+                raw = f.read(self.most + 1)
+            if len(raw) > self.most:
+                return row | {"status": "too large"}, []
+            if b"\0" in raw[:8192]:
+                return row | {"status": "binary"}, []
+            return row | {"status": "file", "size_bytes": len(raw), "content": raw.decode("utf-8", "replace")}, []
+        except OSError as e:
+            return row | {"status": "unreadable", "reason": e.strerror or "unreadable"}, []
 
     def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
-        rules = IgnoreRules(self.root, self.rules)
-        todo = [partition.entry]
+        rules, todo = self._rules(), [partition.entry]
         while todo:
-            path = todo.pop()
-            full = os.path.join(self.root, path)
-            row = dict.fromkeys(("content", "reason"), None) | {"relative_path": path, "size_bytes": None}
-            try:
-                info = os.lstat(full)
-                if stat.S_ISLNK(info.st_mode):
-                    real = os.path.realpath(full)
-                    if os.path.commonpath([real, self.root]) != self.root:
-                        continue  # outside the tree
-                    info = os.stat(full)
-                    if stat.S_ISDIR(info.st_mode):
-                        continue
-                if rules.ignored(path, stat.S_ISDIR(info.st_mode)):
-                    continue
-                if stat.S_ISDIR(info.st_mode):
-                    if os.path.basename(path) != ".git":
-                        todo += [f"{path}/{e}" for e in sorted(os.listdir(full), reverse=True)]
-                    continue
-                if not stat.S_ISREG(info.st_mode) or info.st_size > self.most:
-                    continue
-                row["size_bytes"] = info.st_size
-                fd = os.open(full, os.O_RDONLY | os.O_NONBLOCK)
-                with os.fdopen(fd, "rb") as f:
-                    raw = f.read(self.most + 1)
-                if len(raw) > self.most or b"\0" in raw[:8192]:
-                    continue
-                row["content"] = raw.decode("utf-8", "replace")
-            except OSError as e:
-                row["reason"] = e.strerror or "unreadable"
-            yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("relative_path", pa.string()), ("content", pa.string()), ("size_bytes", pa.int64()), ("reason", pa.string())]))
+            row, below = self._entry(todo.pop(), rules)
+            todo += below
+            yield pa.RecordBatch.from_pylist([row], schema=SCHEMA)
 
 
 class CorpusSource(DataSource):
-    """``spark.read.format("corpus").load(root)``: files, and with a reason those that could not be read."""
+    """``spark.read.format("corpus").load(root)``: a row for each visited entry, with its status: file, folder, ignored, too
+    large, binary, outside (a link out of the tree), special, or unreadable, with a reason."""
 
     @classmethod
     def name(cls) -> str:
         return "corpus"
 
     def schema(self) -> str:
-        return "relative_path string, content string, size_bytes long, reason string"
+        return "relative_path string, content string, size_bytes long, reason string, status string"
 
     def reader(self, schema) -> CorpusReader:
         return CorpusReader(self.options)
 
 
+def walk(spark, root: str, max_file_bytes: int = MAX_FILE_BYTES, ignore_files: bool = True, excludes: str | None = None):
+    """Every visited entry of a tree: (relative_path, content, size_bytes, reason, status).
+
+    excludes: a file with rules of the user's own. An untrusted snapshot sets ignore_files to false.
+    """
+    spark.dataSource.register(CorpusSource)
+    reader = spark.read.format("corpus").option("maxFileBytes", max_file_bytes).option("ignoreFiles", str(ignore_files))
+    return (reader.option("excludes", excludes) if excludes else reader).load(root)
+
+
 def read_directory(spark, root: str, max_file_bytes: int = MAX_FILE_BYTES, ignore_files: bool = True):
-    """(files, unreadable) of a tree; an untrusted snapshot sets ignore_files to false."""
+    """(files, unreadable) of a tree; unreadable in the order of path and reason."""
     from pyspark.sql import functions as F
 
     from ..operators.corpus import with_language
 
-    spark.dataSource.register(CorpusSource)
-    rows = spark.read.format("corpus").option("maxFileBytes", max_file_bytes).option("ignoreFiles", str(ignore_files)).load(root)
-    return with_language(rows.filter("reason is null")), rows.filter("reason is not null").select("relative_path", "reason", F.concat("relative_path", F.lit(" ("), "reason", F.lit(")")).alias("shown"))
+    rows = walk(spark, root, max_file_bytes, ignore_files)
+    unreadable = rows.filter("status = 'unreadable'").select("relative_path", "reason", F.concat("relative_path", F.lit(" ("), "reason", F.lit(")")).alias("shown"))
+    return with_language(rows.filter("status = 'file'")), unreadable.orderBy("relative_path", "reason")

@@ -321,7 +321,7 @@ def test_analysis_and_reports(spark, tmp_path):
     assert '"total": 2' in text
     report.write_atomically(str(tmp_path / "r.json"), text)
     assert (tmp_path / "r.json").read_text() == text
-    assert [r.text.split("\n")[0] for r in report.markdown(result.findings).orderBy("id").collect()] == ["### QUAL-002 TODO comment", r"### VULN-001 Hard\-coded secret/token"]
+    assert [r.text.split("\n")[0] for r in report.markdown(result.findings).orderBy("id").collect()] == ["## [low] TODO comment", r"## [critical] Hard\-coded secret/token"]
     hunks = spark.createDataFrame([("a.py", 2, 2)], "path string, start int, end int")
     assert [(r.id, r.line_start) for r in analyze.analyze_review(f, hunks).findings.collect()] == [("QUAL-001", 2)]
     assert (report.exit_code(False, True), report.exit_code(True, True), report.exit_code(True, False)) == (5, 1, 0)
@@ -344,3 +344,108 @@ def test_watch(spark, tmp_path):
     q = live.writeStream.format("memory").queryName("watch_out").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted((r.file, r.line_start, r.severity) for r in spark.table("watch_out").collect()) == [("a.py", 1, "low"), ("a.py", 2, "critical"), ("b.c", 2, "low")]
+
+
+def test_report_document(spark):
+    rows = [found(title="a*b", code_snippet="``` x\n", description="one\n<two>", suggestion="do"), found(severity="high", line_start=None, line_end=None, rule=None)]
+    numbered = findings.numbered(frame(spark, rows))
+    scan = spark.createDataFrame([(3, 2, 1, False)], "presented long, inspected long, skipped long, complete boolean")
+    text = report.markdown_report(numbered, scan, spark.createDataFrame([("b_c.rs", "parse failure")], "relative_path string, reason string"), spark.createDataFrame([("z",), ("a",)], "path string"))
+    assert text.startswith("# Analysis report\n\n**Findings:** 2\n\n## [high] t\n\n**ID:** QUAL\\-001\n") and "## [low] a\\*b" in text
+    assert "**Lines:** 1-2\n**Rule:** x\\.My\\-Rule\n\none\n&lt;two&gt;\n\n**Code:**\n\n~~~\n``` x\n~~~\n\n**Suggestion:** do\n\n---\n\n" in text
+    assert text.endswith("## Coverage\n\n**Completeness:** partial\n**Files inspected:** 2/3\n\n**Files never presented:** 1\n\n- b\\_c\\.rs \\(parse failure\\)\n\n**Files presented but not inspected:** 2\n\n- a\n- z\n")
+    assert report.exit_code(True, False, "cancelled") == 130 and report.exit_code(False, True, "configuration") == 2
+
+
+def test_orders_over_many_ranges(spark):
+    from quarry.operators import ordering
+
+    r = random.Random(5)
+    rows = [(f"{r.choice('abc')}/{k % 7}", k % 5) for k in range(300)]
+    f = spark.createDataFrame(rows, "p string, n int").repartition(5)
+    want = sorted(rows)
+    got = sorted((x.place, x.p, x.n) for x in ordering.placed(f, ["p", "n"]).collect())
+    assert [x[1:] for x in got] == want and [x[0] for x in got] == list(range(1, 301))
+    assert sorted(x.used for x in ordering.running(f, ["p", "n"], "n", "used").collect()) == list(itertools.accumulate(n for _, n in want))
+    runs = sorted((x.place, x.p, x.run) for x in ordering.runs(f.withColumn("d", F.substring("p", 1, 1)), ["p", "n"], "d", "run").collect())
+    numbers = {d: k for k, d in enumerate("abc", 1)}
+    assert [x[2] for x in runs] == [numbers[p[0]] for p, _ in want]
+    assert ordering.placed(f.limit(0), ["p"]).count() == 0
+
+
+def test_submissions(spark):
+    rows = [(1, *found()), (1, *found(severity="awful")), (2, *found()), (3, *found(title=" ")), (4, *found(line_end=None)), (5, *found(line_start=3)), (6, *found(rule="r" * 257)), (7, *found(line_start=None, line_end=None))]
+    f = spark.createDataFrame(rows, findings.T.StructType([findings.T.StructField("submission", findings.T.LongType()), *findings.SCHEMA]))
+    assert {r.submission: r.problem for r in findings.submitted(f).collect()} == {1: "severity", 2: None, 3: "title is empty", 4: "one line only", 5: "lines", 6: "rule is too long", 7: None}
+    many = findings.submitted(f.filter("submission = 2").crossJoin(spark.range(1001)))
+    assert many.first().problem == "too many findings"
+
+
+def test_listing(spark):
+    f = files(spark, ("a.py", "x" * 90), ("b.py", "x" * 3000), ("long" * 20 + ".py", "x"), ("z.py", ""))
+    text = spark.createDataFrame([("a.py", 2, "def b"), ("a.py", 1, "def a"), ("b.py", 1, "def " + "c" * 200), ("z.py", 1, "def z"), ("none.py", 1, "x")], "relative_path string, line_start int, text string")
+    rows = {r.relative_path: (r.line, r.signatures) for r in shards.listing(f, text, 20, 60).collect()}
+    assert rows == {"a.py": ("- a.py (~3 lines)\n", "    def a\n    def b\n"), "b.py": ("- b.py (~100 lines)\n", None), "z.py": ("- z.py (~0 lines)\n", None)}
+
+
+def test_scope_and_search_limits(spark):
+    f = files(spark, *((f"{k:04}.py", "hit\nmiss") for k in range(600)), ("zz.py", "hit"))
+    only = spark.createDataFrame([("0001.py",), ("zz.py",)], "relative_path string")
+    assert search.search_scoped(f, "hit", None).count() == 601
+    assert [r.relative_path for r in search.search_scoped(f, "hit", only).collect()] == ["0001.py"]  # the limit counts before the scope
+    with pytest.raises(ValueError):
+        search.search(f, "x" * 5000)
+    big = files(spark, ("a.py", ("y" * 60_000 + "\n") * 40))
+    with pytest.raises(Exception, match="too much text"):
+        search.search(big, "y").collect()
+
+
+def test_nodes_with_their_source(spark):
+    f = files(spark, ("a.rs", "fn one() {\n  x();\n}\n  fn two() {}\n"), ("big.rs", "fn b() {\n" + "x();\n" * 20_000 + "}\n"), ("c.rb", "def x\nend"))
+    assert [(r.name, r.code) for r in syntax.search_nodes(f, "a.rs", "function").collect()] == [("one", "fn one() {\n  x();\n}"), ("two", "  fn two() {}")]
+    assert [(r.name, r.text) for r in syntax.signature_lines(f).filter("relative_path = 'a.rs'").orderBy("line_start").collect()] == [("one", "fn one() {"), ("two", "fn two() {}")]
+    with pytest.raises(Exception, match="too large"):
+        syntax.search_nodes(f, "big.rs").collect()
+    assert syntax.signatures(f).filter("relative_path = 'c.rb'").count() == 0
+
+
+def test_configuration_layers(tmp_path):
+    from quarry.plans import config
+
+    user, project = tmp_path / "user.toml", tmp_path / "project.toml"
+    user.write_text('[engine]\nexclude_dirs = ["zzz", "target"]\nmax_depth = 3\n[analysis]\nmin_confidence = "high"\n[analysis.quality]\nmax_file_lines = 9\n')
+    project.write_text('[engine]\nmax_depth = 4\nexclude_extensions = ["foo"]\n')
+    got, rules, size, depth = config.load(str(user), str(project), environment={config.CATEGORIES_VARIABLE: "bug, quality"}, flags={"max_file_lines": 10, "min_confidence": None})
+    assert (got.categories, got.min_confidence, got.max_file_lines, depth, size) == (["bug", "quality"], "high", 10, 4, 1 << 20)
+    assert rules.dirs == sorted({*corpus.EXCLUDED_DIRS, "zzz"}) and "foo" in rules.extensions
+    assert config.load(str(tmp_path / "none"), environment={})[3] is None
+    with pytest.raises(FileNotFoundError):
+        config.load(explicit_file=str(tmp_path / "none"), environment={})
+    for bad in ("[engine]\nmax_depth = 0", "[engine]\nmax_file_size_bytes = 100000000", '[engine]\nexclude_dirs = [" "]', '[analysis]\ncategories = ["x"]', "[analysis.quality]\nmax_file_lines = 0"):
+        project.write_text(bad)
+        with pytest.raises(ValueError):
+            config.load(project_file=str(project), environment={})
+
+
+def test_walk_outcomes(spark, tmp_path):
+    root = tmp_path / "up" / "root"
+    (root / "d" / "e").mkdir(parents=True)
+    (tmp_path / "up" / ".ignore").write_text("above.txt\n")
+    (tmp_path / "up" / ".gitignore").write_text("kept.txt\n")
+    for name, data in (("a.py", b"x"), ("big", b"y" * 50), ("bin", b"a\0b"), ("above.txt", b"x"), ("kept.txt", b"x"), ("d/e/f.rs", b"fn"), ("mine.tmp", b"")):
+        (root / name).write_bytes(data)
+    (root / "out").symlink_to("/etc/hostname")
+    rows = directory.walk(spark, str(root), max_file_bytes=20)
+    got = {r.relative_path: r.status for r in rows.collect()}
+    assert {k: v for k, v in got.items() if v != "folder"} == {"a.py": "file", "big": "too large", "bin": "binary", "above.txt": "ignored", "kept.txt": "file", "d/e/f.rs": "file", "mine.tmp": "file", "out": "outside"}
+    count = corpus.accounting(rows, "/r").first()
+    assert (count.visited, count.files, count.source_bytes, count.path_bytes) == (len(got), 4, 4, sum(2 * len(k) + 3 for k, v in got.items() if v == "file"))
+    assert corpus.check_walk(rows) is rows
+    query = directory.IgnoreRules(str(root), walk=False)
+    assert not query.ignored("above.txt", False)
+    (root / ".git").mkdir()
+    (tmp_path / "own").write_text("*.tmp\n")
+    assert directory.IgnoreRules(str(root), excludes=str(tmp_path / "own")).ignored("mine.tmp", False)
+    (root / ".gitignore").write_text("x" * 20_000)
+    with pytest.raises(ValueError):
+        directory.IgnoreRules(str(root)).ignored("a.py", False)

@@ -46,7 +46,8 @@ def test_entry(spark):
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
-    assert __spark_entry__.entry(spark).columns[0] == "id"
+    rows = __spark_entry__.entry(spark)
+    assert rows.columns[0] == "id" and rows.count() > 5
 
 
 def test_queries_of_secrets_know_all_kinds(spark, tmp_path):

@@ -40,7 +40,23 @@ def test_once_lines(spark):
 
 def test_sanitize_and_markdown(spark):
     assert one(spark, "a\x1b[0m‮b\n", text.sanitize("t")) == "a\\u{1b}[0m\\u{202e}b\\u{a}"
-    assert one(spark, "a*b\n`c`", text.markdown_inline("t")) == r"a\*b \`c\`"
+    assert one(spark, "a*b\n`c` <&> =\x07", text.markdown_inline("t")) == r"a\*b\u{a}\`c\` &lt;&amp;&gt; \=\u{7}"
+    assert one(spark, "a*b\n<c>\t", text.markdown_block("t")) == "a\\*b\n&lt;c&gt;\\u{9}"
+    assert one(spark, "a*b\n<c>\t", text.markdown_code("t")) == "a*b\n<c>\\u{9}"
+
+
+@pytest.mark.parametrize(
+    ("source", "size", "want"),
+    [("plain", 5, "plain"), ("plain words", 10, "…[trunca"), ("a\x1b b", 9, "a\\u{1b} b"), ("abcdefgh\x1bijklmnopqrstuvw", 22, "abcdefgh…[truncated]"), ("é" * 20, 20, "ééé…[truncated]"), ("xyz", 2, ""), ("ab\x1bcdefghijklmnop", 20, "ab…[truncated]"), ("", 0, "")],
+)
+def test_bounded_sanitizing(spark, source, size, want):
+    got = one(spark, source, text.sanitize_bounded("t", size))
+    assert got == want and len(got.encode()) <= size
+
+
+@pytest.mark.parametrize(("raw", "want"), [(b"a/b.rs", "a/b.rs"), ("ü".encode(), "ü"), (b"a b/\xff-\xc3_", "<bytes>:a%20b/%FF-%C3_")])
+def test_path_keys(spark, raw, want):
+    assert spark.createDataFrame([(bytearray(raw),)], "t binary").select(paths.key(F.col("t"))).first()[0] == want
 
 
 @pytest.mark.parametrize(("snippet", "fence"), [("x", "```"), ("a ``` b", "~~~"), ("``` ~~~", "````"), ("```` ~~~", "~~~~")])
