@@ -56,13 +56,17 @@ def numbered(findings: DataFrame) -> DataFrame:
     return placed(findings.select(*COLUMNS), total_order()).orderBy("place").select(F.format_string("%s-%03d", prefix, F.col("place")).alias("id"), *COLUMNS)
 
 
+#: Islands of rows that are worked on together.
+ISLANDS = 1000
+
+
 def _islands(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds island: rows of a key whose lines overlap, one after the other, have the same number. So a busy file is many
-    small groups, and rows of different islands never meet."""
+    """Adds island: rows of a key whose lines overlap, one after the other, have the same number; rows of different islands
+    never meet. And cell: ISLANDS of them, so that a busy file is many groups."""
     low, high = F.least("line_start", "line_end"), F.greatest("line_start", "line_end")
     order = Window.partitionBy(*keys).orderBy(low, high)
     new = F.when(low <= F.max(high).over(order.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1)
-    return rows.withColumn("_new", new).withColumn("island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    return rows.withColumn("_new", new).withColumn("island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new").withColumn("cell", F.expr(f"island div {ISLANDS}"))
 
 
 def kept(findings: DataFrame, min_confidence: str = "low", categories: list[str] | None = None) -> DataFrame:
@@ -91,8 +95,11 @@ def merge_sources(findings: DataFrame) -> DataFrame:
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         out: list[dict] = []
-        for row in group.sort_values("place").astype(object).where(group.notna(), None).to_dict("records"):
-            for i, have in enumerate(out):
+        at: dict[int, list[int]] = {}
+        for row in group.sort_values(["island", "place"]).astype(object).where(group.notna(), None).to_dict("records"):
+            own = at.setdefault(row["island"], [])
+            for i in own:
+                have = out[i]
                 if have["source"] != row["source"] and have["line_start"] <= row["line_end"] and row["line_start"] <= have["line_end"]:
                     base, other = (have, row) if have["source"] == "static" else (row, have)
                     joined = dict(base)
@@ -103,10 +110,11 @@ def merge_sources(findings: DataFrame) -> DataFrame:
                     out[i] = joined
                     break
             else:
+                own.append(len(out))
                 out.append(row)
         return pd.DataFrame(out, columns=group.columns)[COLUMNS]
 
-    merged = keyed.groupBy("category", "file", "norm", "island").applyInPandas(merge, SCHEMA)
+    merged = keyed.groupBy("category", "file", "norm", "cell").applyInPandas(merge, SCHEMA)
     return merged.unionByName(findings.filter(~F.coalesce(can, F.lit(False))).select(*COLUMNS))
 
 
@@ -121,9 +129,9 @@ def dedupe_run(findings: DataFrame) -> DataFrame:
 
     def dedupe(group: pd.DataFrame) -> pd.DataFrame:
         keep, by_rule, by_title, bare = [], {}, {}, {}
-        for i, rule, title, a, b in group.sort_values("ordinal")[["rule", "title", "line_start", "line_end"]].itertuples():
+        for i, rule, title, a, b, island in group.sort_values("ordinal")[["rule", "title", "line_start", "line_end", "island"]].itertuples():
             a, b = min(a, b), max(a, b)
-            rule = None if pd.isna(rule) else rule
+            rule, title = None if pd.isna(rule) else (island, rule), (island, title)
             seen = by_title.get(title, []) if rule is None else by_rule.get(rule, []) + bare.get(title, [])
             if any(x <= b and a <= y for x, y in seen):
                 continue
@@ -136,7 +144,7 @@ def dedupe_run(findings: DataFrame) -> DataFrame:
         return group.loc[keep]
 
     spans, names = findings.filter(has), findings.columns
-    return _islands(spans, ["file"]).groupBy("file", "island").applyInPandas(lambda g: dedupe(g)[names], spans.schema).unionByName(findings.filter(~has))
+    return _islands(spans, ["file"]).groupBy("file", "cell").applyInPandas(lambda g: dedupe(g)[names], spans.schema).unionByName(findings.filter(~has))
 
 
 def finalize(findings: DataFrame, min_confidence: str = "low", categories: list[str] | None = None) -> DataFrame:
