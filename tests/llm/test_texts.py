@@ -307,6 +307,45 @@ def test_near_duplicates(spark, edges, nothing):
     assert neardup.near_duplicates(nothing).count() == 0
 
 
+def test_near_duplicates_equal_all_pairs(spark):
+    """Classes of the table against components of all pairs by weighted Jaccard similarity, computed with plain dictionaries."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rows += [(10_000 + i, " ".join(w for k, w in enumerate((t or "").split()) if k != 7)) for i, t in rows[:60]]  # near copies
+    lists = [words(t) for _, t in rows]
+    df = Counter(w for x in lists for w in set(x))
+    n = len(rows)
+    kept = {w: min(n, 2 ** (min(255, round(8 * math.log2(c))) / 8)) for w, c in df.items()}  # to an eighth of an octave
+    idf = {w: 1 + math.log((1 + n) / (1 + c)) / math.log(2 + n) for w, c in kept.items()}
+    bags = []
+    for x in lists:
+        size = min(5, len(x))
+        grams = Counter(tuple(x[i : i + size]) for i in range(len(x) - size + 1)) if x else Counter()
+        bags.append({g: c * sum(idf[w] for w in g) / size for g, c in grams.items()})
+    total = [sum(b.values()) for b in bags]
+    label = list(range(n))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    pairs = 0
+    for i in range(n):
+        for j in range(i):
+            if bags[i] and bags[j] and min(total[i], total[j]) >= 0.8 * max(total[i], total[j]):
+                least = sum(min(v, bags[j][g]) for g, v in bags[i].items() if g in bags[j])
+                if least >= 0.8 * (total[i] + total[j] - least) - 1e-9:
+                    pairs += 1
+                    label[max(root(i), root(j))] = min(root(i), root(j))
+    want = {}
+    for i, (doc, _) in enumerate(rows):
+        want.setdefault(root(i), set()).add(doc)
+    got = {}
+    for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), chunk_bytes=50_000).collect():
+        got.setdefault(r.class_id, set()).add(r.doc_id)
+    assert pairs > 50 and {frozenset(x) for x in got.values()} == {frozenset(x) for x in want.values()}
+
+
 def test_samples_estimate_weighted_jaccard():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
