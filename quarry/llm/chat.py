@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 
 def _placed(turns: DataFrame) -> DataFrame:
     """(conv, place, role, text): turns by their place. ``conv`` is conv_id in a struct, which is never null, so that joins
-    by it are plain ones and keep the partitions that the windows need."""
+    by it are plain ones and keep the partitions that the windows need. Columns stand as the windows of ``rolling`` read
+    them, so that all exchanges of turns are one."""
     order = Window.partitionBy("conv").orderBy("turn", "role", "text")
-    return turns.select(F.struct("conv_id").alias("conv"), "turn", "role", "text").select("conv", F.row_number().over(order).alias("place"), "role", "text")
+    return turns.select(F.struct("conv_id").alias("conv"), "role", "text", "turn").select("conv", F.row_number().over(order).alias("place"), "role", "text")
 
 
 def rolling(turns: DataFrame) -> DataFrame:
