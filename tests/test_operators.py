@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -449,3 +450,61 @@ def test_walk_outcomes(spark, tmp_path):
     (root / ".gitignore").write_text("x" * 20_000)
     with pytest.raises(ValueError):
         directory.IgnoreRules(str(root)).ignored("a.py", False)
+
+
+def some_findings(n, seed):
+    r = random.Random(seed)
+    pick = lambda *x: r.choice(x)
+    out = []
+    for _ in range(n):
+        start = pick(None, *[r.randrange(1, 60)] * 9)
+        end = None if start is None else max(1, start + r.randrange(-2, 6))
+        out.append(found(file=pick("a/b.rs", "a-b.rs"), category=pick("bug", "quality"), severity=pick(*findings.SEVERITIES), confidence=pick(*findings.CONFIDENCES), source=pick(*findings.SOURCES), title=pick("t", "u", "v"), description=str(r.random()), rule=pick(None, "x.My-Rule", "myrule", "q"), line_start=start, line_end=end, code_snippet=pick(None, "s"), suggestion=pick(None, "do")))
+    return out
+
+
+def test_merge_equals_a_plain_fold(spark):
+    rows = some_findings(400, 1)
+    rank = {n: order.index for n, order in (("severity", findings.SEVERITIES), ("confidence", findings.CONFIDENCES), ("source", findings.SOURCES))}
+    everything = [dict(zip(findings.COLUMNS, r, strict=True)) for r in rows]
+    can = [f for f in everything if f["rule"] is not None and f["line_start"] is not None]
+    can.sort(key=lambda f: (-rank["severity"](f["severity"]), -rank["confidence"](f["confidence"]), f["file"].split("/"), f["line_start"], f["line_end"], rank["source"](f["source"]), f["rule"], f["title"], f["description"]))
+    norm = lambda f: re.sub("[^a-z0-9]", "", f["rule"].rsplit(".", 1)[-1].lower())
+    kept = []
+    for f in can:
+        for i, have in enumerate(kept):
+            if have["source"] != f["source"] and (have["category"], have["file"], norm(have)) == (f["category"], f["file"], norm(f)) and have["line_start"] <= f["line_end"] and f["line_start"] <= have["line_end"]:
+                base, other = (have, f) if have["source"] == "static" else (f, have)
+                kept[i] = base | {n: max(base[n], other[n], key=rank[n]) for n in ("severity", "confidence")} | {n: base[n] if base[n] is not None else other[n] for n in ("code_snippet", "suggestion")}
+                break
+        else:
+            kept.append(f)
+    want = kept + [f for f in everything if f["rule"] is None or f["line_start"] is None]
+    assert len(want) < len(rows) - 50
+    got = [tuple(r) for r in findings.merge_sources(frame(spark, rows)).collect()]
+    assert sorted(map(repr, got)) == sorted(repr(tuple(f[c] for c in findings.COLUMNS)) for f in want)
+
+
+def test_dedupe_equals_a_plain_fold(spark):
+    rows = [(*r, k) for k, r in enumerate(some_findings(400, 2))]
+    at = {c: i for i, c in enumerate([*findings.COLUMNS, "ordinal"])}
+    kept = []
+    for row in rows:
+        value = lambda r, c: r[at[c]]
+        span = lambda r: sorted((value(r, "line_start"), value(r, "line_end")))
+
+        def repeats(old):
+            if value(old, "file") != value(row, "file") or value(old, "line_start") is None:
+                return False
+            (a, b), (x, y) = span(old), span(row)
+            if x > b or a > y:
+                return False
+            if value(row, "rule") is not None and value(old, "rule") is not None:
+                return value(row, "rule") == value(old, "rule")
+            return value(row, "title") == value(old, "title")
+
+        if value(row, "line_start") is None or not any(map(repeats, kept)):
+            kept.append(row)
+    assert len(kept) < len(rows) - 50
+    got = findings.dedupe_run(frame(spark, [r[:-1] for r in rows]).coalesce(1).withColumn("ordinal", F.monotonically_increasing_id())).collect()
+    assert sorted(r.ordinal for r in got) == [value(r, "ordinal") for r in kept]
