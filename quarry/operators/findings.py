@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,10 +94,10 @@ def merge_sources(findings: DataFrame) -> DataFrame:
     keyed = _islands(keyed, ["category", "file", "norm"])
     keyed = keyed.withColumn("place", F.row_number().over(Window.partitionBy("category", "file", "norm", "island").orderBy(order)))
 
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
+    def merge(group: pa.Table) -> pa.Table:
         out: list[dict] = []
         at: dict[int, list[int]] = {}
-        for row in group.sort_values(["island", "place"]).astype(object).where(group.notna(), None).to_dict("records"):
+        for row in sorted(group.to_pylist(), key=lambda r: (r["island"], r["place"])):
             own = at.setdefault(row["island"], [])
             for i in own:
                 have = out[i]
@@ -112,9 +113,9 @@ def merge_sources(findings: DataFrame) -> DataFrame:
             else:
                 own.append(len(out))
                 out.append(row)
-        return pd.DataFrame(out, columns=group.columns)[COLUMNS]
+        return pa.Table.from_pylist(out, schema=group.schema).select(COLUMNS)
 
-    merged = keyed.groupBy("category", "file", "norm", "cell").applyInPandas(merge, SCHEMA)
+    merged = keyed.groupBy("category", "file", "norm", "cell").applyInArrow(merge, SCHEMA)
     return merged.unionByName(findings.filter(~F.coalesce(can, F.lit(False))).select(*COLUMNS))
 
 

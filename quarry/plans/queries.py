@@ -249,14 +249,43 @@ def rule_names(spark, d):
     return _findings(spark, d).groupBy(findings.normal_rule(F.col("rule")).alias("norm")).agg(F.count("*").alias("n"), F.sum(findings.retained_bytes()).alias("bytes"))
 
 
-@query()
+#: A fold in order, all groups side by side: a step takes the next finding of each group into the list of kept ones.
+MERGED = f"""with recursive {FOUND},
+f as (select *, cast(substring(description, 2) as bigint) as key, list_position(['info', 'low', 'medium', 'high', 'critical'], severity) as sev, list_position(['low', 'medium', 'high'], confidence) as conf from found),
+n as (select *, case when key % 3 = 0 then 's' || key end as snippet, case when key % 5 = 0 then 'u' || key end as hint,
+  row_number() over (partition by category, file, rule order by sev desc, conf desc, line_start, line_end, case source when 'static' then 0 else 1 end, title, description) as k from f),
+fold as (
+  select distinct category, file, rule, cast(0 as bigint) as k, cast([] as struct(key bigint, source varchar, first bigint, last bigint, sev bigint, conf bigint, snippet varchar, hint varchar)[]) as kept from n
+  union all
+  select category, file, rule, k, case when spot = 0 then list_append(kept, item) else kept[:spot - 1] || [case when kept[spot].source = 'static'
+      then {{'key': kept[spot].key, 'source': kept[spot].source, 'first': kept[spot].first, 'last': kept[spot].last, 'sev': greatest(kept[spot].sev, item.sev), 'conf': greatest(kept[spot].conf, item.conf), 'snippet': coalesce(kept[spot].snippet, item.snippet), 'hint': coalesce(kept[spot].hint, item.hint)}}
+      else {{'key': item.key, 'source': item.source, 'first': item.first, 'last': item.last, 'sev': greatest(kept[spot].sev, item.sev), 'conf': greatest(kept[spot].conf, item.conf), 'snippet': coalesce(item.snippet, kept[spot].snippet), 'hint': coalesce(item.hint, kept[spot].hint)}} end] || kept[spot + 1:] end
+  from (select n.category, n.file, n.rule, n.k, fold.kept, {{'key': n.key, 'source': n.source, 'first': n.line_start, 'last': n.line_end, 'sev': n.sev, 'conf': n.conf, 'snippet': n.snippet, 'hint': n.hint}} as item,
+    coalesce(list_position(list_transform(fold.kept, lambda x: x.source <> n.source and x.first <= n.line_end and n.line_start <= x.last), true), 0) as spot
+    from fold join n on fold.category = n.category and fold.file = n.file and fold.rule = n.rule and fold.k + 1 = n.k)),
+ends as (select unnest(arg_max(kept, k)) as x from fold group by category, file, rule)
+select category, ['info', 'low', 'medium', 'high', 'critical'][x.sev] as severity, title, description, file, line_start, line_end, x.snippet as code_snippet, x.hint as suggestion, rule, ['low', 'medium', 'high'][x.conf] as confidence, x.source as source
+from ends join f on f.key = x.key"""
+
+
+@query(MERGED)
 def merge_pipelines(spark, d):
-    return findings.merge_sources(_findings(spark, d))
+    key = F.expr("cast(substring(description, 2) as long)")
+    rows = _findings(spark, d).withColumns({"code_snippet": F.when(key % 3 == 0, F.concat(F.lit("s"), key.cast("string"))), "suggestion": F.when(key % 5 == 0, F.concat(F.lit("u"), key.cast("string")))})
+    return findings.merge_sources(rows)
 
 
-@query()
+@query(
+    f"""with recursive {FOUND}, n as (select *, row_number() over (partition by file, rule order by cast(substring(description, 2) as bigint)) as k from found),
+fold as (select distinct file, rule, cast(0 as bigint) as k, cast([] as struct(first bigint, last bigint)[]) as kept, '' as title, cast(0 as bigint) as line_start, cast(0 as bigint) as line_end, false as stays from n
+  union all
+  select file, rule, k, case when stays then list_append(kept, {{'first': line_start, 'last': line_end}}) else kept end, title, line_start, line_end, stays
+  from (select n.file, n.rule, n.k, fold.kept, n.title, n.line_start, n.line_end, len(list_filter(fold.kept, lambda x: x.first <= n.line_end and n.line_start <= x.last)) = 0 as stays
+    from fold join n on fold.file = n.file and fold.rule = n.rule and fold.k + 1 = n.k))
+select file, title, rule, line_start, line_end from fold where stays"""
+)
 def dedupe_within(spark, d):
-    rows = _findings(spark, d).withColumn("ordinal", F.xxhash64("title", "description", "line_start", "file"))
+    rows = _findings(spark, d).withColumn("ordinal", F.expr("cast(substring(description, 2) as long)"))
     return findings.dedupe_run(rows).select("file", "title", "rule", "line_start", "line_end")
 
 
