@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, licenses, lm, neardup, packing, quality, tokenstore, urlrules
+from . import ann, chat, decontaminate, licenses, lm, merkle, neardup, packing, quality, tokenstore, urlrules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +60,11 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_token_store, op4_decontamination, proximity_matches, op5_neighbours, op6_url_rules, op7_chat, op8_language_model, op9_licenses, op10_near_duplicates)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_token_store, op4_decontamination, proximity_matches, op5_neighbours, op6_url_rules, op7_chat, op8_language_model, op9_licenses, op10_near_duplicates, op11_merkle_manifest)}
 
 #: Words of the contract, from a text column.
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -120,6 +124,42 @@ from f"""
 ORACLE_SQL["op9_licenses"] = _license_sql()
 
 
+_FIELD = "coalesce(strlen({0}::varchar) || ':' || {0}::varchar, '-')"
+_LEAF = lambda text: "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _steps_sql(name: str) -> str:
+    """Of every node of ``name`` (tree, level, place, digest): what stands left and right of it in its run, around a bar."""
+    return f"""select n.tree, n.level, n.place, coalesce(string_agg(s.digest, '' order by s.place) filter (s.place < n.place), '') || '|' || coalesce(string_agg(s.digest, '' order by s.place) filter (s.place > n.place), '') as step
+  from (select *, max(level) over (partition by tree) as height from {name}) n join {name} s on n.tree = s.tree and n.level = s.level and n.place // 3 = s.place // 3 where n.level < n.height group by all"""
+
+
+def _tree_sql(name: str, first: str) -> str:
+    """A recursive table: the nodes of ``first`` and all above them."""
+    return f"""{name} as ({first}
+  union all select tree, level + 1, place // 3, sha256(string_agg(digest, '' order by place)) from (select *, count(*) over (partition by tree) as n from {name}) where n > 1 group by tree, level, place // 3)"""
+
+
+ORACLE_SQL["op11_merkle_manifest"] = f"""
+with recursive crc as (select list(c order by i) as t from (select i, list_reduce(list_concat([i], range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c from (select unnest(range(256)) as i))),
+leaves as (select row_number() over () as r, doc_id, coalesce('+' || source, '') as tree, {_LEAF("text")} as leaf,
+  case when xor(list_reduce(list_concat([4294967295], list_transform(range(1, strlen(doc_id::varchar) + 1), lambda i: ascii((doc_id::varchar)[i])::bigint)), lambda c, b: xor(c >> 8, crc.t[xor(c & 255, b) + 1])), 4294967295) % 2 = 0
+    then {_LEAF("replace(text, chr(10), '')")} end as claimed from documents, crc),
+placed as (select *, row_number() over (partition by tree order by doc_id nulls first, leaf, claimed nulls first) - 1 as place from leaves),
+{_tree_sql("node", "select tree, 0 as level, place, leaf as digest from placed")},
+subroots as (select tree, arg_max(digest, level) as subroot from node group by tree),
+{_tree_sql("upper", "select '' as tree, 0 as level, row_number() over (order by tree) - 1 as place, subroot as digest from subroots")},
+root as (select arg_max(digest, level) as root from upper),
+low_steps as ({_steps_sql("node")}),
+high_steps as ({_steps_sql("upper")}),
+high as (select s.tree, coalesce(list(h.step order by h.level) filter (h.step is not null), []) as steps from (select tree, row_number() over (order by tree) - 1 as place from subroots) s
+  left join high_steps h on h.place = s.place // pow(3, h.level)::bigint group by s.tree),
+low as (select p.r, coalesce(list(l.step order by l.level) filter (l.step is not null), []) as steps from placed p left join low_steps l on l.tree = p.tree and l.place = p.place // pow(3, l.level)::bigint group by p.r),
+paths as (select p.*, l.steps || h.steps as steps from placed p join low l using (r) join high h using (tree)),
+folded as (select *, list_reduce(list_concat([coalesce(claimed, leaf)], steps), lambda a, s: sha256(split_part(s, '|', 1) || a || split_part(s, '|', 2))) as folded_root from paths)
+select doc_id, leaf, subroot, root, sha256(replace(array_to_string(steps, ''), '|', '')) as proof_sha256, folded_root, folded_root = root as verified from folded join subroots using (tree), root"""
+
+
 def queries():
     return dict(QUERIES)
 
