@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, licenses, lm, merkle, neardup, packing, quality, tokenstore, urlrules
+from . import ann, chat, decontaminate, licenses, lm, merkle, neardup, packing, periods, quality, tokenstore, urlrules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,7 +64,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_token_store, op4_decontamination, proximity_matches, op5_neighbours, op6_url_rules, op7_chat, op8_language_model, op9_licenses, op10_near_duplicates, op11_merkle_manifest)}
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.judge(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_token_store, op4_decontamination, proximity_matches, op5_neighbours, op6_url_rules, op7_chat, op8_language_model, op9_licenses, op10_near_duplicates, op11_merkle_manifest, op12_periodic_runs)}
 
 #: Words of the contract, from a text column.
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
