@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, licenses, lm, merkle, neardup, packing, periods, quality, tokenstore, urlrules
+from . import ann, chat, decontaminate, licenses, lm, merkle, neardup, packing, periods, quality, tokenstore, topk, urlrules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,7 +68,12 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.judge(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_token_store, op4_decontamination, proximity_matches, op5_neighbours, op6_url_rules, op7_chat, op8_language_model, op9_licenses, op10_near_duplicates, op11_merkle_manifest, op12_periodic_runs)}
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_token_store, op4_decontamination, proximity_matches, op5_neighbours, op6_url_rules, op7_chat, op8_language_model, op9_licenses, op10_near_duplicates, op11_merkle_manifest, op12_periodic_runs, op13_exact_top_k)}
 
 #: Words of the contract, from a text column.
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -163,6 +168,13 @@ paths as (select p.*, l.steps || h.steps as steps from placed p join low l using
 folded as (select *, list_reduce(list_concat([coalesce(claimed, leaf)], steps), lambda a, s: sha256(split_part(s, '|', 1) || a || split_part(s, '|', 2))) as folded_root from paths)
 select doc_id, leaf, subroot, root, sha256(replace(array_to_string(steps, ''), '|', '')) as proof_sha256, folded_root, folded_root = root as verified from folded join subroots using (tree), root"""
 
+ORACLE_SQL["op13_exact_top_k"] = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+q as (select vec_id as query_id, min(v) as q from v where vec_id % 50 = 0 group by vec_id)
+select * from (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score
+  from (select query_id, vec_id, cast(list_inner_product(q, v) as bigint) as score from q join v on len(q) = len(v) and query_id <> vec_id)) where rank <= 5"""
+
 
 def queries():
     return dict(QUERIES)
