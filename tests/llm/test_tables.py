@@ -209,7 +209,7 @@ def test_pipeline_stages(spark):
 
 def test_queries_are_registered():
     names = list(queries())
-    assert [int(n[2:].split("_")[0]) for n in names if re.match(r"op\d+_", n)] == list(range(1, 11)) and set(oracle_sql()) <= set(names)
+    assert [int(n[2:].split("_")[0]) for n in names if re.match(r"op\d+_", n)] == list(range(1, 14)) and set(oracle_sql()) <= set(names)
 
 
 def test_pipeline_on_odd_rows(spark, edges, nothing):
