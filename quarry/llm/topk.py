@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from ._io import lean, save
 
 #: Vectors of a leaf; vectors and numbers of a shard at most; shards of a group; queries and numbers of a block at most.
-LEAF, SHARD_ROWS, SHARD_NUMBERS, GROUP, QUERIES, QUERY_NUMBERS = 128, 4096, 1 << 18, 32, 256, 1 << 16
+LEAF, SHARD_ROWS, SHARD_NUMBERS, GROUP, QUERIES, QUERY_NUMBERS = 64, 4096, 1 << 18, 32, 256, 1 << 16
 #: How many times as many groups as before a round looks at.
 GROWTH = 8
 RESULT = "query_id long, rank int, vec_id long, score long"
