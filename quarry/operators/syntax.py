@@ -1,69 +1,42 @@
-"""Signatures of functions and types, by a scanner for languages with braces and Python's own parser.
+"""Signatures of functions and types: by tokens for languages with braces, by Python's own parser for Python.
 
-No grammar library is at hand, so this is an approximation: strings and comments are blanked out first, then
-declarations are found by patterns and their ends by matching braces. Python is parsed; a file that does not parse has
-no signatures and ``parsed`` is false; so is one with more signatures, or more bytes of names, than the limits allow.
+No grammar library is at hand, so this is an approximation: a file is read once into tokens, every opening bracket gets its
+end from a stack, and declarations are told by the tokens around their names (``functions.declarations``). Python is
+parsed; a file that does not parse has no signatures and ``parsed`` is false; so is one with more signatures, or more bytes
+of names, than the limits allow. A declaration whose block has no end is none.
 
-Not found, as no pattern asks for them: classes and methods of C++ (its functions and structs are), arrow functions,
-targets of ``impl`` with type parameters, enums outside Rust, interfaces outside Java and TypeScript.
+Not found, as no pattern asks for them: classes and methods of C++ (its functions and structs are), functions of C that
+return pointers, arrow functions and generators, abstract classes, targets of ``impl`` with type parameters, enums outside
+Rust, interfaces outside Java and TypeScript.
 """
 
 from __future__ import annotations
 
 import ast
-import re
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.declarations import FINDERS, declarations
 from ..functions.text import line_slice, lines, trim, truncate_marked
+from ..functions.tokens import Tokens
 
-# What begins a declaration in each language, and its kind. Group 1 is the name.
-PATTERNS = {
-    "rust": [("function", r"\bfn\s+(\w+)"), ("struct", r"\bstruct\s+(\w+)"), ("enum", r"\benum\s+(\w+)"), ("trait", r"\btrait\s+(\w+)"), ("impl", r"\bimpl\s+(\w+)\s*\{")],
-    "go": [("method", r"\bfunc\s*\([^)]*\)\s*(\w+)"), ("function", r"\bfunc\s+(\w+)"), ("struct", r"\btype\s+(\w+)")],
-    "javascript": [("function", r"\bfunction\s*\*?\s*(\w+)"), ("class", r"\bclass\s+(\w+)"), ("method", r"(?m)^\s+(?:static\s+|async\s+|get\s+|set\s+)*(?!if\b|for\b|while\b|switch\b|catch\b|function\b|return\b)(\w+)\s*\([^;{}]*\)\s*\{")],
-    "java": [("class", r"\bclass\s+(\w+)"), ("interface", r"\binterface\s+(\w+)"), ("method", r"(?m)^\s*(?:(?:public|private|protected|static|final|abstract|synchronized)\s+)*[\w<>\[\], .?]+\s+(?!if\b|for\b|while\b|switch\b|catch\b|return\b|new\b)(\w+)\s*\([^;{}]*\)\s*(?:throws [\w, .]+)?\{")],
-    "c": [("function", r"(?m)^[A-Za-z_][\w\s*]*?\b(?!if\b|for\b|while\b|switch\b|return\b)(\w+)\s*\([^;{}]*\)\s*\{"), ("struct", r"\bstruct\s+(\w+)\s*\{")],
-    "bash": [("function", r"(?m)^\s*(?:function\s+)?(\w+)\s*\(\)\s*\{")],
-    "hcl": [("struct", r"(?m)^\s*(\w+)(?:\s+\"[^\"]*\")*\s*\{")],
-}
-PATTERNS |= {"typescript": PATTERNS["javascript"] + [("interface", r"\binterface\s+(\w+)")], "cpp": PATTERNS["c"]}
-PATTERNS["tsx"] = PATTERNS["typescript"]
 #: Languages with signatures; languages that are known but have none.
-LANGUAGES, BARE = [*PATTERNS, "python"], ["yaml", "json"]
+LANGUAGES, BARE = [*FINDERS, "python"], ["yaml", "json"]
 #: Signatures of a file, bytes of their names, bytes of a shown line; matches of a query, bytes of one, of all.
 MAX_SIGNATURES, MAX_NAME_BYTES, MAX_LINE_BYTES = 10_000, 8 << 20, 4 << 10
 MAX_MATCHES, MAX_MATCH_BYTES, MAX_MATCHES_BYTES = 1_000, 64 << 10, 2 << 20
 
-_NOISE = re.compile(r"""//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])'|'(?:\\.|[^'\\\n]){2,}'|`(?:\\.|[^`\\])*`""", re.S)
-_HASH = re.compile(r"""\#[^\n]*|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'""")
-
-
 def _python(text: str) -> list[tuple]:
     kinds = {ast.FunctionDef: "function", ast.AsyncFunctionDef: "function", ast.ClassDef: "class"}
     return sorted((n.lineno, n.end_lineno, kinds[type(n)], n.name) for n in ast.walk(ast.parse(text)) if type(n) in kinds)
 
 
 def _scan(text: str, language: str) -> list[tuple]:
-    noise = _HASH if language == "bash" else _NOISE
-    keep = language == "hcl"
-    bare = text if keep else noise.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
-    out = []
-    for kind, pattern in PATTERNS[language]:
-        for m in re.finditer(pattern, bare):
-            start = bare.count("\n", 0, m.start(1)) + 1
-            open_, stop, level, end = bare.find("{", m.end() - 1), bare.find(";", m.end()), 0, m.end()
-            if open_ >= 0 and (stop < 0 or open_ < stop or m[0].endswith("{")):
-                for b in re.finditer(r"[{}]", bare[open_:]):
-                    level += 1 if b[0] == "{" else -1
-                    if not level:
-                        end = open_ + b.start()
-                        break
-            out.append((start, bare.count("\n", 0, end) + 1, kind, m[1]))
-    return sorted(set(out))
+    t = Tokens(text, language)
+    return [(t.line(t.at[a]), t.line(t.ends[z] - 1), kind, name) for a, z, kind, name, _ in declarations(t)]
 
 
 def scan(text: str, language: str) -> dict:
