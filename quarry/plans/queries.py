@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import languages, paths, text
-from ..operators import context, corpus, coverage, detectors, diff, findings, search, shards, stats, syntax
+from ..operators import context, corpus, coverage, detectors, diff, findings, nodes, search, shards, stats, syntax
 from ..operators.corpus import DiscoverOptions
 from ..sources import archives
 from ..streaming import events
@@ -194,6 +194,22 @@ def signature_lines(spark, d):
     return syntax.signature_lines(_code(spark, d)).select("relative_path", "line_start", "name", "text")
 
 
+@query(
+    f"""with {CODE}, calls as (select relative_path, k, n, unnest(range(n)) as i from code where k % 3 = 0)
+select relative_path, cast(i + 2 as bigint) as line_start, cast(i + 2 as bigint) as line_end, 'x()' as matched_code from calls
+union all select relative_path, 1, n + 2, 'fn f' || k || '() {{' || chr(10) || repeat('  x();' || chr(10), n::int) || '}}' from code where k % 3 = 0 and n = 0
+union all select relative_path, n + 3, n + 3, '// TODO: first' from code where k % 3 = 0 and note = 0"""
+)
+def syntax_matches(spark, d):
+    """Calls in the bodies of Rust functions, functions whose bodies call nothing, and comments, in a free syntax query."""
+    query = """
+    (function_item name: (identifier) body: (block (call_expression function: (identifier) arguments: (arguments)) @call))
+    ((function_item body: (block) @block) @function (#eq? @block "{\n}"))
+    ((line_comment) @comment (#match? @comment "TODO: f"))
+    """
+    return nodes.search_corpus(_code(spark, d), query, "rust")
+
+
 @query(f"with {CODE} select relative_path as file, case when n + 2 > 80 then 'high' else 'medium' end as severity, 'Long function: f' || k as title, cast(1 as bigint) as line_start, cast(n + 2 as bigint) as line_end from code where n + 2 > 40")
 def long_functions(spark, d):
     return detectors.long_functions(_code(spark, d), 40).select("file", "severity", "title", "line_start", "line_end")

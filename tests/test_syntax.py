@@ -168,3 +168,94 @@ def test_the_end_of_a_file_ends_what_is_open():
     for language in syntax.LANGUAGES:
         for text in ("", "{", "}", "fn f(", "class A {", "func (", "type (", "struct", "impl", "/*", "'", '"', "`", "<<E", "f()", "@", "a.b(", "new A(", "pub(", "export"):
             assert syntax.scan(text, language)["found"] in ([], syntax.scan(text, language)["found"])
+
+
+def asked(spark, text, query, path="a.rs", **more):
+    from quarry.operators import corpus, nodes
+
+    f = corpus.with_language(spark.createDataFrame([(path, text)], "relative_path string, content string"))
+    return [(r.line_start, r.line_end, r.matched_code) for r in nodes.search_ast(f, path, query, **more).collect()]
+
+
+SOURCE = '// first\nfn one(a: i32) { call(a); other("x"); }\nstruct S { x: i32 }\nimpl S {\n    fn two() { call(2); inner::call("y") }\n}\nfn three();\n'
+
+
+@pytest.mark.parametrize(
+    ("query", "want"),
+    [
+        ("(function_item name: (identifier) @name) @def", ["fn one(a: i32) { call(a); other(\"x\"); }", 'fn two() { call(2); inner::call("y") }']),
+        ("(function_item name: (identifier) @name)", ["one", "two"]),
+        ("; a comment\n(function_item (block (call_expression function: (identifier) @f arguments: (arguments (string_literal)))))", ["other", "call"]),
+        ("(call_expression function: (_) @f (#eq? @f \"call\"))", ["call", "call", "call"]),
+        ("((call_expression function: _ @f) (#not-eq? @f \"call\"))", ["other"]),
+        ("(call_expression function: (identifier) @f (#has-ancestor? @f impl_item))", ["call", "call"]),
+        ("(impl_item (_ (function_item body: (block) @b)))", ['{ call(2); inner::call("y") }']),
+        ("[(struct_item) (impl_item)] @item", ["struct S { x: i32 }", 'impl S {\n    fn two() { call(2); inner::call("y") }\n}']),
+        ("(line_comment) @c (impl_item type: (type_identifier) @t)", ["// first", "S"]),
+        ("(function_item)", []),
+        ("(call_expression (identifier) @a (arguments (identifier) @b)) (function_item !body) @none", ["call"]),
+        ('(call_expression arguments: (arguments) @a (#match? @a "^.[0-9]"))', ["(2)"]),
+        ('(block (call_expression (identifier) @a) (call_expression (identifier) @b) (#eq? @a @b))', ["call"]),
+        ('((identifier) @x (#any-of? @x "three" "inner"))', ["inner", "three"]),
+    ],
+)
+def test_syntax_queries(spark, query, want):
+    assert [x[2] for x in asked(spark, SOURCE, query)] == want
+
+
+def test_syntax_queries_of_other_languages(spark):
+    python = "@wrap\ndef f(a, *b, c=1):\n    'é'; x = g(a)[0].h\n    if a: return not b\nclass C(D, metaclass=E):\n    async def m(self): pass\n"
+    ask = lambda q: [x[2] for x in asked(spark, python, q, "a.py")]
+    assert ask("(class_definition superclasses: (argument_list (identifier) @base))") == ["D"]
+    assert ask("(function_definition name: (identifier) @n parameters: (parameters (identifier) @p))") == ["f", "f", "f", "m"]
+    assert ask("(assignment left: (identifier) @l right: (attribute object: (subscript value: (call function: (identifier) @f)) attribute: (identifier) @a))") == ["x"]
+    assert ask("(if_statement condition: (identifier) consequence: (block (return_statement (not_operator) @x)))") == ["not b"]
+    assert ask("(string) @s") == ["'é'"] and ask("(keyword_argument name: (identifier) @k value: (identifier) @v)") == ["metaclass"]
+    assert [x[:2] for x in asked(spark, python, "(class_definition body: (block) @b)", "a.py")] == [(6, 6)]
+    assert asked(spark, GO, "(type_declaration (type_spec name: (type_identifier) @n))", "a.go") == [(4, 4, "A"), (8, 8, "C"), (10, 10, "Op")]
+    assert [x[2] for x in asked(spark, C, "(function_definition declarator: (function_declarator declarator: (identifier) @n parameters: (parameter_list)) body: (compound_statement))", "a.c")] == ["sum"]
+    assert [x[2] for x in asked(spark, JAVA, "(method_declaration name: (identifier) @n body: (block (_ (method_invocation name: (identifier)))))", "A.java")] == ["all"]
+    assert [x[2] for x in asked(spark, HCL, '(block (identifier) @b (string_lit))', "a.tf")] == ["resource", "resource"]
+    assert [x[2] for x in asked(spark, TS, "(interface_declaration name: (type_identifier) @n body: (interface_body))", "a.ts")] == ["Shape"]
+
+
+@pytest.mark.parametrize("query", ["(not_a_real_node)", "(function_item nofield: (identifier))", "(function_item", ")", "", "  ; only\n", "(function_item)) @x", "(function_item)? @x", '"fn" @x', "(identifier) @a (#eq? @b \"x\")", "((identifier) @a (#unknown? @a \"x\"))", "((identifier) @a (#eq? @a))", "(identifier) @x " * 2000, "(_ " + "[(block) (group)] " * 9 + ") @x"])
+def test_bad_syntax_queries(spark, query):
+    with pytest.raises(ValueError, match="syntax query"):
+        asked(spark, SOURCE, query)
+
+
+def test_limits_of_syntax_queries(spark):
+    many = "".join(f"fn f{k}() {{}}\n" for k in range(1200))
+    assert len(asked(spark, many, "(function_item) @f")) == 1000 and asked(spark, many, "(function_item) @f", max_results=2)[1] == (2, 2, "fn f1() {}")
+    with pytest.raises(Exception, match="a match is too large"):
+        asked(spark, "fn f() { " + "x();" * 17_000 + "}", "(function_item) @f")
+    with pytest.raises(Exception, match="the matches are too large"):
+        asked(spark, ("fn f() { " + "x();" * 15_000 + "}\n") * 36, "(function_item) @f")
+    with pytest.raises(Exception, match="does not parse"):
+        asked(spark, "def f(:", "(identifier) @x", "a.py")
+    for bad in ({"max_results": 0}, {"max_results": 1001}):
+        with pytest.raises(ValueError):
+            asked(spark, SOURCE, "(block) @b", **bad)
+    with pytest.raises(ValueError, match="no syntax trees"):
+        asked(spark, "x", "(identifier) @x", "a.rb")
+
+
+def test_nodes_nest(spark):
+    """Every node lies within its parent, in order; intervals are those of the descendants."""
+    from quarry.functions import nodetree
+
+    for language, (text, _) in WANT.items():
+        found = nodetree.nodes(text, language)
+        kinds, fields = nodetree.vocabulary(language)
+        below = {n[0]: [] for n in found}
+        for n in found:
+            assert n[3] in kinds and n[4] in fields | {None}, (language, n)
+            if n[2] is not None:
+                p = found[n[2]]
+                assert p[0] < n[0] <= p[1] and p[5] <= n[5] <= n[6] <= p[6], (language, n, p)
+                below[n[2]].append(n)
+            if n[9] is not None:
+                assert text[n[5] : n[6]] == n[9]
+        for n in found:
+            assert n[1] == max([n[0], *(c[1] for c in below[n[0]])])
