@@ -75,7 +75,7 @@ PYTHON = {
 }
 _CONSTANTS = {str: "string", bytes: "string", int: "integer", float: "float", complex: "float", bool: "true", type(None): "none", type(...): "ellipsis"}
 # Kinds that Python's parser has no class for.
-_MADE = {"block", "parameters", "argument_list", "identifier", "string", "integer", "float", "true", "false", "none", "ellipsis", "not_operator", "else_clause", "finally_clause"}
+_MADE = {"block", "parameters", "argument_list", "identifier", "string", "integer", "float", "true", "false", "none", "ellipsis", "not_operator", "decorated_definition", "decorator", "else_clause", "finally_clause"}
 
 
 def _like(table: dict, language: str, default=None):
@@ -87,7 +87,7 @@ def vocabulary(language: str) -> tuple[set[str], set[str]]:
     """The kinds and fields that trees of this language can have."""
     if language == "python":
         fields = {f for _, own in PYTHON.values() for f in own.values()}
-        return {k for k, _ in PYTHON.values()} | _MADE, fields | {"name", "parameters", "body", "superclasses", "arguments", "attribute", "alternative", "module_name"}
+        return {k for k, _ in PYTHON.values()} | _MADE, fields | {"name", "parameters", "body", "definition", "superclasses", "arguments", "attribute", "alternative", "module_name"}
     kinds = {ROOTS.get(language, "program"), "group", "identifier", "comment", *_like(DECLARED, language).values(), *BODIES.values(), _like(BLOCKS, language, "block"), _like(PARAMETERS, language, "formal_parameters"), _like(ARGUMENTS, language, "arguments")}
     kinds |= {_like(STRINGS, language, "string"), _like(NUMBERS, language, "number"), *_like(COMMENTS, language, ()), *_like(NAMES, language, {}).values(), "method_invocation" if language == "java" else "call_expression"}
     kinds |= {"type_spec"} if language == "go" else {"function_declarator"} if language in ("c", "cpp") else set()
@@ -206,7 +206,9 @@ def of_python(source: str) -> list[tuple]:
     tree = _Tree(lambda offset: bisect_right(newlines, offset - 1) + 1)
 
     def span(nodes: list[ast.AST]) -> tuple[int, int]:
-        return at(nodes[0].lineno, nodes[0].col_offset), at(nodes[-1].end_lineno, nodes[-1].end_col_offset)
+        first = (getattr(nodes[0], "decorator_list", None) or nodes)[0]
+        begin = at(first.lineno, first.col_offset)
+        return source.rfind("@", 0, begin) if first is not nodes[0] else begin, at(nodes[-1].end_lineno, nodes[-1].end_col_offset)
 
     # Depth first without recursion: what is taken up next stands last.
     root = tree.add(None, "module", None, 0, len(source))
@@ -218,6 +220,13 @@ def of_python(source: str) -> list[tuple]:
             continue
         own_kind, fields = PYTHON.get(type(node).__name__, (None, {}))
         a, z = span([node])
+        if decorators := getattr(node, "decorator_list", None):
+            if field != "definition":
+                whole = tree.add(parent, "decorated_definition", field, a, z)
+                todo.append((node, whole, "definition"))
+                todo.extend((lambda d=d, whole=whole: todo.append((d, tree.add(whole, "decorator", None, source.rfind("@", 0, span([d])[0]), span([d])[1]), None)), None, None) for d in reversed(decorators))
+                continue
+            a = at(node.lineno, node.col_offset)
         if isinstance(node, ast.Constant):
             kind = {True: "true", False: "false"}[node.value] if isinstance(node.value, bool) else _CONSTANTS.get(type(node.value), "string")
             tree.add(parent, kind, field, a, z, source[a:z] if z - a <= 4096 else None)
@@ -258,7 +267,6 @@ def of_python(source: str) -> list[tuple]:
                     parts.append(leafed("parameters", "parameters", empty, source.find(")", empty) + 1))
                 if node.returns is not None:
                     parts.append(again(node.returns, "return_type"))
-            parts += [again(d, None) for d in node.decorator_list]
             parts.append(later("block", "body", node.body))
         elif isinstance(node, ast.Call):
             parts.append(again(node.func, "function"))

@@ -210,6 +210,7 @@ def test_syntax_queries_of_other_languages(spark):
     assert ask("(function_definition name: (identifier) @n parameters: (parameters (identifier) @p))") == ["f", "f", "f", "m"]
     assert ask("(assignment left: (identifier) @l right: (attribute object: (subscript value: (call function: (identifier) @f)) attribute: (identifier) @a))") == ["x"]
     assert ask("(if_statement condition: (identifier) consequence: (block (return_statement (not_operator) @x)))") == ["not b"]
+    assert ask("(decorated_definition (decorator (identifier) @d) definition: (function_definition))") == ["wrap"]
     assert ask("(string) @s") == ["'é'"] and ask("(keyword_argument name: (identifier) @k value: (identifier) @v)") == ["metaclass"]
     assert [x[:2] for x in asked(spark, python, "(class_definition body: (block) @b)", "a.py")] == [(6, 6)]
     assert asked(spark, GO, "(type_declaration (type_spec name: (type_identifier) @n))", "a.go") == [(4, 4, "A"), (8, 8, "C"), (10, 10, "Op")]
