@@ -110,29 +110,38 @@ def within_limits(files: DataFrame, max_files: int = MAX_FILES, max_bytes: int =
     return files
 
 
-def accounting(entries: DataFrame, root: str = "") -> DataFrame:
-    """One row: visited, files, source_bytes, messages, message_bytes, path_bytes of a walk. entries: (relative_path, status,
-    size_bytes, reason), all that was visited; a path counts twice, with and without the root."""
+def counts(root: str = "") -> list[Column]:
+    """Aggregates over the entries of a walk (relative_path, status, size_bytes, reason): visited, files, source_bytes, messages,
+    message_bytes, path_bytes; a path counts twice, with and without the root."""
     file, said = F.col("status") == "file", F.col("status") == "unreadable"
     size = lambda c: F.octet_length(F.coalesce(c, F.lit("")))
     sums = {
-        "visited": F.count("*"),
+        "visited": F.count(F.lit(1)),
         "files": F.count(F.when(file, 1)),
         "source_bytes": F.sum(F.when(file, F.col("size_bytes"))),
         "messages": F.count(F.when(said, 1)),
-        "message_bytes": F.sum(F.when(said, size(F.col("relative_path")) + size(F.col("reason")) + 3)),
+        "message_bytes": F.sum(F.when(said, size(F.col("relative_path")) + size(F.col("reason")))),
         "path_bytes": F.sum(F.when(file, 2 * size(F.col("relative_path")) + len(root.encode()) + 1)),
     }
-    return entries.agg(*(F.coalesce(v, F.lit(0)).cast("long").alias(k) for k, v in sums.items()))
+    return [F.coalesce(v, F.lit(0)).cast("long").alias(k) for k, v in sums.items()]
 
 
-def check_walk(entries: DataFrame, root: str = "") -> DataFrame:
-    """``entries``, after one count; raises if the walk exceeds a limit."""
-    got = accounting(entries, root).first().asDict()
+def accounting(entries: DataFrame, root: str = "") -> DataFrame:
+    """One row with the ``counts`` of a walk."""
+    return entries.agg(*counts(root))
+
+
+def check_counts(got: dict[str, int]) -> None:
+    """Raises if a walk with these ``counts`` exceeds a limit."""
     most = {"visited": MAX_VISITED, "files": MAX_FILES, "source_bytes": MAX_SOURCE_BYTES, "messages": MAX_MESSAGES, "message_bytes": MAX_MESSAGE_BYTES, "path_bytes": MAX_PATH_BYTES}
     over = [f"{k}: {got[k]}, at most {n}" for k, n in most.items() if got[k] > n]
     if over:
         raise ValueError("the walk is too large; " + "; ".join(over))
+
+
+def check_walk(entries: DataFrame, root: str = "") -> DataFrame:
+    """``entries``, after one count; raises if the walk exceeds a limit."""
+    check_counts(accounting(entries, root).first().asDict())
     return entries
 
 
