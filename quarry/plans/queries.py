@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import languages, paths, text
@@ -495,11 +495,43 @@ def language_detect(spark, d):
     return spark.read.parquet(f"{d}/part.parquet").select(k.alias("k"), languages.detect(F.concat(F.lit("a.b/"), name), line).alias("language"))
 
 
-@query("select cast(conv_id as varchar) as stream_id, string_agg(coalesce(text, ''), '' order by turn) as text, 'end_turn' as stop_reason, false as complete, false as malformed, cast(null as varchar) as error from conversations group by conv_id")
+@query(
+    """with t as (select cast(conv_id as varchar) as stream_id, turn, role, coalesce(text, '') as text, strlen(coalesce(text, '')) as size from conversations),
+n as (select *, sum((role = 'assistant')::int) over (partition by stream_id order by turn) as nth from t),
+calls as (select stream_id, nth, '{"id":"c' || min(turn) || '","name":"' || arg_max('f' || turn, turn) || '","arguments":"{' || chr(92) || '"n' || chr(92) || '":' || string_agg(cast(size as varchar), '' order by turn) || '}"}' as call from n where role = 'assistant' or role = 'user' and nth > 0 group by stream_id, nth)
+select stream_id, coalesce(string_agg(case when role <> 'assistant' then text else '' end, '' order by turn), '') as text,
+  (select coalesce('[' || string_agg(call, ',' order by nth) || ']', '[]') from calls c where c.stream_id = n.stream_id) as calls,
+  case when bool_or(role = 'assistant') then 'tool_use' when max(stream_id::bigint) % 3 = 0 then 'max_tokens' else 'end_turn' end as stop_reason,
+  true as complete, max(stream_id::bigint) % 5 = 0 as malformed, cast(null as varchar) as error, cast(count(*) as bigint) as input_tokens, cast(max(turn) as bigint) as output_tokens
+from n group by stream_id"""
+)
 def sse_fold(spark, d):
-    rows = spark.read.parquet(f"{d}/conversations.parquet")
-    data = F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("delta"))).alias("choices"))), F.lit("\n\n"))
-    return events.fold_streams(rows.select(F.col("conv_id").cast("string").alias("stream_id"), F.col("turn").alias("seq"), F.encode(data, "UTF-8").alias("chunk"))).drop("tool_calls")
+    """Turns as chunks that cut their lines: texts, calls whose arguments go on in the user's turns, finish reasons, usage, and
+    lines that are no UTF-8."""
+    rows = spark.read.parquet(f"{d}/conversations.parquet").withColumn("text", F.coalesce("text", F.lit("")))
+    size, turn = F.octet_length("text").cast("string"), F.col("turn").cast("string")
+    chats = Window.partitionBy("conv_id").orderBy("turn")
+    rows = rows.withColumns({"nth": F.sum((F.col("role") == "assistant").cast("int")).over(chats), "until": F.lead(F.col("role") == "assistant", 1, True).over(chats)})
+    lines = lambda *x: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in x))
+    call = lambda *x: lines('data: {"choices":[{"delta":{"tool_calls":[{', *x, '}]}}]}\n')
+    end = F.when(F.col("until"), call('"function":{"arguments":"}"}')).otherwise("")
+    begin = call('"id":"c', turn, '","function":{"name":"f', turn, '","arguments":"{\\"n\\":', size, '"}')
+    goes_on = call('"function":{"name":"","arguments":"', size, '"}')
+    said = lines("data:", F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("delta"))).alias("choices"))), "\r\n\ndata: \n : note\n")
+    asked = F.when((F.col("role") == "user") & (F.col("nth") > 0), goes_on).otherwise("")
+    # A name of a call is replaced by the one that comes last.
+    name = F.when((F.col("role") == "user") & (F.col("nth") > 0), call('"function":{"arguments":""},"index":', (F.col("nth") - 1).cast("string"))).otherwise("")
+    rename = F.when((F.col("role") == "user") & (F.col("nth") > 0), call('"index":', (F.col("nth") - 1).cast("string"), ',"function":{"name":"f', turn, '"}')).otherwise("")
+    body = F.when(F.col("role") == "assistant", lines(begin, end)).otherwise(lines(said, asked, name, rename, F.when(F.col("nth") > 0, end).otherwise("")))
+    last = F.max("turn").over(Window.partitionBy("conv_id"))
+    n = F.count("*").over(Window.partitionBy("conv_id")).cast("string")
+    closing = lines('  data: {"choices":[{"finish_reason":"', F.when(F.col("conv_id") % 3 == 0, "length").otherwise("stop"), '"}],"usage":{"prompt_tokens":', n, ',"completion_tokens":', turn, "}}\ndata: [DONE]\ndata: {\n")
+    bad = F.when(F.col("conv_id") % 5 == 0, F.unhex(F.lit("646174613A20FF0A"))).otherwise(F.lit("").cast("binary"))
+    chunk = F.concat(bad, F.encode(lines(body, F.when(F.col("turn") == last, closing).otherwise("")), "UTF-8"))
+    halves = F.explode(F.array(F.struct((2 * F.col("turn")).alias("seq"), F.substring("chunk", 1, 45).alias("chunk")), F.struct((2 * F.col("turn") + 1).alias("seq"), F.substring("chunk", 46, 1 << 30).alias("chunk"))))
+    cut = rows.withColumn("chunk", chunk).select(F.col("conv_id").cast("string").alias("stream_id"), halves.alias("h")).select("stream_id", "h.seq", "h.chunk")
+    calls = F.to_json(F.transform("tool_calls", lambda c: F.struct(c["id"].alias("id"), c["name"].alias("name"), c["arguments"].alias("arguments"))))
+    return events.fold_streams(cut).withColumn("calls", calls).drop("tool_calls")
 
 
 @query(

@@ -13,7 +13,6 @@ from quarry.functions import globs
 from quarry.operators import context, corpus, coverage, detectors, diff, findings, report, search, shards, stats, syntax
 from quarry.plans import analyze
 from quarry.sources import archives, directory, sessions
-from quarry.streaming import events
 
 
 def files(spark, *rows):
@@ -246,33 +245,6 @@ def test_diff_shapes():
             diff.parse(bad)
 
 
-STREAM = 'data: {"choices":[{"delta":{"content":"hé"}}]}\n\n: note\ndata: {"choices":[{"delta":{"tool_calls":[{"index":0,"id":"i","function":{"name":"f","arguments":"{\\"a\\""}}]}}]}\r\ndata: {"choices":[{"delta":{"tool_calls":[{"function":{"arguments":":1}"}}]}}]}\ndata: nonsense\ndata: [DONE]\ndata: {"choices":[{"delta":{"content":"late"}}]}\n'.encode()
-
-
-@settings(max_examples=40, deadline=None)
-@given(st.lists(st.integers(0, len(STREAM)), max_size=8))
-def test_events_do_not_depend_on_chunks(cuts):
-    f = events.Fold()
-    edges = [0, *sorted(cuts), len(STREAM)]
-    for a, b in itertools.pairwise(edges):
-        f.add(STREAM[a:b])
-        f = events.Fold(f.state())
-    assert f.result("s") == ("s", "hé", [{"id": "i", "name": "f", "arguments": '{"a":1}'}], "tool_use", True, True, None)
-
-
-def test_event_streams(spark, tmp_path):
-    rows = [("s", i, STREAM[i * 20 : i * 20 + 20]) for i in range(len(STREAM) // 20 + 1)] + [("t", 0, b'data: {"choices":[{"delta":{"content":"x"},"finish_reason":"length"}]}')]
-    chunks = spark.createDataFrame(rows, "stream_id string, seq int, chunk binary")
-    got = {r.stream_id: r for r in events.fold_streams(chunks.repartition(3)).collect()}
-    assert got["s"].text == "hé" and got["s"].complete and got["t"].stop_reason == "max_tokens" and got["t"].complete
-    chunks.filter("stream_id = 's'").coalesce(1).write.parquet(str(tmp_path / "in"))
-    live = events.stream(spark.readStream.schema(chunks.schema).parquet(str(tmp_path / "in")))
-    q = live.writeStream.format("memory").queryName("events_out").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    out = spark.table("events_out").collect()
-    assert [(r.stream_id, r.text, r.tool_calls[0].arguments) for r in out] == [("s", "hé", '{"a":1}')]
-
-
 def test_directory(spark, tmp_path):
     for name, body in {".hidden.py": "x", "_under.py": "y", "src/a.rs": "fn f() {}", "src/.ignore": "skip*\n!skip2.py\nbuild/\n", "src/skip1.py": "", "src/skip2.py": "z", "src/build/o.py": "", "bin.dat": "a\0b", "big.py": "x" * 100, ".gitignore": "_under.py\n"}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
