@@ -100,8 +100,9 @@ def test_batches_and_streams_agree(spark, tmp_path):
     partitions = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", 1)  # of the state, as batches are small
     live = events.stream(spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
-    q = live.writeStream.format("memory").queryName("events_out").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(240)
+    q = live.writeStream.format("memory").queryName("events_out").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()  # timers keep it running
+    q.stop()
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
     got = {r.stream_id: r.asDict(True) for r in spark.table("events_out").collect()}
     assert got == {k: want[k] for k in ("s", "t")} and spark.table("events_out").count() == 2
