@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -101,7 +102,9 @@ def test_batches_and_streams_agree(spark, tmp_path):
     spark.conf.set("spark.sql.shuffle.partitions", 1)  # of the state, as batches are small
     live = events.stream(spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
     q = live.writeStream.format("memory").queryName("events_out").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()  # timers keep it running
+    files, until = len(list((tmp_path / "in").glob("*.parquet"))), time.time() + 120
+    while sum(p.numInputRows > 0 for p in q.recentProgress) < files and time.time() < until:  # timers keep it running
+        time.sleep(0.5)
     q.stop()
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
     got = {r.stream_id: r.asDict(True) for r in spark.table("events_out").collect()}
