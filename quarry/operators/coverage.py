@@ -53,11 +53,16 @@ def reconciled(presented: DataFrame, skipped: DataFrame, read: DataFrame) -> tup
     return presented.select("path").union(moved.select("path")).distinct(), skipped.join(moved.select("path"), "path", "left_anti")
 
 
-def scan_status(files: DataFrame, skipped: DataFrame, omitted: int = 0) -> DataFrame:
-    """One row: presented, inspected, skipped, complete. skipped: (relative_path, reason)."""
-    counts = files.select(F.lit(1).alias("f"), F.lit(0).alias("s")).union(skipped.select(F.lit(0), F.lit(1))).agg(F.coalesce(F.sum("f"), F.lit(0)).alias("files"), F.coalesce(F.sum("s"), F.lit(0)).alias("skipped"))
-    inspected = F.col("files") - F.col("skipped")
-    return counts.select((inspected + F.col("skipped") + omitted).alias("presented"), inspected.alias("inspected"), "skipped", ((F.col("skipped") == 0) & F.lit(omitted == 0)).alias("complete"))
+def scan_status(files: DataFrame, skipped: DataFrame, omitted: int = 0, unreadable: DataFrame | None = None) -> DataFrame:
+    """One row: presented, inspected, skipped, complete. skipped: (relative_path, reason) of files that were looked at and
+    could not be inspected; unreadable: of entries that never were files of the scan. All are presented."""
+    ones = lambda df, *k: df.select(*(F.lit(int(x)) for x in k))
+    counts = ones(files, 1, 0, 0).toDF("f", "s", "u").union(ones(skipped, 0, 1, 0))
+    if unreadable is not None:
+        counts = counts.union(ones(unreadable, 0, 0, 1))
+    counts = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in "fsu"))
+    left_out = F.col("s") + F.col("u")
+    return counts.select((F.col("f") + F.col("u") + omitted).alias("presented"), (F.col("f") - F.col("s")).alias("inspected"), left_out.alias("skipped"), ((left_out == 0) & F.lit(omitted == 0)).alias("complete"))
 
 
 def completeness(failed: DataFrame, skipped: DataFrame, uninspected_: DataFrame, omitted: int = 0) -> DataFrame:

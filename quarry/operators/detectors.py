@@ -64,7 +64,7 @@ def long_files(files: DataFrame, threshold: int = 500) -> DataFrame:
 
 
 def long_functions(files: DataFrame, threshold: int = 50) -> DataFrame:
-    return _rows(syntax.with_scan(files), _long_functions(threshold))
+    return _rows(syntax.with_scan(files, line_count("content") > threshold), _long_functions(threshold))
 
 
 def _comment_flags(text: str) -> list[bool]:
@@ -170,10 +170,13 @@ def secrets(files: DataFrame, kinds: list[str] | None = None) -> DataFrame:
 
 
 def static_findings(files: DataFrame, categories: list[str], max_file_lines: int = 500, max_function_lines: int = 50) -> DataFrame:
-    """All detectors that the categories ask for, in one pass over the files."""
+    """All detectors that the categories ask for, in one pass over the files.
+
+    Files that are scanned already keep their ``scanned``; of others those are scanned that have lines enough for a finding."""
     rows, parts = files, [_none()]
     if "quality" in categories:
-        rows = _with_flags(syntax.with_scan(rows), MARKERS)
+        rows = rows if "scanned" in files.columns else syntax.with_scan(rows, line_count("content") > max_function_lines)
+        rows = _with_flags(rows, MARKERS)
         parts += [_long_file(max_file_lines), _long_functions(max_function_lines), _todo(MARKERS)]
     if "vulnerability" in categories:
         rows = _with_secrets(rows, list(SECRETS))

@@ -63,18 +63,18 @@ def parse(diff: str) -> list[tuple[str, int | None, int | None]]:
     old, old_left, new_left, path = None, 0, 0, None
     for line in diff.split("\n"):
         line = line.removesuffix("\r")
+        before, old = old, None  # the two headers of a file are neighbours
         if old_left > 0 or new_left > 0:  # inside a hunk, whatever its lines look like
             if not line.startswith("\\"):
                 old_left -= not line.startswith("+")
                 new_left -= not line.startswith("-")
             continue
         if line.startswith("diff --git"):
-            old = path = None
+            path = None
         elif line.startswith("--- "):
             old = line[4:]
-        elif line.startswith("+++ ") and old is not None:
-            path = _path(line[4:]) or _path(old)
-            old = None
+        elif line.startswith("+++ ") and before is not None:
+            path = _path(line[4:]) or _path(before)
             if path is None:
                 raise DiffError("no path on either side")
             found.setdefault(path, [])

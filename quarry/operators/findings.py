@@ -105,7 +105,7 @@ def merge_sources(findings: DataFrame) -> DataFrame:
                     base, other = (have, row) if have["source"] == "static" else (row, have)
                     joined = dict(base)
                     for name, order_ in (("severity", SEVERITIES), ("confidence", CONFIDENCES)):
-                        joined[name] = max(base[name], other[name], key=order_.index)
+                        joined[name] = max(base[name], other[name], key=lambda v, names=order_: names.index(v) if v in names else -1)
                     for name in ("code_snippet", "suggestion"):
                         joined[name] = base[name] if base[name] is not None else other[name]
                     out[i] = joined
@@ -173,11 +173,23 @@ def retained_bytes(numbered: bool = False) -> Column:
     return out.cast("long")
 
 
-def admit(findings: DataFrame, most: int = 10_000, most_bytes: int = 8 << 20) -> DataFrame:
+#: Static findings of a scan, and their bytes.
+MAX_STATIC, MAX_STATIC_BYTES = 10_000, 8 << 20
+
+
+def sizes(findings: DataFrame) -> list[Column]:
+    """Aggregates: n and bytes of findings."""
+    return [F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(retained_bytes("id" in findings.columns)), F.lit(0)).alias("bytes")]
+
+
+def check_sizes(got: dict, most: int = MAX_STATIC, most_bytes: int = MAX_STATIC_BYTES) -> None:
+    if got["n"] > most or got["bytes"] > most_bytes:
+        raise ValueError(f"{got['n']} findings of {got['bytes']} bytes exceed {most} findings and {most_bytes} bytes")
+
+
+def admit(findings: DataFrame, most: int = MAX_STATIC, most_bytes: int = MAX_STATIC_BYTES) -> DataFrame:
     """The findings, after one count; raises if they are too many or too large together."""
-    n, size = findings.agg(F.count("*"), F.coalesce(F.sum(retained_bytes("id" in findings.columns)), F.lit(0))).first()
-    if n > most or size > most_bytes:
-        raise ValueError(f"{n} findings of {size} bytes exceed {most} findings and {most_bytes} bytes")
+    check_sizes(findings.agg(*sizes(findings)).first().asDict(), most, most_bytes)
     return findings
 
 

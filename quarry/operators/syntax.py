@@ -15,7 +15,7 @@ from __future__ import annotations
 import ast
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,9 +57,10 @@ def _signatures(text: pd.Series, language: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([{"parsed": None, "found": None} if t is None else scan(t, x) for t, x in zip(text, language, strict=True)], columns=["parsed", "found"])
 
 
-def with_scan(files: DataFrame) -> DataFrame:
-    """Adds ``scanned`` (parsed, found), nulls for languages without signatures, whose texts stay in the JVM."""
-    return files.withColumn("scanned", _signatures(F.when(F.col("language").isin(LANGUAGES), F.col("content")), "language"))
+def with_scan(files: DataFrame, wanted: Column | None = None) -> DataFrame:
+    """Adds ``scanned`` (parsed, found), nulls for languages without signatures and what is not wanted: their texts stay in the JVM."""
+    known = F.col("language").isin(LANGUAGES)
+    return files.withColumn("scanned", _signatures(F.when(known if wanted is None else known & wanted, F.col("content")), "language"))
 
 
 def scanned(files: DataFrame) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..operators import corpus, coverage, detectors, findings, syntax
+from ..operators import corpus, coverage, detectors, diff, findings, syntax
+from ..sources import directory
 from ..sources.tables import save
 
 
@@ -38,20 +39,47 @@ class Result:
     scan: DataFrame
 
 
-def analyze(files: DataFrame, config: Config = Config(), model_findings: DataFrame | None = None) -> Result:
-    """Static detectors over ``files``, with a model's findings if given, finalized. Too many static findings fail the scan."""
-    found = findings.admit(save(detectors.static_findings(files, config.categories, config.max_file_lines, config.max_function_lines), "static"))
+def analyze(files: DataFrame, config: Config = Config(), model_findings: DataFrame | None = None, unreadable: DataFrame | None = None, rules: corpus.Exclusions | None = corpus.Exclusions()) -> Result:
+    """Static detectors over ``files``, with a model's findings if given, finalized.
+
+    Files that ``rules`` exclude are left out; a walk has done that already. Each file is read and parsed once, while the
+    inventory is written; findings are counted in the job that writes them, and too many fail the scan. unreadable:
+    (relative_path, reason) of entries that the walk could not read.
+    """
+    inventory = files if rules is None else corpus.admitted(files, rules)
+    quality = "quality" in config.categories
+    inventory = save(syntax.with_scan(inventory) if quality else inventory, "inventory")
+    found, counts = detectors.static_findings(inventory, config.categories, config.max_file_lines, config.max_function_lines), Observation("static")
+    found = save(found.observe(counts, *findings.sizes(found)), "static")
+    findings.check_sizes(counts.get)
     if model_findings is not None:
         found = found.unionByName(model_findings.select(*findings.COLUMNS))
     final = save(findings.finalize(found, config.min_confidence, config.categories), "final")
-    unparsed = syntax.scanned(files).filter("not parsed").select("relative_path", F.lit("parse failure").alias("reason"))
-    return Result(final, findings.summary(final), findings.above(final, config.fail_severity), coverage.scan_status(files, unparsed))
+    failed = inventory.filter("not scanned.parsed") if quality else inventory.limit(0)
+    unparsed = failed.select("relative_path", F.lit("parse failure").alias("reason"))
+    return Result(final, findings.summary(final), findings.above(final, config.fail_severity), coverage.scan_status(inventory, unparsed, unreadable=unreadable))
+
+
+def analyze_tree(spark, root: str, config: Config = Config(), max_file_bytes: int = corpus.MAX_FILE_BYTES, excludes: str | None = None) -> Result:
+    """``analyze`` of a directory tree, under its own ignore rules and the default exclusions."""
+    files, unreadable = directory.read_directory(spark, root, max_file_bytes, excludes=excludes)
+    return analyze(files, config, unreadable=unreadable, rules=None)
+
+
+def _scoped(whole: Result, hunks: DataFrame, config: Config) -> Result:
+    final = findings.numbered(coverage.overlapping(whole.findings, hunks))
+    return Result(final, findings.summary(final), findings.above(final, config.fail_severity), whole.scan)
 
 
 def analyze_review(files: DataFrame, hunks: DataFrame, config: Config = Config(), model_findings: DataFrame | None = None) -> Result:
     """The same for changed files only; findings have to overlap changed lines."""
     changed = corpus.select_files(files, hunks.select(F.col("path").alias("relative_path")))
-    whole = analyze(changed, config, model_findings)
-    scoped = coverage.overlapping(whole.findings, hunks)
-    final = findings.numbered(scoped)
-    return Result(final, findings.summary(final), findings.above(final, config.fail_severity), whole.scan)
+    return _scoped(analyze(changed, config, model_findings), hunks, config)
+
+
+def review_tree(spark, root: str, diff_text: str, config: Config = Config()) -> Result:
+    """A review of the tree that a diff leads to. It is not trusted: its own ignore files decide nothing."""
+    hunks = diff.hunks(spark.createDataFrame([(0, diff_text)], "diff_id long, diff string")).filter("path is not null and start is not null").select("path", "start", "end")
+    files, unreadable = directory.read_directory(spark, root, ignore_files=False)
+    changed = corpus.select_files(files, hunks.select(F.col("path").alias("relative_path")))
+    return _scoped(analyze(changed, config, unreadable=unreadable, rules=None), hunks, config)

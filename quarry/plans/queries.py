@@ -216,13 +216,13 @@ def long_functions(spark, d):
 
 
 @query(
-    f"""with {CODE} select relative_path, cast(n + 3 + (kind = 1)::int + (note = 1)::int as bigint) as code, cast(case note when 0 then 1 when 2 then 2 else 0 end as bigint) as comments,
-  cast(0 as bigint) as blanks, note from code where note <> 3"""
+    f"""with {CODE} select relative_path, cast(n + 3 + (kind = 1)::int + (note in (1, 3))::int as bigint) as code, cast(case note when 0 then 1 when 2 then 2 else 0 end as bigint) as comments,
+  cast(0 as bigint) as blanks, note from code"""
 )
 def comment_counts(spark, d):
     rows = stats.line_counts(_code(spark, d))
     note = F.pmod(F.regexp_extract("relative_path", r"f(\d+)", 1).cast("long"), F.lit(4))
-    return rows.select("relative_path", "code", "comments", "blanks", note.alias("note")).filter("note <> 3")
+    return rows.select("relative_path", "code", "comments", "blanks", note.alias("note"))
 
 
 def _findings(spark, d):
@@ -448,10 +448,9 @@ def exclusion_flags(spark, d):
 ESCAPED = "replace(replace(replace(regexp_replace({}, '([\\\\`*_{{}}\\[\\]()#+\\-.!|=~])', '\\\\\\1', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
 
-@query(f"with {FILES}, {LINES} select relative_path, {ESCAPED.format("replace(content, chr(10), chr(1))")} as shown from files where not regexp_matches(content, '[\\x00-\\x09\\x0B-\\x1F\\x7F]')".replace("chr(10), chr(1))", "chr(10), chr(10))"))
+@query(f"with {FILES} select relative_path, replace(replace({ESCAPED.format('content')}, chr(9), '\\u{{9}}'), chr(13), '\\u{{d}}') as shown from files")
 def markdown_escape(spark, d):
-    rows = _files(spark, d).filter(~F.col("content").rlike("[\\x00-\\x09\\x0B-\\x1F\\x7F]"))
-    return rows.select("relative_path", text.markdown_block("content").alias("shown"))
+    return _files(spark, d).select("relative_path", text.markdown_block("content").alias("shown"))
 
 
 @query("select conv_id, turn, replace(replace(replace(coalesce(text, ''), chr(10), '\\u{a}'), chr(9), '\\u{9}'), chr(13), '\\u{d}') as shown, strlen(replace(replace(replace(coalesce(text, ''), chr(10), '\\u{a}'), chr(9), '\\u{9}'), chr(13), '\\u{d}')) <= 200 as whole from conversations")
@@ -624,8 +623,8 @@ _PROBLEMS = [None, "absolute", "backslash", "drive", "dot component", "absolute"
 
 
 @query(
-    f"""with p as (select p_partkey as k, p_partkey // {len(_ODD)} as g, p_partkey % {len(_ODD)} as i from part), q as (select *, count(*) filter (i in ({len(_ODD) - 2}, {len(_ODD) - 1})) over (partition by g) as same from p)
-select cast(g as bigint) as archive_id, k, case when i >= {len(_ODD) - 2} and same < 2 then null else [{", ".join("null" if x is None else _quoted(x) for x in _PROBLEMS)}][i + 1] end as problem from q"""
+    f"""with p as (select p_partkey as k, p_partkey // {len(_ODD)} as g, p_partkey % {len(_ODD)} as i from part), q as (select *, count(*) filter (i in ({len(_ODD) - 2}, {len(_ODD) - 1})) over (partition by g) as same, count(distinct case i when 1 then 'abs' when 3 then 'C:x' when 5 then null else 'top' end) over (partition by g) > 1 as mixed from p)
+select cast(g as bigint) as archive_id, k, case when i = 0 or i >= {len(_ODD) - 2} and same < 2 then case when mixed then 'more than one top-level folder' end else [{", ".join("null" if x is None else _quoted(x) for x in _PROBLEMS)}][i + 1] end as problem from q"""
 )
 def archive_preflight(spark, d):
     k = F.col("p_partkey")
@@ -644,9 +643,8 @@ def archive_preflight(spark, d):
     )
     found = archives.preflight(entries.drop("k", "_"))
     keyed = entries.select("k", "archive_id", "name").dropDuplicates(["k"])
-    problem = F.when(F.col("problem") == "more than one top-level folder", F.lit(None)).otherwise(F.col("problem"))
     first = found.groupBy("archive_id", "name").agg(F.min("problem").alias("problem"))
-    return keyed.join(first, ["archive_id", "name"]).select("archive_id", "k", problem.alias("problem"))
+    return keyed.join(first, ["archive_id", "name"]).select("archive_id", "k", "problem")
 
 
 @query("select c_custkey as k, cast(greatest(c_custkey * 977 // 100 * 15, 8000) as bigint) as signatures, cast(greatest(c_custkey * 977 // 100 * 40, 16000) as bigint) as contents from customer")

@@ -285,6 +285,30 @@ def test_sessions(spark, tmp_path):
         sessions.read_lines(spark, str(tmp_path / "bad.json"), rows.schema).collect()
 
 
+def test_headers_of_a_diff_are_neighbours():
+    assert diff.parse("--- a/x\n+++ b/y\n@@ -1 +1 @@\n-a\n+b\n") == [("y", 1, 1)]
+    assert diff.parse("--- a/x\nbetween\n+++ b/y\n@@ -1 +1 @@\n-a\n+b\n") == []
+
+
+def test_merge_of_unknown_severities(spark):
+    rows = [found(severity="odd"), found(source="ai", severity=None, confidence="high")]
+    assert [(r.severity, r.confidence) for r in findings.merge_sources(frame(spark, rows)).collect()] == [("odd", "high")]
+
+
+def test_analysis_of_a_tree(spark, tmp_path):
+    for name, body in {"src/a.py": "# TODO x\n", "src/.env": "S", "node_modules/b.py": "# TODO y\n", "bad.py": "def f(:", ".gitignore": "src/\n", ".git/HEAD": "x", "big.py": "x" * 50}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(body)
+    (tmp_path / "gone.py").symlink_to("nothing.py")
+    whole = analyze.analyze_tree(spark, str(tmp_path), max_file_bytes=20)
+    assert whole.findings.count() == 0  # src is ignored, node_modules excluded
+    assert tuple(whole.scan.first()) == (3, 1, 2, False)  # .gitignore; bad.py does not parse, gone.py cannot be read
+    review = analyze.review_tree(spark, str(tmp_path), "--- a/src/a.py\n+++ b/src/a.py\n@@ -0,0 +1 @@\n+# TODO x\n")
+    assert [(r.file, r.line_start) for r in review.findings.collect()] == [("src/a.py", 1)]  # the snapshot's ignore files decide nothing
+    table = analyze.analyze(files(spark, ("node_modules/b.py", "# TODO y\n"), ("c.py", "# TODO z\n")))
+    assert [r.file for r in table.findings.collect()] == ["c.py"]
+
+
 def test_analysis_and_reports(spark, tmp_path):
     f = files(spark, ("a.py", 'token = "abcd1234efgh5678"\n# TODO x\n'), ("b.rs", "fn f() {}\n"))
     result = analyze.analyze(f)
