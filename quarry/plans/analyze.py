@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators import corpus, coverage, detectors, diff, findings, syntax
-from ..sources import directory
+from ..sources import archives, directory
 from ..sources.tables import save
 
 
@@ -83,3 +83,17 @@ def review_tree(spark, root: str, diff_text: str, config: Config = Config()) ->
     files, unreadable = directory.read_directory(spark, root, ignore_files=False)
     changed = corpus.select_files(files, hunks.select(F.col("path").alias("relative_path")))
     return _scoped(analyze(changed, config, unreadable=unreadable, rules=None), hunks, config)
+
+
+def review_archive(spark, archive: str, diff_text: str, config: Config = Config()) -> Result:
+    """A review of a zip archive's tree by a local diff. A refused archive is an error; files that hold no text are left out."""
+    unpacked, refused = archives.unpack(spark, [archive])
+    problem = refused.orderBy("name", "problem").first()
+    if problem is not None:
+        raise ValueError(f"{archive}: {problem['name']}: {problem['problem']}")
+    hunks = diff.hunks(spark.createDataFrame([(0, diff_text)], "diff_id long, diff string"))
+    error = hunks.filter("error is not null").first()
+    if error is not None:
+        raise ValueError(error["error"])
+    text = unpacked.filter(~F.contains(F.substring("content", 1, 8192), F.lit(bytearray(b"\0")))).select("relative_path", F.expr("make_valid_utf8(cast(content as string))").alias("content"))
+    return analyze_review(corpus.with_language(text), hunks.filter("start is not null").select("path", "start", "end"), config)
