@@ -133,10 +133,11 @@ def occurrences(text: Column | str, part: Column | str) -> Column:
 
 
 def once_lines(text: Column | str, part: Column | str) -> tuple[Column, Column]:
-    """First and last line of ``part`` if it stands exactly once in the text, else nulls. Overlapping repeats count."""
+    """First and last line of ``part`` if it stands exactly once in the text, else nulls. What overlaps with the first place
+    is no other one."""
     t, p = _c(text), _c(part)
     before = F.call_function("substring_index", t, p, F.lit(1))
-    again = F.contains(F.substr(t, F.length(before) + F.lit(2)), p)
+    again = F.contains(F.substr(t, F.length(before) + F.length(p) + F.lit(1)), p)
     once = (F.length(p) > 0) & F.contains(t, p) & ~again
     first = newlines(before) + 1
     return F.when(once, first).cast("long"), F.when(once, first + newlines(F.regexp_replace(p, r"\n\z", ""))).cast("long")

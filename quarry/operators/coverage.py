@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..functions.text import line_count, once_lines
+from ..sources.tables import save
 
 
 def overlapping(findings: DataFrame, hunks: DataFrame) -> DataFrame:
@@ -80,16 +85,51 @@ def duplicate_scope(changed: DataFrame) -> DataFrame:
     return changed.select(normal.alias("path")).groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each file (file, text, snippets): its lines, and first and last line of each snippet that stands in it exactly once.
+
+    A text is read once, by an automaton of all its snippets."""
+    import ahocorasick
+
+    for b in batches:
+        out = []
+        for file, text, snippets in zip(*(b.column(c).to_pylist() for c in ("file", "text", "snippets")), strict=True):
+            words = [s for s in snippets or [] if s]
+            total = text.count("\n") + (not text.endswith("\n")) if text else 0
+            found: dict[int, list[int]] = {}  # snippet: where it stands first, how often, from where on it can stand again
+            if words and text:
+                automaton = ahocorasick.Automaton()
+                for k, w in enumerate(words):
+                    automaton.add_word(w, k)
+                automaton.make_automaton()
+                for end, k in automaton.iter(text):
+                    start = end + 1 - len(words[k])
+                    own = found.setdefault(k, [start, 0, 0])
+                    if start >= own[2]:
+                        own[1:] = own[1] + 1, end + 1
+            newlines = [m.start() for m in re.finditer("\n", text)] if found else []
+            places = []
+            for k, (start, n, _) in found.items():
+                if n == 1:
+                    first = bisect_left(newlines, start) + 1
+                    places.append({"snippet": words[k], "first": first, "last": first + words[k].removesuffix("\n").count("\n")})
+            out.append((file, total, places))
+        place = pa.struct([("snippet", pa.string()), ("first", pa.int64()), ("last", pa.int64())])
+        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.list_(place))], ["file", "total", "places"])
+
+
 def evidence(findings: DataFrame, files: DataFrame) -> DataFrame:
     """Findings with lines checked against their file, and ``problem``: why one is rejected, else null.
 
-    A snippet has to occur exactly once and decides the lines; otherwise the stated range has to end within the file.
+    A snippet has to occur exactly once and decides the lines; otherwise the stated range has to end within the file. A
+    file's text is read once, whatever the number of its findings, and meets their snippets only.
     """
-    text = files.select(F.col("relative_path").alias("e_path"), F.col("content").alias("e_text"))
-    rows = findings.join(text, F.col("file") == F.col("e_path"), "left")
-    first, last = once_lines("e_text", "code_snippet")
-    total = line_count("e_text")
-    rows = rows.withColumns({"e_first": first, "e_last": last, "e_total": total})
+    asked = findings.filter("file is not null").groupBy("file").agg(F.collect_set("code_snippet").alias("snippets"))
+    texts = files.select(F.col("relative_path").alias("file"), F.coalesce("content", F.lit("")).alias("text")).join(asked, "file")
+    looked = save(texts.mapInArrow(_places, "file string, total long, places array<struct<snippet:string,first:long,last:long>>"), "places")
+    known = looked.select(F.col("file").alias("e_path"), F.col("total").alias("e_total"))
+    stands = looked.select(F.col("file").alias("e_file"), F.explode("places").alias("p")).select("e_file", F.col("p.snippet").alias("e_snippet"), F.col("p.first").alias("e_first"), F.col("p.last").alias("e_last"))
+    rows = findings.join(known, F.col("file") == F.col("e_path"), "left").join(stands, (F.col("file") == F.col("e_file")) & (F.col("code_snippet") == F.col("e_snippet")), "left")
     has = F.col("code_snippet").isNotNull()
     problem = (
         F.when(F.col("e_path").isNull(), "no such file")

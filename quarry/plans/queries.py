@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import languages, paths, text
-from ..operators import context, corpus, coverage, detectors, diff, findings, nodes, search, shards, stats, syntax
+from ..operators import context, corpus, coverage, detectors, diff, findings, ignore, nodes, search, shards, stats, syntax
 from ..operators.corpus import DiscoverOptions
 from ..sources import archives
 from ..streaming import events
@@ -462,7 +462,7 @@ def sanitized(spark, d):
 @query(
     f"""with {FILES}, {LINES}, s as (select relative_path, content, ls[2] as part from arrays where len(ls) > 1 and ls[2] <> ''),
 p as (select *, strpos(content, part) as pos from s)
-select relative_path, cast(case when strpos(substring(content, pos + 1), part) = 0 then 1 + len(substring(content, 1, pos - 1)) - len(replace(substring(content, 1, pos - 1), chr(10), '')) end as bigint) as first_line from p"""
+select relative_path, cast(case when strpos(substring(content, pos + len(part)), part) = 0 then 1 + len(substring(content, 1, pos - 1)) - len(replace(substring(content, 1, pos - 1), chr(10), '')) end as bigint) as first_line from p"""
 )
 def exact_once(spark, d):
     rows = _files(spark, d).select("relative_path", "content", F.try_element_at(text.lines("content"), F.lit(2)).alias("part")).filter("part <> ''")
@@ -560,6 +560,24 @@ def hunk_ranges(spark, d):
     return diff.header_ranges(rows).withColumnRenamed("end", "stop")
 
 
+_IGNORED = [("", "gitignore", "# all folders\n*.js\n!f1*.js\nbuild/\n"), ("d1", "gitignore", "!*.js\n"), ("d2", "ignore", "*.py\n!f2*\n"), ("d3", "gitignore", "/src/\n"), ("", "exclude", "*.min\n"), ("d4", "ignore", "!*.min\n"), ("d9", "ignore", "*\n")]
+
+
+@query(
+    """with p as (select o_orderkey as k, o_orderkey % 5 as d, ['build', 'src', 'keep'][o_orderkey % 3 + 1] as folder, 'f' || o_orderkey as stem, ['.js', '.tmp', '.py', '.min'][o_orderkey % 4 + 1] as ending from orders),
+v as (select *, case when d = 2 and starts_with(stem, 'f2') then false when d = 2 and ending = '.py' then true when d = 4 and ending = '.min' then false end as by_ignore,
+  case when ending = '.js' then d <> 1 and not starts_with(stem, 'f1') end as by_git, case when ending = '.min' then true end as by_exclude from p)
+select 'd' || d || '/' || folder || '/' || stem || ending as relative_path from v where folder <> 'build' and not (d = 3 and folder = 'src') and not coalesce(by_ignore, by_git, by_exclude, false)"""
+)
+def ignore_rules(spark, d):
+    """Paths that the ignore files of their folders keep."""
+    k = F.col("o_orderkey")
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.pmod(k, F.lit(len(values))) + 1).cast("int"))
+    path = F.concat(F.lit("d"), F.pmod(k, F.lit(5)).cast("string"), F.lit("/"), pick(["build", "src", "keep"]), F.lit("/f"), k.cast("string"), pick([".js", ".tmp", ".py", ".min"]))
+    files = spark.read.parquet(f"{d}/orders.parquet").select(path.alias("relative_path"))
+    return ignore.kept(files, spark.createDataFrame(_IGNORED, "folder string, kind string, content string"))
+
+
 # --- coverage, evidence, archives, admission over the tables ---------------------------------------------------------
 
 
@@ -598,7 +616,7 @@ def reconciled(spark, d):
 
 @query(
     f"""with {FILES}, {LINES}, s as (select relative_path, content, len(ls) as n, size_bytes, case when size_bytes % 3 = 0 and len(ls) > 1 then ls[2] when size_bytes % 3 = 1 and len(ls) > 0 then ls[1] end as part from arrays),
-p as (select *, strpos(content, part) as pos from s), o as (select *, part <> '' and strpos(substring(content, pos + 1), part) = 0 as once, 1 + len(substring(content, 1, pos - 1)) - len(replace(substring(content, 1, pos - 1), chr(10), '')) as line from p)
+p as (select *, strpos(content, part) as pos from s), o as (select *, part <> '' and strpos(substring(content, pos + len(part)), part) = 0 as once, 1 + len(substring(content, 1, pos - 1)) - len(replace(substring(content, 1, pos - 1), chr(10), '')) as line from p)
 select relative_path as file, case when part is not null and not once then 'snippet does not occur exactly once' when part is null and 4 > n then 'lines outside the file' end as problem,
   cast(case when part is null then 2 when once then line end as bigint) as line_start, cast(case when part is null then 4 when once then line end as bigint) as line_end from o"""
 )

@@ -183,6 +183,21 @@ def test_coverage(spark):
     assert tuple(coverage.scan_status(p, skipped).first()) == (2, 1, 1, False)
 
 
+def test_much_evidence_on_one_file(spark):
+    """Ten thousand snippets of a text of a mebibyte, against the expression for one of them."""
+    from quarry.functions.text import once_lines
+
+    r = random.Random(4)
+    text = "".join(f"line {k} {r.randrange(300)}\n" for k in range(60_000))
+    parts = [text[a : a + r.randrange(1, 60)] for a in (r.randrange(len(text)) for _ in range(9_990))] + ["", "absent", "\n\n", "line 7 ", "ine", text[:500], text[-500:], "7", "77", "777"]
+    rows = spark.createDataFrame([found(file="big.py", code_snippet=p, title=str(k)) for k, p in enumerate(parts)], findings.SCHEMA)
+    got = {int(x.title): (x.line_start, x.line_end, x.problem is None) for x in coverage.evidence(rows, files(spark, ("big.py", text), ("other.py", "x"))).collect()}
+    some = r.sample(range(len(parts)), 300) + list(range(9_990, 10_000))
+    pairs = spark.createDataFrame([(k, parts[k]) for k in dict.fromkeys(some)], "k int, p string").withColumn("t", F.lit(text))
+    want = {x.k: (x.a, x.b, x.a is not None) for x in pairs.select("k", once_lines("t", "p")[0].alias("a"), once_lines("t", "p")[1].alias("b")).collect()}
+    assert len(got) == len(parts) and {k: got[k] for k in want} == want and sum(v[2] for v in want.values()) > 100
+
+
 def test_evidence(spark):
     f = files(spark, ("a.rs", "one\ntwo\ntwo\nthree"))
     rows = [found(code_snippet="three", line_start=1, line_end=1), found(code_snippet="two"), found(line_start=4, line_end=4), found(line_start=4, line_end=5), found(file="nope"), found(line_start=None)]

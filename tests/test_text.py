@@ -35,7 +35,7 @@ def test_trim_is_unicode_aware(spark):
 def test_once_lines(spark):
     rows = spark.createDataFrame([("a\nb\nc", "b"), ("aXaXa", "aXa"), ("b\nb", "b"), ("x", "y"), ("x", ""), ("a\nb\nc\n", "b\nc\n"), ("aa", "a")], "t string, p string")
     got = [tuple(r) for r in rows.select(*(c.alias(f"c{i}") for i, c in enumerate(text.once_lines("t", "p")))).collect()]
-    assert got == [(2, 2), (None, None), (None, None), (None, None), (None, None), (2, 3), (None, None)]
+    assert got == [(2, 2), (1, 1), (None, None), (None, None), (None, None), (2, 3), (None, None)]
 
 
 def test_sanitize_and_markdown(spark):
