@@ -41,6 +41,13 @@ met: [1] Redistributions of source code must retain the above copyright notice,
 Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
 and/or other materials provided with the distribution. """
 _DISCLAIMED = "This software " + _WARRANTY.format(by="by the <<1..12>>", who="<<1..12>>")
+_MIT_END = """The Software is provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of
+merchantability, fitness for a particular purpose and noninfringement. In no event shall [the] <<1..12>> be liable for any claim, damages or other liability,
+whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software."""
+_ISC_END = """The software is provided "as is" and <<1..12>> disclaims all warranties with regard to this software including all implied warranties of
+merchantability and fitness. In no event shall <<1..12>> be liable for any special, direct, indirect, or consequential damages or any damages whatsoever
+resulting from loss of use, data or profits, whether in an action of contract, negligence or other tortious action, arising out of or in connection with
+the use or performance of this software."""
 _GNU = """This program is free software[:] you can redistribute it and/or modify it under the terms of the GNU {name} General Public License as
 published by the Free Software Foundation[,] either version {version} of the License, or (at your option) any later version."""
 
@@ -50,39 +57,44 @@ TEMPLATES = [
       "Software")], to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
       distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the
       following conditions: The above copyright notice and this permission notice [(including the next paragraph)] shall be included in all copies
-      or substantial portions of the Software. The Software is provided "as is", without warranty of any kind, express or implied, including but not
-      limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the <<1..12>> be liable
-      for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the
-      software or the use or other dealings in the software."""),
+      or substantial portions of the Software. """ + _MIT_END),
     ("mit-0", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the
       "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
-      distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so. The Software is
-      provided "as is", without warranty of any kind"""),
+      distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so. """ + _MIT_END),
     ("isc", """Permission to use, copy, modify, and[/or] distribute this software for any purpose with or without fee is hereby granted, provided that
-      the above copyright notice and this permission notice appear in all copies. The software is provided "as is" and <<1..12>> disclaims all
-      warranties with regard to this software including all implied warranties of merchantability and fitness. In no event shall <<1..12>> be liable
-      for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether in
-      an action of contract, negligence or other tortious action, arising out of or in connection with the use or performance of this software."""),
-    ("0bsd", """Permission to use, copy, modify, and[/or] distribute this software for any purpose with or without fee is hereby granted. The software
-      is provided "as is" and <<1..12>> disclaims all warranties with regard to this software"""),
+      the above copyright notice and this permission notice appear in all copies. """ + _ISC_END),
+    ("0bsd", """Permission to use, copy, modify, and[/or] distribute this software for any purpose with or without fee is hereby granted. """ + _ISC_END),
     ("bsd-2-clause", _BSD + _DISCLAIMED),
     ("bsd-3-clause", _BSD + """[3] Neither the name of [the] <<1..12>> nor the names of its contributors may be used to endorse or promote products
       derived from this software without specific prior written permission. """ + _DISCLAIMED),
     ("zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages
       arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications,
       and to alter it and redistribute it freely, subject to the following restrictions: [1] The origin of this software must not be
-      misrepresented; you must not claim that you wrote the original software."""),
+      misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product
+      documentation would be appreciated but is not required. [2] Altered source versions must be plainly marked as such, and must not be
+      misrepresented as being the original software. [3] This notice may not be removed or altered from any source distribution."""),
     ("bsl-1.0", """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying
-      documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software"""),
+      documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to
+      prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+      The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following
+      disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or
+      derivative works are solely in the form of machine-executable object code generated by a source language processor. The Software is provided
+      "as is", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a
+      particular purpose, title and non-infringement. In no event shall the copyright holders or anyone distributing the Software be liable for any
+      damages or other liability, whether in contract, tort or otherwise, arising from, out of or in connection with the Software or the use or other
+      dealings in the Software."""),
     ("unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile,
       sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any
-      means."""),
+      means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the
+      software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors.
+      We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright
+      law. """ + _MIT_END),
     ("apache-2.0", """Licensed under the Apache License, Version 2.0 [(the "License")]; you may not use this file except in compliance with the
       License. You may obtain a copy of the License at <<1..10>> Unless required by applicable law or agreed to in writing, software distributed
       under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License
       for the specific language governing permissions and limitations under the License."""),
     ("mpl-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with
-      this file, You can obtain one at"""),
+      this file, You can obtain one at <<1..1>> mozilla org MPL 2 0"""),
     *((f"{label}-{version}.0-or-later", _GNU.format(name=name, version=version).replace("[:]", "").replace("[,]", "")) for label, name in (("gpl", ""), ("agpl", "Affero"), ("lgpl", "Lesser")) for version in (2, 3)),
     # References of a line or two.
     ("apache-2.0", "licensed under the apache license [software foundation] version 2 0"),

@@ -124,14 +124,18 @@ def test_license_texts(spark):
     for k, (label, template) in enumerate(licenses.TEMPLATES):
         for optional in (0, 1):
             w = filled(template, optional)
-            rows += [(10 * k + optional, f"Intro, {'; '.join(w).upper()}\n(end)"), (10 * k + 2 + optional, " ".join(w[: len(w) // 2] + ["changed"] + w[len(w) // 2 + 1 :]))]
+            rows += [(10 * k + optional, f"Intro, {'; '.join(w).upper()}\n(end)")]
+            # One mandatory word changed: near the middle, and near the end.
+            mandatory = [i for i, x in enumerate(w) if x != "holder" and (not optional or w.count(x) == filled(template, 0).count(x))]
+            for o, i in ((2, mandatory[len(mandatory) // 2]), (4, mandatory[-1])):
+                rows += [(10 * k + o + optional, " ".join(w[:i] + ["changed"] + w[i + 1 :]))]
             want[10 * k + optional] = label
     got = {r.doc_id: {tuple(s) for s in r.spans} for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     sizes = {i: len(words(t)) for i, t in rows}
     for i, label in want.items():
         assert (label, 1, sizes[i] - 2) in got[i], (i, label)
     full = [k for k, (_, t) in enumerate(licenses.TEMPLATES) if len(licenses.parts(t)) > 40]
-    assert len(full) > 10 and all(licenses.TEMPLATES[k][0] not in {x[0] for x in got[10 * k + 2 + o] if x[2] - x[1] > 30} for k in full for o in (0, 1))
+    assert len(full) > 10 and all(licenses.TEMPLATES[k][0] not in {x[0] for x in got[10 * k + o] if x[2] - x[1] > 30} for k in full for o in (2, 3, 4, 5))
 
 
 def test_license_automaton():
