@@ -97,3 +97,12 @@ ERRORS = {"configuration": 2, "model": 3, "project": 4, "cancelled": 130}
 def exit_code(complete: bool, fails: bool, error: str | None = None) -> int:
     """An error's own code; else a partial scan (5) goes before findings (1) and success (0)."""
     return ERRORS[error] if error else 5 if not complete else 1 if fails else 0
+
+
+def root_cause(error: BaseException) -> str:
+    """The message of the error that all others on the way were raised from."""
+    seen = set()
+    while id(error) not in seen and (source := error.__cause__ or (None if error.__suppress_context__ else error.__context__)) is not None:
+        seen.add(id(error))
+        error = source
+    return str(error)

@@ -98,3 +98,15 @@ def test_progress_never_falls(spark):
             spark.range(100).repartition(n).count()
             seen.append(run.fraction())
     assert seen == sorted(seen) and 0 < seen[-1] < 1 and run.fraction() == 1.0
+
+
+def test_the_root_cause_is_the_deepest_error():
+    with pytest.raises(ValueError) as e:
+        try:
+            try:
+                raise PermissionError("denied")
+            except PermissionError as inner:
+                raise OSError("cannot be read") from inner
+        except OSError:
+            raise ValueError("no such file")  # noqa: B904
+    assert report.root_cause(e.value) == "denied" and report.root_cause(KeyError("x")) == "'x'"
