@@ -292,16 +292,22 @@ def merge_pipelines(spark, d):
 
 
 @query(
-    f"""with recursive {FOUND}, n as (select *, row_number() over (partition by file, rule order by cast(substring(description, 2) as bigint)) as k from found),
-fold as (select distinct file, rule, cast(0 as bigint) as k, cast([] as struct(first bigint, last bigint)[]) as kept, '' as title, cast(0 as bigint) as line_start, cast(0 as bigint) as line_end, false as stays from n
+    f"""with recursive {FOUND}, m as (select * replace (case when key % 6 = 0 then null else rule end as rule, case when key % 11 <> 0 then case when key % 13 = 0 then line_end else line_start end end as line_start, case when key % 11 <> 0 then case when key % 13 = 0 then line_start else line_end end end as line_end)
+  from (select *, cast(substring(description, 2) as bigint) as key from found)),
+n as (select *, least(line_start, line_end) as a, greatest(line_start, line_end) as z, row_number() over (partition by file order by key) as k from m where line_start is not null),
+fold as (select distinct file, cast(0 as bigint) as k, cast([] as struct(a bigint, z bigint, rule varchar, title varchar)[]) as kept, '' as title, cast(null as varchar) as rule, cast(0 as bigint) as line_start, cast(0 as bigint) as line_end, false as stays from n
   union all
-  select file, rule, k, case when stays then list_append(kept, {{'first': line_start, 'last': line_end}}) else kept end, title, line_start, line_end, stays
-  from (select n.file, n.rule, n.k, fold.kept, n.title, n.line_start, n.line_end, len(list_filter(fold.kept, lambda x: x.first <= n.line_end and n.line_start <= x.last)) = 0 as stays
-    from fold join n on fold.file = n.file and fold.rule = n.rule and fold.k + 1 = n.k))
-select file, title, rule, line_start, line_end from fold where stays"""
+  select file, k, case when stays then list_append(kept, {{'a': a, 'z': z, 'rule': rule, 'title': title}}) else kept end, title, rule, line_start, line_end, stays
+  from (select n.*, fold.kept, len(list_filter(fold.kept, lambda x: x.a <= n.z and n.a <= x.z and coalesce(x.rule = n.rule, (x.rule is null or n.rule is null) and x.title = n.title))) = 0 as stays
+    from fold join n on fold.file = n.file and fold.k + 1 = n.k))
+select file, title, rule, line_start, line_end from fold where stays union all select file, title, rule, line_start, line_end from m where line_start is null"""
 )
 def dedupe_within(spark, d):
-    rows = _findings(spark, d).withColumn("ordinal", F.expr("cast(substring(description, 2) as long)"))
+    """With findings without a rule, without lines, and with lines in the wrong order."""
+    key = F.expr("cast(substring(description, 2) as long)")
+    start, end = F.col("line_start"), F.col("line_end")
+    lines = lambda x, y: F.when(key % 11 != 0, F.when(key % 13 == 0, y).otherwise(x))
+    rows = _findings(spark, d).withColumn("ordinal", key).withColumns({"rule": F.when(key % 6 != 0, F.col("rule")), "line_start": lines(start, end), "line_end": lines(end, start)})
     return findings.dedupe_run(rows).select("file", "title", "rule", "line_start", "line_end")
 
 
