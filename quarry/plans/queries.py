@@ -325,12 +325,14 @@ def hunk_overlap(spark, d):
 
 
 @query(
-    f"""with {HUNKS}, f as (select distinct 'c/' || (c_custkey % 40) as path from customer), g as (select path, bool_or(start < 1) as bad from hunks group by path)
-select path, case when bad or f.path is null then 'skipped' else 'presented' end as status, case when bad then 'invalid range' when f.path is null then 'absent' end as reason from g left join f using (path)"""
+    f"""with {HUNKS}, f as (select distinct 'c/' || (c_custkey % 40) as path from customer), g as (select path, bool_or(start < 1) as bad from hunks group by path),
+w as (select 'c/' || (40 + n_nationkey % 7) as path, min(n_name) as why from nation group by 1)
+select path, case when bad or f.path is null then 'skipped' else 'presented' end as status, case when bad then 'invalid range' when f.path is null then coalesce(why, 'absent') end as reason from g left join f using (path) left join w using (path)"""
 )
 def changed_coverage(spark, d):
     files = spark.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("c/"), F.pmod("c_custkey", F.lit(40)).cast("string")).alias("relative_path"))
-    return coverage.classify_changes(_hunks(spark, d), files, files.limit(0).select("relative_path", F.lit("").alias("reason")))
+    skipped = spark.read.parquet(f"{d}/nation.parquet").select(F.concat(F.lit("c/"), (F.col("n_nationkey") % 7 + 40).cast("string")).alias("relative_path"), F.col("n_name").alias("reason"))
+    return coverage.classify_changes(_hunks(spark, d), files, skipped)
 
 
 @query(f"with {FILES} select relative_path as path from files where relative_path not in (select relative_path from files where size_bytes % 3 = 0)")
@@ -545,8 +547,8 @@ def sse_fold(spark, d):
 @query(
     """with p as (select p_partkey as k, p_partkey % 6 as how, p_size as n from part)
 select k as diff_id, case how when 4 then null when 1 then 'new ' || k || '.rs' when 5 then 'src/d' || k else 'src/a' || k || '.rs' end as path,
-  cast(case when how in (2, 4, 5) then null else n + 1 end as bigint) as start, cast(case when how in (2, 4, 5) then null else n + 2 end as bigint) as stop, how = 4 as failed from p
-union all select k, 'src/a' || k || '.rs', n + 20, n + 20, false from p where how = 3"""
+  cast(case when how in (2, 4, 5) then null else n + 1 end as bigint) as start, cast(case when how in (2, 4, 5) then null else n + 2 end as bigint) as stop, case how when 4 then 'quoted path without end' end as error from p
+union all select k, 'src/a' || k || '.rs', n + 20, n + 20, null from p where how = 3"""
 )
 def diff_parse(spark, d):
     k, n = F.col("p_partkey"), F.col("p_size").cast("string")
@@ -558,7 +560,7 @@ def diff_parse(spark, d):
     quoted = F.concat(F.lit('--- /dev/null\n+++ "b/new\\040'), k.cast("string"), F.lit('.rs"\r\n'))
     text_ = F.when(how == 1, F.concat(quoted, hunk)).when(how == 2, F.concat(both, F.lit("@@ -1,2 +0,0 @@\n-x\n-y\n"))).when(how == 3, F.concat(both, hunk, again)).when(how == 4, F.concat(F.lit('--- "a/x\n+++ "b/'), n, F.lit("\n"))).when(how == 5, F.concat(F.lit("--- a/src/d"), k.cast("string"), F.lit("\n+++ /dev/null\n"))).otherwise(F.concat(both, hunk))
     out = diff.hunks(spark.read.parquet(f"{d}/part.parquet").select(k.alias("diff_id"), text_.alias("diff")))
-    return out.select("diff_id", "path", "start", F.col("end").alias("stop"), F.col("error").isNotNull().alias("failed"))
+    return out.select("diff_id", "path", "start", F.col("end").alias("stop"), "error")
 
 
 @query("select 'f' || (p_partkey % 20) as path, p_partkey % 50 as start, p_partkey % 50 + p_partkey % 7 - 1 as stop from part where p_partkey % 50 > 0 and p_partkey % 7 > 0")
