@@ -271,7 +271,7 @@ def test_directory(spark, tmp_path):
     (tmp_path / ".git").mkdir()
     found, _ = directory.read_directory(spark, str(tmp_path), max_file_bytes=50)
     assert "_under.py" not in {r.relative_path for r in found.collect()}
-    found, _ = directory.read_directory(spark, str(tmp_path), ignore_files=False)
+    found, _ = directory.read_directory(spark, str(tmp_path), ignore_files=False, rules=None)
     assert {"src/skip1.py", "big.py", "src/build/o.py"} <= {r.relative_path for r in found.collect()}
 
 
