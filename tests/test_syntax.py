@@ -153,15 +153,27 @@ SHAPES = {
 }
 
 
+def timed(text, language):
+    began = time.process_time()
+    syntax.scan(text, language)
+    return time.process_time() - began
+
+
+@pytest.fixture(scope="module")
+def unit():
+    """What a mebibyte of ordinary code takes on this machine, as it is just now."""
+    return timed("fn one(a: i32) {\n    two(a + 1);\n}\n" * 30_000, "rust")
+
+
 @pytest.mark.parametrize("shape", list(SHAPES))
-def test_time_grows_with_the_text(shape):
-    """A mebibyte of each of the first five, a quarter of the others, in any language: about a second at most, and two are allowed."""
+def test_time_grows_with_the_text(shape, unit):
+    """A mebibyte of each of the first five, a quarter of the others, in any language: about a second at most, and two are
+    allowed, or twice what ordinary code takes where the machine is slow."""
     size = 1 << (20 if shape in list(SHAPES)[:5] else 18)
     text = (SHAPES[shape] * (size // len(SHAPES[shape]) + 1))[:size]
     for language in syntax.LANGUAGES:
-        began = time.process_time()
-        syntax.scan(text, language)
-        assert time.process_time() - began < 2, language
+        took = timed(text, language)
+        assert took < max(2, 2 * unit), language
 
 
 def test_the_end_of_a_file_ends_what_is_open():
