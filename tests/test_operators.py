@@ -210,6 +210,12 @@ def test_interval_union(spark):
     assert sorted(map(tuple, coverage.interval_union(rows, ["k"]).collect())) == [("a", 1, 4), ("a", 6, 9), ("b", 1, 1)]
 
 
+def test_interval_union_of_ranges_without_an_end_and_of_equal_ones(spark):
+    rows = [("a", 1, 3), ("a", 5, None), ("a", 5, 7), ("b", 1, None), ("c", None, None)] + [("d", 2, 4), ("d", 9, 9)] * 50
+    found = coverage.interval_union(spark.createDataFrame(rows, "k string, start int, end int"), ["k"]).collect()
+    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, [("a", 1, 3), ("a", 5, 7), ("b", 1, None), ("c", None, None), ("d", 2, 4), ("d", 9, 9)]))
+
+
 def test_shards(spark):
     f = spark.createDataFrame([(p, n) for p, n in [("a/a", 4000), ("a-b/x", 4000), ("a/b/x", 4000), ("a/z", 4000), ("big/1", 40_000), ("big/2", 40_000), ("z", 1)]], "relative_path string, size_bytes long")
     runs = {r.relative_path: r.run for r in shards.directory_runs(f).collect()}
