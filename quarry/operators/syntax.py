@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import ast
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,26 +35,41 @@ def _python(text: str) -> list[tuple]:
 
 
 def _scan(text: str, language: str) -> list[tuple]:
-    t = Tokens(text, language)
+    t = Tokens(text, language, brief=True)
     return [(t.line(t.at[a]), t.line(t.ends[z] - 1), kind, name) for a, z, kind, name, _ in declarations(t)]
 
 
-def scan(text: str, language: str) -> dict:
+def _found(text: str, language: str) -> list[tuple] | None:
+    """(line_start, line_end, kind, name) of a text; None if it does not parse."""
     try:
         found = _python(text) if language == "python" else _scan(text, language)
         if len(found) > MAX_SIGNATURES or sum(len(x[3].encode()) for x in found) > MAX_NAME_BYTES:
             raise ValueError("too many signatures")
-        return {"parsed": True, "found": [dict(zip(("line_start", "line_end", "kind", "name"), x, strict=True)) for x in found]}
+        return found
     except (SyntaxError, ValueError, RecursionError, MemoryError):  # the parser's stack is a MemoryError
-        return {"parsed": False, "found": []}
+        return None
+
+
+def scan(text: str, language: str) -> dict:
+    found = _found(text, language)
+    return {"parsed": found is not None, "found": [dict(zip(("line_start", "line_end", "kind", "name"), x, strict=True)) for x in found or ()]}
 
 
 FOUND = T.ArrayType(T.StructType([T.StructField("line_start", T.LongType()), T.StructField("line_end", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("name", T.StringType())]))
 
 
-@F.pandas_udf(T.StructType([T.StructField("parsed", T.BooleanType()), T.StructField("found", FOUND)]))
-def _signatures(text: pd.Series, language: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([{"parsed": None, "found": None} if t is None else scan(t, x) for t, x in zip(text, language, strict=True)], columns=["parsed", "found"])
+@F.arrow_udf(T.StructType([T.StructField("parsed", T.BooleanType()), T.StructField("found", FOUND)]))
+def _signatures(text: pa.Array, language: pa.Array) -> pa.Array:
+    parsed, ends, rows = [], [0], []
+    for t, x in zip(text, language.to_pylist(), strict=True):  # one text at a time
+        found = None if (t := t.as_py()) is None else _found(t, x)
+        parsed.append(None if t is None else found is not None)
+        rows += found or ()
+        ends.append(len(rows))
+    columns = list(zip(*rows, strict=True)) or [()] * 4
+    item = pa.StructArray.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.string()) for k, c in enumerate(columns)], ["line_start", "line_end", "kind", "name"])
+    missing = pa.array([p is None for p in parsed], pa.bool_())
+    return pa.StructArray.from_arrays([pa.array(parsed, pa.bool_()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), item, mask=missing)], ["parsed", "found"])
 
 
 def with_scan(files: DataFrame, wanted: Column | None = None) -> DataFrame:

@@ -272,3 +272,21 @@ def test_nodes_nest(spark):
                 assert text[n[5] : n[6]] == n[9]
         for n in found:
             assert n[1] == max([n[0], *(c[1] for c in below[n[0]])])
+
+
+@pytest.mark.parametrize("language", ["rust", "go", "java", "c", "cpp", "javascript", "typescript", "bash"])
+def test_lines_of_plain_calls_do_not_change_declarations(language):
+    from quarry.functions.declarations import declarations
+    from quarry.functions.tokens import Tokens
+
+    def found(t):
+        return [(t.line(t.at[a]), t.line(t.ends[z] - 1), kind, name) for a, z, kind, name, _ in declarations(t)]
+
+    calls = "\n  x();\n  y(a, b.c);\n"
+    heads = ["fn f() {", "func f() {", "function f() {", "int f(int a) {", "class A { void f() {", "fn // {", "struct S /* ; */", "type (\n A int;", "\"open {", "f() {"]
+    for head in heads:
+        for tail in ("}", "}\nfn g() {}", "x(struct foo);\n}", "struct T;\n}", ""):
+            source = head + calls * 3 + tail
+            assert found(Tokens(source, language, brief=True)) == found(Tokens(source, language)), source
+    if language != "bash":
+        assert len(Tokens("fn f() {" + "\n  x();" * 1000 + "\n}", language, brief=True).text) < 10
