@@ -551,3 +551,15 @@ def test_dedupe_equals_a_plain_fold(spark):
     assert len(kept) < len(rows) - 50
     got = findings.dedupe_run(frame(spark, [r[:-1] for r in rows]).coalesce(1).withColumn("ordinal", F.monotonically_increasing_id())).collect()
     assert sorted(r.ordinal for r in got) == [value(r, "ordinal") for r in kept]
+
+
+def test_paths_of_a_folder_meet_its_rules_once(spark):
+    """Rules reach a path as its folder's row: a path is one row from the start to the end, and no shuffle holds all paths."""
+    from quarry.operators import ignore
+
+    sources = spark.createDataFrame([("", "gitignore", "*.js\nbuild/\n"), ("a/b", "gitignore", "!keep.js\n")], "folder string, kind string, content string")
+    paths = ["x.js", "x.py", "a/x.js", "a/b/keep.js", "a/b/c/keep.js", "a/build/x.py", "build/a/b/keep.js", "a/b/other.js", None, "x.py"]
+    kept = ignore.kept(spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "relative_path string, i int"), sources)
+    assert sorted((r.i for r in kept.collect())) == [1, 3, 4, 8, 9]
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "hashpartitioning" not in plan
