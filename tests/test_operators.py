@@ -563,3 +563,14 @@ def test_paths_of_a_folder_meet_its_rules_once(spark):
     assert sorted((r.i for r in kept.collect())) == [1, 3, 4, 8, 9]
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "hashpartitioning" not in plan
+
+
+def test_places_are_given_out_in_parts():
+    import pyarrow as pa
+
+    n = 3000
+    texts = pa.array([f"{i}\n{'word ' * 100}\n" for i in range(n)])
+    batch = pa.RecordBatch.from_arrays([pa.array(map(str, range(n))), texts, pa.array([["word " * 100]] * n)], ["file", "text", "snippets"])
+    out = list(coverage._places(iter([batch])))
+    assert len(out) > 1 and [p for b in out for p in b.column("file").to_pylist()] == list(map(str, range(n)))
+    assert all(p == [{"snippet": "word " * 100, "first": 2, "last": 2}] for b in out for p in b.column("places").to_pylist())
