@@ -14,8 +14,10 @@ Quantifiers, anchors, literal tokens and groups of siblings are not, and are err
 language does not have. Each way to find a pattern is a match; a match stands for its first capture, in the order of the
 pattern; one without captures is left out.
 
-A step of a pattern is a filter on kind and field and an equi-join of a node's parent with its parent's number, within a
-file, so a query is evaluated over a whole corpus at once; ancestors are found by the interval of their descendants.
+A match lies within one file, so files are dealt over the tasks and nothing of them is shuffled after that: a task lays the
+trees of some files side by side in arrays (``Forest``), and a step of a pattern is a join of nodes with the parents that are
+found so far, for all those files at once. Lines of plain calls are read once for all that look the same. What predicates
+ask of texts is Spark's.
 """
 
 from __future__ import annotations
@@ -25,12 +27,13 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import nodetree
-from ..sources.tables import save
+from ..functions.tokens import CALL
 from .syntax import LANGUAGES, MAX_MATCH_BYTES, MAX_MATCHES, MAX_MATCHES_BYTES
 
 #: Fixed value: bytes of a query.
@@ -40,15 +43,22 @@ MAX_PATTERNS = 64
 _NODE = pa.schema([("id", pa.int32()), ("last", pa.int32()), ("parent", pa.int32()), ("kind", pa.string()), ("field", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("line_start", pa.int32()), ("line_end", pa.int32()), ("text", pa.string())])
 #: Of a file that does not parse: its only node.
 ERROR = "ERROR"
+#: Characters of files whose trees are held at once, apart from what the last file has beyond; rows of matches that are
+#: made at once, apart from a node's children; characters of a batch of results.
+FOREST_CHARS, ROWS, BATCH_CHARS = 1 << 20, 1 << 20, 4 << 20
+
+
+def _parsed(text: str, language: str, plain: list | None = None) -> list[tuple]:
+    try:
+        return nodetree.nodes(text, language, plain)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):  # the parser's stack is a MemoryError
+        return [(0, 0, None, ERROR, None, 0, len(text), 1, 1 + text.count("\n"), None)]
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for path, language, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-            try:
-                found = nodetree.nodes(text, language)
-            except (SyntaxError, ValueError, RecursionError, MemoryError):  # the parser's stack is a MemoryError
-                found = [(0, 0, None, ERROR, None, 0, len(text), 1, 1 + text.count("\n"), None)]
+            found = _parsed(text, language)
             columns = [pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), _NODE, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.repeat(path, len(found)), pa.repeat(language, len(found)), *columns], ["relative_path", "language", *_NODE.names])
 
@@ -202,74 +212,220 @@ def parse(query: str, language: str) -> list[Pattern]:
     return out
 
 
-def _text(i: int) -> Column:
-    """The text of step i: a leaf's own, else cut from the file."""
-    return F.coalesce(f"text{i}", F.substring("content", F.col(f"start{i}") + 1, F.col(f"end{i}") - F.col(f"start{i}")))
-
-
-def inside(inner: DataFrame, outer: DataFrame, number: str) -> DataFrame:
-    """Rows of ``inner`` whose node ``number`` descends from a node of ``outer`` (relative_path, id, last) in its file."""
-    o = outer.select(F.col("relative_path").alias("_path"), F.col("id").alias("_id"), F.col("last").alias("_last"))
-    return inner.join(o, (F.col("relative_path") == F.col("_path")) & (F.col(number) > F.col("_id")) & (F.col(number) <= F.col("_last")), "left_semi")
-
-
-def _match(table: DataFrame, texts: DataFrame, pattern: Pattern) -> DataFrame:
-    found = None
-    for i, step in enumerate(pattern.steps):
-        rows = table
-        if step.kind is not None:
-            rows = rows.filter(F.col("kind") == step.kind)
-        if step.field is not None:
-            rows = rows.filter(F.col("field") == step.field)
-        columns = ["id", "start", "end", "line_start", "line_end", "text"] if step.captures else ["id"]
-        own = rows.select("relative_path", F.col("parent").alias(f"_parent{i}"), *(F.col(c).alias(f"{c}{i}") for c in columns))
-        for f in step.without:
-            owners = table.filter(F.col("field") == f).select("relative_path", F.col("parent").alias(f"id{i}"))
-            own = own.join(owners, ["relative_path", f"id{i}"], "left_anti")
-        if found is None:
-            found = own.drop(f"_parent{i}")
-            continue
-        found = found.join(own.withColumnRenamed(f"_parent{i}", f"id{step.parent}"), ["relative_path", f"id{step.parent}"])
-        for k in (k for k in range(i) if pattern.steps[k].parent == step.parent):
-            found = found.filter(F.col(f"id{i}") > F.col(f"id{k}"))
-    if any(name != "#has-ancestor?" for name, _, _ in pattern.predicates):
-        found = found.join(texts, "relative_path")
+class Forest:
+    """The nodes of some texts in document order, as arrays: parent (-1: none), kind and field by ``code``, start, end,
+    line_start, line_end, and of: the text each belongs to."""
+
+    COLUMNS = ("parent", "kind", "field", "start", "end", "line_start", "line_end")
+
+    def __init__(self, texts: list[str], language: str):
+        self._codes: dict[str | None, int] = {None: 0}
+        trees, plain, calls, edge = [], [], [], 0
+        distinct: dict[str, int] = {}
+        for k, text in enumerate(texts):
+            lines: list[tuple[int, int, int, int]] = []
+            trees.append(_parsed(text, language, lines))
+            for at, parent, a, z in lines:
+                own = CALL.findall(text, a, z)
+                calls += [distinct.setdefault(x, len(distinct)) for x in own]
+                plain.append((edge + at, edge + parent, a, text.count("\n", 0, a), len(own), k))
+            edge += len(trees[-1])
+        sizes = np.array([len(x) for x in trees], np.int64)
+        table = self._table([n for t in trees for n in t])
+        table[0] += np.where(table[0] >= 0, np.repeat(np.cumsum(sizes) - sizes, sizes), 0)
+        of = np.repeat(np.arange(len(texts)), sizes)
+        if plain:
+            table, of = self._with_calls(table, of, np.array(plain, np.int64).T, np.array(calls), list(distinct), language)
+        self.of = of
+        self.parent, self.kind, self.field, self.start, self.end, self.line_start, self.line_end = table
+
+    def code(self, name: str | None) -> int:
+        return self._codes.setdefault(name, len(self._codes))
+
+    def _table(self, found: list[tuple]) -> np.ndarray:
+        """COLUMNS by nodes."""
+        if not found:
+            return np.zeros((7, 0), np.int64)
+        _, _, parent, kind, field_, *places, _ = zip(*found, strict=True)
+        return np.array([[-1 if p is None else p for p in parent], list(map(self.code, kind)), list(map(self.code, field_)), *places], np.int64)
+
+    def _with_calls(self, table: np.ndarray, of: np.ndarray, plain: np.ndarray, calls: np.ndarray, distinct: list[str], language: str) -> tuple[np.ndarray, np.ndarray]:
+        """The nodes of lines of plain calls put in their places.
+
+        plain: of each stretch of calls the node that it stands before, its parent, offset, lines before it, number of
+        calls and text; calls: their numbers in ``distinct``."""
+        at, above, offset, line, many, text = plain
+        # The nodes of all distinct calls, by their own beginnings.
+        chars, breaks = (np.array(x, np.int64) for x in ([len(x) for x in distinct], [x.count("\n") for x in distinct]))
+        own = self._table(nodetree.nodes("".join(distinct), language)[1:])
+        whose = np.searchsorted(np.cumsum(chars), own[3], "right")
+        n = np.bincount(whose, minlength=len(distinct))
+        first = np.cumsum(n) - n
+        own[0] -= 1 + np.where(own[0] > 0, first[whose], 0)  # -1: around the call
+        own[3:5] -= (np.cumsum(chars) - chars)[whose]
+        own[5:7] -= (np.cumsum(breaks) - breaks)[whose] + 1
+        # Calls: their stretches, offsets, lines and nodes.
+        stretch = np.repeat(np.arange(len(many)), many)
+        opens = np.cumsum(many) - many
+        since = lambda v: (np.cumsum(v) - v) - (np.cumsum(v) - v)[opens][stretch]
+        offset, line = offset[stretch] + since(chars[calls]), line[stretch] + since(breaks[calls]) + 1
+        count = n[calls]
+        before = np.cumsum(count) - count
+        added = np.append(before, count.sum())[np.append(opens, len(calls))]  # nodes before each stretch
+        place = np.arange(table.shape[1])
+        place += added[np.searchsorted(at, place, "right")]
+        out = np.empty((7, table.shape[1] + int(count.sum())), np.int64)
+        texts = np.empty(out.shape[1], np.int64)
+        out[:, place], texts[place] = table, of
+        out[0, place] = np.where(table[0] >= 0, place[table[0]], -1)
+        call = np.repeat(np.arange(len(calls)), count)
+        made = own[:, (first[calls] - before)[call] + np.arange(len(call))]
+        begin = at[stretch] + before
+        made[0] = np.where(made[0] >= 0, made[0] + begin[call], place[above[stretch]][call])
+        made[3:5] += offset[call]
+        made[5:7] += line[call]
+        there = at[stretch][call] + np.arange(len(call))
+        out[:, there], texts[there] = made, text[stretch][call]
+        return out, texts
+
+    def below(self, kinds: tuple[str, ...]) -> np.ndarray:
+        """Does a node descend from one of these kinds? Known for twice as many generations in each turn."""
+        up = self.parent
+        found = np.isin(self.kind, [self.code(k) for k in kinds])[up] & (up >= 0)
+        while (up >= 0).any():
+            found = found | (up >= 0) & found[up]
+            up = np.where(up >= 0, up[up], -1)
+        return found
+
+    def found(self, pattern: Pattern) -> Iterator[np.ndarray]:
+        """Matches in parts: a row a match, with the node of each step."""
+        candidates = []
+        for i, step in enumerate(pattern.steps):
+            ok = self.parent >= 0 if i else np.ones(len(self.parent), bool)
+            if step.kind is not None:
+                ok &= self.kind == self.code(step.kind)
+            if step.field is not None:
+                ok &= self.field == self.code(step.field)
+            for f in step.without:
+                owners = self.parent[self.field == self.code(f)]
+                ok[owners[owners >= 0]] = False
+            for name, on, values in pattern.predicates:
+                if name == "#has-ancestor?" and pattern.place(on) == i:
+                    ok &= self.below(values)
+            own = np.flatnonzero(ok)
+            candidates.append(own[np.argsort(self.parent[own], kind="stable")] if i else own)
+
+        def grow(rows: np.ndarray) -> Iterator[np.ndarray]:
+            i = rows.shape[1]
+            if i == len(pattern.steps):
+                yield rows
+                return
+            own, parent = candidates[i], pattern.steps[i].parent
+            above, sought = self.parent[own], rows[:, parent]
+            low = np.searchsorted(above, sought, "left")
+            n = np.searchsorted(above, sought, "right") - low
+            ends, a = np.cumsum(n), 0
+            while a < len(rows):
+                z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + ROWS, "right")))
+                row = np.repeat(np.arange(a, z), n[a:z])
+                child = own[np.repeat(low[a:z] - (ends[a:z] - n[a:z] - (ends[a - 1] if a else 0)), n[a:z]) + np.arange(len(row))]
+                ok = np.ones(len(row), bool)
+                for k in (k for k in range(i) if pattern.steps[k].parent == parent):
+                    ok &= child > rows[row, k]
+                if ok.any():
+                    yield from grow(np.column_stack([rows[row[ok]], child[ok]]))
+                a = z
+
+        return grow(candidates[0][:, None])
+
+
+def _asked(pattern: Pattern) -> list[str]:
+    """The captures whose texts the predicates ask for."""
+    return list(dict.fromkeys(x for name, on, values in pattern.predicates if name != "#has-ancestor?" for x in (on, *(v[1:] for v in values if v.startswith("@")))))
+
+
+def _holds(pattern: Pattern) -> Column:
+    """Do the predicates on texts hold? Column texts: of ``_asked``."""
+    text = lambda capture: F.col("texts")[_asked(pattern).index(capture)]
+    out = F.lit(True)
     for name, on, values in pattern.predicates:
-        i = pattern.place(on)
         if name == "#has-ancestor?":
-            found = inside(found, table.filter(F.col("kind").isin(*values)), f"id{i}")
             continue
-        against = [_text(pattern.place(v[1:])) if v.startswith("@") else F.lit(v) for v in values]
+        against = [text(v[1:]) if v.startswith("@") else F.lit(v) for v in values]
         if name == "#any-of?":
-            holds = F.array_contains(F.array(*against), _text(i))
+            holds = F.array_contains(F.array(*against), text(on))
         elif "match" in name:
-            holds = F.regexp(_text(i), against[0])
+            holds = F.regexp(text(on), against[0])
         else:
-            holds = _text(i) == against[0]
-        found = found.filter(~holds if name.startswith("#not-") else holds)
-    first = next(i for i, s in enumerate(pattern.steps) if s.captures)
-    return found.select("relative_path", *(F.col(f"{c}{first}").alias(c) for c in ("id", "start", "end", "line_start", "line_end")), F.array(*(F.col(f"id{k}") for k in range(len(pattern.steps)))).alias("path"))
+            holds = text(on) == against[0]
+        out = out & (~holds if name.startswith("#not-") else holds)
+    return out
 
 
-def matches(table: DataFrame, texts: DataFrame, patterns: list[Pattern]) -> DataFrame:
-    """(relative_path, pattern, id, start, end, line_start, line_end, path) of every match: its first capture; path has the
-    numbers of all its nodes. table: ``nodes``; texts: (relative_path, content)."""
-    found = None
-    for k, p in enumerate(patterns):
-        if any(s.captures for s in p.steps):
-            one = _match(table, texts, p).withColumn("pattern", F.lit(k))
-            found = one if found is None else found.unionByName(one)
-    if found is None:
-        return table.select("relative_path", "id", "start", "end", "line_start", "line_end", F.array(F.col("id")).alias("path"), F.lit(0).alias("pattern")).limit(0)
-    return found
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[str]]]:
+    """Paths and texts of about FOREST_CHARS."""
+    paths, texts, size = [], [], 0
+    for b in batches:
+        for path, text in zip(b.column(0), b.column(1), strict=True):  # one text at a time
+            paths.append(path.as_py())
+            texts.append(text.as_py())
+            size += len(texts[-1])
+            if size >= FOREST_CHARS:
+                yield paths, texts
+                paths, texts, size = [], [], 0
+    if texts:
+        yield paths, texts
+
+
+def matches(files: DataFrame, patterns: list[Pattern], language: str, code: bool) -> DataFrame:
+    """(relative_path, pattern, line_start, line_end) of every match in ``files`` (relative_path, content), all of one
+    language: its first capture; with its text, matched_code, or else with start, end, and path, the numbers of all its nodes."""
+    kept = [(k, p) for k, p in enumerate(patterns) if any(s.captures for s in p.steps)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for paths, texts in _groups(batches):
+            f, names = Forest(texts, language), pa.array(paths, pa.string())
+            for k, p in kept:
+                first = next(i for i, s in enumerate(p.steps) if s.captures)
+                cut = [p.place(c) for c in _asked(p)]
+                for rows in f.found(p):
+                    size = np.cumsum(sum((f.end[rows[:, i]] - f.start[rows[:, i]] for i in (*cut, first)), np.full(len(rows), 64)))
+                    a = 0
+                    while a < len(rows):
+                        z = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + BATCH_CHARS, "right")))
+                        some, a = rows[a:z], z
+                        own = some[:, first]
+                        of = f.of[own]
+                        text = lambda v, of=of.tolist(): [texts[k][x:y] for k, x, y in zip(of, f.start[v].tolist(), f.end[v].tolist(), strict=True)]  # noqa: B023, E731
+                        asked = pa.nulls(len(own), pa.list_(pa.string()))
+                        if cut:
+                            flat = [x for row in zip(*(text(some[:, i]) for i in cut), strict=True) for x in row]
+                            asked = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * len(cut)), pa.array(flat, pa.string()))
+                        more = [pa.array(text(own), pa.string())]
+                        if not code:
+                            more = [pa.array(f.start[own].astype(np.int32)), pa.array(f.end[own].astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * some.shape[1]), pa.array(some.reshape(-1).astype(np.int32)))]
+                        lines = [pa.array(v[own].astype(np.int32)) for v in (f.line_start, f.line_end)]
+                        yield pa.RecordBatch.from_arrays([names.take(pa.array(of)), pa.repeat(pa.scalar(k, pa.int32()), len(own)), *lines, *more, asked], columns)
+
+    more = ["matched_code string"] if code else ["start int", "end int", "path array<int>"]
+    schema = ["relative_path string", "pattern int", "line_start int", "line_end int", *more, "texts array<string>"]
+    columns = [c.split()[0] for c in schema]
+    found = files.filter(F.col("content").isNotNull()).select("relative_path", "content").mapInArrow(run, ", ".join(schema))
+    holds = F.lit(True)
+    for k, p in kept:
+        if _asked(p):
+            holds = F.when(F.col("pattern") == k, _holds(p)).otherwise(holds)
+    return found.filter(holds).drop("texts")
 
 
 def search_corpus(files: DataFrame, query: str, language: str) -> DataFrame:
-    """(relative_path, line_start, line_end, matched_code) of all matches in the files of one language that parse."""
-    own = files.filter(F.col("language") == language)
-    texts = own.select("relative_path", "content")
-    found = matches(save(nodes(own), "nodes"), texts, parse(query, language))  # read by every step
-    return found.join(texts, "relative_path").select("relative_path", "line_start", "line_end", F.substring("content", F.col("start") + 1, F.col("end") - F.col("start")).alias("matched_code"))
+    """(relative_path, line_start, line_end, matched_code) of all matches in the files of one language that parse.
+
+    Files are dealt evenly over the cluster first: a small table of keys may make a large corpus."""
+    patterns = parse(query, language)
+    own = files.filter((F.col("language") == language) & F.col("content").isNotNull()).select("relative_path", "content")
+    dealt = own.repartition(4 * files.sparkSession.sparkContext.defaultParallelism, "relative_path")
+    return matches(dealt, patterns, language, True).select("relative_path", "line_start", "line_end", "matched_code")
 
 
 def search_ast(files: DataFrame, path: str, query: str, max_results: int = MAX_MATCHES) -> DataFrame:
@@ -283,11 +439,10 @@ def search_ast(files: DataFrame, path: str, query: str, max_results: int = MAX_M
     if known is None:
         raise ValueError(f"{path}: no such file")
     patterns = parse(query, known["language"])
-    table = save(nodes(one), "nodes")
-    if not table.filter(F.col("kind") == ERROR).isEmpty():
+    if not nodes(one).filter(F.col("kind") == ERROR).isEmpty():
         raise ValueError(f"{path}: does not parse")
     order = ["start", F.desc("end"), "pattern", "path"]
-    found = matches(table, one.select("relative_path", "content"), patterns).orderBy(*order).limit(max_results)
+    found = matches(one, patterns, known["language"], False).orderBy(*order).limit(max_results)
     code = found.join(one.select("relative_path", "content"), "relative_path").withColumn("code", F.substring("content", F.col("start") + 1, F.col("end") - F.col("start"))).drop("content")
     size = F.octet_length("code")
     total = F.sum(size).over(Window.partitionBy("relative_path"))  # of one file, and at most max_results rows

@@ -290,3 +290,65 @@ def test_lines_of_plain_calls_do_not_change_declarations(language):
             assert found(Tokens(source, language, brief=True)) == found(Tokens(source, language)), source
     if language != "bash":
         assert len(Tokens("fn f() {" + "\n  x();" * 1000 + "\n}", language, brief=True).text) < 10
+
+
+@pytest.mark.parametrize("language", ["rust", "go", "java", "c", "typescript", "bash", "python"])
+def test_trees_side_by_side(language, monkeypatch):
+    """Trees of many files as arrays are those of each file; a line of calls that stands often is read once."""
+    from quarry.functions import nodetree
+    from quarry.operators import nodes
+
+    calls = "\n  x();\n y(a, 2.5); z();\n\n if(x);\r\n fn(a);"
+    heads = ["", "fn f() {", "func f() {", "class A { void f() {", "struct S /* ; */", "type (\n A int;", "\"open {", "m! { // c\n;", "def f(:"]
+    texts = [head + calls * 3 + tail for head in heads for tail in ("}", "}\nfn g() {" + calls + "}", "", "// end")]
+    f = nodes.Forest(texts, language)
+    want, base = [], 0
+    for k, text in enumerate(texts):
+        want += [(k, -1 if n[2] is None else n[2] + base, f.code(n[3]), f.code(n[4]), *n[5:9]) for n in nodes._parsed(text, language)]
+        base = len(want)
+    assert list(zip(*(v.tolist() for v in (f.of, f.parent, f.kind, f.field, f.start, f.end, f.line_start, f.line_end)), strict=True)) == want
+    if language not in ("bash", "python"):
+        left_out: list = []
+        assert len(nodetree.nodes("f() {" + "\n  x();" * 1000 + "\n}", language, left_out)) < 20 and len(left_out) == 1
+
+
+def test_matches_equal_a_plain_search(monkeypatch):
+    """Each way to find a pattern, made in parts of a few rows too."""
+    from quarry.operators import nodes
+
+    texts = [SOURCE, "fn a() {\n  x();\n  y(z, w);\n  x();\n}\n", "fn b() { c(d(e(f(1, g)))); }", ""]
+    f = nodes.Forest(texts, "rust")
+    n = range(len(f.parent))
+
+    def ancestors(v):
+        while (v := int(f.parent[v])) >= 0:
+            yield v
+
+    def plain(p):
+        found = [()]
+        for i, s in enumerate(p.steps):
+            fits = [v for v in n if s.kind in (None, kind[v]) and s.field in (None, field[v]) and not any(f.parent[c] == v and field[c] in s.without for c in n)]
+            fits = [v for v in fits if all(any(kind[a] in values for a in ancestors(v)) for name, on, values in p.predicates if name == "#has-ancestor?" and p.place(on) == i)]
+            found = [(*m, v) for m in found for v in fits if not i or f.parent[v] == m[s.parent] and all(v > m[k] for k in range(1, i) if p.steps[k].parent == s.parent)]
+        return sorted(found)
+
+    names = {v: k for k, v in f._codes.items()}
+    kind, field = [names[int(x)] for x in f.kind], [names[int(x)] for x in f.field]
+    for query in ("(_ (_) @a (_) @b)", "(block (call_expression function: (identifier) @a) (_))", "(function_item !body) @f", "((identifier) @x (#has-ancestor? @x call_expression impl_item))", "(_ (_ (_ !function) @a) (_))"):
+        (p,) = nodes.parse(query, "rust")
+        for rows in (1, 1 << 20):
+            monkeypatch.setattr(nodes, "ROWS", rows)
+            parts = list(f.found(p))
+            assert sorted(tuple(m) for part in parts for m in part.tolist()) == plain(p) and (rows == 1 or len(parts) <= 1), query
+
+
+def test_syntax_queries_of_a_corpus(spark):
+    """No join: files of the same path stay apart, and a corpus is dealt over the cluster however few parts it comes in."""
+    from quarry.operators import corpus, nodes
+
+    rows = [(f"{k % 3}.rs", f"fn f{k}() {{\n  x();\n  y{k}(a);\n}}\n") for k in range(60)] + [("a.go", "x()"), ("none.rs", None)]
+    files = corpus.with_language(spark.createDataFrame(rows, "relative_path string, content string").coalesce(1))
+    got = nodes.search_corpus(files, '(call_expression function: (_) @f) @c ((function_item name: (_) @n) (#match? @n "5$"))', "rust")
+    want = [(f"{k % 3}.rs", line, line, name) for k in range(60) for line, name in ((2, "x()"), (3, f"y{k}(a)"))] + [(f"{k % 3}.rs", 1, 1, f"f{k}") for k in range(60) if k % 10 == 5]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
