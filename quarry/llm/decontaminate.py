@@ -138,47 +138,56 @@ class Segment:
                         yield of[w], start, n
                     i = j
 
-    def near(self, slop: int) -> Iterator[tuple[int, np.ndarray]]:
-        """Proximity matches as (item, documents)."""
-        q, lists = self.q, {}
-
-        def postings(t: int) -> np.ndarray:
-            if t not in lists:
-                lists[t] = self._lists(np.array([t]))
-            return lists[t]
-
-        def close(near: np.ndarray, terms_of: list[int], reach: int) -> tuple[np.ndarray, np.ndarray]:
-            """Places of ``near`` with all terms within ``reach`` in the same document, and their documents."""
-            doc = np.searchsorted(self.bounds, near, "right") - 1
-            for t in terms_of:
-                if not len(near):
-                    break
-                p = postings(t)
-                right = np.searchsorted(p, near)
-                ok = np.zeros(len(near), bool)
-                for side in (right - 1, right):
-                    s = np.clip(side, 0, len(p) - 1)
-                    ok |= (abs(p[s] - near) <= reach) & (p[s] >= self.bounds[doc]) & (p[s] < self.bounds[doc + 1])
-                near, doc = near[ok], doc[ok]
-            return near, doc
-
+    def near(self, slop: int, pairs: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Proximity matches as (items, documents), some more than once. About ``pairs`` places, or one list, are followed at a time."""
+        q, span = self.q, int(self.bounds[-1]) + 1
+        some = np.flatnonzero(self.count)
+        keys = np.append(np.repeat(some, self.count[some]) * span + self._lists(some), np.iinfo(np.int64).max)  # by term and place
         for n, first, item in q.windows:
             offsets = np.arange(n)
-            rarest = np.concatenate([self.count[q.word[first[k : k + 65536, None] + offsets]].min(1) for k in range(0, len(first), 65536)])
-            for w in np.flatnonzero(rarest > 0).tolist():
+            for a in range(0, len(first), 65536):
+                word = q.word[first[a : a + 65536, None] + offsets]
+                df = self.count[word]
+                left = np.flatnonzero(df.min(1) > 0)
+                order = np.argsort(df[left], 1, kind="stable")
+                word, df = np.take_along_axis(word[left], order, 1), np.take_along_axis(df[left], order, 1)  # from the rarest to the most frequent
+                of = item[a + left]
+
+                def close(row: np.ndarray, w: np.ndarray, place: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+                    """Rows and documents of those places that have all terms of their row's window within ``reach`` in their document.
+                    w: windows of rows."""
+                    doc = np.searchsorted(self.bounds, place, "right") - 1
+                    low, high = np.maximum(place - reach, self.bounds[doc]), np.minimum(place + reach, self.bounds[doc + 1] - 1)
+                    for k in range(n):
+                        term = word[w[row], k] * span  # noqa: B023
+                        ok = keys[np.searchsorted(keys, term + low)] <= term + high
+                        row, doc, low, high = row[ok], doc[ok], low[ok], high[ok]
+                    return row, doc
+
                 # Of the rarest term's documents those that may match; then around each term, so that it does not
                 # matter which term is the rarest in this segment.
-                own = q.word[first[w] : first[w] + n]
-                terms_of = own.tolist()
-                docs = np.unique(close(postings(int(own[self.count[own].argmin()])), terms_of, 2 * slop)[1])
-                if len(docs):
-                    around = []
-                    for t in dict.fromkeys(terms_of):
-                        p = postings(t)
-                        around.append(close(p[np.isin(np.searchsorted(self.bounds, p, "right") - 1, docs)], terms_of, slop)[1])
-                    around = np.unique(np.concatenate(around))
-                    if len(around):
-                        yield item[w], around
+                for i, j in _runs(df[:, 0], pairs):
+                    w, doc = close(np.repeat(np.arange(i, j), df[i:j, 0]), np.arange(len(left)), self._lists(word[i:j, 0]), 2 * slop)
+                    w, doc = np.divmod(np.unique(w * len(self.bounds) + doc), len(self.bounds))
+                    matched = np.zeros(len(w), bool)
+                    for k in range(n):
+                        row = np.flatnonzero(~matched & (word[w, k, None] != word[w, :k]).all(1))  # a term once
+                        low = np.searchsorted(keys, word[w[row], k] * span + self.bounds[doc[row]])
+                        many = np.searchsorted(keys, word[w[row], k] * span + self.bounds[doc[row] + 1]) - low
+                        for x, y in _runs(many, pairs):
+                            at = np.repeat(low[x:y] - (np.cumsum(many[x:y]) - many[x:y]), many[x:y]) + np.arange(int(many[x:y].sum()))
+                            matched[close(np.repeat(row[x:y], many[x:y]), w, keys[at] % span, slop)[0]] = True
+                    if matched.any():
+                        yield of[w[matched]], doc[matched]
+
+
+def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Stretches of rows with about ``most`` in all, or one row."""
+    ends, i = np.cumsum(sizes), 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
+        yield i, j
+        i = j
 
 
 class Found:
@@ -198,9 +207,10 @@ class Found:
             for d, i in np.unique(np.stack([np.searchsorted(self.bounds, at, "right") - 1, item]), axis=1).T.tolist():
                 if ids[i] is not None:
                     self.exact[d].add(ids[i])
-        for i, docs in segment.near(slop) if slop else ():
-            for d in docs.tolist() if ids[i] is not None else ():
-                self.near[d].add(ids[i])
+        for item, doc in segment.near(slop) if slop else ():
+            for d, i in np.unique(np.stack([doc, item]), axis=1).T.tolist():
+                if ids[i] is not None:
+                    self.near[d].add(ids[i])
 
     def hits(self) -> tuple[np.ndarray, np.ndarray]:
         """Is a place hit? And the number of hits of each document."""

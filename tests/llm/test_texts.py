@@ -4,10 +4,12 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +97,32 @@ def test_proximity_beside_exact_matches(spark):
     assert "near_items" not in decontaminate.contamination(docs, bench).columns
 
 
+def test_proximity_of_many_windows():
+    """All windows of a block side by side: equal to a look around each word, also in small parts, and soon done."""
+    rng = np.random.default_rng(3)
+    word = lambda n, most: " ".join(f"w{int(x)}" for x in np.minimum(rng.zipf(1.3, n), most))
+    texts, items = [word(int(n), 30) for n in rng.integers(0, 60, 60)], [word(int(n), 30) for n in rng.integers(0, 9, 40)]
+
+    def opened(texts, items, window):
+        q = decontaminate.Queries(list(range(len(items))), items, window)
+        ((_, w, n),) = decontaminate._segments(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]), 0, 1 << 30)
+        return decontaminate.Segment(q, *decontaminate._index_of(w, n))
+
+    def around(d, i):
+        w, v = words(texts[d]), words(items[i])
+        windows = [set(v[k : k + min(4, len(v))]) for k in range(len(v) - min(4, len(v)) + 1)] if v else []
+        return any(w[k] in own and own <= set(w[max(0, k - 5) : k + 6]) for own in windows for k in range(len(w)))
+
+    want = {(d, i) for d in range(len(texts)) for i in range(len(items)) if around(d, i)}
+    assert want
+    for pairs in (1, 50, 1 << 20):
+        assert {x for i, d in opened(texts, items, 4).near(5, pairs) for x in zip(d.tolist(), i.tolist(), strict=True)} == want
+    segment = opened([word(200, 500) for _ in range(500)], [word(40, 500) for _ in range(300)], 13)
+    began = time.process_time()
+    assert sum(len(i) for i, _ in segment.near(13)) >= 0
+    assert time.process_time() - began < 12  # 35 seconds where each window was looked for by itself
+
+
 def test_licenses(spark, edges):
     texts = [(30, "Licensed under CC BY-NC 4.0. All rights reserved"), (31, "GENERAL public license; general Public License"), (32, "released under the terms of the MIT license"), (33, "released under terms of the MIT license"), (34, "Copyright (c) 2020 Jane Roe. All rights reserved."), (35, "all rights")]
     rows = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
