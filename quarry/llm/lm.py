@@ -39,6 +39,8 @@ ROUNDS, PASS_TOKENS, SUMS = 4, 2_000_000, 16
 #: Tokens of a chunk of documents, apart from what its last document has beyond.
 CHUNK_TOKENS = 2 << 20
 SPAN = 32
+#: Documents scored side by side; rows of a softmax.
+LANES, ROWS = 512, 8192
 END = np.uint64(1)
 LOG10 = float(np.log(10.0))
 
@@ -70,8 +72,13 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 # --- the network ---------------------------------------------------------------------------------------------------
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.float32(0.5) * np.tanh(np.float32(0.5) * x) + np.float32(0.5)
+def _sigmoid(x: np.ndarray) -> None:
+    """In place."""
+    half = np.float32(0.5)
+    x *= half
+    np.tanh(x, out=x)
+    x *= half
+    x += half
 
 
 class Network:
@@ -87,13 +94,18 @@ class Network:
         h = HIDDEN
         self.p = {"x": draw(self.start + 1, 3 * h), "u": draw(h, 3 * h), "c": draw(h, self.groups + TAIL) * 0, "cb": np.zeros(self.groups + TAIL, np.float32), "w": draw(self.groups, h, GROUP) * 0, "wb": np.full((self.groups, GROUP), -20.0, np.float32)}
 
-    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    def step(self, x: np.ndarray, h: np.ndarray) -> np.ndarray:
         n = HIDDEN
-        a, b = self.p["x"][x], h @ self.p["u"]
-        g = _sigmoid(a[:, : 2 * n] + b[:, : 2 * n])
-        z, r = g[:, :n], g[:, n:]
-        c = np.tanh(a[:, 2 * n :] + r * b[:, 2 * n :])
-        return c + z * (h - c), z, r, c, b[:, 2 * n :]
+        a, b = np.take(self.p["x"], x, 0), h @ self.p["u"]
+        g = a[:, : 2 * n] + b[:, : 2 * n]
+        _sigmoid(g)
+        c = g[:, n:] * b[:, 2 * n :]
+        c += a[:, 2 * n :]
+        np.tanh(c, out=c)
+        new = h - c
+        new *= g[:, :n]
+        new += c
+        return new
 
     def classes(self, y: np.ndarray) -> np.ndarray:
         """Classes of targets: head word i is i, tail class k is groups * GROUP + k."""
@@ -103,37 +115,44 @@ class Network:
         """Natural log of the class's and, for a head class, the word's probability. grads: gradients are added; gets ``h``."""
         p, cls = self.p, self.classes(y)
         safe = max(float(np.abs(p[m]).sum(-2).max() + np.abs(p[b]).max()) for m, b in (("c", "cb"), ("w", "wb"))) < 80  # states lie in -1..1
-        logits = h @ p["c"] + p["cb"]
-        if not safe:
-            logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(1)
-        rows = np.arange(len(y))
-        out = logits[rows, cls] - np.log(total)
+
+        def softmax(h: np.ndarray, m: np.ndarray, b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Logarithms at the columns ``at``; and, if gradients are wanted, what the logits' are."""
+            e = h @ m
+            e += b
+            if not safe:
+                e -= e.max(1, keepdims=True)
+            rows = np.arange(len(at))
+            got = e[rows, at]
+            np.exp(e, out=e)
+            total = e @ np.ones(e.shape[1], e.dtype)
+            got -= np.log(total)
+            if grads is not None:
+                e /= total[:, None]
+                e[rows, at] -= 1
+            return got, e
+
+        out, d = softmax(h, p["c"], p["cb"], cls)
         if grads is not None:
-            d = e / total[:, None]
-            d[rows, cls] -= 1
             grads["c"] += h.T @ d
-            grads["cb"] += d.sum(0)
+            grads["cb"] += np.ones(len(d), d.dtype) @ d
             grads["h"] = d @ p["c"].T
-        order = np.argsort(cls, kind="stable")
+        order = np.argsort(cls.astype(np.int16), kind="stable")
         edge = np.searchsorted(cls[order], np.arange(self.groups + 1))
+        order = order[: edge[-1]]  # head classes side by side
+        states, words = np.take(h, order, 0), y[order] % GROUP
+        got, back = np.empty(len(order), out.dtype), np.empty_like(states)
         for k in range(self.groups):
-            own = order[edge[k] : edge[k + 1]]
-            if len(own):
-                logits = h[own] @ p["w"][k] + p["wb"][k]
-                if not safe:
-                    logits -= logits.max(1, keepdims=True)
-                e = np.exp(logits)
-                total = e.sum(1)
-                at = (np.arange(len(own)), y[own] % GROUP)
-                out[own] += logits[at] - np.log(total)
+            own = slice(edge[k], edge[k + 1])
+            if edge[k] < edge[k + 1]:
+                got[own], d = softmax(states[own], p["w"][k], p["wb"][k], words[own])
                 if grads is not None:
-                    d = e / total[:, None]
-                    d[at] -= 1
-                    grads["w"][k] += h[own].T @ d
-                    grads["wb"][k] += d.sum(0)
-                    grads["h"][own] += d @ p["w"][k].T
+                    grads["w"][k] += states[own].T @ d
+                    grads["wb"][k] += np.ones(len(d), d.dtype) @ d
+                    back[own] = d @ p["w"][k].T
+        out[order] += got
+        if grads is not None:
+            grads["h"][order] += back
         return out
 
 
@@ -180,41 +199,69 @@ def fit(net: Network, texts: list[np.ndarray], counts: np.ndarray | None, passes
         previous[begins | (previous < 0)] = net.start
         y, x, fresh = (v.reshape(lanes, width) for v in (row, previous, begins))
         h = np.zeros((lanes, n), np.float32)
+        kept = lambda k: np.empty((span, lanes, k), p["u"].dtype)
+        before, gates, un, c, states, db, dc = kept(n), kept(2 * n), kept(n), kept(n), kept(n), kept(3 * n), kept(n)
         for t0 in range(0, width, span):
             grads = {k: np.zeros_like(v) for k, v in p.items()}
-            kept, states = [], []
-            times = range(t0, min(width, t0 + span))
-            for t in times:
-                h = np.where(fresh[:, t, None], np.float32(0), h)
-                new, z, r, c, un = net.step(x[:, t], h)
-                kept.append((h, z, r, c, un))
-                states.append(new)
-                h = new
+            read, new = x[:, t0 : t0 + span].T, fresh[:, t0 : t0 + span].T
+            times, begun = len(read), new.any(1)
+            given = np.take(p["x"], read, 0)
+            for k in range(times):
+                before[k] = h
+                if begun[k]:
+                    before[k][new[k]] = 0
+                b = before[k] @ p["u"]
+                np.add(given[k, :, : 2 * n], b[:, : 2 * n], out=gates[k])
+                _sigmoid(gates[k])
+                un[k] = b[:, 2 * n :]
+                np.multiply(gates[k, :, n:], un[k], out=c[k])
+                c[k] += given[k, :, 2 * n :]
+                np.tanh(c[k], out=c[k])
+                h = states[k]
+                np.subtract(before[k], c[k], out=h)
+                h *= gates[k, :, :n]
+                h += c[k]
             target = y[:, t0 : t0 + span].T.reshape(-1).astype(np.int64)
             real = np.flatnonzero(target >= 0)
-            flat = np.concatenate(states)
-            net.log_probability(flat[real], target[real], grads)
-            dh_out = np.zeros_like(flat)
-            dh_out[real] = grads.pop("h")
+            flat = states[:times].reshape(-1, n)
+            if len(real) == len(target):
+                net.log_probability(flat, target, grads)
+                dh_out = grads.pop("h")
+            else:
+                net.log_probability(flat[real], target[real], grads)
+                dh_out = np.zeros_like(flat)
+                dh_out[real] = grads.pop("h")
+            dh_out = dh_out.reshape(times, lanes, n)
+            # What does not depend on later steps, for the whole span.
+            z, r, one = gates[:times, :, :n], gates[:times, :, n:], np.float32(1)
+            rest = one - z
+            by_c = c[:times] * c[:times]
+            np.subtract(one, by_c, out=by_c)
+            by_c *= rest
+            by_z = before[:times] - c[:times]
+            by_z *= z
+            by_z *= rest
+            by_r = one - r
+            by_r *= r
+            by_r *= un[:times]
             dh = np.zeros((lanes, n), np.float32)
-            inputs, gates = [], []
-            for k in range(len(times) - 1, -1, -1):
-                before, z, r, c, un = kept[k]
-                dh = dh + dh_out[k * lanes : (k + 1) * lanes]
-                dc = dh * (1 - z) * (1 - c * c)
-                dz = dh * (before - c) * z * (1 - z)
-                dr = dc * un * r * (1 - r)
-                da = np.concatenate([dz, dr, dc], 1)
-                db = np.concatenate([dz, dr, dc * r], 1)
-                grads["u"] += before.T @ db
-                inputs.append(x[:, t0 + k])
-                gates.append(da)
-                dh = dh * z + db @ p["u"].T
-                dh[fresh[:, t0 + k]] = 0
-            read = np.concatenate(inputs)
+            back = np.ascontiguousarray(p["u"].T)
+            for k in range(times - 1, -1, -1):
+                dh += dh_out[k]
+                np.multiply(dh, by_c[k], out=dc[k])
+                np.multiply(dh, by_z[k], out=db[k, :, :n])
+                np.multiply(dc[k], by_r[k], out=db[k, :, n : 2 * n])
+                np.multiply(dc[k], r[k], out=db[k, :, 2 * n :])
+                dh *= z[k]
+                dh += db[k] @ back
+                if begun[k]:
+                    dh[new[k]] = 0
+            grads["u"] += before[:times].reshape(-1, n).T @ db[:times].reshape(-1, 3 * n)
+            db[:times, :, 2 * n :] = dc[:times]
+            read = read.reshape(-1)
             order_in = np.argsort(read, kind="stable")
             rows_in, edges = np.unique(read[order_in], return_index=True)
-            grads["x"][rows_in] = np.add.reduceat(np.concatenate(gates)[order_in], edges)
+            grads["x"][rows_in] = np.add.reduceat(np.take(db[:times].reshape(-1, 3 * n), order_in, 0), edges)
             moments["turn"] += 1
             turn, done = moments["turn"], done + 1
             scale = np.float32(1 / max(1, len(real)) * 64)
@@ -225,9 +272,15 @@ def fit(net: Network, texts: list[np.ndarray], counts: np.ndarray | None, passes
                 m *= np.float32(0.9)
                 m += np.float32(0.1) * g
                 v *= np.float32(0.99)
-                v += np.float32(0.01) * g * g
+                g *= g
+                g *= np.float32(0.01)
+                v += g
                 now = rate * max(0.1, 1 - done / planned) if decay else rate
-                p[name] -= np.float32(now * np.sqrt(1 - 0.99**turn) / (1 - 0.9**turn)) * m / (np.sqrt(v) + np.float32(1e-6))
+                np.sqrt(v, out=g)
+                g += np.float32(1e-6)
+                np.divide(m, g, out=g)
+                g *= np.float32(now * np.sqrt(1 - 0.99**turn) / (1 - 0.9**turn))
+                p[name] -= g
     return net
 
 
@@ -237,25 +290,25 @@ def log_likelihoods(net: Network, ids: np.ndarray, at: np.ndarray) -> np.ndarray
     order = np.argsort(-n, kind="stable")
     n, first = n[order], at[:-1][order]
     out = np.zeros(len(n))
-    h = np.zeros((len(n), HIDDEN), np.float32)
-    active = len(n)
-    for t0 in range(0, int(n[0]) if len(n) else 0, SPAN):
-        active = int(np.searchsorted(-n, -t0, "left"))  # documents with more than t0 tokens
-        states, targets, whose = [], [], []
-        for t in range(t0, t0 + SPAN):
-            a = int(np.searchsorted(-n[:active], -t, "left"))
-            if not a:
-                break
-            x = ids[first[:a] + t - 1] if t else np.full(a, net.start)
-            new = net.step(x, h[:a])[0]
-            h[:a] = new
-            states.append(new)
-            targets.append(ids[first[:a] + t])
-            whose.append(np.arange(a))
-        for k in range(0, len(states), max(1, 65536 // max(1, active))):
-            some = slice(k, k + max(1, 65536 // max(1, active)))
-            got = net.log_probability(np.concatenate(states[some]), np.concatenate(targets[some]))
-            out += np.bincount(np.concatenate(whose[some]), got, len(n))
+    for low in range(0, len(n), LANES):  # what is in work at a time stays in the cache
+        own, begin = n[low : low + LANES], first[low : low + LANES]
+        h, active = np.zeros((len(own), HIDDEN), np.float32), len(own)
+        for t0 in range(0, int(own[0]), SPAN):
+            states, targets, whose = [], [], []
+            for t in range(t0, t0 + SPAN):
+                active = int(np.searchsorted(-own[:active], -t, "left"))  # documents with more than t tokens
+                if not active:
+                    break
+                x = ids[begin[:active] + t - 1] if t else np.full(active, net.start)
+                h = net.step(x, h[:active])
+                states.append(h)
+                targets.append(ids[begin[:active] + t])
+                whose.append(np.arange(active))
+            at_once = max(1, ROWS // max(1, len(states[0])))
+            for k in range(0, len(states), at_once):
+                some = slice(k, k + at_once)
+                got = net.log_probability(np.concatenate(states[some]), np.concatenate(targets[some]))
+                out[low : low + LANES] += np.bincount(np.concatenate(whose[some]), got, len(own))
     back = np.empty(len(n))
     back[order] = out
     return back

@@ -401,3 +401,14 @@ def test_hashes_of_long_texts_equal_those_of_their_words():
     (_, _, got, at), = hashed_words(pa.array([text]))
     assert len(text) > 3 * STEP and at.tolist() == [0, 900_002]
     assert (got == WORD_HASH.words(text.split())).all()
+
+
+def test_network_blocks(monkeypatch):
+    """Documents scored a few at a time, in softmaxes of few rows, score as all at once do."""
+    net, rng = lm.Network(100), np.random.default_rng(1)
+    at = np.cumsum([0, 1, 40, 3, 70, 2, 2, 33])
+    ids = rng.integers(0, net.start, at[-1])
+    want = lm.log_likelihoods(net, ids, at)
+    monkeypatch.setattr(lm, "LANES", 2)
+    monkeypatch.setattr(lm, "ROWS", 5)
+    assert np.allclose(lm.log_likelihoods(net, ids, at), want, rtol=1e-5)
