@@ -20,6 +20,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +40,8 @@ ROUNDS, PASS_TOKENS, SUMS = 4, 2_000_000, 16
 #: Tokens of a chunk of documents, apart from what its last document has beyond.
 CHUNK_TOKENS = 2 << 20
 SPAN = 32
-#: Documents scored side by side; rows of a softmax.
-LANES, ROWS = 512, 8192
+#: Lanes of documents scored side by side; rows of a softmax.
+LANES, ROWS = 512, 1024
 END = np.uint64(1)
 LOG10 = float(np.log(10.0))
 
@@ -72,18 +73,9 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 # --- the network ---------------------------------------------------------------------------------------------------
 
 
-def _sigmoid(x: np.ndarray) -> None:
-    """In place."""
-    half = np.float32(0.5)
-    x *= half
-    np.tanh(x, out=x)
-    x *= half
-    x += half
-
-
 class Network:
-    """Parameters: ``x`` input rows (word or tail class or start) for the three gates; ``u`` recurrent; ``c``, ``cb``
-    class softmax; ``w``, ``wb`` word softmax of each head class."""
+    """Parameters: ``x`` input rows (word or tail class or start) for the state proposed and the two gates; ``u`` recurrent,
+    for the two gates and the state proposed; ``c``, ``cb`` class softmax; ``w``, ``wb`` word softmax of each head class."""
 
     def __init__(self, head: int, seed: int = 3):
         self.head = head
@@ -91,21 +83,38 @@ class Network:
         self.start = self.groups * GROUP + TAIL
         rng = np.random.default_rng(seed)
         draw = lambda *s: (rng.standard_normal(s) * 0.1).astype(np.float32)
+        apart = lambda v: np.ascontiguousarray(v.reshape(len(v), 3, -1).transpose(1, 0, 2))  # noqa: E731  by gates
         h = HIDDEN
-        self.p = {"x": draw(self.start + 1, 3 * h), "u": draw(h, 3 * h), "c": draw(h, self.groups + TAIL) * 0, "cb": np.zeros(self.groups + TAIL, np.float32), "w": draw(self.groups, h, GROUP) * 0, "wb": np.full((self.groups, GROUP), -20.0, np.float32)}
-
-    def step(self, x: np.ndarray, h: np.ndarray) -> np.ndarray:
-        n = HIDDEN
-        a, b = np.take(self.p["x"], x, 0), h @ self.p["u"]
-        g = a[:, : 2 * n] + b[:, : 2 * n]
-        _sigmoid(g)
-        c = g[:, n:] * b[:, 2 * n :]
-        c += a[:, 2 * n :]
-        np.tanh(c, out=c)
-        new = h - c
-        new *= g[:, :n]
+        self.p = {"x": np.roll(apart(draw(self.start + 1, 3 * h)), 1, 0), "u": apart(draw(h, 3 * h)), "c": draw(h, self.groups + TAIL) * 0, "cb": np.zeros(self.groups + TAIL, np.float32), "w": draw(self.groups, h, GROUP) * 0, "wb": np.full((self.groups, GROUP), -20.0, np.float32)}
+
+    def for_steps(self) -> tuple[np.ndarray, np.ndarray]:
+        """Input rows, one kind's after the other's, and recurrent weights, with what ``step`` wants before an
+        exponential: 1 / (1 + exp(-v)) for the gates, 1 - 2 / (1 + exp(2 v)) for the state proposed."""
+        by = np.array([2, -1, -1], self.p["u"].dtype)[:, None, None]
+        return (self.p["x"] * by).reshape(-1, HIDDEN), self.p["u"] * by[::-1]
+
+    def rows(self, x: np.ndarray) -> np.ndarray:
+        """Rows of the input table, of each kind."""
+        return x + (np.arange(3) * (self.start + 1)).reshape(3, *[1] * x.ndim)
+
+    @staticmethod
+    def step(given: np.ndarray, u: np.ndarray, h: np.ndarray, gates: np.ndarray, c: np.ndarray, new: np.ndarray) -> None:
+        """given: input rows by kind. Filled in: the two gates and twice the proposal's recurrent part, the proposal, the new state."""
+        np.matmul(h, u, out=gates)
+        both = gates[:2]
+        both += given[1:]
+        np.exp(both, out=both)
+        both += 1
+        np.reciprocal(both, out=both)
+        np.multiply(both[1], gates[2], out=c)
+        c += given[0]
+        np.exp(c, out=c)
+        c += 1
+        np.divide(-2, c, out=c)
+        c += 1
+        np.subtract(h, c, out=new)
+        new *= both[0]
         new += c
-        return new
 
     def classes(self, y: np.ndarray) -> np.ndarray:
         """Classes of targets: head word i is i, tail class k is groups * GROUP + k."""
@@ -113,47 +122,51 @@ class Network:
 
     def log_probability(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None) -> np.ndarray:
         """Natural log of the class's and, for a head class, the word's probability. grads: gradients are added; gets ``h``."""
-        p, cls = self.p, self.classes(y)
+        p, cls, n = self.p, self.classes(y), HIDDEN
         safe = max(float(np.abs(p[m]).sum(-2).max() + np.abs(p[b]).max()) for m, b in (("c", "cb"), ("w", "wb"))) < 80  # states lie in -1..1
-
-        def softmax(h: np.ndarray, m: np.ndarray, b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Logarithms at the columns ``at``; and, if gradients are wanted, what the logits' are."""
-            e = h @ m
-            e += b
-            if not safe:
-                e -= e.max(1, keepdims=True)
-            rows = np.arange(len(at))
-            got = e[rows, at]
-            np.exp(e, out=e)
-            total = e @ np.ones(e.shape[1], e.dtype)
-            got -= np.log(total)
-            if grads is not None:
-                e /= total[:, None]
-                e[rows, at] -= 1
-            return got, e
-
-        out, d = softmax(h, p["c"], p["cb"], cls)
-        if grads is not None:
-            grads["c"] += h.T @ d
-            grads["cb"] += np.ones(len(d), d.dtype) @ d
-            grads["h"] = d @ p["c"].T
-        order = np.argsort(cls.astype(np.int16), kind="stable")
-        edge = np.searchsorted(cls[order], np.arange(self.groups + 1))
-        order = order[: edge[-1]]  # head classes side by side
-        states, words = np.take(h, order, 0), y[order] % GROUP
-        got, back = np.empty(len(order), out.dtype), np.empty_like(states)
+        c, w = np.concatenate([p["c"], p["cb"][None]]), np.concatenate([p["w"], p["wb"][:, None]], 1)
+        order = np.argsort(cls.astype(np.int16), kind="stable")  # head classes come first, side by side
+        cls, y = cls[order], y[order]
+        edge = np.searchsorted(cls, np.arange(self.groups + 1)).tolist()
+        states = np.ones((len(h), n + 1), h.dtype)  # a one for the bias
+        states[:, :n] = np.take(h, order, 0)
+        out, got = np.empty(len(h), h.dtype), np.empty(edge[-1], h.dtype)
+        back, more = (np.empty((k, n) if grads is not None else 0, h.dtype) for k in (len(h), edge[-1]))
+
+        def softmax(at: np.ndarray, low: int, high: int, m: np.ndarray, out: np.ndarray, back: np.ndarray, g: tuple[np.ndarray, np.ndarray] | None) -> None:
+            """Logarithms at the columns ``at`` of states low to high, ROWS at a time; and, if gradients are wanted, what the states' and m's are."""
+            ones = np.ones(m.shape[1], m.dtype)
+            for i in range(low, high, ROWS):
+                some = slice(i, min(high, i + ROWS))
+                e = states[some] @ m
+                if not safe:
+                    e -= e.max(1, keepdims=True)
+                flat, target = e.reshape(-1), at[some] + np.arange(0, e.size, e.shape[1])
+                picked = flat[target]
+                np.exp(e, out=e)
+                total = e @ ones
+                np.subtract(picked, np.log(total), out=out[some])
+                if g is not None:  # the logits' gradients
+                    e *= (1 / total)[:, None]
+                    flat[target] -= 1
+                    np.matmul(e, m[:n].T, out=back[some])
+                    d = e.T @ states[some]
+                    g[0][...] += d[:, :n].T
+                    g[1][...] += d[:, n]
+
+        softmax(cls, 0, len(cls), c, out, back, (grads["c"], grads["cb"]) if grads is not None else None)
+        words = y % GROUP
         for k in range(self.groups):
-            own = slice(edge[k], edge[k + 1])
             if edge[k] < edge[k + 1]:
-                got[own], d = softmax(states[own], p["w"][k], p["wb"][k], words[own])
-                if grads is not None:
-                    grads["w"][k] += states[own].T @ d
-                    grads["wb"][k] += np.ones(len(d), d.dtype) @ d
-                    back[own] = d @ p["w"][k].T
-        out[order] += got
+                softmax(words, edge[k], edge[k + 1], w[k], got, more, (grads["w"][k], grads["wb"][k]) if grads is not None else None)
+        out[: edge[-1]] += got
         if grads is not None:
-            grads["h"][order] += back
-        return out
+            back[: edge[-1]] += more
+            grads["h"] = np.empty_like(back)
+            grads["h"][order] = back
+        unsorted = np.empty_like(out)
+        unsorted[order] = out
+        return unsorted
 
 
 def passes_for(size: int) -> int:
@@ -198,29 +211,29 @@ def fit(net: Network, texts: list[np.ndarray], counts: np.ndarray | None, passes
         previous = np.concatenate([np.array([net.start], np.int16), row[:-1]])
         previous[begins | (previous < 0)] = net.start
         y, x, fresh = (v.reshape(lanes, width) for v in (row, previous, begins))
-        h = np.zeros((lanes, n), np.float32)
-        kept = lambda k: np.empty((span, lanes, k), p["u"].dtype)
-        before, gates, un, c, states, db, dc = kept(n), kept(2 * n), kept(n), kept(n), kept(n), kept(3 * n), kept(n)
+        h, start = (np.zeros((lanes, n), p["u"].dtype) for _ in range(2))
+        kept = lambda *k: np.empty((*k, lanes, n), p["u"].dtype)
+        first, c, states, gates, d = kept(span), kept(span), kept(span), kept(3, span), kept(3, span)
+        given, d_un, rest, side = kept(3), kept(), kept(), np.empty((lanes, 3, n), p["u"].dtype)  # of one step, so that they stay in the cache
+        pairs = np.result_type(d.dtype, np.complex64)  # two numbers are added at a time where rows go to the table's
+        places = np.arange((net.start + 1) * (n // 2)).reshape(-1, n // 2)
         for t0 in range(0, width, span):
-            grads = {k: np.zeros_like(v) for k, v in p.items()}
-            read, new = x[:, t0 : t0 + span].T, fresh[:, t0 : t0 + span].T
-            times, begun = len(read), new.any(1)
-            given = np.take(p["x"], read, 0)
-            for k in range(times):
-                before[k] = h
-                if begun[k]:
-                    before[k][new[k]] = 0
-                b = before[k] @ p["u"]
-                np.add(given[k, :, : 2 * n], b[:, : 2 * n], out=gates[k])
-                _sigmoid(gates[k])
-                un[k] = b[:, 2 * n :]
-                np.multiply(gates[k, :, n:], un[k], out=c[k])
-                c[k] += given[k, :, 2 * n :]
-                np.tanh(c[k], out=c[k])
-                h = states[k]
-                np.subtract(before[k], c[k], out=h)
-                h *= gates[k, :, :n]
-                h += c[k]
+            grads = {k: np.zeros_like(v) for k, v in p.items() if k not in "xu"}
+            read, new = net.rows(x[:, t0 : t0 + span].T.astype(np.int64)), fresh[:, t0 : t0 + span].T
+            times, begun = len(new), new.any(1).tolist()
+            table, u = net.for_steps()
+            np.copyto(start, h)  # the states' places are filled again
+            h, before = start, []
+            with np.errstate(over="ignore"):
+                for k in range(times):
+                    if begun[k]:
+                        np.copyto(first[k], h)
+                        h = first[k]
+                        h[new[k]] = 0
+                    before.append(h)
+                    h = states[k]
+                    np.take(table, read[:, k], 0, given, "clip")
+                    net.step(given, u, before[k], gates[:, k], c[k], h)
             target = y[:, t0 : t0 + span].T.reshape(-1).astype(np.int64)
             real = np.flatnonzero(target >= 0)
             flat = states[:times].reshape(-1, n)
@@ -232,85 +245,122 @@ def fit(net: Network, texts: list[np.ndarray], counts: np.ndarray | None, passes
                 dh_out = np.zeros_like(flat)
                 dh_out[real] = grads.pop("h")
             dh_out = dh_out.reshape(times, lanes, n)
-            # What does not depend on later steps, for the whole span.
-            z, r, one = gates[:times, :, :n], gates[:times, :, n:], np.float32(1)
-            rest = one - z
-            by_c = c[:times] * c[:times]
-            np.subtract(one, by_c, out=by_c)
-            by_c *= rest
-            by_z = before[:times] - c[:times]
-            by_z *= z
-            by_z *= rest
-            by_r = one - r
-            by_r *= r
-            by_r *= un[:times]
-            dh = np.zeros((lanes, n), np.float32)
-            back = np.ascontiguousarray(p["u"].T)
+            dh, one = np.zeros((lanes, n), np.float32), np.float32(1)
+            # d: of the proposal, of the gates; d_un: of the proposal's recurrent part. The second gate's is twice what it should be.
+            halves = np.array([1, 0.5, 1], d.dtype)[:, None, None]
+            back, dx = (p["u"] * halves).transpose(0, 2, 1).reshape(-1, n), np.zeros((3, places.size), pairs)
+            du = np.zeros_like(back)
             for k in range(times - 1, -1, -1):
+                z, r, un = gates[:, k]
                 dh += dh_out[k]
-                np.multiply(dh, by_c[k], out=dc[k])
-                np.multiply(dh, by_z[k], out=db[k, :, :n])
-                np.multiply(dc[k], by_r[k], out=db[k, :, n : 2 * n])
-                np.multiply(dc[k], r[k], out=db[k, :, 2 * n :])
-                dh *= z[k]
-                dh += db[k] @ back
+                np.subtract(one, z, out=rest)
+                rest *= dh
+                d_c, d_z, d_r = d[:, k]
+                np.multiply(c[k], c[k], out=d_c)
+                np.subtract(one, d_c, out=d_c)
+                d_c *= rest
+                np.subtract(states[k], c[k], out=d_z)
+                d_z *= rest
+                np.multiply(d_c, r, out=d_un)
+                np.subtract(one, r, out=d_r)
+                d_r *= un
+                d_r *= d_un
+                dh *= z
+                for j, part in enumerate((d_z, d_r, d_un)):
+                    side[:, j] = part
+                dh += side.reshape(lanes, -1) @ back
                 if begun[k]:
                     dh[new[k]] = 0
-            grads["u"] += before[:times].reshape(-1, n).T @ db[:times].reshape(-1, 3 * n)
-            db[:times, :, 2 * n :] = dc[:times]
-            read = read.reshape(-1)
-            order_in = np.argsort(read, kind="stable")
-            rows_in, edges = np.unique(read[order_in], return_index=True)
-            grads["x"][rows_in] = np.add.reduceat(np.take(db[:times].reshape(-1, 3 * n), order_in, 0), edges)
+                du += side.reshape(lanes, -1).T @ before[k]
+            to = np.take(places, read[0].reshape(-1), 0).reshape(-1)
+            for whole, part in zip(dx, d[:, :times].reshape(3, -1).view(pairs), strict=True):
+                np.add.at(whole, to, part)
+            grads["u"] = np.ascontiguousarray(du.reshape(3, n, n).transpose(0, 2, 1)) * halves
+            grads["x"] = dx.view(d.dtype).reshape(p["x"].shape)
+            grads["x"][2] *= np.float32(0.5)
             moments["turn"] += 1
             turn, done = moments["turn"], done + 1
-            scale = np.float32(1 / max(1, len(real)) * 64)
+            scale = 64 / max(1, len(real))
+            now = rate * max(0.1, 1 - done / planned) if decay else rate
+            now, most, tenth = (np.float32(k) for k in (now * np.sqrt(1 - 0.99**turn) / (1 - 0.9**turn), 1 / scale, scale / 10))
             for name, g in grads.items():
-                g *= scale
-                np.clip(g, -1, 1, out=g)
-                m, v = moments[name]
-                m *= np.float32(0.9)
-                m += np.float32(0.1) * g
-                v *= np.float32(0.99)
-                g *= g
-                g *= np.float32(0.01)
-                v += g
-                now = rate * max(0.1, 1 - done / planned) if decay else rate
-                np.sqrt(v, out=g)
-                g += np.float32(1e-6)
-                np.divide(m, g, out=g)
-                g *= np.float32(now * np.sqrt(1 - 0.99**turn) / (1 - 0.9**turn))
-                p[name] -= g
+                whole = [v.reshape(-1) for v in (p[name], g, *moments[name])]
+                for i in range(0, g.size, 1 << 14):  # what stays in the cache
+                    value, g, m, v = (w[i : i + (1 << 14)] for w in whole)
+                    np.minimum(g, most, out=g)
+                    np.maximum(g, -most, out=g)
+                    g *= tenth
+                    m *= np.float32(0.9)
+                    m += g
+                    g *= g
+                    v *= np.float32(0.99)
+                    v += g
+                    np.sqrt(v, out=g)
+                    g += np.float32(1e-6)
+                    np.divide(m, g, out=g)
+                    g *= now
+                    value -= g
     return net
 
 
 def log_likelihoods(net: Network, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Natural log-likelihood of each document's classes and head words; the state goes from window to window."""
+    """Natural log-likelihood of each document's classes and head words; the state goes on to a document's end.
+
+    Documents, the longest first, are dealt to the lane that is the shortest so far, and stand there one after the other."""
     n = np.diff(at)
-    order = np.argsort(-n, kind="stable")
-    n, first = n[order], at[:-1][order]
-    out = np.zeros(len(n))
-    for low in range(0, len(n), LANES):  # what is in work at a time stays in the cache
-        own, begin = n[low : low + LANES], first[low : low + LANES]
-        h, active = np.zeros((len(own), HIDDEN), np.float32), len(own)
-        for t0 in range(0, int(own[0]), SPAN):
-            states, targets, whose = [], [], []
-            for t in range(t0, t0 + SPAN):
-                active = int(np.searchsorted(-own[:active], -t, "left"))  # documents with more than t tokens
-                if not active:
-                    break
-                x = ids[begin[:active] + t - 1] if t else np.full(active, net.start)
-                h = net.step(x, h[:active])
-                states.append(h)
-                targets.append(ids[begin[:active] + t])
-                whose.append(np.arange(active))
-            at_once = max(1, ROWS // max(1, len(states[0])))
-            for k in range(0, len(states), at_once):
-                some = slice(k, k + at_once)
-                got = net.log_probability(np.concatenate(states[some]), np.concatenate(targets[some]))
-                out[low : low + LANES] += np.bincount(np.concatenate(whose[some]), got, len(own))
+    if not len(n):
+        return np.zeros(0)
+    lanes = [(0, k) for k in range(min(LANES, len(n)))]
+    order, whose = np.argsort(-n, kind="stable"), []
+    for size in n[order].tolist():
+        length, k = lanes[0]
+        whose.append(k)
+        heapq.heapreplace(lanes, (length + size, k))
+    rank = np.empty(len(lanes), np.int64)  # the longest lane first
+    rank[[k for _, k in sorted(lanes, reverse=True)]] = np.arange(len(lanes))
+    lane = rank[whose]
+    order, lane = order[by_lane := np.argsort(lane, kind="stable")], lane[by_lane]
+    size = n[order]
+    begin = np.cumsum(size) - size
+    y = ids[np.arange(len(ids)) + np.repeat(at[:-1][order] - at[0] - begin, size)].astype(np.int16)
+    x = np.concatenate([y[:1], y[:-1]])
+    x[begin] = net.start
+    fresh = np.zeros(len(y), bool)
+    fresh[begin] = True
+    first = begin[np.flatnonzero(np.diff(lane, prepend=-1))]
+    end = np.append(first[1:], len(y))
+    length = end - first
+    out = np.zeros(len(y))
+    table, u = net.for_steps()
+    gates, c, states, before = (np.empty((k, len(first), HIDDEN), u.dtype) for k in (3, 1, SPAN, 1))
+    h, t0 = before[0], 0
+    with np.errstate(over="ignore"):
+        while t0 < length[0]:
+            active = int(np.searchsorted(-length, -t0, "left"))  # lanes with more than t0 tokens; the fewer, the more steps at once
+            place = first[:active] + np.arange(t0, min(t0 + SPAN * (len(first) // active), int(length[0])))[:, None]
+            t0 += len(place)
+            inside = place < end[:active]
+            if not inside.all():
+                place = np.minimum(place, len(y) - 1)
+            read, new = net.rows(x[place].astype(np.int64)), fresh[place] & inside
+            begun, made = new.any(1).tolist(), states.reshape(-1, HIDDEN)[: place.size].reshape(*place.shape, HIDDEN)
+            for k in range(len(place)):
+                h = h[:active]
+                if begun[k]:
+                    before[0, :active] = h
+                    h = before[0, :active]
+                    h[new[k]] = 0
+                net.step(np.take(table, read[:, k], 0), u, h, gates[:, :active], c[0, :active], made[k])
+                h = made[k]
+            before[0, :active] = h  # the states' places are filled again
+            h = before[0]
+            if inside.all():
+                out[place] = net.log_probability(made.reshape(-1, HIDDEN), y[place].reshape(-1).astype(np.int64)).reshape(place.shape)
+            else:
+                place = place[inside]
+                out[place] = net.log_probability(made[inside], y[place].astype(np.int64))
     back = np.empty(len(n))
-    back[order] = out
+    back[order] = np.add.reduceat(out, begin)
     return back
 
 
@@ -329,10 +379,17 @@ def chunked(docs: DataFrame, chunk_tokens: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             w, n, h = np.concatenate(words), np.concatenate(sizes), np.concatenate(held)
-            vocab, first, index = np.unique(w, return_index=True, return_inverse=True)
+            coded = pa.array(w).dictionary_encode()
+            vocab, index = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+            order = np.argsort(vocab)
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
+            vocab, index = vocab[order], rank[index]
+            shape = np.zeros(len(vocab), np.uint8)
+            shape[index] = np.concatenate(shapes)
             counts = np.bincount(index[~np.repeat(h, n)], minlength=len(vocab))
             ids = pa.concat_arrays(names)
-            blobs = (h.astype(np.uint8), np.concatenate([[0], np.cumsum(n)]).astype("<i8"), index.astype("<u4"), vocab.astype("<u8"), counts.astype("<u4"), np.concatenate(shapes)[first])
+            blobs = (h.astype(np.uint8), np.concatenate([[0], np.cumsum(n)]).astype("<i8"), index.astype("<u4"), vocab.astype("<u8"), counts.astype("<u4"), shape)
             return pa.RecordBatch.from_arrays([pa.array([(task << 32) + k]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *(pa.array([x.tobytes()], pa.binary()) for x in blobs)], schema.names)
 
         for b in slices(batches):

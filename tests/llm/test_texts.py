@@ -412,3 +412,24 @@ def test_network_blocks(monkeypatch):
     monkeypatch.setattr(lm, "LANES", 2)
     monkeypatch.setattr(lm, "ROWS", 5)
     assert np.allclose(lm.log_likelihoods(net, ids, at), want, rtol=1e-5)
+
+
+def test_network_lanes_stay_full(monkeypatch):
+    """Scoring takes about as many steps as the tokens of all documents fill in all lanes, also with few long documents."""
+    rng, taken = np.random.default_rng(2), []
+    at = np.cumsum([0, 300, *[20] * 15, *[1] * 20, *[12] * 25])
+
+    class Counted(lm.Network):
+        @staticmethod
+        def step(*a):
+            taken.append(1)
+            lm.Network.step(*a)
+
+    net = Counted(100)
+    ids = rng.integers(0, net.start, at[-1])
+    monkeypatch.setattr(lm, "LANES", 4)
+    got = lm.log_likelihoods(net, ids, at)
+    assert len(taken) <= max(300, -(-at[-1] // 4)) + lm.SPAN
+    monkeypatch.undo()
+    alone = [lm.log_likelihoods(net, ids[a:b], np.array([0, b - a]))[0] for a, b in zip(at[:-1], at[1:], strict=True)]
+    assert np.allclose(got, alone, rtol=1e-4)
