@@ -119,8 +119,8 @@ def stop_at_budget(rows: DataFrame, order: list[str], size: str, budget: int, le
 
 
 def _admitted(rows: DataFrame, order: list[str], sizes: list[str], most: list[int]) -> DataFrame:
-    """Rows in order while they fit: sums of ``sizes`` up to ``most``. One that would overflow is left out, later smaller
-    ones may still come in.
+    """Rows in order while they fit: sums of ``sizes`` up to ``most``, with part and at, their place in the order. One that
+    would overflow is left out, later smaller ones may still come in.
 
     Rows are dealt into ranges of their order, of which the sums and least sizes are known. A range that fits as a whole
     comes in as a whole; one whose least row no longer fits is not looked at; the few others are gone through one after the
@@ -154,13 +154,14 @@ def _admitted(rows: DataFrame, order: list[str], sizes: list[str], most: list[in
     out = table.filter(F.col("part").isin(whole))
     for p in parts:
         out = out.unionByName(p)
-    return out.drop("part", "at")
+    return out
 
 
 def admit_each(rows: DataFrame, order: list[str], size: str, most: int, most_bytes: int) -> DataFrame:
     """Rows in order while they fit into ``most`` rows and ``most_bytes``: one that would overflow is left out, later smaller
     ones may still come in."""
-    return _admitted(rows.withColumn("_one", F.lit(1)), order, ["_one", size], [most, most_bytes]).drop("_one")
+    kept = _admitted(rows.withColumn("_one", F.lit(1)), order, ["_one", size], [most, most_bytes])
+    return kept.orderBy("part", "at").drop("part", "at", "_one")
 
 
 def admit_submissions(rows: DataFrame, size: str, most: int, most_bytes: int) -> DataFrame:

@@ -74,6 +74,13 @@ def test_admission_equals_a_plain_fold(spark, sizes, most, most_bytes):
     assert shards.admit_each(frame.limit(0), ["k"], "size", most, most_bytes).count() == 0
 
 
+def test_admitted_rows_come_in_order(spark):
+    """Also where a range that is gone through row by row lies before one that comes in as a whole."""
+    rows = [(k, 10_000 if k == 0 else 1, "x") for k in range(400)]
+    frame = spark.createDataFrame(random.Random(4).sample(rows, len(rows)), "k int, size int, part_of string").repartition(3)
+    assert [x.k for x in shards.admit_each(frame, ["k"], "size", 10**9, 5000).collect()] == list(range(1, 400))
+
+
 def test_submissions_come_in_whole(spark):
     r = random.Random(5)
     rows = [(s, r.randrange(1, 50)) for s in range(300) for _ in range(r.randrange(1, 6))]
