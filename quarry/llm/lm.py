@@ -123,7 +123,7 @@ class Network:
     def log_probability(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None) -> np.ndarray:
         """Natural log of the class's and, for a head class, the word's probability. grads: gradients are added; gets ``h``."""
         p, cls, n = self.p, self.classes(y), HIDDEN
-        safe = max(float(np.abs(p[m]).sum(-2).max() + np.abs(p[b]).max()) for m, b in (("c", "cb"), ("w", "wb"))) < 80  # states lie in -1..1
+        safe = max(float(np.abs(p[m]).sum(-2).max(initial=0) + np.abs(p[b]).max(initial=0)) for m, b in (("c", "cb"), ("w", "wb"))) < 80  # states lie in -1..1
         c, w = np.concatenate([p["c"], p["cb"][None]]), np.concatenate([p["w"], p["wb"][:, None]], 1)
         order = np.argsort(cls.astype(np.int16), kind="stable")  # head classes come first, side by side
         cls, y = cls[order], y[order]

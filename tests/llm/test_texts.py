@@ -260,6 +260,12 @@ def test_language_model_learns_from_all_documents(spark):
     assert len(rows) > 20 and sum(x.score for x in rows) > 0.75 * sum(x.base_score for x in rows)
 
 
+def test_language_model_without_training_documents(spark):
+    rows = lm.score(spark.createDataFrame([(1, "a b c"), (2, None), (3, "b")], "doc_id long, text string"), held="true").collect()
+    assert sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 9)) for r in rows) == [(1, True, 4, 0, 0, 0.0), (2, True, 1, 0, 0, 0.0), (3, True, 2, 0, 0, 0.0)]
+    assert all(math.isfinite(r.score) and r.score <= 0 for r in rows)
+
+
 def test_network_gradients(monkeypatch):
     """The gradients of truncated backpropagation against differences of the loss itself, in every kind of parameter."""
     rng = np.random.default_rng(4)
