@@ -2,8 +2,8 @@
 
 No grammar library is at hand, so this is an approximation: a file is read once into tokens, every opening bracket gets its
 end from a stack, and declarations are told by the tokens around their names (``functions.declarations``). Python is
-parsed; a file that does not parse has no signatures and ``parsed`` is false; so is one with more signatures, or more bytes
-of names, than the limits allow. A declaration whose block has no end is none.
+parsed; of a file that does not parse ``parsed`` is false, ``found`` is null and ``problem`` says why, so that it is told
+from a file without signatures. Any other failure is an error. A declaration whose block has no end is none.
 
 Not found, as no pattern asks for them: classes and methods of C++ (its functions and structs are), functions of C that
 return pointers, arrow functions and generators, abstract classes, targets of ``impl`` with type parameters, enums outside
@@ -25,8 +25,8 @@ from ..functions.tokens import Tokens
 
 #: Languages with signatures; languages that are known but have none.
 LANGUAGES, BARE = [*FINDERS, "python"], ["yaml", "json"]
-#: Signatures of a file, bytes of their names, bytes of a shown line; matches of a query, bytes of one, of all.
-MAX_SIGNATURES, MAX_NAME_BYTES, MAX_LINE_BYTES = 10_000, 8 << 20, 4 << 10
+#: Bytes of a shown line; matches of a query, bytes of one, of all.
+MAX_LINE_BYTES = 4 << 10
 MAX_MATCHES, MAX_MATCH_BYTES, MAX_MATCHES_BYTES = 1_000, 64 << 10, 2 << 20
 
 def _python(text: str) -> list[tuple]:
@@ -39,69 +39,82 @@ def _scan(text: str, language: str) -> list[tuple]:
     return [(t.line(t.at[a]), t.line(t.ends[z] - 1), kind, name) for a, z, kind, name, _ in declarations(t)]
 
 
-def _found(text: str, language: str) -> list[tuple] | None:
-    """(line_start, line_end, kind, name) of a text; None if it does not parse."""
+def _found(text: str, language: str) -> tuple[list[tuple] | None, str | None]:
+    """(line_start, line_end, kind, name) of a text, and null; of one that does not parse null, and why."""
+    if language != "python":  # every text has tokens
+        return _scan(text, language), None
     try:
-        found = _python(text) if language == "python" else _scan(text, language)
-        if len(found) > MAX_SIGNATURES or sum(len(x[3].encode()) for x in found) > MAX_NAME_BYTES:
-            raise ValueError("too many signatures")
-        return found
-    except (SyntaxError, ValueError, RecursionError, MemoryError):  # the parser's stack is a MemoryError
-        return None
+        return _python(text), None
+    except SyntaxError as e:
+        return None, "does not parse" if e.lineno is None else f"does not parse: line {e.lineno}"
+    except (ValueError, RecursionError, MemoryError) as e:  # null bytes in older versions; the parser's stack is a MemoryError
+        return None, f"does not parse: {type(e).__name__}"
 
 
 def scan(text: str, language: str) -> dict:
-    found = _found(text, language)
-    return {"parsed": found is not None, "found": [dict(zip(("line_start", "line_end", "kind", "name"), x, strict=True)) for x in found or ()]}
+    found, problem = _found(text, language)
+    rows = None if found is None else [dict(zip(("line_start", "line_end", "kind", "name"), x, strict=True)) for x in found]
+    return {"parsed": problem is None, "found": rows, "problem": problem}
 
 
 FOUND = T.ArrayType(T.StructType([T.StructField("line_start", T.LongType()), T.StructField("line_end", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("name", T.StringType())]))
 
 
-@F.arrow_udf(T.StructType([T.StructField("parsed", T.BooleanType()), T.StructField("found", FOUND)]))
+@F.arrow_udf(T.StructType([T.StructField("parsed", T.BooleanType()), T.StructField("found", FOUND), T.StructField("problem", T.StringType())]))
 def _signatures(text: pa.Array, language: pa.Array) -> pa.Array:
-    parsed, ends, rows = [], [0], []
+    parsed, problems, ends, rows = [], [], [0], []
     for t, x in zip(text, language.to_pylist(), strict=True):  # one text at a time
-        found = None if (t := t.as_py()) is None else _found(t, x)
-        parsed.append(None if t is None else found is not None)
+        found, problem = (None, None) if (t := t.as_py()) is None else _found(t, x)
+        parsed.append(None if t is None else problem is None)
+        problems.append(problem)
         rows += found or ()
         ends.append(len(rows))
     columns = list(zip(*rows, strict=True)) or [()] * 4
     item = pa.StructArray.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.string()) for k, c in enumerate(columns)], ["line_start", "line_end", "kind", "name"])
-    missing = pa.array([p is None for p in parsed], pa.bool_())
-    return pa.StructArray.from_arrays([pa.array(parsed, pa.bool_()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), item, mask=missing)], ["parsed", "found"])
+    missing = pa.array([not p for p in parsed], pa.bool_())
+    return pa.StructArray.from_arrays([pa.array(parsed, pa.bool_()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), item, mask=missing), pa.array(problems, pa.string())], ["parsed", "found", "problem"])
 
 
 def with_scan(files: DataFrame, wanted: Column | None = None) -> DataFrame:
-    """Adds ``scanned`` (parsed, found), nulls for languages without signatures and what is not wanted: their texts stay in the JVM."""
+    """Adds ``scanned`` (parsed, found, problem), nulls for languages without signatures and what is not wanted: their texts stay in the JVM."""
     known = F.col("language").isin(LANGUAGES)
     return files.withColumn("scanned", _signatures(F.when(known if wanted is None else known & wanted, F.col("content")), "language"))
 
 
 def scanned(files: DataFrame) -> DataFrame:
-    """(relative_path, language, parsed, found) of files in a language with signatures."""
+    """(relative_path, language, parsed, found, problem) of files in a language with signatures."""
     rows = files.filter(F.col("language").isin(LANGUAGES)).select("relative_path", "language", _signatures("content", "language").alias("s"))
-    return rows.select("relative_path", "language", "s.parsed", "s.found")
+    return rows.select("relative_path", "language", "s.*")
+
+
+def _each(found: str, problem: str) -> Column:
+    """A row a signature; one null for a file that could not be read, which is told so from one without signatures."""
+    return F.explode(F.when(F.col(problem).isNull(), F.col(found)).otherwise(F.array(F.lit(None).cast(FOUND.elementType))))
 
 
 def signature_lines(files: DataFrame) -> DataFrame:
-    """(relative_path, line_start, kind, name, text): signatures with the trimmed line that each begins on, cut at 4 KiB."""
-    rows = with_scan(files.filter(F.col("language").isin(LANGUAGES))).select("relative_path", lines("content").alias("all"), F.explode("scanned.found").alias("f"))
-    return rows.select("relative_path", "f.line_start", "f.kind", "f.name", truncate_marked(trim(F.element_at("all", F.col("f.line_start").cast("int"))), MAX_LINE_BYTES).alias("text"))
+    """(relative_path, line_start, kind, name, text, problem): signatures with the trimmed line that each begins on, cut at
+    4 KiB. A file that does not parse is one row with its problem and nulls."""
+    rows = with_scan(files.filter(F.col("language").isin(LANGUAGES))).select("relative_path", lines("content").alias("all"), _each("scanned.found", "scanned.problem").alias("f"), "scanned.problem")
+    text = truncate_marked(trim(F.element_at("all", F.col("f.line_start").cast("int"))), MAX_LINE_BYTES)
+    return rows.select("relative_path", "f.line_start", "f.kind", "f.name", text.alias("text"), "problem")
 
 
 def signatures(files: DataFrame) -> DataFrame:
-    """(relative_path, language, line_start, line_end, kind, name)."""
-    return scanned(files).select("relative_path", "language", F.explode("found").alias("f")).select("relative_path", "language", "f.*")
+    """(relative_path, language, line_start, line_end, kind, name, problem). A file that does not parse is one row with its
+    problem and nulls."""
+    return scanned(files).select("relative_path", "language", _each("found", "problem").alias("f"), "problem").select("relative_path", "language", "f.*", "problem")
 
 
 def search_nodes(files: DataFrame, path: str, kind: str | None = None, name: str | None = None, max_results: int = MAX_MATCHES) -> DataFrame:
     """(relative_path, language, line_start, line_end, kind, name, code): declarations of one file in document order, with
-    their source: the documented part of a free syntax query. A match or all matches beyond their size is an error."""
+    their source: the documented part of a free syntax query. A file that does not parse is an error, as is a match or are all
+    matches beyond their size."""
     if not 1 <= max_results <= MAX_MATCHES:
         raise ValueError(f"max_results: 1 to {MAX_MATCHES}")
     one = files.filter((F.col("relative_path") == path) & F.col("language").isin(LANGUAGES))
-    found = with_scan(one).select("relative_path", "language", "content", F.explode("scanned.found").alias("f")).select("relative_path", "language", "content", "f.*")
+    parsed = F.when(F.col("scanned.problem").isNull(), F.col("scanned.found")).otherwise(F.raise_error(F.concat_ws(" ", "relative_path", "scanned.problem")))
+    found = with_scan(one).select("relative_path", "language", "content", F.explode(parsed).alias("f")).select("relative_path", "language", "content", "f.*")
     if kind is not None:
         found = found.filter(F.col("kind") == kind)
     if name is not None:

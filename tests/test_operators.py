@@ -429,6 +429,32 @@ def test_nodes_with_their_source(spark):
     assert syntax.signatures(f).filter("relative_path = 'c.rb'").count() == 0
 
 
+def test_a_file_that_does_not_parse_is_told_from_one_without_signatures(spark):
+    f = files(spark, ("bad.py", "def f():\n  pass\ndef g(:\n"), ("deep.py", "x = " + "+".join(["1"] * 20_000)), ("none.py", "x = 1\n"), ("none.rs", "// fn\n"), ("one.py", "def h(): pass\n"))
+    problems = {"bad.py": "does not parse: line 3", "deep.py": "does not parse: RecursionError"}
+    shown = {tuple(r) for r in syntax.signature_lines(f).collect()}
+    assert shown == {("one.py", 1, "function", "h", "def h(): pass", None), *((p, None, None, None, None, x) for p, x in problems.items())}
+    assert {(r.relative_path, r.name, r.problem) for r in syntax.signatures(f).collect()} == {("one.py", "h", None), *((p, None, x) for p, x in problems.items())}
+    assert {(r.relative_path, r.parsed, r.found is None) for r in syntax.scanned(f).collect()} == {("bad.py", False, True), ("deep.py", False, True), ("none.py", True, False), ("none.rs", True, False), ("one.py", True, False)}
+    assert syntax.search_nodes(f, "none.py").collect() == []
+    with pytest.raises(Exception, match="bad.py does not parse: line 3"):
+        syntax.search_nodes(f, "bad.py").collect()
+
+
+def test_signatures_of_a_file_have_no_limit(spark):
+    f = files(spark, ("a.rs", "".join(f"fn f{k}() {{}}\n" for k in range(10_001))), ("b.py", "".join(f"def f{k}(): pass\n" for k in range(10_001))))
+    assert {(r.relative_path, r["count"]) for r in syntax.signature_lines(f).filter("problem is null").groupBy("relative_path").count().collect()} == {("a.rs", 10_001), ("b.py", 10_001)}
+
+
+def test_other_failures_of_a_scan_are_errors(monkeypatch):
+    def fails(*_):
+        raise ValueError("broken")
+
+    monkeypatch.setattr(syntax, "declarations", fails)
+    with pytest.raises(ValueError, match="broken"):
+        syntax.scan("fn f() {}", "rust")
+
+
 def test_configuration_layers(tmp_path):
     from quarry.plans import config
 
