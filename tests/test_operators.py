@@ -217,6 +217,12 @@ def test_interval_union_of_ranges_without_an_end_and_of_equal_ones(spark):
     assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, [("a", 1, 3), ("a", 5, 7), ("b", 1, None), ("c", None, None), ("d", 2, 4), ("d", 9, 9)]))
 
 
+def test_interval_union_of_ranges_that_end_before_they_begin(spark):
+    rows = [("a", 1, 10), ("a", 20, 25), ("a", 20, 12), ("a", 20, 12), ("b", 5, 4), ("b", 5, 4), ("b", 5, 9)]
+    found = coverage.interval_union(spark.createDataFrame(rows, "k string, start int, end int"), ["k"]).collect()
+    assert sorted(map(tuple, found)) == [("a", 1, 10), ("a", 20, 12), ("a", 20, 12), ("a", 20, 25), ("b", 5, 9)]
+
+
 def test_shards(spark):
     f = spark.createDataFrame([(p, n) for p, n in [("a/a", 4000), ("a-b/x", 4000), ("a/b/x", 4000), ("a/z", 4000), ("big/1", 40_000), ("big/2", 40_000), ("z", 1)]], "relative_path string, size_bytes long")
     runs = {r.relative_path: r.run for r in shards.directory_runs(f).collect()}

@@ -1,6 +1,8 @@
 """Every query with SQL gives the same rows as DuckDB on the same tables."""
 
 import math
+import random
+from datetime import datetime
 
 import duckdb
 import pytest
@@ -58,3 +60,18 @@ def test_queries_of_secrets_know_all_kinds(spark, tmp_path):
     assert sorted((r.file, r.line_start) for r in found) == [(f"web/en_{i}.py", 2 if i == 0 else 1) for i in range(5)]
     marked = {r.relative_path: r.placeholder for r in QUERIES["secret_placeholders"](spark, str(tmp_path)).collect()}
     assert marked == {f"web/en_{i}.py": i == 5 for i in range(6)}
+
+
+def test_interval_union_equals_its_sql_on_odd_ranges(spark, tmp_path):
+    """One thread, so that the SQL's two windows order equal ranges alike; quantities below 0, between whole numbers, none."""
+    random.seed(5)
+    odd = [-30.0, -8.0, -1.0, 0.0, 0.5, 1.7, 2.5, 8.4, 8.6, 50.0, None]
+    rows = [(random.choice([1, 2, 3, None]), random.choice(odd), random.choice([None, *(datetime(2020, 1, d, 23) for d in range(1, 28, 3))])) for _ in range(300)]
+    rows += [(9, None, None), (8, -5.0, datetime(1969, 12, 30)), (8, -5.0, datetime(1969, 12, 30))]
+    spark.createDataFrame(rows, "l_suppkey long, l_quantity double, l_shipdate timestamp_ntz").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute("set threads=1")
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.execute(f"select k, start, stop from ({SQL['interval_union']})").fetchall()
+    found = QUERIES["interval_union"](spark, str(tmp_path)).select("k", "start", "stop").collect()
+    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, want))
